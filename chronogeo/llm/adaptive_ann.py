@@ -36,7 +36,7 @@ K = 20
 QUERY_STEP = 20
 SAMPLE = 20_000
 MAX_LISTS = 1024
-PROBES = 0.65
+PROBES = 0.75
 STEP = 16
 EPSILON = 2.1
 ROWS = 8192
