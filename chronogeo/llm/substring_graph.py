@@ -17,9 +17,10 @@ start). Steps:
 2. Edges with a passing seed are grouped by content: the first source
    coordinate of each is found, and a join gives it back to every occurrence.
    An occurrence that isn't the first goes with all its windows.
-3. Each distinct edge, at its first coordinate, is opened into windows, keyed
-   by seed and window hash; a second join finds windows that another edge has
-   earlier (where paths branch, edges differ but share windows).
+3. A seed with several different edges is a branch of the graph: such edges
+   may share windows. Branching seeds go into another bit table, their edges
+   are read once more with all windows, and each distinct edge is opened at its
+   first coordinate; a second join finds windows that another edge has earlier.
 4. Occurrences that follow one another in a document and whose source
    coordinates follow one another too are one nonbranching path: they compact
    into one span (document, start, end, source document, source start), and
@@ -27,7 +28,7 @@ start). Steps:
 5. Spans meet their texts in one join, and the kept words are written.
 
 Defined results: a null text has no words; rows that repeat a doc_id are told
-apart by their text, and among them only an earlier start counts as earlier, so
+apart by their text (order among them: start, then a hash of the text), and
 identical rows keep their words alike; a null doc_id counts as smaller than
 any other; an empty table gives an empty result.
 """
@@ -43,17 +44,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronogeo.session import ship_package
+from chronogeo.session import durable_table, ship_package
 
 WINDOW = 20
 K = 8
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 28
 NULL_ID = -(1 << 63)
 PART_BYTES = 4 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
-EDGE_DDL = "seed bigint, content bigint, n int, doc bigint, crc int, start int, windows array<bigint>"
+#: at: start (in words) times 65536, and 16 bits of a hash of the text.
+EDGE_DDL = "seed bigint, content bigint, n int, doc bigint, at bigint"
+OPEN_DDL = EDGE_DDL + ", windows array<bigint>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -176,7 +179,7 @@ def slots(seeds: np.ndarray, bits: int) -> np.ndarray:
     return (_mix(seeds ^ _U(0x5851F42D4C957F2D)) % _U(bits)).astype(np.int64)
 
 
-def _edge_batches(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _edge_batches(batches: Iterator[pa.RecordBatch], table: np.ndarray, opened: bool) -> Iterator[pa.RecordBatch]:
     bits = len(table) * 8
     for batch in batches:
         for ids, texts in _parts(batch):
@@ -194,20 +197,17 @@ def _edge_batches(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Itera
             own = windows[np.repeat(begin[keep], n) + within]
             content = np.add.reduceat(own * _powers(0xE7037ED1A0B428DB, int(n.max()))[within], offsets[:-1])
             doc = np.array(ids, np.int64)[of[keep]]
-            crc = np.array([zlib.crc32(t) for t in texts], np.uint32).view(np.int32)[of[keep]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seeds[keep].view(np.int64)), pa.array(_mix(content).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(doc), pa.array(crc), pa.array(start[keep].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(own.view(np.int64)))],
-                names=["seed", "content", "n", "doc", "crc", "start", "windows"],
-            )
+            crc = np.array([zlib.crc32(t) & 0xFFFF for t in texts], np.int64)[of[keep]]
+            columns = [pa.array(seeds[keep].view(np.int64)), pa.array(_mix(content).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(doc), pa.array(start[keep] * 65536 + crc)]
+            names = ["seed", "content", "n", "doc", "at"]
+            if opened:
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(own.view(np.int64))))
+                names.append("windows")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def repeated_seed_table(docs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bit table of the seeds that occur twice or more; bits / 8 bytes at any size of corpus."""
-
-    def count(batches):
-        from chronogeo.llm.substring_graph import _seed_batches
-
-        return _seed_batches(batches)
+def bit_table(seeds: DataFrame, bits: int) -> np.ndarray:
+    """Bit table of a column of seeds; bits / 8 bytes at any size of corpus."""
 
     def place(batches):
         import numpy as np
@@ -219,45 +219,62 @@ def repeated_seed_table(docs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
             slot = slots(batch.column(0).to_numpy().view(np.uint64), bits)
             yield pa.RecordBatch.from_arrays([pa.array(slot >> 6), pa.array(np.left_shift(np.int64(1), slot & 63))], names=["word", "mask"])
 
-    seeds = docs.mapInArrow(count, "seed bigint, more tinyint").groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more"))
-    words = seeds.filter("n > 1 OR more > 0").select("seed").mapInArrow(place, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    found = words.toArrow()
+    found = seeds.mapInArrow(place, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     table = np.zeros(bits // 64, np.int64)
     if found.num_rows:
         table[found["word"].to_numpy()] = found["mask"].to_numpy()
     return table.view(np.uint8)
 
 
-def repeated_spans(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """doc, crc, start, end (words), src_doc, src_start: compacted spans of windows that start earlier elsewhere."""
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(repeated_seed_table(docs, bits))
+def repeated_seeds(docs: DataFrame) -> DataFrame:
+    """Seeds that occur twice or more in the corpus."""
+
+    def count(batches):
+        from chronogeo.llm.substring_graph import _seed_batches
+
+        return _seed_batches(batches)
+
+    seeds = docs.mapInArrow(count, "seed bigint, more tinyint").groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more"))
+    return seeds.filter("n > 1 OR more > 0").select("seed")
+
+
+def edges(docs: DataFrame, table: np.ndarray, opened: bool = False) -> DataFrame:
+    """Every occurrence of an edge whose seed is in a bit table, with its windows if opened."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def emit(batches):
         from chronogeo.llm.substring_graph import _edge_batches
 
-        return _edge_batches(batches, table.value)
+        return _edge_batches(batches, shared.value, opened)
+
+    return docs.mapInArrow(emit, OPEN_DDL if opened else EDGE_DDL)
 
-    from chronogeo.session import durable_table
 
-    edges = durable_table(docs.mapInArrow(emit, EDGE_DDL))
-    here = F.struct("doc", "start")
-    distinct = edges.groupBy("seed", "content", "n").agg(F.min(here).alias("first"), F.first("windows").alias("windows"))
-    firsts = distinct.select(F.col("seed").alias("f_seed"), F.col("content").alias("f_content"), F.col("n").alias("f_n"), "first")
-    copies = edges.drop("windows").join(firsts, (F.col("seed") == F.col("f_seed")) & (F.col("content") == F.col("f_content")) & (F.col("n") == F.col("f_n")))
-    copies = copies.filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-    copies = copies.select("doc", "start", "n", F.col("first.doc").alias("src_doc"), F.col("first.start").alias("src_start"))
-    opened = distinct.select("seed", F.col("first.doc").alias("doc"), F.col("first.start").alias("edge"), F.posexplode("windows").alias("i", "window"))
-    opened = opened.select("seed", "window", "doc", (F.col("edge") + F.col("i")).alias("start"))
-    shared = opened.groupBy("seed", "window").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("seed").alias("f_seed"), F.col("window").alias("f_window"), "first")
+def repeated_spans(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """doc, crc, start, end (words), src_doc, src_start: compacted spans of windows that start earlier elsewhere."""
+    here = F.struct("doc", "at")
+    every = durable_table(edges(docs, bit_table(repeated_seeds(docs), bits)))
+    distinct = every.groupBy("seed", "content", "n").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("times"))
+    firsts = distinct.filter("times > 1").select(F.col("seed").alias("f_seed"), F.col("content").alias("f_content"), F.col("n").alias("f_n"), "first")
+    copies = every.join(firsts, (F.col("seed") == F.col("f_seed")) & (F.col("content") == F.col("f_content")) & (F.col("n") == F.col("f_n")))
+    copies = copies.filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
+    copies = copies.select("doc", "at", "n", F.col("first.doc").alias("src_doc"), F.col("first.at").alias("src_at"))
+    branching = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("edges")).filter("edges > 1").select("seed")
+    opened = edges(docs, bit_table(branching, bits), True).groupBy("seed", "content", "n").agg(F.min(here).alias("first"), F.first("windows").alias("windows"))
+    opened = opened.select("seed", F.col("first.doc").alias("doc"), F.col("first.at").alias("edge"), F.posexplode("windows").alias("i", "window"))
+    opened = opened.select("seed", "window", "doc", (F.col("edge") + F.col("i") * 65536).alias("at"))
+    shared = opened.groupBy("seed", "window").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    shared = shared.select(F.col("seed").alias("f_seed"), F.col("window").alias("f_window"), "first")
     later = opened.join(shared, (F.col("seed") == F.col("f_seed")) & (F.col("window") == F.col("f_window")))
-    later = later.filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-    later = later.select("doc", "start", F.lit(1).alias("n"), F.col("first.doc").alias("src_doc"), F.col("first.start").alias("src_start"))
-    runs = copies.unionByName(later)
-    along = Window.partitionBy("doc").orderBy("start", "n")
-    joins = (F.lag("src_doc").over(along) == F.col("src_doc")) & (F.lag(F.col("src_start") - F.col("start")).over(along) == F.col("src_start") - F.col("start")) & (F.lag(F.col("start") + F.col("n")).over(along) >= F.col("start"))
+    later = later.filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
+    later = later.select("doc", "at", F.lit(1).alias("n"), F.col("first.doc").alias("src_doc"), F.col("first.at").alias("src_at"))
+    start = lambda c: F.shiftright(c, 16).cast("int")
+    runs = copies.unionByName(later).select("doc", (F.col("at") % 65536).cast("int").alias("crc"), start("at").alias("start"), "n", "src_doc", start("src_at").alias("src_start"))
+    along = Window.partitionBy("doc", "crc").orderBy("start", "n")
+    shift = F.col("src_start") - F.col("start")
+    joins = (F.lag("src_doc").over(along) == F.col("src_doc")) & (F.lag(shift).over(along) == shift) & (F.lag(F.col("start") + F.col("n")).over(along) >= F.col("start"))
     path = F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    spans = runs.withColumn("path", path).groupBy("doc", "path").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n") + (WINDOW - 1)).alias("end"), F.first("src_doc").alias("src_doc"), F.min("src_start").alias("src_start"))
+    spans = runs.withColumn("path", path).groupBy("doc", "crc", "path").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n") + (WINDOW - 1)).alias("end"), F.first("src_doc").alias("src_doc"), F.min("src_start").alias("src_start"))
     return spans.drop("path")
 
 
@@ -282,8 +299,11 @@ def with_spans(docs: DataFrame, text: str, doc_id: str, bits: int) -> DataFrame:
     """doc_id, text, spans (array, null if none): each row of docs with what goes from it."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    spans = repeated_spans(rows, bits).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return rows.join(spans, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("doc"), "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(rows, bits).groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("crc", "spans")).alias("by_crc"))
+    joined = rows.join(spans, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("doc"), "left")
+    own = F.filter("by_crc", lambda x: x["crc"] == (F.crc32(F.coalesce(F.col("text"), F.lit(""))) % 65536).cast("int"))
+    return joined.select("doc_id", "text", F.try_element_at(own, F.lit(1))["spans"].alias("spans"))
 
 
 def deduplicated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", bits: int = FILTER_BITS) -> DataFrame:
