@@ -90,20 +90,17 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _rolling(h: np.ndarray, k: int, base: int) -> np.ndarray:
     """Hash of each run of k words, by doubling."""
-    out, have = h, 1
-    parts = []
-    b = pow(base, 1, 1 << 64)
     size, level = 1, h
     levels = {1: h}
     while size * 2 <= k:
-        level = level[: len(level) - size] + _U(pow(b, size, 1 << 64)) * level[size:]
+        level = level[: len(level) - size] + _U(pow(base, size, 1 << 64)) * level[size:]
         size *= 2
         levels[size] = level
     at, total = 0, None
     for size in sorted(levels, reverse=True):
         while at + size <= k:
             part = levels[size][at : len(h) - k + 1 + at]
-            total = part if total is None else total + _U(pow(b, at, 1 << 64)) * part
+            total = part if total is None else total + _U(pow(base, at, 1 << 64)) * part
             at += size
     return _mix(total)
 

@@ -1,7 +1,6 @@
 """Exact token counts of texts of any length, by overlap resynchronisation.
 
-Short texts are encoded whole. A huge text is encoded in overlapping chunks
-with offsets. Neighbouring encodings are spliced at a token boundary that both
+A huge text is encoded in overlapping chunks with offsets. Neighbouring encodings are spliced at a token boundary that both
 have and that is proven stable: one between a character that is not white
 space and one that is. The pre-tokeniser never crosses such a place and
 decides what follows it from what follows it alone, so the tokens after it
@@ -9,6 +8,9 @@ are the same whatever came before; an added special token holds no white
 space, so none crosses it either. If an overlap has no such place, it is made
 wider and encoded again, at last reaching the end of the text.
 
+Texts of less than a chunk are cut at all such places, and each distinct unit
+between two of them is encoded once and remembered (``REMEMBERED`` at most).
+
 Defined results: a null text counts as empty; nothing is truncated; special
 strings in texts count as the library counts them by default; repeated rows
 are each counted.
@@ -17,6 +19,7 @@ are each counted.
 from __future__ import annotations
 
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,7 +30,12 @@ from chronogeo.session import ship_package
 VOCABULARY = "byte_bpe_50k.json"
 CHUNK = 32_768
 OVERLAP = 512
+REMEMBERED = 500_000
+#: White space of the pre-tokeniser's pattern.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _LOADED: dict[str, object] = {}
+_COUNTS: dict[int, dict[str, int]] = {}
 
 
 def tokenizer(path: str):
@@ -83,13 +91,27 @@ def count_long(tk, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int
     return total + len(left)
 
 
+def count_short(tk, texts: list[str]) -> list[int]:
+    """Tokens of texts by their distinct units."""
+    known = _COUNTS.setdefault(id(tk), {})
+    units = [UNIT.findall(t) for t in texts]
+    new = list(set().union(*units).difference(known))
+    if len(known) + len(new) > REMEMBERED:
+        known.clear()
+        new = list(set().union(*units))
+    for at in range(0, len(new), 4096):
+        part = new[at : at + 4096]
+        known.update(zip(part, map(len, tk.encode_batch(part, add_special_tokens=False))))
+    return [sum(map(known.__getitem__, u)) for u in units]
+
+
 def count_tokens(tk, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
     out = [0] * len(texts)
     short = [i for i, t in enumerate(texts) if len(t) <= chunk]
-    for at in range(0, len(short), 256):
-        part = short[at : at + 256]
-        for i, e in zip(part, tk.encode_batch([texts[i] for i in part], add_special_tokens=False)):
-            out[i] = len(e)
+    for at in range(0, len(short), 512):
+        part = short[at : at + 512]
+        for i, n in zip(part, count_short(tk, [texts[i] for i in part])):
+            out[i] = n
     for i, t in enumerate(texts):
         if len(t) > chunk:
             out[i] = count_long(tk, t, chunk, overlap)
