@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: dict[str, bool] = {}
 
 
@@ -17,8 +18,11 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per application.
 
     The zip goes through Spark's own file server, so executors need no shared
-    source folder.
+    source folder. Where the size of Arrow batches is Spark's default, it is
+    lowered: rows here are whole texts, and a batch is held in memory twice.
     """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "2000")
     app = spark.sparkContext.applicationId
     if _SHIPPED.get(app):
         return
