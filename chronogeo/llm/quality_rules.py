@@ -14,8 +14,6 @@ empty table gives an empty result; other columns of the input are ignored by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +26,8 @@ _NOT_STARTS = BLANKS + bytes(range(0x80, 0xC0))
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
+#: Rejected hosts are broadcast up to this count, and else joined by shuffle.
+MAX_BROADCAST_HOSTS = 100_000
 
 
 def measure(data: bytes) -> tuple[int, int, int, int, int]:
@@ -123,6 +123,10 @@ def keep_rows(docs: DataFrame, *, text: str = "text", host: str = "source", max_
     ship_package(spark)
     names = docs.columns
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{host}`").alias("host"), measured(F.col(f"`{text}`")).alias("m"))
-    rows = wide.select("host", "m", base_failed().alias("base_failed"))
+    rows = durable(wide.select("host", base_failed().alias("base_failed")))
     bad = durable(host_rates(rows).filter(F.col("host_rate") > max_host_rate).select(F.col("host").alias("bad_host")))
-    return wide.filter(~base_failed()).join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left_anti").select("row.*")
+    kept, n_bad = wide.filter(~base_failed()), bad.count()
+    if n_bad:
+        bad = F.broadcast(bad) if n_bad <= MAX_BROADCAST_HOSTS else bad
+        kept = kept.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left_anti")
+    return kept.select("row.*")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronogeo.llm.components import component_labels
-from chronogeo.session import durable, ship_package
+from chronogeo.session import durable, durable_table, ship_package
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -253,11 +253,14 @@ def first_rows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", *
     heads = marks.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "label").agg(F.min("fp").alias("fp"))
     heads = heads.groupBy(F.col("doc_id").alias("k_id")).agg(F.collect_set("fp").alias("k_fps"))
     times = marks.groupBy(F.col("doc_id").alias("n_id")).agg(F.count(F.lit(1)).alias("n_rows"))
-    heads = heads.join(times, F.col("k_id").eqNullSafe(F.col("n_id"))).select("k_id", "k_fps", "n_rows")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"))
-    joined = rows.join(heads, F.col("id").eqNullSafe(F.col("k_id")))
-    one = joined.filter("n_rows = 1").select("row.*")
+    heads = durable(heads.join(times, F.col("k_id").eqNullSafe(F.col("n_id"))).select("k_id", "k_fps", "n_rows"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{doc_id}`").alias("id"))
+    one = rows.join(heads.filter("n_rows = 1"), F.col("id").eqNullSafe(F.col("k_id"))).select("row.*")
+    many = heads.filter("n_rows > 1")
+    if many.isEmpty():
+        return one
     # Rows that repeat a doc_id: one row for each of its fingerprints that stays.
-    several = joined.filter("n_rows > 1").withColumn("fp", fingerprint_column(F.col("t"))).filter(F.array_contains("k_fps", F.col("fp")))
+    several = durable_table(rows.join(many, F.col("id").eqNullSafe(F.col("k_id"))).select("row", "id", "k_fps"))
+    several = several.withColumn("t", F.col(f"row.`{text}`")).withColumn("fp", fingerprint_column(F.col("t"))).filter(F.array_contains("k_fps", F.col("fp")))
     nth = F.row_number().over(Window.partitionBy("id", "fp").orderBy(F.xxhash64("t")))
     return one.unionByName(several.withColumn("nth", nth).filter("nth = 1").select("row.*"))
