@@ -42,7 +42,7 @@ def wrap_lng(x: Column) -> Column:
 
 def haversine_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # least() would skip a null
 
 
 def metres_to_degrees(metres: Column, lat: Column) -> Column:
