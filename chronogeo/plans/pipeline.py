@@ -14,7 +14,8 @@ from typing import Any
 import yaml
 from pyspark.sql import DataFrame
 
-from chronogeo.plans.steps import STEPS, Context, run_step
+from chronogeo.plans.steps import SLICED, STEPS, Context, run_step
+from chronogeo.session import durable_table
 
 
 class PipelineError(ValueError):
@@ -79,7 +80,11 @@ def ordered(nodes: dict[str, Node]) -> list[str]:
 
 
 def run(ctx: Context, text: str, only: list[str] | None = None) -> dict[str, DataFrame]:
-    """Results of all steps (or of those needed for some) by id; what several steps read is kept once."""
+    """Results of all steps (or of those needed for some) by id.
+
+    Results of geometric steps, and what several steps read, are written to the shared checkpoint folder and read
+    from there: each is computed once, plans stay small, and lost executors cost no more than one step.
+    """
     nodes = parse(text)
     order = ordered(nodes)
     if only:
@@ -102,5 +107,6 @@ def run(ctx: Context, text: str, only: list[str] | None = None) -> dict[str, Dat
     for key in order:
         node = nodes[key]
         result = run_step(ctx, node.step, {k: out[s] for k, s in node.inputs.items()}, **node.parameters)
-        out[key] = result.persist() if result is not None and readers.get(key, 0) > 1 else result
+        keep = result is not None and (STEPS[node.step].needs == SLICED or readers.get(key, 0) > 1)
+        out[key] = durable_table(result) if keep else result
     return out

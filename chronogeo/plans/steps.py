@@ -282,7 +282,7 @@ def add_fractal_detail(ctx, inputs):
 
 @step("SHAPE_ROADS", SLICED)
 def shape_roads(ctx, inputs):
-    rows = inputs["in"].withColumn("_id", F.monotonically_increasing_id())
+    rows = inputs["in"].withColumn("_id", F.to_json("coords"))
     pts = _line_points(rows, ["_id", *SLICE, "width"])
     wide = pts.withColumn("half_width", geo.metres_to_degrees(F.coalesce(F.col("width").cast("double"), F.lit(RIVER_WIDTH_M)), F.col("lat")))
     return overlay.exploded(overlay.dissolve(shapes.ribbons(wide, ["_id", "line", *SLICE]), SLICE))
@@ -298,7 +298,7 @@ def shape_rivers(ctx, inputs):
     """River outlines: widths are the greatest at joins, springs on land taper to a tenth, and widths ease along a line."""
     layer = inputs["in"]
     width = F.coalesce(F.col("width").cast("double"), F.lit(RIVER_WIDTH_M)) if "width" in layer.columns else F.lit(RIVER_WIDTH_M)
-    rows = layer.withColumn("w", width).withColumn("_id", F.monotonically_increasing_id())
+    rows = layer.withColumn("w", width).withColumn("_id", F.to_json("coords"))  # the same in every branch of the plan
     pts = _line_points(rows, ["_id", *SLICE, "w"])
     ends = pts.groupBy("_id", "line", *SLICE).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     same = [F.col("_id") == F.col("e_id"), F.col("line") == F.col("e_line")]
@@ -365,7 +365,7 @@ def merge_geometry(ctx, inputs):
     rows = rows.withColumn("c", F.when(F.col("c").isNull(), F.raise_error(F.lit("a feature has no colour")).cast(colors.RGBA)).otherwise(F.col("c")))
     flat = overlay.dissolve(rows.withColumn("hex", colors.hex_text(F.col("c"))), [*SLICE, "layer_ord", "hex"])
     flat = flat.withColumn("ord", F.col("layer_ord").cast("long") * 2**33 + F.crc32("hex"))
-    cells = overlay.mosaic(flat, SLICE).withColumn("cell", F.monotonically_increasing_id())
+    cells = overlay.mosaic(flat, SLICE).withColumn("cell", F.to_json(F.struct(*SLICE, "covers")))
     cover = cells.select("cell", F.col("slice_start").alias("c_s"), F.col("slice_end").alias("c_e"), F.explode("covers").alias("c_ord"))
     stack = cover.join(flat.select(*SLICE, "ord", "layer_ord", "hex"), (F.col("ord") == F.col("c_ord")) & F.col("slice_start").eqNullSafe(F.col("c_s")) & F.col("slice_end").eqNullSafe(F.col("c_e")))
     item = F.struct("ord", colors.parse_hex(F.col("hex")).alias("c"))
@@ -447,8 +447,8 @@ def _boxes(rows: DataFrame) -> DataFrame:
 def compile_tiles(ctx, inputs, filename="golarion", extension="pmtiles"):
     """Features by tile; labels of locations show from five zooms after their own least zoom."""
     rows = _union({k: x for k, x in inputs.items() if k != "time-meta"})
-    if "export" not in rows.columns:
-        rows = rows.withColumn("export", F.struct(F.lit(0).alias("tile_minzoom"), F.lit(ctx.max_zoom).alias("tile_maxzoom")))
+    every = F.struct(F.lit(0).alias("tile_minzoom"), F.lit(ctx.max_zoom).alias("tile_maxzoom"))
+    rows = rows.withColumn("export", F.coalesce(F.col("export"), every) if "export" in rows.columns else every)
     boxes = _boxes(rows.filter(F.size("coords") > 0)).select("*", "export.tile_minzoom", "export.tile_maxzoom").drop("export")
     tiles = points.tiles(boxes)
     if "label" in tiles.columns:
