@@ -3,9 +3,9 @@
 The kernel splits all segments where they meet, tells for each piece which
 polygons lie left and right of it, and keeps for a wanted combination the
 pieces with it on one side only; these chain to rings. All operators are one
-call with another wanted combination. A group (layer and slice) is one call,
-so large layers are first cut by a grid of tiles (``tile`` columns), whose
-pieces dissolve again by their key.
+call with another wanted combination. A group (the columns ``by``: a slice,
+say) is one call; ``tiled`` cuts features by a grid, so that a large layer is
+many groups, and dissolving by key joins the pieces again.
 """
 
 from __future__ import annotations
@@ -277,6 +277,46 @@ def mosaic(layer: DataFrame, by: list[str], order: str = "ord") -> DataFrame:
     return layer.select(*by, order, "coords").groupBy(*by).applyInPandas(run, f"{head}, covers array<bigint>, coords {GEOM}")
 
 
+def tiled(layer: DataFrame, size: float) -> DataFrame:
+    """Features cut by square tiles of a size, with tile_x, tile_y: more grouping columns for the operators above."""
+    pts = F.flatten(F.flatten("coords"))
+    cell = lambda f, k: F.floor(f(F.transform(pts, lambda p: p[k])) / size).cast("int")
+    dealt = layer.withColumn("tile_x", F.explode(F.sequence(cell(F.array_min, 0), cell(F.array_max, 0)))).withColumn("tile_y", F.explode(F.sequence(cell(F.array_min, 1), cell(F.array_max, 1))))
+
+    def udf(shapes, xs, ys):
+        import pyarrow as pa
+
+        from chronogeo.operators.overlay import intersection
+
+        out = []
+        for g, x, y in zip(shapes.to_pylist(), xs.to_pylist(), ys.to_pylist()):
+            a, b = x * size, y * size
+            box = [[[(a, b), (a + size, b), (a + size, b + size), (a, b + size), (a, b)]]]
+            out.append([[[list(p) for p in r] for r in part] for part in intersection(g, box)])
+        return pa.array(out, shapes.type)
+
+    return dealt.withColumn("coords", F.arrow_udf(udf, GEOM)("coords", "tile_x", "tile_y")).filter(F.size("coords") > 0)
+
+
 def exploded(layer: DataFrame) -> DataFrame:
     """One row per polygon of a feature."""
     return layer.withColumn("coords", F.explode("coords")).withColumn("coords", F.array("coords"))
+
+
+def boundaries(layer: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
+    """by, keep, x1, y1, x2, y2: each feature's outline in pieces that neighbours of the same group share exactly."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        from chronogeo.operators.overlay import Arrangement
+
+        pdf = pdf[pdf["coords"].notna()]
+        net = Arrangement([[[[tuple(p) for p in ring] for ring in part] for part in g] for g in pdf["coords"]])
+        piece, feature = np.nonzero(net.left != net.right)
+        out = pdf[[*by, *keep]].iloc[feature].reset_index(drop=True)
+        return pd.concat([out, pd.DataFrame(net.pieces[piece], columns=["x1", "y1", "x2", "y2"])], axis=1)
+
+    head = ", ".join(f"`{k}` {layer.schema[k].dataType.simpleString()}" for k in [*by, *keep])
+    return layer.select(*by, *keep, "coords").groupBy(*by).applyInPandas(run, f"{head}, x1 double, y1 double, x2 double, y2 double")

@@ -313,9 +313,12 @@ def pebbles(coords: Column, area: Column, key: Column) -> Column:
     def udf(gs: pa.Array, areas: pa.Array, keys: pa.Array) -> pa.Array:
         out = []
         for g, a, k in zip(gs.to_pylist(), areas.to_pylist(), keys.to_pylist()):
+            if not g:
+                out.append(g)
+                continue
             rng = np.random.default_rng(int.from_bytes(hashlib.sha256(k.encode()).digest()[:8], "big"))
             rows = []
-            for x, y in dots(g, max(1, int(a / 250)), k) if g else ():
+            for x, y in dots(g, max(1, int(a / 250)), k):
                 h, turn = rng.uniform(0.0001, 0.0002) / 2, math.radians(rng.uniform(1, 360))
                 ring = []
                 for t in np.linspace(0, 2 * math.pi, 13):

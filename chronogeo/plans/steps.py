@@ -195,7 +195,8 @@ def regions(ctx, inputs):
 
 
 def _side_lines(layer: DataFrame, keys: list[str]) -> DataFrame:
-    return edges.normalised(lines.polygon_edges(layer, keys), 7)
+    """Outlines in pieces that neighbours share, normalised."""
+    return edges.normalised(overlay.boundaries(layer, SLICE, [k for k in keys if k not in SLICE]), 7)
 
 
 @step("BORDER_VARIANTS__PROVINCE_BORDERS", SLICED)
@@ -444,7 +445,7 @@ def _boxes(rows: DataFrame) -> DataFrame:
 
 
 @step("COMPILE_TILES", MERGED)
-def compile_tiles(ctx, inputs, filename="golarion", extension="pmtiles"):
+def compile_tiles(ctx, inputs, filename="map", extension="pmtiles"):
     """Features by tile; labels of locations show from five zooms after their own least zoom."""
     rows = _union({k: x for k, x in inputs.items() if k != "time-meta"})
     every = F.struct(F.lit(0).alias("tile_minzoom"), F.lit(ctx.max_zoom).alias("tile_maxzoom"))

@@ -1,0 +1 @@
+"""No operator of this engine has event time, so there is none here."""

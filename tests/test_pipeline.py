@@ -174,7 +174,7 @@ def test_highlights_are_inverted(done):
 def test_tiles(done, ctx):
     tiles = done["tiles.COMPILE_TILES"]
     assert tiles.filter("z = 0").select("x", "y").distinct().count() == 1
-    assert ctx.results["props-golarion"].filter("layer = 'labels' AND key = 'label'").first()["nulls"] == 0
+    assert ctx.results["props-map"].filter("layer = 'labels' AND key = 'label'").first()["nulls"] == 0
 
 
 @pytest.mark.parametrize("name", ["BORDER_VARIANTS__NATIONS", "BORDER_VARIANTS__SUBREGIONS", "BORDER_VARIANTS__REGIONS", "BORDER_VARIANTS__DISTRICT_BORDERS", "BORDER_VARIANTS__REGION_BORDERS", "BORDER_VARIANTS__PROVINCES"])
@@ -199,6 +199,15 @@ def test_other_steps(ctx, spark):
     assert run_step(ctx, "GEOJSON_OUT", {"in": ctx.layers["waters"]}).first()["value"].startswith('{"type":"Feature"')
 
 
+def test_tiling_changes_no_area(ctx):
+    land = ctx.layers["land"].withColumn("k", F.col("labels"))
+    cut = overlay.tiled(land, 4.0)
+    assert cut.select("tile_x", "tile_y").distinct().count() == 9 + 4
+    assert area(cut) == pytest.approx(136) and area(overlay.dissolve(cut, ["k"])) == pytest.approx(136)
+    erased = overlay.erase(cut, overlay.tiled(ctx.layers["waters"], 4.0), ["tile_x", "tile_y"])
+    assert area(erased) == pytest.approx(132)
+
+
 def test_errors():
     with pytest.raises(pipeline.PipelineError):
         pipeline.parse("- name: a\n  steps: [{step: NOPE}]")
