@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronogeo.session import durable_table, ship_package
+from chronogeo.session import ship_package
 
 WINDOW = 20
 K = 8
@@ -250,7 +250,7 @@ def edges(docs: DataFrame, table: np.ndarray, opened: bool = False) -> DataFrame
 def repeated_spans(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """doc, crc, start, end (words), src_doc, src_start: compacted spans of windows that start earlier elsewhere."""
     here = F.struct("doc", "at")
-    every = durable_table(edges(docs, bit_table(repeated_seeds(docs), bits)))
+    every = edges(docs, bit_table(repeated_seeds(docs), bits))  # read twice: hashing again is cheaper than a table of all edges
     distinct = every.groupBy("seed", "content", "n").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("times"))
     firsts = distinct.filter("times > 1").select(F.col("seed").alias("f_seed"), F.col("content").alias("f_content"), F.col("n").alias("f_n"), "first")
     copies = every.join(firsts, (F.col("seed") == F.col("f_seed")) & (F.col("content") == F.col("f_content")) & (F.col("n") == F.col("f_n")))
