@@ -275,12 +275,30 @@ def repeated_spans(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     return spans.drop("path")
 
 
+def packed(text: bytes | None) -> bytes:
+    """A text compressed for the one shuffle of texts, its size first."""
+    return len(text).to_bytes(8, "big") + pa.compress(text, codec="zstd", asbytes=True) if text else b""
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "big"), codec="zstd", asbytes=True) if data else b""
+
+
+def _packed_column(text):
+    def udf(texts: pa.Array) -> pa.Array:
+        from chronogeo.llm.substring_graph import packed
+
+        return pa.array([packed(t.as_py()) for t in texts.cast(pa.binary())], pa.binary())
+
+    return F.arrow_udf(udf, "binary")(text)
+
+
 def _kept_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [[], [], [], []]
         texts = batch.column(1).cast(pa.binary())
         for i, (doc, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-            words = (texts[i].as_py() or b"").split()
+            words = unpacked(texts[i].as_py()).split()
             kept, at = [], 0
             for s in sorted((x["start"], x["end"]) for x in spans or ()):
                 if s[0] > at:
@@ -293,14 +311,15 @@ def _kept_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def with_spans(docs: DataFrame, text: str, doc_id: str, bits: int) -> DataFrame:
-    """doc_id, text, spans (array, null if none): each row of docs with what goes from it."""
+    """doc_id, packed text, spans (array, null if none): each row of docs with what goes from it."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     spans = repeated_spans(rows, bits).groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("crc", "spans")).alias("by_crc"))
-    joined = rows.join(spans, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("doc"), "left")
-    own = F.filter("by_crc", lambda x: x["crc"] == (F.crc32(F.coalesce(F.col("text"), F.lit(""))) % 65536).cast("int"))
-    return joined.select("doc_id", "text", F.try_element_at(own, F.lit(1))["spans"].alias("spans"))
+    small = rows.select("doc_id", (F.crc32(F.coalesce(F.col("text"), F.lit(""))) % 65536).cast("int").alias("crc"), _packed_column(F.col("text")).alias("packed"))
+    joined = small.join(spans, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("doc"), "left")
+    own = F.filter("by_crc", lambda x: x["crc"] == F.col("crc"))
+    return joined.select("doc_id", "packed", F.try_element_at(own, F.lit(1))["spans"].alias("spans"))
 
 
 def deduplicated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", bits: int = FILTER_BITS) -> DataFrame:
