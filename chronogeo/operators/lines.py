@@ -95,14 +95,15 @@ def clip_lines(layer: DataFrame, mask: DataFrame, by: list[str]) -> DataFrame:
 
     def run(left, right):
         import numpy as np
+        import pandas as pd
 
         from chronogeo.operators.lines import cut_line
         from chronogeo.operators.overlay import _segments
 
         seg, _ = _segments([[[[tuple(p) for p in ring] for ring in part] for part in g] for g in right["coords"] if g is not None])
         done = [[[piece] for part in g for ring in part for piece in cut_line(ring, seg)] if len(seg) and g is not None else [] for g in left["coords"]]
-        left = left.assign(coords=done)
-        return left[[bool(g) for g in done]][names]
+        left = left.assign(coords=pd.Series(done, left.index, object))
+        return left.loc[np.array([bool(g) for g in done], bool), names]
 
     ddl = ", ".join(f"`{c}` {types[c]}" for c in names)
-    return layer.groupBy(*by).cogroup(mask.select(*by, "coords").groupBy(*by)).applyInPandas(run, ddl)
+    return layer.groupBy(*by).cogroup(mask.select(*[F.col(c).alias(f"m_{c}") for c in by], "coords").groupBy(*[f"m_{c}" for c in by])).applyInPandas(run, ddl)

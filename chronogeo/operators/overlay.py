@@ -12,12 +12,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PRECISION = 8
+GREATEST_TILE, LEAST_TILE = 64.0, 2.0**-10
+TILE = ["tile_x", "tile_y"]
 Ring = list[tuple[float, float]]
 Polygon = list[Ring]
 GEOM = "array<array<array<array<double>>>>"
@@ -181,6 +184,11 @@ def _polygons(rings: list[Ring]) -> list[Polygon]:
     return outer
 
 
+def _box(parts: list[Polygon]) -> tuple[float, float, float, float]:
+    p = np.concatenate([np.asarray(rings[0], float)[:, :2] for rings in parts])
+    return *p.min(axis=0), *p.max(axis=0)
+
+
 def intersection(a: list[Polygon], b: list[Polygon]) -> list[Polygon]:
     return Arrangement([a, b]).region(lambda m: m[:, 0] & m[:, 1])
 
@@ -230,21 +238,38 @@ def dissolve(layer: DataFrame, keys: list[str]) -> DataFrame:
     return layer.select(*keys, "coords").groupBy(*keys).applyInPandas(_dissolve_pdf(keys), f"{head}, coords {GEOM}")
 
 
+def dissolve_tiled(layer: DataFrame, keys: list[str], size: float | None) -> DataFrame:
+    """dissolve(), within tiles of a size first: then only outlines of tiles meet in one task."""
+    if size is not None:
+        layer = dissolve(tiled(layer.select(*keys, "coords"), size), [*keys, *TILE])
+    return dissolve(layer, keys)
+
+
 def _against(layer: DataFrame, mask: DataFrame, by: list[str], erase: bool) -> DataFrame:
     names, types = layer.columns, dict(layer.dtypes)
 
     def run(left, right):
+        import pandas as pd
+
         from chronogeo.operators.overlay import difference, intersection, union
 
         shape = lambda g: [[[tuple(p) for p in ring] for ring in part] for part in g]
         cover = union([shape(g) for g in right["coords"] if g is not None])
-        cut = difference if erase else intersection
-        done = [cut(shape(g), cover) if g is not None else [] for g in left["coords"]] if cover else [shape(g) if erase and g is not None else [] for g in left["coords"]]
-        left = left.assign(coords=[[[[list(p) for p in r] for r in part] for part in g] for g in done])
-        return left[[bool(g) for g in done]][names]
+        boxes = np.array([_box([part]) for part in cover]).reshape(-1, 4)
+
+        def cut(g: list) -> list:
+            x1, y1, x2, y2 = _box(g)
+            near = [cover[k] for k in np.flatnonzero((boxes[:, 0] <= x2) & (boxes[:, 2] >= x1) & (boxes[:, 1] <= y2) & (boxes[:, 3] >= y1))]
+            if not near:
+                return g if erase else []
+            return difference(g, near) if erase else intersection(g, near)
+
+        done = [cut(shape(g)) if g is not None and len(g) else [] for g in left["coords"]]
+        left = left.assign(coords=pd.Series([[[[list(p) for p in r] for r in part] for part in g] for g in done], left.index, object))
+        return left.loc[np.array([bool(g) for g in done], bool), names]
 
     ddl = ", ".join(f"`{c}` {types[c]}" for c in names)
-    return layer.groupBy(*by).cogroup(mask.select(*by, "coords").groupBy(*by)).applyInPandas(run, ddl)
+    return layer.groupBy(*by).cogroup(mask.select(*[F.col(c).alias(f"m_{c}") for c in by], "coords").groupBy(*[f"m_{c}" for c in by])).applyInPandas(run, ddl)
 
 
 def clip(layer: DataFrame, mask: DataFrame, by: list[str]) -> DataFrame:
@@ -277,6 +302,25 @@ def mosaic(layer: DataFrame, by: list[str], order: str = "ord") -> DataFrame:
     return layer.select(*by, order, "coords").groupBy(*by).applyInPandas(run, f"{head}, covers array<bigint>, coords {GEOM}")
 
 
+def tile_size(layers: list[DataFrame], by: list[str], most: int) -> float | None:
+    """None if no group of the layers together has more than so many vertices, else the greatest tile size at which no tile has.
+
+    Where features pile up so that even ``LEAST_TILE`` doesn't part them, that size is given.
+    """
+    pts = reduce(DataFrame.unionByName, [x.select(*by, F.explode(F.flatten(F.flatten("coords"))).alias("p")) for x in layers])
+    pts = pts.select(*by, F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+    def crowd(*cells) -> int:
+        return pts.groupBy(*by, *cells).count().agg(F.max("count")).first()[0] or 0
+
+    if crowd() <= most:
+        return None
+    size = GREATEST_TILE
+    while size > LEAST_TILE and crowd(F.floor(F.col("x") / size), F.floor(F.col("y") / size)) > most:
+        size /= 2
+    return size
+
+
 def tiled(layer: DataFrame, size: float) -> DataFrame:
     """Features cut by square tiles of a size, with tile_x, tile_y: more grouping columns for the operators above."""
     pts = F.flatten(F.flatten("coords"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from chronogeo.functions import colors, geo
 from chronogeo.operators import derive, edges, lines, overlay, points, shapes, temporal
+from chronogeo.session import durable_table
 from chronogeo.sources import writers
 
 ANY, MERGED, SLICED = "ANY", "MERGED", "SLICED"
@@ -36,6 +37,8 @@ class Context:
     icons: DataFrame | None = None
     max_zoom: int = 8
     longest_edge: float = 0.2
+    #: Groups of a geometric step with more vertices are cut into tiles.
+    group_vertices: int = 20_000
     results: dict[str, DataFrame] = field(default_factory=dict)
 
 
@@ -142,10 +145,26 @@ def add_points(ctx, inputs):
     return inputs["in"].unionByName(inputs["summand"], allowMissingColumns=True)
 
 
+def _dissolve(ctx: Context, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """overlay.dissolve(), by tiles where a key has too many vertices."""
+    return overlay.dissolve_tiled(rows, keys, overlay.tile_size([rows], keys, ctx.group_vertices))
+
+
+def _cut(ctx: Context, layer: DataFrame, mask: DataFrame, cut: Callable[..., DataFrame]) -> DataFrame:
+    """overlay.clip() or erase() by slice, and by tile where a slice has too many vertices; pieces of a feature are joined again."""
+    size = overlay.tile_size([layer, mask], SLICE, ctx.group_vertices)
+    if size is None:
+        return cut(layer, mask, SLICE)
+    rows = durable_table(layer.withColumn("_uid", F.monotonically_increasing_id()))
+    pieces = cut(overlay.tiled(rows.select(*SLICE, "_uid", "coords"), size), overlay.tiled(mask.select(*SLICE, "coords"), size), [*SLICE, *overlay.TILE])
+    whole = overlay.dissolve(pieces, ["_uid"])
+    return rows.drop("coords").join(whole, "_uid").select(*layer.columns)
+
+
 @step("ADD_POLYGONS", SLICED)
 def add_polygons(ctx, inputs):
     both = inputs["in"].select(*SLICE, "coords").unionByName(inputs["summand"].select(*SLICE, "coords"))
-    return overlay.exploded(overlay.dissolve(both, SLICE))
+    return overlay.exploded(_dissolve(ctx, both, SLICE))
 
 
 @step("CLIP", SLICED)
@@ -153,18 +172,18 @@ def clip(ctx, inputs):
     layer = inputs["in"]
     if "geom_type" in layer.columns or layer.limit(1).filter(F.size(F.col("coords")[0][0]) < 4).count():
         return lines.clip_lines(layer, inputs["mask"], SLICE)
-    return overlay.clip(layer, inputs["mask"], SLICE)
+    return _cut(ctx, layer, inputs["mask"], overlay.clip)
 
 
 @step("SUBTRACT", SLICED)
 def subtract(ctx, inputs, keepField=None):
     keys = [*SLICE, *([keepField] if keepField else [])]
-    return overlay.erase(overlay.exploded(overlay.dissolve(inputs["in"], keys)), inputs["subtrahend"], SLICE)
+    return _cut(ctx, overlay.exploded(_dissolve(ctx, inputs["in"], keys)), inputs["subtrahend"], overlay.erase)
 
 
 @step("CITY_POLYGONS", SLICED)
 def city_polygons(ctx, inputs):
-    return overlay.dissolve(inputs["in"].filter(_truthy("city")), [*SLICE, "city"]).withColumn("labels", F.col("city"))
+    return _dissolve(ctx, inputs["in"].filter(_truthy("city")), [*SLICE, "city"]).withColumn("labels", F.col("city"))
 
 
 @step("BORDER_VARIANTS__PROVINCES")
@@ -172,26 +191,26 @@ def provinces(ctx, inputs):
     return inputs["in"].filter(_truthy("province")).select(F.col("province").alias("label"), "coords", *TIME)
 
 
-def _variant(layer: DataFrame, name: str, flag: bool = False) -> DataFrame:
+def _variant(ctx: Context, layer: DataFrame, name: str, flag: bool = False) -> DataFrame:
     rows = layer.filter(_truthy(name)).withColumn("label", F.col(name))
     if flag:
         rows = rows.withColumn("in_subregion", F.coalesce(F.col("subregion") != "", F.lit(False)))
-    return overlay.dissolve(rows, [*SLICE, "label", *(["in_subregion"] if flag else [])])
+    return _dissolve(ctx, rows, [*SLICE, "label", *(["in_subregion"] if flag else [])])
 
 
 @step("BORDER_VARIANTS__NATIONS", SLICED)
 def nations(ctx, inputs):
-    return _variant(inputs["in"], "nation", True)
+    return _variant(ctx, inputs["in"], "nation", True)
 
 
 @step("BORDER_VARIANTS__SUBREGIONS", SLICED)
 def subregions(ctx, inputs):
-    return _variant(inputs["in"], "subregion")
+    return _variant(ctx, inputs["in"], "subregion")
 
 
 @step("BORDER_VARIANTS__REGIONS", SLICED)
 def regions(ctx, inputs):
-    return _variant(inputs["in"], "region")
+    return _variant(ctx, inputs["in"], "region")
 
 
 def _side_lines(layer: DataFrame, keys: list[str]) -> DataFrame:
@@ -212,9 +231,9 @@ def district_borders(ctx, inputs):
     return lines.merge_lines(lines.as_lines(sides), SLICE)
 
 
-def _keyed_borders(inputs: dict[str, DataFrame], primary: str, other: str) -> DataFrame:
+def _keyed_borders(ctx: Context, inputs: dict[str, DataFrame], primary: str, other: str) -> DataFrame:
     rows = inputs["in"].withColumn("key", edges.border_key(primary, other)).filter("key IS NOT NULL")
-    whole = overlay.dissolve(rows, [*SLICE, "key"])
+    whole = _dissolve(ctx, rows, [*SLICE, "key"])
     kinds = edges.edge_kinds(_side_lines(whole, SLICE), SLICE)
     inner = lines.as_lines(kinds.filter("kind = 'inner'").drop("kind"))
     outer = lines.clip_lines(lines.as_lines(kinds.filter("kind = 'outer'").drop("kind")), inputs["land_without_water"], SLICE)
@@ -223,17 +242,17 @@ def _keyed_borders(inputs: dict[str, DataFrame], primary: str, other: str) -> Da
 
 @step("BORDER_VARIANTS__NATION_BORDERS", SLICED)
 def nation_borders(ctx, inputs):
-    return _keyed_borders(inputs, "nation", "subregion")
+    return _keyed_borders(ctx, inputs, "nation", "subregion")
 
 
 @step("BORDER_VARIANTS__SUBREGION_BORDERS", SLICED)
 def subregion_borders(ctx, inputs):
-    return _keyed_borders(inputs, "subregion", "nation")
+    return _keyed_borders(ctx, inputs, "subregion", "nation")
 
 
 @step("BORDER_VARIANTS__REGION_BORDERS", SLICED)
 def region_borders(ctx, inputs):
-    whole = _variant(inputs["in"], "region")
+    whole = _variant(ctx, inputs["in"], "region")
     return lines.merge_lines(lines.as_lines(edges.inner_lines(_side_lines(whole, SLICE), SLICE)), SLICE)
 
 
@@ -247,7 +266,7 @@ def merge_borders(ctx, inputs):
 
 @step("BUFFER_POLYGONS", SLICED)
 def buffer_polygons(ctx, inputs):
-    whole = overlay.dissolve(inputs["in"], SLICE)
+    whole = _dissolve(ctx, inputs["in"], SLICE)
     grown = overlay.exploded(whole.withColumn("coords", shapes.buffered(F.col("coords"), 0.5, 20)))
     return grown.withColumn("coords", shapes.rounded(shapes.simplified(F.col("coords"), 0.3), 3, 180.0))
 
@@ -255,7 +274,7 @@ def buffer_polygons(ctx, inputs):
 @step("HIGHLIGHTS")
 def highlights(ctx, inputs):
     rows = _union(inputs).filter(_truthy("label"))
-    whole = overlay.dissolve(rows, ["label", *TIME]).filter(F.size("coords") > 0)
+    whole = _dissolve(ctx, rows, ["label", *TIME]).filter(F.size("coords") > 0)
 
     def shape(g: list) -> list:
         b = min(overlay.area(g) ** 0.5 / 40, 0.5)
@@ -286,7 +305,7 @@ def shape_roads(ctx, inputs):
     rows = inputs["in"].withColumn("_id", F.to_json("coords"))
     pts = _line_points(rows, ["_id", *SLICE, "width"])
     wide = pts.withColumn("half_width", geo.metres_to_degrees(F.coalesce(F.col("width").cast("double"), F.lit(RIVER_WIDTH_M)), F.col("lat")))
-    return overlay.exploded(overlay.dissolve(shapes.ribbons(wide, ["_id", "line", *SLICE]), SLICE))
+    return overlay.exploded(_dissolve(ctx, shapes.ribbons(wide, ["_id", "line", *SLICE]), SLICE))
 
 
 def _line_points(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -314,7 +333,7 @@ def shape_rivers(ctx, inputs):
     eased = met.join(first, (F.col("_id") == F.col("f_id")) & (F.col("line") == F.col("f_line")))
     grow = F.when(share < 0.75, F.col("from") + (1 - F.col("from")) * (1 - F.cos(share / 0.75 * 3.141592653589793)) / 2).otherwise(1.0)
     shaped = eased.withColumn("half_width", geo.metres_to_degrees(F.col("n_w") * grow, F.col("lat")))
-    return overlay.exploded(overlay.dissolve(shapes.ribbons(shaped, ["_id", "line", *SLICE]), SLICE))
+    return overlay.exploded(_dissolve(ctx, shapes.ribbons(shaped, ["_id", "line", *SLICE]), SLICE))
 
 
 @step("RIVER_LABELS", SLICED)
@@ -327,7 +346,7 @@ def generate_label_centers(ctx, inputs, labelRange=3, dissolve=True, generateSub
     rows = inputs["in"].filter(_truthy("label"))
     keep = [c for c in ("color", "type", "in_subregion") if c in rows.columns]
     if dissolve:
-        shape = overlay.dissolve(rows, ["label", *TIME])
+        shape = _dissolve(ctx, rows, ["label", *TIME])
         extra = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in ("label", *TIME)]).agg(*[F.first(c, ignorenulls=True).alias(c) for c in keep]) if keep else None
         if extra is not None:
             on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("label", *TIME)])
@@ -364,15 +383,20 @@ def merge_geometry(ctx, inputs):
     own = colors.parse_hex(F.col("color")) if "color" in rows.columns else F.lit(None).cast(colors.RGBA)
     rows = rows.withColumn("c", F.coalesce(own, colors.layer_color(F.col("layer"))))
     rows = rows.withColumn("c", F.when(F.col("c").isNull(), F.raise_error(F.lit("a feature has no colour")).cast(colors.RGBA)).otherwise(F.col("c")))
-    flat = overlay.dissolve(rows.withColumn("hex", colors.hex_text(F.col("c"))), [*SLICE, "layer_ord", "hex"])
+    rows = rows.withColumn("hex", colors.hex_text(F.col("c"))).select(*SLICE, "layer_ord", "hex", "coords")
+    size = overlay.tile_size([rows], SLICE, ctx.group_vertices)
+    by = SLICE if size is None else [*SLICE, *overlay.TILE]
+    flat = overlay.dissolve(rows if size is None else overlay.tiled(rows, size), [*by, "layer_ord", "hex"])
     flat = flat.withColumn("ord", F.col("layer_ord").cast("long") * 2**33 + F.crc32("hex"))
-    cells = overlay.mosaic(flat, SLICE).withColumn("cell", F.to_json(F.struct(*SLICE, "covers")))
-    cover = cells.select("cell", F.col("slice_start").alias("c_s"), F.col("slice_end").alias("c_e"), F.explode("covers").alias("c_ord"))
-    stack = cover.join(flat.select(*SLICE, "ord", "layer_ord", "hex"), (F.col("ord") == F.col("c_ord")) & F.col("slice_start").eqNullSafe(F.col("c_s")) & F.col("slice_end").eqNullSafe(F.col("c_e")))
+    cells = overlay.mosaic(flat, by).withColumn("cell", F.to_json(F.struct(*by, "covers")))
+    cover = cells.select("cell", *[F.col(c).alias(f"c_{c}") for c in by], F.explode("covers").alias("c_ord"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in by])
+    stack = cover.join(flat.select(*by, "ord", "layer_ord", "hex"), (F.col("ord") == F.col("c_ord")) & same)
     item = F.struct("ord", colors.parse_hex(F.col("hex")).alias("c"))
     stack = stack.groupBy("cell").agg(F.max("layer_ord").alias("top"), F.array_sort(F.collect_list(item)).alias("stack"))
     blended = colors.hex_text(colors.composite(F.col("stack.c")))
     done = cells.join(stack.select(F.col("cell").alias("s_cell"), "top", blended.alias("color")), F.col("cell") == F.col("s_cell"))
+    done = done if size is None else overlay.dissolve(done, [*by, "top", "color"])
     return overlay.dissolve(done, [*SLICE, "top", "color"]).withColumnRenamed("top", "layer_ord")
 
 

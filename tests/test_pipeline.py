@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from chronogeo.operators import overlay
+from chronogeo.operators import lines, overlay
 from chronogeo.plans import pipeline
 from chronogeo.plans.steps import STEPS, Context, run_step
 
@@ -217,3 +217,40 @@ def test_errors():
     with pytest.raises(pipeline.PipelineError):
         pipeline.ordered(nodes)
     assert len(STEPS) >= 40
+
+
+def areas(rows, *keys):
+    out = {}
+    for r in rows.collect():
+        k = tuple(r[c] for c in keys)
+        out[k] = round(out.get(k, 0.0) + overlay.area(r["coords"]), 6)
+    return out
+
+
+def test_crowded_groups_are_tiled_and_joined_again(spark):
+    cells = [(f"k{(x + y) % 3}", box(x * 30.5, y * 20.25, 30.5, 20.25)) for x in range(4) for y in range(4)]
+    layer = spark.createDataFrame(cells, f"key string, coords {GEOM}")
+    mask = spark.createDataFrame([("m", box(10, 10, 50, 40)), ("n", box(70, 5, 20, 70))], f"name string, coords {GEOM}")
+    plain, tiled = Context(spark), Context(spark, group_vertices=10)
+    assert overlay.tile_size([layer], [], 1000) is None
+    assert overlay.tile_size([layer], [], 10) < 64
+    for name, inputs, key, parameters in (
+        ("CLIP", {"in": layer, "mask": mask}, "key", {}),
+        ("SUBTRACT", {"in": layer, "subtrahend": mask}, "key", {"keepField": "key"}),
+        ("CITY_POLYGONS", {"in": layer.withColumnRenamed("key", "city")}, "city", {}),
+        ("MERGE_GEOMETRY", {"land": layer, "waters": mask}, "layer_ord", {}),
+    ):
+        a, b = (run_step(c, name, inputs, **parameters) for c in (plain, tiled))
+        assert areas(a, key) == areas(b, key) != {}, name
+    one, many = (overlay.dissolve_tiled(layer, ["key"], s).collect() for s in (None, 16.0))
+    count = lambda rows: sorted((r["key"], len(r["coords"])) for r in rows)
+    assert count(one) == count(many)
+
+
+def test_cuts_of_empty_groups_and_of_shared_origin(spark):
+    layer = spark.createDataFrame([(1, box(0, 0, 2, 2)), (2, box(5, 5, 1, 1)), (3, None)], f"k int, coords {GEOM}")
+    mask = layer.filter("k = 1").unionByName(spark.createDataFrame([(9, box(0, 0, 1, 1))], f"k int, coords {GEOM}"))
+    assert areas(overlay.clip(layer, mask, ["k"]), "k") == {(1,): 4.0}
+    assert areas(overlay.erase(layer, mask, ["k"]), "k") == {(2,): 1.0}
+    line = spark.createDataFrame([(1, [[[[0.5, 0.5], [3.0, 0.5]]]])], f"k int, coords {GEOM}")
+    assert [r["coords"] for r in lines.clip_lines(line, mask, ["k"]).collect()] == [[[[[0.5, 0.5], [2.0, 0.5]]]]]
