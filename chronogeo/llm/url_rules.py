@@ -57,11 +57,12 @@ def pattern_rule(verdict: str, name: str, pattern: str, *literals: str) -> Rule:
 
 SITE_RULES = (site_rule("allow", "org/"), site_rule("block", "example.org/es/"), site_rule("block", "example.org/en/1"), site_rule("allow", "com/fr/"), site_rule("block", "com/de/"))
 PATTERN_RULES = (
-    pattern_rule("block", "bets", r"(?:^|[.-])bets?\.", "bets"),
+    pattern_rule("block", "bets", r"(?:^|[.-])bets\.", "bets"),
+    pattern_rule("block", "bet", r"(?:^|[.-])bet\.", "bet"),
     pattern_rule("block", "casino", r"^[^/]*(?:^|[.-])casino[.-]", "casino"),
-    pattern_rule("block", "pills", r"(?:^|[./-])cheap-pills(?:[./-]|$)", "cheap", "pills"),
+    pattern_rule("block", "pills", r"(?:^|[./-])cheap-pills(?:[./-]|\Z)", "cheap", "pills"),
     pattern_rule("block", "adult", r"^[^/]*(?:^|[.-])xxx[.-]", "xxx"),
-    pattern_rule("block", "login pages", r"/wp-login\.php$", "wp", "login", "php"),
+    pattern_rule("block", "login pages", r"/wp-login\.php\Z", "wp", "login", "php"),
 )
 
 

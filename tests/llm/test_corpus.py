@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chronogeo.llm import mixing, piece_codec, queries, quality_rules, secret_links, simhash_pivots
@@ -69,3 +70,55 @@ def test_pipeline_stage_by_stage(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+CLASHING = ("row", "fp", "host", "m", "t", "id", "label", "copy", "times", "n_words", "kept", "component_id", "doc", "h", "size", "class", "salt", "of_host", "k_id", "maybe", "bits")
+WORDS = "one two three four five six seven eight nine ten eleven twelve".split()
+
+
+def odd_documents(spark):
+    long = " ".join(f"{w}{i}" for i in range(4000) for w in WORDS)
+    rows = [(1, " ".join(WORDS), "en", "a", 9), (2, None, "en", "a", None), (3, "", None, None, 0), (4, long, "en", None, 7), (5, " ".join(reversed(WORDS)) + " password = hunter22", "de", "b", 1), (5, " ".join(reversed(WORDS)) + " password = hunter22", "de", "b", 1), (None, " ".join(WORDS[::2] * 2) + " AKIA" + "Q" * 16, None, "b", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.lit(c))
+    return docs
+
+
+def test_stages_on_odd_rows_and_clashing_names(spark):
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert name == "sentencepiece" or out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows or name == "sentencepiece", name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        if name == "quality_rules":
+            assert sorted(r["doc_id"] for r in rows) == [1, 4, 5, 5]
+        if name == "simhash_near_dedup":
+            assert sorted(str(r["doc_id"]) for r in rows) == ["1", "2", "4", "5", "None"]
+        if name == "secret_scans":
+            texts = [r["text"] for r in rows]
+            assert len(rows) == 7 and sum(x is None for x in texts) == 1 and not any("hunter22" in x or "AKIA" in x for x in texts if x)
+        if name == "mixing":
+            assert all(r["text"] for r in rows) or {r["doc_id"] for r in rows} <= {1, 2, 3, 4, 5, None}
+
+
+def test_stages_one_after_another_on_odd_rows(spark):
+    docs = odd_documents(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert {r["doc_id"] for r in docs.collect()} <= {1, 4, 5}
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "url_rules", "token_counts", "piece_codec", "mixing", "secret_links", "substring_graph", "simhash_pivots"])
+def test_operators_on_odd_rows(spark, name):
+    from chronogeo.llm import substring_graph, token_counts, url_rules
+
+    run = {
+        "quality_rules": quality_rules.judge, "token_counts": token_counts.counted, "piece_codec": piece_codec.coded, "mixing": mixing.mixed, "secret_links": secret_links.reported,
+        "substring_graph": substring_graph.deduplicated, "simhash_pivots": simhash_pivots.marked, "url_rules": lambda d: url_rules.judged(d, url="text", page_id="doc_id"),
+    }[name]
+    docs = odd_documents(spark)
+    assert run(docs).count() == 7
+    assert run(docs.limit(0)).count() == 0

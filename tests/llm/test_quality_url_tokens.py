@@ -80,7 +80,7 @@ def test_token_table(spark, tk):
 
 
 def test_url_rules(spark):
-    urls = ["http://a.org/x", "https://EXAMPLE.org/es/1", "https://m.example.org/en/17", "https://m.example.org/en/27", "http://b.com/de/1?x", "http://b.com/fr/", "http://b.com", "http://notexample.org/es/", "http://free-bets.example.net/a", "nothing", None, "x://casino.net/a#b", "http://y.net/wp-login.php", "http://z.net/a://b", "http:///p", "http://y.net/wp-login.php"]
+    urls = ["http://a.org/x", "https://EXAMPLE.org/es/1", "https://m.example.org/en/17", "https://m.example.org/en/27", "http://b.com/de/1?x", "http://b.com/fr/", "http://b.com", "http://notexample.org/es/", "http://free-bets.example.net/a", "nothing", None, "x://casino.net/a#b", "http://y.net/wp-login.php", "http://z.net/a://b", "http:///p", "http://y.net/wp-login.php", "http://my-bet.net/", "http://bet.net/", "http://abet.net/", "http://y.net/wp-login.php\n"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
     rows = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_rules.judged(pages).collect()}
     assert rows[0] == ("a.org", "/x", "org/", "allow")
@@ -90,6 +90,7 @@ def test_url_rules(spark):
     assert rows[6] == ("b.com", "", None, "allow") and rows[7][2:] == ("org/", "allow")
     assert rows[8][2:] == (None, "block") and rows[9] == ("", "", None, "allow") and rows[10] == ("", "", None, "allow")
     assert rows[11] == ("casino.net", "/a", None, "block") and rows[12][3] == "block" and rows[13][:2] == ("z.net", "/a://b") and rows[14][:2] == ("", "/p")
+    assert [rows[i][3] for i in (16, 17, 18, 19)] == ["block", "block", "allow", "allow"]
     assert url_rules.judged(pages.limit(0)).count() == 0
     with pytest.raises(ValueError):
         url_rules.judged(pages, url_rules.SITE_RULES * 30_000)
