@@ -10,7 +10,9 @@ Hamming distances to the references discards pairs by their largest coordinate
 difference (over ``MAX_BITS``: no link), and survivors are verified. In a key
 with many fingerprints, members themselves become references: each pass links
 what is close to one of them, and pairs of such clusters are compared only if
-their references are near enough and nothing links them yet.
+their references are near enough and nothing links them yet. A key with more
+than ``CROWD`` fingerprints is cut into chunks by hash, and each two chunks of
+it are a group of their own, so no task holds such a key and no pair is lost.
 
 Exact copies share a fingerprint and are never paired. A link needs no pair of
 rows: results are a class per document.
@@ -39,6 +41,10 @@ SHINGLE = 4
 SEED = 42
 N_PIVOTS = 16
 SMALL = 32
+#: A key with more fingerprints is cut into chunks of about so many.
+CROWD = 16_384
+#: Crowded keys are broadcast up to this count, and else joined by shuffle.
+MAX_BROADCAST_KEYS = 100_000
 
 
 def _pivots(n: int) -> np.ndarray:
@@ -188,7 +194,8 @@ def _links_of_run(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.
 
 
 def _link_batches(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    held_k, held_f = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
+    """Links within runs of equal keys: all columns but the last, which is the fingerprint."""
+    held_k, held_f = None, np.zeros(0, np.uint64)
 
     def links(keys, fps):
         a, b = _links_of_run(keys, fps, max_bits)
@@ -198,25 +205,45 @@ def _link_batches(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.column_stack([batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False)])
-        keys = np.concatenate([held_k, keys])
-        fps = np.concatenate([held_f, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)])
+        *own, last = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+        keys = np.column_stack(own)
+        if held_k is not None:
+            keys = np.concatenate([held_k, keys])
+        fps = np.concatenate([held_f, last.view(np.uint64)])
         differs = np.flatnonzero(np.any(keys != keys[-1], axis=1))  # the last run may go on
         cut = int(differs[-1]) + 1 if len(differs) else 0
         if cut:
             yield from links(keys[:cut], fps[:cut])
         held_k, held_f = keys[cut:].copy(), fps[cut:].copy()
-    yield from links(held_k, held_f)
+    if held_k is not None:
+        yield from links(held_k, held_f)
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, n_blocks: int | None = None) -> DataFrame:
+def _in_chunks(keyed: DataFrame, crowd: int) -> tuple[DataFrame, list[str]]:
+    """Rows of crowded keys once for each pair of chunks (i, j) they belong to, all others with i = j = 0; the columns of a group.
+
+    Keys are counted with sums made before the shuffle, so that no task meets a crowded one.
+    """
+    crowded = durable(keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select(F.col("choice").alias("c_choice"), F.col("bits").alias("c_bits"), F.ceil(F.col("n") / crowd).cast("int").alias("chunks")))
+    n = crowded.count()
+    if not n:
+        return keyed, ["choice", "bits"]
+    crowded = F.broadcast(crowded) if n <= MAX_BROADCAST_KEYS else crowded
+    rows = keyed.join(crowded, (F.col("choice") == F.col("c_choice")) & (F.col("bits") == F.col("c_bits")), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.filter("chunks = 1 OR own <> other")  # two chunks together hold the pairs within each
+    return rows.select("choice", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp"), ["choice", "bits", "i", "j"]
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, n_blocks: int | None = None, crowd: int = CROWD) -> DataFrame:
     """(a, b) links among distinct fingerprints (column fp) that join all that is linked."""
     spark = fps.sparkSession
     ship_package(spark)
     masks = block_masks(n_blocks or blocks_for(fps.count(), max_bits), max_bits)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "bits"))
+    keyed, group = _in_chunks(keyed.select("choice", "bits", "fp"), crowd)
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = keyed.select("choice", "bits", "fp").repartition(parts, "choice", "bits").sortWithinPartitions("choice", "bits")
+    keyed = keyed.repartition(parts, *group).sortWithinPartitions(*group)
 
     def run(batches):
         from chronogeo.llm.simhash_pivots import _link_batches

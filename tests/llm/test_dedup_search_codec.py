@@ -100,8 +100,8 @@ def test_simhash_matches_brute_force(spark):
     assert [rows[i]["component_id"] for i in range(len(texts))] == slow_components(list(range(len(texts))), fps)
 
 
-@pytest.mark.parametrize("n_blocks", [6, 8])
-def test_links_join_all_that_is_near(spark, n_blocks):
+@pytest.mark.parametrize(("n_blocks", "crowd"), [(6, 16_384), (8, 16_384), (6, 4), (7, 30)])
+def test_links_join_all_that_is_near(spark, n_blocks, crowd):
     rng = random.Random(n_blocks)
     fps = {0, (1 << 64) - 1}
     for _ in range(12):
@@ -112,13 +112,25 @@ def test_links_join_all_that_is_near(spark, n_blocks):
             fps.add(f)
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = simhash_pivots.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), n_blocks=n_blocks)
+    links = simhash_pivots.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), n_blocks=n_blocks, crowd=crowd)
     labels = {r["node"]: r["label"] for r in components.component_labels(links).collect()}
     got = [labels.get(f, f) for f in signed]
     want = slow_components(signed, fps)
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def test_crowded_keys_are_cut_into_bounded_groups(spark):
+    rows = spark.createDataFrame([(0, 5, f) for f in range(2000)] + [(1, 5, f) for f in range(50)], "choice int, bits bigint, fp bigint")
+    chunked, group = simhash_pivots._in_chunks(rows, 100)
+    found = chunked.groupBy(*group).agg(F.collect_set("fp").alias("fps")).collect()
+    assert max(len(r["fps"]) for r in found) < 300
+    together = {f for r in found if r["choice"] == 0 for f in r["fps"]}
+    chunk_of = {r["fp"]: r["c"] for r in rows.filter("choice = 0").select("fp", F.pmod(F.xxhash64("fp"), F.lit(20)).alias("c")).collect()}
+    assert len(together) == 2000 and {(r["i"], r["j"]) for r in found if r["choice"] == 0} == {(i, j) for i in range(20) for j in range(i + 1, 20)}
+    assert all({chunk_of[f] for f in r["fps"]} <= {r["i"], r["j"]} for r in found if r["choice"] == 0)
+    assert [len(r["fps"]) for r in found if r["choice"] == 1] == [50]
+
+
 def test_large_groups_link_what_is_near():
     rng = np.random.default_rng(4)
     fps = np.unique(np.array([0xF0F0] * 300, np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)))
