@@ -10,7 +10,10 @@ once for each whole number that its stretch of the sum crosses.
 Along a source, documents lie by size class and, within one, by hash: taken
 words then stay within about one document of the target. The sum is taken in
 two steps (cells of a source, then rows of a cell), and a cell is a size class
-and one of ``SALTS`` hash ranges, so no task holds a large source.
+and a range of hashes, so no task holds a large source. The number of ranges
+grows with the root of the number of rows, at least ``SALTS``: cells of a
+source and rows of a cell then both grow slower than the input. It changes no
+result, as ranges follow one another in the order of hashes.
 
 Defined results: a null text has size 0; a null source is a source of its own;
 a source without words has target 0 and emits nothing; rows that repeat a
@@ -19,6 +22,8 @@ doc_id are separate documents; reruns give the same copies.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +32,7 @@ from chronogeo.session import durable
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SALTS = 64
+HASH_BITS = 32
 #: Sizes with the same bit length and the same so many leading bits are one class.
 CLASS_BITS = 4
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,7 +45,12 @@ def sized(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("hash"))
     bits = F.length(F.bin("size"))
     leading = F.expr(f"shiftright(size, greatest(length(bin(size)) - {CLASS_BITS}, 0))")
-    return rows.withColumn("class", (bits * 2**CLASS_BITS + leading).cast("int")).withColumn("salt", (F.col("hash") % SALTS).cast("int"))
+    return rows.withColumn("class", (bits * 2**CLASS_BITS + leading).cast("int"))
+
+
+def salt_bits(n: int, least: int = SALTS) -> int:
+    """Bits of the hash that tell the ranges of n rows apart."""
+    return min(HASH_BITS, max((least - 1).bit_length(), (math.isqrt(max(0, n)) // 32).bit_length()))
 
 
 def source_targets(cells: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -72,6 +83,7 @@ def source_targets(cells: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
 def copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, one row per input row."""
     rows = durable(sized(docs, text, doc_id, source))
+    rows = rows.withColumn("salt", F.shiftright("hash", HASH_BITS - salt_bits(rows.count())).cast("int"))
     cells = rows.groupBy("source", "class", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     targets = source_targets(cells, weights, max_repeat)
     along = Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -109,7 +109,7 @@ o AS (SELECT *, sum(3 * source_size) OVER q - 3 * source_size AS caps, sum(weigh
   FROM s WINDOW q AS (ORDER BY 3 * source_size / CAST(weight AS DOUBLE), source NULLS LAST)),
 l AS (SELECT coalesce((SELECT (total - caps) / CAST(weights AS DOUBLE) FROM o WHERE (total - caps) / CAST(weights AS DOUBLE) <= 3 * source_size / CAST(weight AS DOUBLE) ORDER BY 3 * source_size / CAST(weight AS DOUBLE), source NULLS LAST LIMIT 1), 0) AS level),
 t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), weight * level) AS target FROM s, l),
-p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)), hash % 64, hash, doc_id, size) AS k FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)), hash, doc_id, size) AS k FROM d),
 c AS (SELECT doc_id, size, source_size, target, k, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate, CAST('0x' || substr(md5('mix|offset|' || coalesce(t.source, '-')), 1, 5) AS BIGINT) / 1048576.0 AS u
   FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(least(floor(k * rate + u) - floor((k - 1) * rate + u), 3) AS BIGINT) * size AS taken FROM c

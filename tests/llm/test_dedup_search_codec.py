@@ -184,6 +184,20 @@ def test_mix_near_targets(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.emit_rows(docs.limit(0)).count() == 0
 
 
+def test_number_of_ranges_changes_no_mix(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * rng.randint(0, 9)), rng.choice("aab")) for i in range(600)], "doc_id bigint, text string, source string")
+    want = sorted(map(str, mixing.copies(docs).collect()))
+    for bits in (1, 11):
+        monkeypatch.setattr(mixing, "salt_bits", lambda n, bits=bits: bits)
+        assert sorted(map(str, mixing.copies(docs).collect())) == want
+
+
+def test_ranges_grow_with_the_root_of_the_rows():
+    assert mixing.salt_bits(0) == mixing.salt_bits(10**6) == 6
+    assert 2 ** mixing.salt_bits(10**11) == 16384
+
+
 def test_mix_hot_equal_rows(spark):
     docs = spark.createDataFrame([(1, "a b c", "s")] * 50 + [(2, "a b", "t")] * 5, "doc_id bigint, text string, source string")
     rows = mixing.copies(docs).collect()
