@@ -30,7 +30,8 @@ start). Steps:
 Defined results: a null text has no words; rows that repeat a doc_id are told
 apart by their text (order among them: start, then a hash of the text), and
 identical rows keep their words alike; a null doc_id counts as smaller than
-any other; an empty table gives an empty result.
+any other, and such rows are ordered and told apart by a hash of the text; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ from chronogeo.session import ship_package
 WINDOW = 20
 K = 8
 FILTER_BITS = 1 << 28
+#: Ids from here on, by 48 bits of a hash of the text, stand for null ones.
 NULL_ID = -(1 << 63)
 PART_BYTES = 4 << 20
 _BLANK = np.zeros(256, bool)
@@ -148,12 +150,12 @@ def edges_of(texts: list[bytes], seeds_only: bool, window: int = WINDOW, k: int
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
-    """(doc_ids, texts) of a batch, in parts of bounded size."""
+    """(ids, texts) of a batch, in parts of bounded size."""
     ids, rows, size = [], [], 0
     texts = batch.column(1).cast(pa.binary())
     for i, d in zip(range(batch.num_rows), batch.column(0).to_pylist()):
         t = texts[i].as_py() or b""
-        ids.append(NULL_ID if d is None else d)
+        ids.append(d)
         rows.append(t)
         size += len(t)
         if size >= PART_BYTES:
@@ -313,11 +315,12 @@ def _kept_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def with_spans(docs: DataFrame, text: str, doc_id: str, bits: int) -> DataFrame:
     """doc_id, packed text, spans (array, null if none): each row of docs with what goes from it."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    spans = repeated_spans(rows, bits).groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    hashed = F.lit(NULL_ID) + F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 48))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), hashed).alias("key"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    spans = repeated_spans(rows.select("key", "text"), bits).groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("crc", "spans")).alias("by_crc"))
-    small = rows.select("doc_id", (F.crc32(F.coalesce(F.col("text"), F.lit(""))) % 65536).cast("int").alias("crc"), _packed_column(F.col("text")).alias("packed"))
-    joined = small.join(spans, F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("doc"), "left")
+    small = rows.select("doc_id", "key", (F.crc32(F.coalesce(F.col("text"), F.lit(""))) % 65536).cast("int").alias("crc"), _packed_column(F.col("text")).alias("packed"))
+    joined = small.join(spans, F.col("key") == F.col("doc"), "left")
     own = F.filter("by_crc", lambda x: x["crc"] == F.col("crc"))
     return joined.select("doc_id", "packed", F.try_element_at(own, F.lit(1))["spans"].alias("spans"))
 
