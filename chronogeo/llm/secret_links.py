@@ -132,6 +132,12 @@ def _masked(text: Column, kind: str) -> Column:
     return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), out).otherwise(text)
 
 
+def _longest_first(values: Column) -> Column:
+    """Distinct values, longest first, so that no value is cut by one that it holds."""
+    keyed = F.transform(F.array_distinct(values), lambda v: F.struct((-F.length(v)).alias("k"), v.alias("v")))
+    return F.transform(F.array_sort(keyed), lambda x: x["v"])
+
+
 def redact_rows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", scope: int = SCOPE) -> DataFrame:
     """The input's rows with every reported span replaced in the text; other columns as they are.
 
@@ -141,7 +147,7 @@ def redact_rows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     names = docs.columns
     t = F.col(f"`{text}`")
     scans = durable(scanned(docs.filter(reduce(lambda a, b: a | b, [t.rlike(KINDS[k][0]) for k in WEAK])), text, doc_id))
-    links = linked(scans, scope).withColumn("l_values", F.transform(F.array_sort("linked"), lambda s: s["value"])).drop("linked")
+    links = linked(scans, scope).withColumn("l_values", _longest_first(F.transform("linked", lambda s: s["value"]))).drop("linked")
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), t.alias("t"), F.col(f"`{doc_id}`").alias("id"), F.coalesce(reduce(lambda a, b: a | b, [t.rlike(KINDS[k][0]) for k in WEAK]), F.lit(False)).alias("maybe"))
     some = wide.filter("maybe").withColumn("h", F.xxhash64("t")).join(links, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("h") == F.col("l_h")), "left")
     some = some.withColumn("t", F.when(F.col("l_values").isNull(), F.col("t")).otherwise(F.aggregate("l_values", F.col("t"), lambda acc, v: F.replace(acc, v, F.lit("[linked]"))))).select("row", "t")

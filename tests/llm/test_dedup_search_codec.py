@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -58,6 +59,19 @@ def test_substring_dedup_edges(spark):
     assert substring_graph.deduplicated(table(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_substring_dedup_of_rows_without_id(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [f"a {passage}", f"b c {passage}"]
+    for t in texts[:2]:  # texts of their own words that share 16 bits of a hash with these
+        own = " ".join(f"q{len(texts)}.{i}" for i in range(40))
+        texts.append(next(x for x in (f"{own} {k}" for k in range(10**6)) if (zlib.crc32(x.encode()) ^ zlib.crc32(t.encode())) & 0xFFFF == 0))
+    texts.append(f"{passage} {own}")
+    rows = substring_graph.deduplicated(table(spark, texts, [None] * 4 + [4])).collect()
+    got = sorted((r["n_words"], r["n_removed"]) for r in rows)
+    assert got[2:] == [(41, 0), (41, 0), (70, 70)]
+    assert sorted(n for _, n in got[:2]) == [0, 30]  # one of the two that share the passage keeps it
+
+
 # -- SimHash --
 
 
@@ -227,10 +241,10 @@ def test_spans_and_links(spark):
 
 def test_redaction(spark):
     key, token = "AKIA" + "Q2" * 8, "Ab1/" * 10
-    docs = table(spark, [None, f"id {key} then {token}", f"only {token}", "token: abcdefgh, token: abc", "plain"])
+    docs = table(spark, [None, f"id {key} then {token}", f"only {token}", "token: abcdefgh, token: abc", "plain", "login=abc login=abcd password=longenough"])
     got = secret_links.redact_rows(docs)
     assert got.columns == docs.columns
-    assert [r["text"] for r in got.orderBy("doc_id").collect()] == [None, "id [access] then [linked]", f"only {token}", "[assign], token: abc", "plain"]
+    assert [r["text"] for r in got.orderBy("doc_id").collect()] == [None, "id [access] then [linked]", f"only {token}", "[assign], token: abc", "plain", "[linked] [linked] [assign]"]
 
 
 # -- nearest neighbours --
