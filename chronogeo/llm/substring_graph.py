@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronogeo.session import ship_package
+from chronogeo.session import durable, ship_package
 
 WINDOW = 20
 K = 8
@@ -255,6 +255,7 @@ def repeated_spans(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     every = edges(docs, bit_table(repeated_seeds(docs), bits))  # read twice: hashing again is cheaper than a table of all edges
     distinct = every.groupBy("seed", "content", "n").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("times"))
     firsts = distinct.filter("times > 1").select(F.col("seed").alias("f_seed"), F.col("content").alias("f_content"), F.col("n").alias("f_n"), "first")
+    firsts = durable(firsts)  # as a table of its own, so that Spark can split a hot edge of the join
     copies = every.join(firsts, (F.col("seed") == F.col("f_seed")) & (F.col("content") == F.col("f_content")) & (F.col("n") == F.col("f_n")))
     copies = copies.filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
     copies = copies.select("doc", "at", "n", F.col("first.doc").alias("src_doc"), F.col("first.at").alias("src_at"))
