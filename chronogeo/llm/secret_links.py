@@ -121,37 +121,61 @@ def reported(docs: DataFrame, **options) -> DataFrame:
     return found(docs, **options).select("doc_id", *[f"n_{k}" for k in STRONG], F.sha2(spans_text(F.col("strong")), 256).alias("base_sha256"), spans_text(F.concat("strong", "linked")).alias("spans"))
 
 
-def _masked(text: Column, kind: str) -> Column:
-    """The text with a kind's kept matches replaced, pieces and matches taken in turn."""
-    pattern, group, least, most = KINDS[kind]
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), whole.alias("whole"), part.alias("part"))
-    mask = lambda x: F.when(F.length(x["part"]) >= least, F.lit(f"[{kind}]")).otherwise(F.coalesce(x["whole"], F.lit("")))
-    out = F.array_join(F.transform(rows, lambda x: F.concat(x["piece"], mask(x))), "")
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), out).otherwise(text)
-
-
-def _longest_first(values: Column) -> Column:
-    """Distinct values, longest first, so that no value is cut by one that it holds."""
-    keyed = F.transform(F.array_distinct(values), lambda v: F.struct((-F.length(v)).alias("k"), v.alias("v")))
-    return F.transform(F.array_sort(keyed), lambda x: x["v"])
+def _copies(text: Column, value: Column) -> Column:
+    """Spans of all places where a linked value stands in a text."""
+    pieces = F.split(text, F.concat(F.lit("\\Q"), value, F.lit("\\E")), -1)
+
+    def step(acc: Column, piece: Column) -> Column:
+        start = acc["at"] + F.length(piece)
+        end = start + F.length(value)
+        span = F.struct(start.alias("start"), F.lit(ORDER["weak"]).alias("kind"), end.alias("end"), F.lit(None).cast("string").alias("value")).cast(SPAN)
+        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    # No value follows the last piece.
+    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda acc: acc["spans"])
+
+
+def _rebuilt(text: Column, spans: Column) -> Column:
+    """The text with its spans replaced, those that overlap by one mark (a strong kind's, if one is among them)."""
+    region = "struct<before:int,start:int,end:int,kind:int>"
+    make = lambda before, start, end, kind: F.struct(before.alias("before"), start.alias("start"), end.alias("end"), kind.alias("kind")).cast(region)
+    nought, none = F.lit(0), F.lit(-1)
+    # An empty span at the end of the text, so that the text's rest is a gap too.
+    last = F.struct(F.length(text).alias("start"), none.alias("kind"), F.length(text).alias("end"), F.lit(None).cast("string").alias("value")).cast(SPAN)
+
+    def step(acc: Column, s: Column) -> Column:
+        now = acc["now"]
+        joined = F.struct(make(now["before"], now["start"], F.greatest(now["end"], s["end"]), F.least(now["kind"], s["kind"])).alias("now"), acc["done"].alias("done"))
+        opened = F.struct(make(now["end"], s["start"], s["end"], s["kind"]).alias("now"), F.array_append(acc["done"], now).alias("done"))
+        return F.when(s["start"] < now["end"], joined).otherwise(opened)
+
+    start = F.struct(make(nought, nought, nought, none).alias("now"), F.array().cast(f"array<{region}>").alias("done"))
+    regions = F.aggregate(F.array_sort(F.array_append(spans, last)), start, step, lambda acc: F.array_append(acc["done"], acc["now"]))
+    marks = F.array(*[F.lit(f"[{k}]" if k in STRONG else "[linked]") for k in KINDS])
+    mark = lambda x: F.when(x["kind"] >= 0, F.get(marks, x["kind"])).otherwise(F.lit(""))
+    pieces = F.transform(regions, lambda x: F.concat(F.substring(text, x["before"] + 1, x["start"] - x["before"]), mark(x)))
+    return F.when(text.isNotNull(), F.array_join(pieces, ""))
 
 
 def redact_rows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", scope: int = SCOPE) -> DataFrame:
     """The input's rows with every reported span replaced in the text; other columns as they are.
 
+    All spans, and all other places where a linked value stands, are found in
+    the text as it came; overlapping ones are replaced as one.
     Only rows that hold a weak candidate meet the links in a join; all others
     are changed where they are read.
     """
     names = docs.columns
     t = F.col(f"`{text}`")
     scans = durable(scanned(docs.filter(reduce(lambda a, b: a | b, [t.rlike(KINDS[k][0]) for k in WEAK])), text, doc_id))
-    links = linked(scans, scope).withColumn("l_values", _longest_first(F.transform("linked", lambda s: s["value"]))).drop("linked")
+    links = linked(scans, scope)
+    none = F.array().cast(f"array<{SPAN}>")
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), t.alias("t"), F.col(f"`{doc_id}`").alias("id"), F.coalesce(reduce(lambda a, b: a | b, [t.rlike(KINDS[k][0]) for k in WEAK]), F.lit(False)).alias("maybe"))
     some = wide.filter("maybe").withColumn("h", F.xxhash64("t")).join(links, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("h") == F.col("l_h")), "left")
-    some = some.withColumn("t", F.when(F.col("l_values").isNull(), F.col("t")).otherwise(F.aggregate("l_values", F.col("t"), lambda acc, v: F.replace(acc, v, F.lit("[linked]"))))).select("row", "t")
-    rows = wide.filter(~F.col("maybe")).select("row", "t").unionByName(some)
-    for kind in STRONG:
-        rows = rows.withColumn("t", _masked(F.col("t"), kind))
+    values = F.array_distinct(F.transform("linked", lambda s: s["value"]))
+    more = F.concat(F.col("linked"), F.flatten(F.transform(values, lambda v: _copies(F.col("t"), v))))
+    some = some.select("row", "t", F.coalesce(more, none).alias("more"))
+    rows = wide.filter(~F.col("maybe")).select("row", "t", none.alias("more")).unionByName(some)
+    rows = rows.select("row", _rebuilt(F.col("t"), F.concat(*[spans_of(F.col("t"), k) for k in STRONG], F.col("more"))).alias("t"))
     return rows.select(*[F.col("t").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names])

@@ -247,6 +247,13 @@ def test_redaction(spark):
     assert [r["text"] for r in got.orderBy("doc_id").collect()] == [None, "id [access] then [linked]", f"only {token}", "[assign], token: abc", "plain", "[linked] [linked] [assign]"]
 
 
+def test_redaction_of_overlapping_spans(spark):
+    key, token = "AKIA" + "Q2" * 8, "Ab1/" * 10
+    texts = ["login: password=hunter22", f"{key} secret={token}.tail", f"😀 {key} {token} {'x ' * 300}{token}", "é user=bob user=bobby password=hunter22", f"{key}{'0' * 24}abc", f"{key}\nsecret=abcdefgh"]
+    got = secret_links.redact_rows(table(spark, texts))
+    assert [r["text"] for r in got.orderBy("doc_id").collect()] == ["[assign]", "[access] [assign]", f"😀 [access] [linked] {'x ' * 300}[linked]", "é [linked] [linked] [assign]", "[access]", "[access]\n[assign]"]
+
+
 # -- nearest neighbours --
 
 
