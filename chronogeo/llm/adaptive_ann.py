@@ -3,7 +3,8 @@
 Vectors get one more coordinate that makes all of them as long as the longest;
 then the nearest by distance has the largest inner product. An index of lists
 (k-means centres, fitted on a sample of ``SAMPLE`` rows by hash) holds every
-vector; a query probes the ``probes`` share of lists nearest to it. In a list,
+vector; a query probes the ``probes`` share of lists nearest to it, and further
+ones in order of distance until those hold k candidates. In a list,
 vectors and queries are turned by one random rotation and read in blocks of
 ``STEP`` columns: after each block, a partial distance that is too large for
 the query's threshold, by a hypothesis test with error parameter ``EPSILON``,
@@ -95,16 +96,19 @@ def scan(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, tur
         first = ((qr * qr).sum(axis=1)[:, None] + (xr[some] ** 2).sum(axis=1)[None, :]) - 2 * (qr @ xr[some].T)
         first = np.where(own[:, some], np.inf, first)
         limit = np.partition(first, k - 1, axis=1)[:, k - 1] if first.shape[1] >= k else np.full(len(part), np.inf)
+        # Those that give the threshold are never abandoned, so a block yields k rows wherever it holds as many.
+        sure = np.zeros(own.shape, bool)
+        sure[:, some] = first <= limit[:, None]
         head = slice(0, step)
         partial = (qr[:, head] ** 2).sum(axis=1)[:, None] + (xr[:, head] ** 2).sum(axis=1)[None, :] - 2 * (qr[:, head] @ xr[:, head].T)
         bound = lambda t: (t / d) * (1 + epsilon / math.sqrt(t)) ** 2
-        qi, xi = np.nonzero((partial <= limit[:, None] * bound(min(step, d)) + 1e-9) & ~own)
+        qi, xi = np.nonzero(((partial <= limit[:, None] * bound(min(step, d)) + 1e-9) | sure) & ~own)
         far = partial[qi, xi]
         for lo in range(step, d, step):
             hi = min(d, lo + step)
             gap = qr[qi, lo:hi] - xr[xi, lo:hi]
             far = far + np.einsum("ij,ij->i", gap, gap)
-            live = far <= limit[qi] * (bound(hi) if hi < d else 1.0) + 1e-9
+            live = (far <= limit[qi] * (bound(hi) if hi < d else 1.0) + 1e-9) | sure[qi, xi]
             qi, xi, far = qi[live], xi[live], far[live]
         score = exact_scores(part[qi], x[xi])
         order = np.lexsort((x_ids[xi], -score, qi))
@@ -157,14 +161,19 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
 
         for batch in batches:
             if batch.num_rows:
-                lists = nearest_centres(lengthened(_matrix(batch.column(1)), longest, True), shared.value[0], n_probes).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["vec_id", "v", "lists"])
+                lists = nearest_centres(lengthened(_matrix(batch.column(1)), longest, True), shared.value[0], n_lists).reshape(batch.num_rows, -1)
+                # Lists in order of distance before the one with which k candidates are reached, rows of the query's vec_id left out.
+                short = (np.cumsum(held[lists], axis=1) < k + batch.column(2).to_numpy()[:, None]).sum(axis=1)
+                taken = np.maximum(n_probes, short + 1).tolist()
+                lists = [row[:m] for row, m in zip(lists.astype(np.int32).tolist(), taken)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["vec_id", "v", "lists"])
 
     listed = durable(rows.mapInArrow(assign, "vec_id bigint, v array<double>, list int"))
-    queries = rows.filter(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = durable(queries.mapInArrow(probe, "vec_id bigint, v array<double>, lists array<int>"))
     # At most MAX_LISTS rows each.
     sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
+    held = np.array([sizes.get(i, 0) for i in range(n_lists)])
+    queries = rows.filter(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
+    asked = durable(queries.mapInArrow(probe, "vec_id bigint, v array<double>, lists array<int>"))
     wanted = {r["list"]: r["count"] for r in asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect()}
     parts = spark.createDataFrame([(i, max(1, -(-m // ROWS)), max(1, -(-wanted.get(i, 0) // QUERIES))) for i, m in sizes.items()], "p_list int, n_rows int, n_queries int")
     parts = F.broadcast(parts)

@@ -287,6 +287,27 @@ def test_ann_edges(spark):
     assert adaptive_ann.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("n", [17, 21, 24, 40])
+def test_ann_ranks_are_whole_on_small_tables(spark, n):
+    rng = np.random.default_rng(n)
+    # Far groups, the last one small: the lists near a query of it hold few vectors.
+    x = rng.standard_normal((n, 64)) + 20 * np.repeat(rng.standard_normal((4, 64)), [n - 9, 3, 3, 3], axis=0)
+    rows = spark.createDataFrame([(20 * i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())], "vec_id bigint, embedding array<double>")
+    by = {}
+    for r in adaptive_ann.nearest(rows).collect():
+        by.setdefault(r["query_id"], []).append(r["rank"])
+    assert set(by) == {20 * i for i in range(n)}
+    assert all(sorted(ranks) == list(range(1, min(20, n - (q == 0)) + 1)) for q, ranks in by.items())
+
+
+def test_ann_scan_gives_k_rows():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((20, 512))
+    ids = np.arange(20) + 100
+    found = adaptive_ann.scan(np.arange(50), rng.standard_normal((50, 512)), ids, x, adaptive_ann.rotation(513), float((x * x).sum(axis=1).max()), 20)
+    assert np.bincount(found[0]).tolist() == [20] * 50
+
+
 # -- SentencePiece --
 
 
