@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronogeo.operators.overlay import GEOM, inside
+from chronogeo.operators.overlay import GEOM
 
 
 def polygon_edges(layer: DataFrame, keep: list[str]) -> DataFrame:
@@ -67,8 +67,16 @@ def merge_lines(layer: DataFrame, keys: list[str]) -> DataFrame:
     return layer.select(*keys, "coords").groupBy(*keys).applyInPandas(run, f"{head}, coords {GEOM}")
 
 
-def cut_line(line: list, seg: np.ndarray) -> list[list[list[float]]]:
-    """The stretches of a line inside polygons given by their sides."""
+def _covered(point: np.ndarray, seg: np.ndarray, owner: np.ndarray) -> bool:
+    """Whether a point is inside of any of the polygons, which may overlap."""
+    near = (seg[:, 1] > point[1]) != (seg[:, 3] > point[1])
+    s = seg[near]
+    x = s[:, 0] + (point[1] - s[:, 1]) / (s[:, 3] - s[:, 1]) * (s[:, 2] - s[:, 0])
+    return bool((np.bincount(owner[near][point[0] < x]) % 2 == 1).any())
+
+
+def cut_line(line: list, seg: np.ndarray, owner: np.ndarray, erase: bool = False) -> list[list[list[float]]]:
+    """The stretches of a line inside (or outside) polygons given by their sides and their numbers."""
     out: list[list[list[float]]] = []
     for a, b in zip(line, line[1:]):
         p, r = np.array(a[:2], float), np.array(b[:2], float) - np.array(a[:2], float)
@@ -80,7 +88,7 @@ def cut_line(line: list, seg: np.ndarray) -> list[list[list[float]]]:
             u = (gap[:, 0] * r[1] - gap[:, 1] * r[0]) / det
         cuts = np.unique(np.concatenate([[0, 1], t[(np.abs(det) > 1e-15) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)]]))
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if inside((p + r * (lo + hi) / 2)[None, :], seg)[0]:
+            if _covered(p + r * (lo + hi) / 2, seg, owner) != erase:
                 x, y = (p + r * lo).tolist(), (p + r * hi).tolist()
                 if out and out[-1][-1] == x:
                     out[-1].append(y)
@@ -89,8 +97,8 @@ def cut_line(line: list, seg: np.ndarray) -> list[list[list[float]]]:
     return out
 
 
-def clip_lines(layer: DataFrame, mask: DataFrame, by: list[str]) -> DataFrame:
-    """Lines' stretches inside the mask polygons of the same group; properties stay."""
+def clip_lines(layer: DataFrame, mask: DataFrame, by: list[str], erase: bool = False) -> DataFrame:
+    """Lines' stretches inside (or outside) the mask polygons of the same group; properties stay."""
     names, types = layer.columns, dict(layer.dtypes)
 
     def run(left, right):
@@ -100,8 +108,8 @@ def clip_lines(layer: DataFrame, mask: DataFrame, by: list[str]) -> DataFrame:
         from chronogeo.operators.lines import cut_line
         from chronogeo.operators.overlay import _segments
 
-        seg, _ = _segments([[[[tuple(p) for p in ring] for ring in part] for part in g] for g in right["coords"] if g is not None])
-        done = [[[piece] for part in g for ring in part for piece in cut_line(ring, seg)] if len(seg) and g is not None else [] for g in left["coords"]]
+        seg, owner = _segments([[[[tuple(p) for p in ring] for ring in part] for part in g] for g in right["coords"] if g is not None])
+        done = [[[piece] for part in g for ring in part for piece in cut_line(ring, seg, owner, erase)] if (erase or len(seg)) and g is not None else [] for g in left["coords"]]
         left = left.assign(coords=pd.Series(done, left.index, object))
         return left.loc[np.array([bool(g) for g in done], bool), names]
 

@@ -167,18 +167,40 @@ def add_polygons(ctx, inputs):
     return overlay.exploded(_dissolve(ctx, both, SLICE))
 
 
+def _as_line_layer(layer: DataFrame) -> DataFrame:
+    """The layer marked as lines: some of its chains come back to their start."""
+    return layer.withColumn("geom_type", F.lit("LineString"))
+
+
+def _by_kind(layer: DataFrame, on_lines: Callable[[DataFrame], DataFrame], on_polygons: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of lines and of polygons, each by its own way; those without geom_type are lines if a ring is open."""
+    is_open = F.exists(F.flatten("coords"), lambda r: (F.size(r) < 4) | ~F.get(r, F.lit(0)).eqNullSafe(F.get(r, F.size(r) - 1)))
+    told = F.col("geom_type").isin("LineString", "MultiLineString") if "geom_type" in layer.columns else F.lit(None).cast("boolean")
+    is_line = F.coalesce(told, is_open, F.lit(False))
+    kinds = {r[0] for r in layer.select(is_line).distinct().collect()}
+    if True not in kinds:
+        return on_polygons(layer)
+    found = on_lines(layer.filter(is_line))
+    return found.unionByName(on_polygons(layer.filter(~is_line)), allowMissingColumns=True) if False in kinds else found
+
+
 @step("CLIP", SLICED)
 def clip(ctx, inputs):
-    layer = inputs["in"]
-    if "geom_type" in layer.columns or layer.limit(1).filter(F.size(F.col("coords")[0][0]) < 4).count():
-        return lines.clip_lines(layer, inputs["mask"], SLICE)
-    return _cut(ctx, layer, inputs["mask"], overlay.clip)
+    mask = inputs["mask"]
+    return _by_kind(inputs["in"], lambda x: lines.clip_lines(x, mask, SLICE), lambda x: _cut(ctx, x, mask, overlay.clip))
 
 
 @step("SUBTRACT", SLICED)
 def subtract(ctx, inputs, keepField=None):
-    keys = [*SLICE, *([keepField] if keepField else [])]
-    return _cut(ctx, overlay.exploded(_dissolve(ctx, inputs["in"], keys)), inputs["subtrahend"], overlay.erase)
+    """Polygons are dissolved, lines merged with the sides that they share taken once, before both are erased."""
+    keys, mask = [*SLICE, *([keepField] if keepField else [])], inputs["subtrahend"]
+
+    def on_lines(layer: DataFrame) -> DataFrame:
+        sides = edges.edge_kinds(edges.normalised(lines.polygon_edges(layer, keys)), keys).drop("kind")
+        merged = overlay.exploded(lines.merge_lines(lines.as_lines(sides), keys))
+        return _as_line_layer(lines.clip_lines(merged, mask, SLICE, erase=True))
+
+    return _by_kind(inputs["in"], on_lines, lambda x: _cut(ctx, overlay.exploded(_dissolve(ctx, x, keys)), mask, overlay.erase))
 
 
 @step("CITY_POLYGONS", SLICED)
@@ -222,13 +244,13 @@ def _side_lines(layer: DataFrame, keys: list[str]) -> DataFrame:
 def province_borders(ctx, inputs):
     sides = _side_lines(inputs["in"], [*SLICE, "nation"])
     inner = lines.merge_lines(lines.as_lines(edges.inner_lines(sides, [*SLICE, "nation"])), [*SLICE, "nation"]).drop("nation")
-    return lines.clip_lines(inner, inputs["land_without_water"], SLICE)
+    return _as_line_layer(lines.clip_lines(inner, inputs["land_without_water"], SLICE))
 
 
 @step("BORDER_VARIANTS__DISTRICT_BORDERS", SLICED)
 def district_borders(ctx, inputs):
     sides = edges.edge_kinds(_side_lines(inputs["in"], SLICE), SLICE).drop("kind")
-    return lines.merge_lines(lines.as_lines(sides), SLICE)
+    return _as_line_layer(lines.merge_lines(lines.as_lines(sides), SLICE))
 
 
 def _keyed_borders(ctx: Context, inputs: dict[str, DataFrame], primary: str, other: str) -> DataFrame:
@@ -237,7 +259,7 @@ def _keyed_borders(ctx: Context, inputs: dict[str, DataFrame], primary: str, oth
     kinds = edges.edge_kinds(_side_lines(whole, SLICE), SLICE)
     inner = lines.as_lines(kinds.filter("kind = 'inner'").drop("kind"))
     outer = lines.clip_lines(lines.as_lines(kinds.filter("kind = 'outer'").drop("kind")), inputs["land_without_water"], SLICE)
-    return lines.merge_lines(inner.unionByName(outer), SLICE)
+    return _as_line_layer(lines.merge_lines(inner.unionByName(outer), SLICE))
 
 
 @step("BORDER_VARIANTS__NATION_BORDERS", SLICED)
@@ -253,7 +275,7 @@ def subregion_borders(ctx, inputs):
 @step("BORDER_VARIANTS__REGION_BORDERS", SLICED)
 def region_borders(ctx, inputs):
     whole = _variant(ctx, inputs["in"], "region")
-    return lines.merge_lines(lines.as_lines(edges.inner_lines(_side_lines(whole, SLICE), SLICE)), SLICE)
+    return _as_line_layer(lines.merge_lines(lines.as_lines(edges.inner_lines(_side_lines(whole, SLICE), SLICE)), SLICE))
 
 
 @step("MERGE_BORDERS", MERGED)
@@ -261,7 +283,7 @@ def merge_borders(ctx, inputs):
     sides = {k: lines.polygon_edges(x, TIME) for k, x in inputs.items() if k in edges.BORDER_TYPES}
     merged = lines.as_lines(edges.merge_borders(sides))
     keys = ["border_type", "maxzoom", *TIME]
-    return lines.merge_lines(merged, keys).withColumn("coords", F.explode("coords")).withColumn("coords", F.array("coords"))
+    return _as_line_layer(overlay.exploded(lines.merge_lines(merged, keys)))
 
 
 @step("BUFFER_POLYGONS", SLICED)
@@ -338,7 +360,7 @@ def shape_rivers(ctx, inputs):
 
 @step("RIVER_LABELS", SLICED)
 def river_labels(ctx, inputs):
-    return lines.merge_lines(inputs["in"].filter(_truthy("label")), [*SLICE, "label"]).withColumn("minzoom", F.lit(5))
+    return _as_line_layer(lines.merge_lines(inputs["in"].filter(_truthy("label")), [*SLICE, "label"])).withColumn("minzoom", F.lit(5))
 
 
 @step("GENERATE_LABEL_CENTERS", MERGED)

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +256,26 @@ def test_cuts_of_empty_groups_and_of_shared_origin(spark):
     assert areas(overlay.erase(layer, mask, ["k"]), "k") == {(2,): 1.0}
     line = spark.createDataFrame([(1, [[[[0.5, 0.5], [3.0, 0.5]]]])], f"k int, coords {GEOM}")
     assert [r["coords"] for r in lines.clip_lines(line, mask, ["k"]).collect()] == [[[[[0.5, 0.5], [2.0, 0.5]]]]]
+
+
+def length(rows):
+    return sum(math.dist(a, b) for r in rows.collect() for part in r["coords"] for ring in part for a, b in zip(ring, ring[1:]))
+
+
+def test_lines_are_clipped_and_subtracted_as_lines(spark):
+    ctx = Context(spark)
+    make = lambda *shapes: spark.createDataFrame([(s,) for s in shapes], f"coords {GEOM}")
+    districts, mask = make(box(0, 0, 4, 4), box(4, 0, 4, 4), box(20, 0, 2, 2)), make(box(-1, -1, 30, 4))
+    borders = run_step(ctx, "BORDER_VARIANTS__DISTRICT_BORDERS", {"in": districts})
+    assert length(borders) == pytest.approx(28 + 8)
+    clipped = run_step(ctx, "CLIP", {"in": borders, "mask": mask})
+    assert length(clipped) == pytest.approx(8 + 9 + 8)  # a chain round a lone district is no area
+    # Masks overlap each other; between x = 1 and 3 the border at y = 0 goes, and that at x = 20 below y = 1.
+    masks = make(box(1, -1, 1.5, 2), box(2, -1, 1, 2), box(19, -1, 2, 2))
+    left = run_step(ctx, "SUBTRACT", {"in": clipped, "subtrahend": masks})
+    assert length(left) == pytest.approx(25 - 2 - 2)
+    assert length(run_step(ctx, "SUBTRACT", {"in": left, "subtrahend": masks.limit(0)})) == pytest.approx(21)
+    # Without a mark: open chains are lines wherever they stand, closed rings are polygons.
+    mixed = make(box(0, 0, 2, 2), [[[[0.0, 1.0], [1.0, 1.0], [2.0, 1.0], [3.0, 1.0], [4.0, 1.0]]]])
+    rows = run_step(ctx, "CLIP", {"in": mixed, "mask": make(box(1, 0, 9, 9))})
+    assert sorted(round(x, 6) for x in (length(rows.filter(F.size(F.col("coords")[0][0]) < 5)), area(rows.filter(F.size(F.col("coords")[0][0]) > 4)))) == [2, 3]
