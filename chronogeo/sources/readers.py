@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import sqlite3
 
@@ -57,9 +58,11 @@ def read_layer(spark: SparkSession, *, file: str | None = None, layer: str | Non
 
 
 class PagedJson(DataSource):
-    """Paged JSON responses as a table (offset, body): one partition per page.
+    """Paged JSON responses as a table (offset, body), up to the end of the results.
 
-    Options: folder (saved pages named <offset>.json) or url (with {offset}), and pages.
+    Options: folder (saved pages named <offset>.json) or url (with {offset}), and pages. Of a folder, all pages are
+    read, one partition each; a page that is missing is an error. Of an url, the first pages (1, if not given) are
+    partitions, and the last of them follows the results until none is left.
     """
 
     @classmethod
@@ -78,20 +81,46 @@ class _PagedReader(DataSourceReader):
         self.folder, self.url, self.pages = options.get("folder"), options.get("url"), int(options.get("pages", "1"))
 
     def partitions(self):
-        return [InputPartition(i * PAGE_ROWS) for i in range(self.pages)]
+        if not self.folder:
+            return [InputPartition(i * PAGE_ROWS) for i in range(max(1, self.pages))]
+        saved = {int(name[:-5]) for name in os.listdir(self.folder) if name.endswith(".json") and name[:-5].isdecimal()}
+        wanted = set(range(0, max(saved, default=0) + 1, PAGE_ROWS))
+        if saved and next_offset(max(saved), self._page(max(saved))) is not None:
+            wanted.add(max(saved) + PAGE_ROWS)
+        if saved != wanted:
+            raise ValueError(f"pages of {self.folder}: missing {sorted(wanted - saved)}, unexpected {sorted(saved - wanted)}")
+        return [InputPartition(i) for i in sorted(saved)]
+
+    def _page(self, offset: int) -> str:
+        if self.folder:
+            with open(os.path.join(self.folder, f"{offset}.json"), encoding="utf-8") as f:
+                return f.read()
+        from urllib.request import urlopen
+
+        with urlopen(self.url.replace("{offset}", str(offset)), timeout=60) as f:
+            return f.read().decode("utf-8")
 
     def read(self, partition):
         offset = partition.value
-        if self.folder:
-            path = os.path.join(self.folder, f"{offset}.json")
-            if os.path.exists(path):
-                with open(path, encoding="utf-8") as f:
-                    yield (offset, f.read())
-        else:
-            from urllib.request import urlopen
-
-            with urlopen(self.url.replace("{offset}", str(offset)), timeout=60) as f:
-                yield (offset, f.read().decode("utf-8"))
+        follow = not self.folder and offset == (max(1, self.pages) - 1) * PAGE_ROWS
+        while offset is not None:
+            body = self._page(offset)
+            yield (offset, body)
+            after = next_offset(offset, body)
+            if not follow and after not in (None, offset + PAGE_ROWS):
+                raise ValueError(f"the page at {offset} goes on at {after}, not {offset + PAGE_ROWS}")
+            offset = after if follow else None
+
+
+def next_offset(offset: int, body: str) -> int | None:
+    """Where the results go on after a page: as it says, else behind a full page."""
+    page = json.loads(body)
+    after = page.get("query-continue-offset")
+    if after is None:
+        return offset + PAGE_ROWS if len(page["query"]["results"]) >= PAGE_ROWS else None
+    if int(after) <= offset:
+        raise ValueError(f"the page at {offset} goes on at {after}")
+    return int(after)
 
 
 PRINTOUTS = "map<string,struct<printouts:map<string,array<string>>>>"

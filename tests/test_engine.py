@@ -177,6 +177,25 @@ def test_paged_source(spark, tmp_path):
     assert (r["page"], r["name"], r["lng"], r["lat"], r["size"], r["capital"]) == ("Some Page", "sub", 189.5, 1.234568, 1, True)
 
 
+def test_paged_source_is_read_to_its_end(spark, tmp_path):
+    spark.dataSource.register(readers.PagedJson)
+    page = lambda n: json.dumps({"query": {"results": [{f"P{i}": {"printouts": {}}} for i in range(n)]}})
+    for offset, n in ((0, 50), (50, 50), (100, 50), (150, 7)):
+        (tmp_path / f"{offset}.json").write_text(page(n))
+    offsets = lambda reader: [r["offset"] for r in reader.load().orderBy("offset").collect()]
+    saved = lambda: spark.read.format("paged_json").option("folder", str(tmp_path))
+    assert offsets(saved()) == offsets(saved().option("pages", "2")) == [0, 50, 100, 150]
+    url = lambda: spark.read.format("paged_json").option("url", f"file://{tmp_path}/{{offset}}.json")
+    assert offsets(url()) == offsets(url().option("pages", "2")) == [0, 50, 100, 150]
+    (tmp_path / "150.json").unlink()  # the page before is full
+    with pytest.raises(Exception, match="missing"):
+        offsets(saved())
+    (tmp_path / "150.json").write_text(page(7))
+    (tmp_path / "50.json").unlink()
+    with pytest.raises(Exception, match="missing"):
+        offsets(saved())
+
+
 def test_writers(spark, tmp_path):
     texts = spark.createDataFrame([(11, 1, "x"), (12, 2, "y")], "id bigint, bucket int, html string")
     writers.write_texts(texts, str(tmp_path / "t"))
