@@ -194,6 +194,13 @@ def _edges(v: Pieces, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return where, of
 
 
+def _edge_order(depth: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Edges by depth, then end, then longest first; one packed key where it fits 63 bits."""
+    if not len(depth) or (int(depth.max()) < 1 << 23 and int(end.max()) < 1 << 35 and int(size.max()) < 32):
+        return np.argsort((depth << 40) | (end << 5) | (31 - size))
+    return np.lexsort((-size, end, depth))
+
+
 def _encode_units(v: Pieces, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all units in a row, and how many each has."""
     data = np.frombuffer(b"\xff".join(units) + b"\xff", np.uint8)
@@ -203,7 +210,7 @@ def _encode_units(v: Pieces, units: list[bytes]) -> tuple[np.ndarray, np.ndarray
     unit = np.searchsorted(begin, where, "right") - 1
     end = where + v.sizes[of]
     depth = end - begin[unit]
-    order = np.argsort((depth << 40) | (end << 5) | (31 - v.sizes[of].astype(np.int64)))
+    order = _edge_order(depth, end, v.sizes[of].astype(np.int64))
     where, of, end, depth, first = where[order], of[order], end[order], depth[order], (begin[unit])[order]
     groups = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
     group_sizes = np.diff(np.concatenate([groups, [len(end)]]))

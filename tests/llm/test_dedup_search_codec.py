@@ -334,6 +334,12 @@ def test_pieces_equal_the_library(model):
         assert piece_codec.decode(v, ids[a:b].tolist()).decode() == t.replace("▁", " ")
 
 
+def test_edge_order_beyond_8_mib():
+    for depth in (9, 1 << 23, (1 << 24) + 5):
+        d = np.array([depth, depth, 3, depth - 1, depth], np.int64)
+        assert piece_codec._edge_order(d, d + 7, np.array([2, 16, 1, 1, 3], np.int64)).tolist() == [2, 3, 1, 4, 0]
+
+
 def test_codec_table(spark):
     docs = table(spark, [None, "", "Hello  world\n", "x" * 5000, "same", "same"])
     rows = piece_codec.coded(docs).withColumn("back", piece_codec.decoded(F.col("pieces"))).orderBy("doc_id").collect()
