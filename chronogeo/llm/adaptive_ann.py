@@ -16,8 +16,8 @@ list that holds a third of all vectors is many tasks; each block gives at most
 k rows per query, and these are ranked at the end.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
-components take no part, nor do those without vec_id or shorter than the
-longest; of rows that repeat a vec_id divisible by the query step, the least
+components take no part, nor do those without vec_id; each dimension is
+searched by itself; of rows that repeat a vec_id divisible by the query step, the least
 vector is the query, and all count as candidates of others but never of that
 vec_id; ties go to the smaller vec_id; an empty table gives an empty result.
 """
@@ -25,6 +25,7 @@ vec_id; ties go to the smaller vec_id; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -138,11 +139,17 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     ship_package(spark)
     rows = usable(vectors, vec_id, embedding)
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
-    stats = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("longest")).orderBy(F.desc("d")).first()
-    if stats is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    d, n, longest = stats["d"], stats["n"], stats["longest"]
-    rows = rows.filter(F.size("v") == d)
+    asks = F.count_if(F.col("vec_id") % query_step == 0)
+    stats = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("longest"), asks.alias("asks")).filter("n > 1 AND asks > 0").collect()
+    queries = rows.filter(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
+    of = lambda x, d: x.filter(F.size("v") == d)
+    found = [_nearest_alike(of(rows, s["d"]), of(queries, s["d"]), s["d"], s["n"], s["longest"], k, probes) for s in stats]
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")) if len(found) != 1 else found[0]
+
+
+def _nearest_alike(rows: DataFrame, queries: DataFrame, d: int, n: int, longest: float, k: int, probes: float) -> DataFrame:
+    """nearest() for n vectors and queries of one dimension."""
+    spark = rows.sparkSession
     sample = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"])
     n_lists = max(1, min(MAX_LISTS, len(sample), math.isqrt(n)))
     n_probes = max(1, math.ceil(probes * n_lists))
@@ -172,7 +179,6 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     # At most MAX_LISTS rows each.
     sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}
     held = np.array([sizes.get(i, 0) for i in range(n_lists)])
-    queries = rows.filter(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
     asked = durable(queries.mapInArrow(probe, "vec_id bigint, v array<double>, lists array<int>"))
     wanted = {r["list"]: r["count"] for r in asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect()}
     parts = spark.createDataFrame([(i, max(1, -(-m // ROWS)), max(1, -(-wanted.get(i, 0) // QUERIES))) for i, m in sizes.items()], "p_list int, n_rows int, n_queries int")

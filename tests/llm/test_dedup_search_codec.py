@@ -300,6 +300,14 @@ def test_ann_ranks_are_whole_on_small_tables(spark, n):
     assert all(sorted(ranks) == list(range(1, min(20, n - (q == 0)) + 1)) for q, ranks in by.items())
 
 
+def test_ann_searches_each_dimension(spark):
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0, 9.0]), (40, [1.0, 1.0, 1.0])]
+    got = adaptive_ann.nearest(spark.createDataFrame(rows[:4], "vec_id bigint, embedding array<double>"))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == [(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)]
+    got = adaptive_ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    assert sorted((r["query_id"], r["vec_id"]) for r in got.collect()) == [(0, 1), (0, 20), (20, 0), (20, 1), (40, 2)]
+
+
 def test_ann_scan_gives_k_rows():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((20, 512))
