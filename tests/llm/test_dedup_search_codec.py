@@ -282,7 +282,7 @@ def test_ann_recall_and_scores(spark):
 
 def test_ann_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [0.5, None]), (5, [1.0, 1.0]), (6, [1.0]), (None, [2.0, 2.0]), (20, [0.0, 1.0]), (7, [float("inf"), 0.0]), (0, [1.0, 0.0])]
-    got = adaptive_ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), probes=1.0).orderBy("query_id", "rank").collect()
+    got = adaptive_ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 5, 1.0), (0, 2, 20, 0.0), (20, 1, 5, 1.0), (20, 2, 0, 0.0), (20, 3, 0, 0.0)]
     assert adaptive_ann.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
@@ -308,6 +308,42 @@ def test_ann_searches_each_dimension(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in got.collect()) == [(0, 1), (0, 20), (20, 0), (20, 1), (40, 2)]
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 16, 20, 25])
+def test_ann_few_vectors_equal_brute_force(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 8))
+    rows = spark.createDataFrame([(20 * i, v.tolist(), "x", 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, list string, rank int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in adaptive_ann.nearest(rows).collect())
+    best = {i: [j for j in np.argsort(-(x @ x[i]), kind="stable") if j != i][:20] for i in range(n)}
+    missed = len({(20 * i, 20 * int(j)) for i in best for j in best[i]} - {(q, v) for q, _, v in got})
+    assert [(q, r) for q, r, _ in got] == [(20 * i, r) for i in range(n) for r in range(1, min(20, n - 1) + 1)]
+    assert missed <= (0 if n <= 21 else 0.1 * 20 * n)
+
+
+def test_ann_recall_on_the_given_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in adaptive_ann.usable(table, "vec_id", "embedding").withColumnRenamed("v", "embedding").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    got = {}
+    for r in adaptive_ann.nearest(table).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in ids[ids % 20 == 0]:
+        scores = x @ x[ids == q][0]
+        scores[ids == q] = -np.inf
+        hits += len(got[q] & set(ids[np.argsort(-scores, kind="stable")[:20]].tolist()))
+    assert hits / (20 * len(got)) >= 0.9
+
+
+def test_ann_scan_with_thresholds_loses_nothing():
+    rng = np.random.default_rng(6)
+    x, q = rng.standard_normal((3000, 40)) * rng.uniform(0.1, 5, (3000, 1)), rng.standard_normal((30, 40))
+    longest = float((x * x).sum(axis=1).max())
+    scores = q @ x.T
+    least = np.sort(scores, axis=1)[:, -20]
+    found = adaptive_ann.scan(np.arange(30), q, np.arange(3000) + 100, x, adaptive_ann.rotation(41), longest, 20, least - 1e-9, epsilon=1e9)
+    assert all(set(found[1][found[0] == i] - 100) == set(np.argsort(-scores[i])[:20]) for i in range(30))
+
+
 def test_ann_scan_gives_k_rows():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((20, 512))
