@@ -1,4 +1,4 @@
-"""Substring dedup on a graph of token k-mers.
+"""Substring dedup by compaction of a de Bruijn graph of token k-mers.
 
 Contract: a window is ``WINDOW`` consecutive words of one document; a word goes
 if a window covers it whose word sequence also starts earlier (smaller doc_id,
@@ -7,57 +7,68 @@ or same document and earlier start).
 Nodes are seeds: of the k-mers in a window, the one with the least hash. Equal
 windows hold equal seeds at equal places, so only seeds that occur twice or
 more matter. All windows in a row with the same seed make one edge, a k-mer of
-``WINDOW`` words or more; edges with equal content (seed hash and a hash of
-all windows) are one edge of the graph with many source coordinates (document,
-start). Steps:
+``WINDOW`` words or more, that leads to the next edge of its text; edges with
+equal content (seed hash and a hash of all windows) are one edge of the graph
+with many source coordinates (document, start). Steps:
 
 1. Seeds are counted over the corpus. Repeated ones go into a bit table of
-   fixed size (``FILTER_BITS``), which is all that is broadcast. A full table
+   bounded size (``FILTER_BITS``), which is all that is broadcast. A full table
    lets needless edges pass and changes no result.
-2. Edges with a passing seed are grouped by content: the first source
-   coordinate of each is found, and a join gives it back to every occurrence.
-   An occurrence that isn't the first goes with all its windows.
-3. A seed with several different edges is a branch of the graph: such edges
-   may share windows. Branching seeds go into another bit table, their edges
-   are read once more with all windows, and each distinct edge is opened at its
-   first coordinate; a second join finds windows that another edge has earlier.
-4. Occurrences that follow one another in a document and whose source
-   coordinates follow one another too are one nonbranching path: they compact
-   into one span (document, start, end, source document, source start), and
-   source coordinates that don't advance alike begin a new one.
-5. Spans meet their texts in one join, and the kept words are written.
-
-Defined results: a null text has no words; rows that repeat a doc_id are told
-apart by their text (order among them: start, then a hash of the text), and
-identical rows keep their words alike; a null doc_id counts as smaller than
-any other, and such rows are ordered and told apart by a hash of the text; an
-empty table gives an empty result.
+2. Edges with a passing seed are grouped by content: their number, their first
+   source coordinate, and the edge that follows them, if it is always one.
+3. Compaction: an edge that is always followed by one and the same edge, as
+   often as that occurs, and at its first coordinate too, is a nonbranching
+   step. A join finds these steps, and joins that double their reach lead
+   every edge of a nonbranching path back to the path's first edge. A path is
+   one node then, with a length and a first source coordinate.
+4. Only first edges of paths are read from the texts again and joined with
+   their paths: an occurrence that isn't the first goes with all its windows.
+5. A seed with several different edges is a branch of the graph: such edges
+   may share windows. They are read once more with all windows, each distinct
+   edge is opened at its first coordinate, and a join finds windows that
+   another edge has earlier.
+6. Spans (document, start, windows, source document, source start) meet their
+   texts in one join, at both ends: words at the span and at its source
+   coordinate are hashed by 128 bits of BLAKE2, and these must agree. Where any
+   two don't, two different k-mers had one hash, and all is done again with
+   other hash functions: no word goes that isn't proved a copy, and equal
+   windows always have equal hashes, so none is missed.
+
+Defined results: a null text has no words; rows that repeat a doc_id with
+another text are documents of their own, ordered by a SHA-256 hash of the
+text, and identical rows keep their words alike; a null doc_id counts as
+smaller than any other; ids of any type that Spark can order may be used; an
+empty table gives an empty result; columns other than the id and the text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from chronogeo.session import durable, ship_package
+from chronogeo.session import durable, durable_table, ship_package
 
 WINDOW = 20
 K = 8
-FILTER_BITS = 1 << 28
-#: Ids from here on, by 48 bits of a hash of the text, stand for null ones.
-NULL_ID = -(1 << 63)
+#: Most bits of a table of seeds; it has 16 for each seed up to this size.
+FILTER_BITS = 1 << 30
+ATTEMPTS = 8
 PART_BYTES = 4 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
-#: at: start (in words) times 65536, and 16 bits of a hash of the text.
-EDGE_DDL = "seed bigint, content bigint, n int, doc bigint, at bigint"
+#: Words of more bytes are hashed one by one, as sums of powers modulo 2^64 collide for some long words at any base.
+LONG_WORD = 64
+#: at: start in words; following: content of the edge that follows in the text, 0 for none that passes.
+EDGE_DDL = "seed bigint, content bigint, n int, doc bigint, at int, following bigint"
 OPEN_DDL = EDGE_DDL + ", windows array<bigint>"
 
 
@@ -74,7 +85,12 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _base(constant: int, salt: int) -> int:
+    """An odd number for each salt."""
+    return (constant + salt * 0x9FB21C651E98DF24) & ((1 << 64) - 1) | 1
+
+
+def word_hashes(data: bytes, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and where it starts, for bytes in which blanks part words."""
     b = np.frombuffer(data, np.uint8)
     word = ~_BLANK[b]
@@ -85,9 +101,12 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     lengths = ends - starts
     inside = np.flatnonzero(word)
     offset = inside - np.repeat(starts, lengths)
-    values = (b[inside].astype(_U) + _U(1)) * _powers(0x9E3779B97F4A7C15, int(lengths.max()))[offset]
+    values = (b[inside].astype(_U) + _U(1)) * _powers(_base(0x9E3779B97F4A7C15, salt), int(lengths.max()))[offset]
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    return _mix(np.add.reduceat(values, first) ^ (lengths.astype(_U) << _U(56))), starts
+    out = _mix(np.add.reduceat(values, first) ^ (lengths.astype(_U) << _U(56)))
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], salt)
+    return out, starts
 
 
 def _rolling(h: np.ndarray, k: int, base: int) -> np.ndarray:
@@ -121,19 +140,19 @@ def _least_in(h: np.ndarray, width: int) -> np.ndarray:
     return index
 
 
-def edges_of(texts: list[bytes], seeds_only: bool, window: int = WINDOW, k: int = K):
+def edges_of(texts: list[bytes], seeds_only: bool, salt: int = 0, window: int = WINDOW, k: int = K):
     """Edges of a few texts: text number, start (in words), number of windows, seed hash, and window hashes in a row.
 
     Texts are joined by a blank and hashed together; windows across two texts are left out.
     """
     data = b" ".join(texts)
-    h, starts = word_hashes(data)
+    h, starts = word_hashes(data, salt)
     ends = np.cumsum([len(t) + 1 for t in texts])
     text_of = np.searchsorted(ends, starts, side="right")
     none = np.zeros(0, np.int64)
     if len(h) < window:
         return none, none, none, none.view(_U), none.view(_U)
-    kmers = _rolling(h, k, 0xD6E8FEB86659FD93)
+    kmers = _rolling(h, k, _base(0xD6E8FEB86659FD93, salt))
     least = _least_in(kmers, window - k + 1)
     valid = text_of[: len(h) - window + 1] == text_of[window - 1 :]
     at = np.flatnonzero(valid)
@@ -145,7 +164,7 @@ def edges_of(texts: list[bytes], seeds_only: bool, window: int = WINDOW, k: int
     counts = np.diff(np.concatenate([begin, [len(at)]]))
     first_word = np.searchsorted(text_of, np.arange(len(texts)))
     of = text_of[at[begin]]
-    windows = none.view(_U) if seeds_only else _rolling(h, window, 0xA0761D6478BD642F)[at]
+    windows = none.view(_U) if seeds_only else _rolling(h, window, _base(0xA0761D6478BD642F, salt))[at]
     return of, at[begin] - first_word[of], counts, kmers[least[begin]], windows
 
 
@@ -165,11 +184,11 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
         yield ids, rows
 
 
-def _seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _seed_batches(batches: Iterator[pa.RecordBatch], salt: int) -> Iterator[pa.RecordBatch]:
     """Seeds with their number of edges in a part, as 0 (once) or 1 (several times)."""
     for batch in batches:
         for _, texts in _parts(batch):
-            seeds, n = np.unique(edges_of(texts, True)[3], return_counts=True)
+            seeds, n = np.unique(edges_of(texts, True, salt)[3], return_counts=True)
             if len(seeds):
                 yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array((n > 1).astype(np.int8))], names=["seed", "more"])
 
@@ -178,11 +197,11 @@ def slots(seeds: np.ndarray, bits: int) -> np.ndarray:
     return (_mix(seeds ^ _U(0x5851F42D4C957F2D)) % _U(bits)).astype(np.int64)
 
 
-def _edge_batches(batches: Iterator[pa.RecordBatch], table: np.ndarray, opened: bool) -> Iterator[pa.RecordBatch]:
+def _edge_batches(batches: Iterator[pa.RecordBatch], table: np.ndarray, opened: bool, salt: int) -> Iterator[pa.RecordBatch]:
     bits = len(table) * 8
     for batch in batches:
         for ids, texts in _parts(batch):
-            of, start, counts, seeds, windows = edges_of(texts, False)
+            of, start, counts, seeds, windows = edges_of(texts, False, salt)
             if not len(of):
                 continue
             slot = slots(seeds, bits)
@@ -194,11 +213,14 @@ def _edge_batches(batches: Iterator[pa.RecordBatch], table: np.ndarray, opened:
             offsets = np.concatenate([[0], np.cumsum(n)])
             within = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
             own = windows[np.repeat(begin[keep], n) + within]
-            content = np.add.reduceat(own * _powers(0xE7037ED1A0B428DB, int(n.max()))[within], offsets[:-1])
+            content = np.add.reduceat(own * _powers(_base(0xE7037ED1A0B428DB, salt), int(n.max()))[within], offsets[:-1])
+            content = _mix(content ^ _mix(seeds[keep] + n.astype(_U))).view(np.int64)
+            # The next edge of a text begins where the windows of this one end.
+            along = (keep[1:] == keep[:-1] + 1) & (of[keep[1:]] == of[keep[:-1]])
+            following = np.append(np.where(along, content[1:], 0), 0)
             doc = np.array(ids, np.int64)[of[keep]]
-            crc = np.array([zlib.crc32(t) & 0xFFFF for t in texts], np.int64)[of[keep]]
-            columns = [pa.array(seeds[keep].view(np.int64)), pa.array(_mix(content).view(np.int64)), pa.array(n.astype(np.int32)), pa.array(doc), pa.array(start[keep] * 65536 + crc)]
-            names = ["seed", "content", "n", "doc", "at"]
+            columns = [pa.array(seeds[keep].view(np.int64)), pa.array(content), pa.array(n.astype(np.int32)), pa.array(doc), pa.array(start[keep].astype(np.int32)), pa.array(following)]
+            names = ["seed", "content", "n", "doc", "at", "following"]
             if opened:
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(own.view(np.int64))))
                 names.append("windows")
@@ -206,7 +228,8 @@ def _edge_batches(batches: Iterator[pa.RecordBatch], table: np.ndarray, opened:
 
 
 def bit_table(seeds: DataFrame, bits: int) -> np.ndarray:
-    """Bit table of a column of seeds; bits / 8 bytes at any size of corpus."""
+    """Bit table of a column of seeds, of 16 bits for each, and of the given number at most."""
+    bits = min(bits, max(64, 1 << (16 * seeds.count()).bit_length()))
 
     def place(batches):
         import numpy as np
@@ -225,57 +248,77 @@ def bit_table(seeds: DataFrame, bits: int) -> np.ndarray:
     return table.view(np.uint8)
 
 
-def repeated_seeds(docs: DataFrame) -> DataFrame:
+def repeated_seeds(docs: DataFrame, salt: int = 0) -> DataFrame:
     """Seeds that occur twice or more in the corpus."""
 
     def count(batches):
         from chronogeo.llm.substring_graph import _seed_batches
 
-        return _seed_batches(batches)
+        return _seed_batches(batches, salt)
 
     seeds = docs.mapInArrow(count, "seed bigint, more tinyint").groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more"))
-    return seeds.filter("n > 1 OR more > 0").select("seed")
+    return durable(seeds.filter("n > 1 OR more > 0").select("seed"))
 
 
-def edges(docs: DataFrame, table: np.ndarray, opened: bool = False) -> DataFrame:
+def edges(docs: DataFrame, table: np.ndarray, opened: bool = False, salt: int = 0) -> DataFrame:
     """Every occurrence of an edge whose seed is in a bit table, with its windows if opened."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def emit(batches):
         from chronogeo.llm.substring_graph import _edge_batches
 
-        return _edge_batches(batches, shared.value, opened)
+        return _edge_batches(batches, shared.value, opened, salt)
 
     return docs.mapInArrow(emit, OPEN_DDL if opened else EDGE_DDL)
 
 
-def repeated_spans(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """doc, crc, start, end (words), src_doc, src_start: compacted spans of windows that start earlier elsewhere."""
+def compacted(repeated: DataFrame) -> DataFrame:
+    """seed, content, windows, src_doc, src_at of each nonbranching path: its first edge, length and first coordinate.
+
+    repeated has seed, content, n, doc, at (first coordinate), times and
+    following (the only edge that follows, 0 if there is none or several).
+    Steps go forward in the source document, so paths hold no circle.
+    """
+    ahead = repeated.filter("following <> 0").select(F.col("content").alias("before"), F.col("following"), F.col("times").alias("b_times"), F.col("doc").alias("b_doc"), (F.col("at") + F.col("n")).alias("b_end"))
+    same = (F.col("times") == F.col("b_times")) & (F.col("doc") == F.col("b_doc")) & (F.col("at") == F.col("b_end"))
+    steps = durable_table(ahead.join(repeated.drop("following"), (F.col("following") == F.col("content")) & same).select("content", F.col("before").alias("head"), F.lit(False).alias("done")))
+    state = steps
+    while True:
+        back = state.select(F.col("content").alias("node"), F.col("head").alias("further"), F.col("done").alias("known"))
+        # A node without a step before it is the first of its path.
+        state = durable_table(
+            state.filter("NOT done").join(back, F.col("head") == F.col("node"), "left")
+            .select("content", F.coalesce("further", "head").alias("head"), (F.col("further").isNull() | F.coalesce("known", F.lit(False))).alias("done"))
+            .unionByName(state.filter("done"))
+        )
+        if state.filter("NOT done").isEmpty():
+            break
+    of = state.select(F.col("content").alias("node"), "head")
+    labelled = repeated.join(of, F.col("content") == F.col("node"), "left").withColumn("path", F.coalesce("head", "content"))
+    first = F.min_by(F.struct("seed", "doc", "at"), F.struct(F.col("head").isNotNull(), F.col("at"))).alias("first")
+    return labelled.groupBy("path").agg(F.sum("n").cast("int").alias("windows"), first).select(F.col("first.seed").alias("seed"), F.col("path").alias("content"), "windows", F.col("first.doc").alias("src_doc"), F.col("first.at").alias("src_at"))
+
+
+def repeated_spans(docs: DataFrame, bits: int = FILTER_BITS, salt: int = 0) -> DataFrame:
+    """doc, at, n, src_doc, src_at: runs of n windows that start earlier elsewhere."""
     here = F.struct("doc", "at")
-    every = edges(docs, bit_table(repeated_seeds(docs), bits))  # read twice: hashing again is cheaper than a table of all edges
-    distinct = every.groupBy("seed", "content", "n").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("times"))
-    firsts = distinct.filter("times > 1").select(F.col("seed").alias("f_seed"), F.col("content").alias("f_content"), F.col("n").alias("f_n"), "first")
-    firsts = durable(firsts)  # as a table of its own, so that Spark can split a hot edge of the join
-    copies = every.join(firsts, (F.col("seed") == F.col("f_seed")) & (F.col("content") == F.col("f_content")) & (F.col("n") == F.col("f_n")))
-    copies = copies.filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
-    copies = copies.select("doc", "at", "n", F.col("first.doc").alias("src_doc"), F.col("first.at").alias("src_at"))
-    branching = distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("edges")).filter("edges > 1").select("seed")
-    opened = edges(docs, bit_table(branching, bits), True).groupBy("seed", "content", "n").agg(F.min(here).alias("first"), F.first("windows").alias("windows"))
+    every = edges(docs, bit_table(repeated_seeds(docs, salt), bits), salt=salt)
+    one = F.when(F.min("following") == F.max("following"), F.min("following")).otherwise(F.lit(0)).alias("following")
+    distinct = every.groupBy("seed", "content", "n").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("times"), one)
+    distinct = durable_table(distinct.select("seed", "content", "n", "first.doc", "first.at", "times", "following"))
+    paths = durable_table(compacted(distinct.filter("times > 1")).select(F.col("seed").alias("p_seed"), F.col("content").alias("p_content"), "windows", "src_doc", "src_at"))
+    heads = edges(docs, bit_table(paths.select("p_seed").distinct(), bits), salt=salt).select("seed", "content", "doc", "at")
+    copies = heads.join(paths, (F.col("seed") == F.col("p_seed")) & (F.col("content") == F.col("p_content")))
+    copies = copies.select("doc", "at", F.col("windows").alias("n"), "src_doc", "src_at")
+    branching = durable(distinct.groupBy("seed").agg(F.count(F.lit(1)).alias("edges")).filter("edges > 1").select("seed"))
+    opened = edges(docs, bit_table(branching, bits), True, salt).groupBy("seed", "content", "n").agg(F.min(here).alias("first"), F.first("windows").alias("windows"))
     opened = opened.select("seed", F.col("first.doc").alias("doc"), F.col("first.at").alias("edge"), F.posexplode("windows").alias("i", "window"))
-    opened = opened.select("seed", "window", "doc", (F.col("edge") + F.col("i") * 65536).alias("at"))
+    opened = opened.select("seed", "window", "doc", (F.col("edge") + F.col("i")).alias("at"))
     shared = opened.groupBy("seed", "window").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    shared = shared.select(F.col("seed").alias("f_seed"), F.col("window").alias("f_window"), "first")
+    shared = shared.select(F.col("seed").alias("f_seed"), F.col("window").alias("f_window"), F.col("first.doc").alias("src_doc"), F.col("first.at").alias("src_at"))
     later = opened.join(shared, (F.col("seed") == F.col("f_seed")) & (F.col("window") == F.col("f_window")))
-    later = later.filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
-    later = later.select("doc", "at", F.lit(1).alias("n"), F.col("first.doc").alias("src_doc"), F.col("first.at").alias("src_at"))
-    start = lambda c: F.shiftright(c, 16).cast("int")
-    runs = copies.unionByName(later).select("doc", (F.col("at") % 65536).cast("int").alias("crc"), start("at").alias("start"), "n", "src_doc", start("src_at").alias("src_start"))
-    along = Window.partitionBy("doc", "crc").orderBy("start", "n")
-    shift = F.col("src_start") - F.col("start")
-    joins = (F.lag("src_doc").over(along) == F.col("src_doc")) & (F.lag(shift).over(along) == shift) & (F.lag(F.col("start") + F.col("n")).over(along) >= F.col("start"))
-    path = F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    spans = runs.withColumn("path", path).groupBy("doc", "crc", "path").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n") + (WINDOW - 1)).alias("end"), F.first("src_doc").alias("src_doc"), F.min("src_start").alias("src_start"))
-    return spans.drop("path")
+    later = later.select("doc", "at", F.lit(1).alias("n"), "src_doc", "src_at")
+    return copies.unionByName(later).filter("doc <> src_doc OR at <> src_at")
 
 
 def packed(text: bytes | None) -> bytes:
@@ -296,44 +339,87 @@ def _packed_column(text):
     return F.arrow_udf(udf, "binary")(text)
 
 
+PROOF = pa.struct([("src_doc", pa.int64()), ("src_at", pa.int32()), ("n", pa.int32()), ("high", pa.int64()), ("low", pa.int64())])
+KEPT_DDL = "n_words bigint, n_removed bigint, kept_sha256 string, proofs array<struct<src_doc:bigint,src_at:int,n:int,high:bigint,low:bigint>>"
+
+
 def _kept_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of each text, and hashes of the words at its spans and at spans that others have from it."""
     for batch in batches:
-        out = [[], [], [], []]
-        texts = batch.column(1).cast(pa.binary())
-        for i, (doc, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+        out, proofs, offsets = [[], [], [], []], [[], [], [], [], []], [0]
+        texts, columns = batch.column(2).cast(pa.binary()), [batch.column(i).to_pylist() for i in (0, 1, 3)]
+        for i, (doc, key, spans) in enumerate(zip(*columns)):
             words = unpacked(texts[i].as_py()).split()
             kept, at = [], 0
-            for s in sorted((x["start"], x["end"]) for x in spans or ()):
-                if s[0] > at:
-                    kept += words[at : s[0]]
-                at = max(at, s[1])
+            for s in sorted(spans or (), key=lambda s: (s["at"], s["n"])):
+                start, end = s["at"], s["at"] + s["n"] + WINDOW - 1
+                digest = hashlib.blake2b(b" ".join(words[start:end]), digest_size=16).digest()
+                for column, value in zip(proofs, (s["src_doc"], s["src_at"], s["n"], int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True))):
+                    column.append(value)
+                if s["src_doc"] != key or s["src_at"] != start:
+                    if start > at:
+                        kept += words[at:start]
+                    at = max(at, end)
             kept += words[at:]
-            for column, value in zip(out, (doc, len(words), len(words) - len(kept), b" ".join(kept))):
+            offsets.append(len(proofs[0]))
+            for column, value in zip(out, (doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in out[3]], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(proofs, PROOF)], fields=list(PROOF)))
+        types = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, types)), listed], names=["doc_id", "n_words", "n_removed", "kept_sha256", "proofs"])
 
 
-def with_spans(docs: DataFrame, text: str, doc_id: str, bits: int) -> DataFrame:
-    """doc_id, packed text, spans (array, null if none): each row of docs with what goes from it."""
-    ship_package(docs.sparkSession)
-    hashed = F.lit(NULL_ID) + F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 48))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), hashed).alias("key"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
-    spans = repeated_spans(rows.select("key", "text"), bits).groupBy("doc", "crc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("crc", "spans")).alias("by_crc"))
-    small = rows.select("doc_id", "key", (F.crc32(F.coalesce(F.col("text"), F.lit(""))) % 65536).cast("int").alias("crc"), _packed_column(F.col("text")).alias("packed"))
-    joined = small.join(spans, F.col("key") == F.col("doc"), "left")
-    own = F.filter("by_crc", lambda x: x["crc"] == F.col("crc"))
-    return joined.select("doc_id", "packed", F.try_element_at(own, F.lit(1))["spans"].alias("spans"))
-
+def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """key (long, in the order of documents, one for each distinct document), text, doc_id.
 
-def deduplicated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", bits: int = FILTER_BITS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, one row per input row."""
-    joined = with_spans(docs, text, doc_id, bits)
+    Ids that are whole numbers, none repeated, are keys themselves. All others are numbered: distinct ids and texts are sorted
+    into ranges, and a number is the place in a range and the size of the ranges before it.
+    """
+    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
+    if isinstance(rows.schema["doc_id"].dataType, IntegralType):
+        ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+        if ids.filter("n > 1 OR doc_id IS NULL").isEmpty():
+            return rows.select(F.col("doc_id").cast("long").alias("key"), "text", "doc_id")
+    rows = rows.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest")]
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = durable(rows.select("doc_id", "digest").distinct().repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
+    sizes = ranges.groupBy("range").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    numbers = ranges.withColumn("place", place).join(F.broadcast(sizes.drop("count")), "range")  # one row for each range
+    numbers = durable(numbers.select(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest"), (F.col("before") + F.col("place")).alias("key")))
+    joined = rows.join(numbers, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("digest") == F.col("k_digest")))
+    return durable_table(joined.select("key", "text", "doc_id"))
+
+
+def proved(kept: DataFrame) -> bool:
+    """Whether the words at all spans equal those at their source coordinates."""
+    proofs = kept.select(F.explode("proofs").alias("p")).select("p.*")
+    hashes = F.struct("high", "low")
+    return proofs.groupBy("src_doc", "src_at", "n").agg(F.min(hashes).alias("least"), F.max(hashes).alias("most")).filter("least <> most").isEmpty()
+
+
+def attempt(rows: DataFrame, bits: int, salt: int) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, proofs of keyed documents, by the hash functions of a salt."""
+    spans = durable_table(repeated_spans(rows.select("key", "text"), bits, salt))
+    sources = spans.select(F.col("src_doc").alias("doc"), F.col("src_at").alias("at"), "n", "src_doc", "src_at").distinct()
+    by_doc = spans.unionByName(sources).groupBy("doc").agg(F.collect_list(F.struct("at", "n", "src_doc", "src_at")).alias("spans"))
+    joined = rows.select("doc_id", "key", _packed_column(F.col("text")).alias("packed")).join(by_doc, F.col("key") == F.col("doc"), "left").select("doc_id", "key", "packed", "spans")
 
     def run(batches):
         from chronogeo.llm.substring_graph import _kept_batches
 
         return _kept_batches(batches)
 
-    id_type = joined.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_sha256 string")
+    return durable_table(joined.mapInArrow(run, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, {KEPT_DDL}"))
+
+
+def deduplicated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, one row per input row."""
+    ship_package(docs.sparkSession)
+    rows = keyed(docs, text, doc_id)
+    for salt in range(ATTEMPTS):
+        kept = attempt(rows, bits, salt)
+        if proved(kept):
+            return kept.drop("proofs")
+    raise RuntimeError(f"hashes of different words agreed in each of {ATTEMPTS} attempts")

@@ -72,6 +72,51 @@ def test_substring_dedup_of_rows_without_id(spark):
     assert sorted(n for _, n in got[:2]) == [0, 30]  # one of the two that share the passage keeps it
 
 
+def test_substring_dedup_of_repeated_and_other_ids(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [f"a {passage}"]
+    own = " ".join(f"q{i}" for i in range(40))  # words of its own; 16 bits of a hash agree with those of the other text
+    texts.append(next(x for x in (f"{own} {k}" for k in range(10**6)) if (zlib.crc32(x.encode()) ^ zlib.crc32(texts[0].encode())) & 0xFFFF == 0))
+    texts.append(passage)
+    rows = substring_graph.deduplicated(table(spark, texts, [7, 7, 3])).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in rows) == [(3, 30, 0), (7, 31, 30), (7, 41, 0)]
+    named = spark.createDataFrame([("b", f"x {passage}"), ("a", passage), (None, None), ("10", f"{passage} y"), ("10", f"{passage} y")], "doc_id string, text string")
+    rows = substring_graph.deduplicated(named).collect()
+    assert sorted((r["doc_id"] or "", r["n_words"], r["n_removed"]) for r in rows) == [("", 0, 0), ("10", 31, 0), ("10", 31, 0), ("a", 30, 30), ("b", 31, 30)]
+
+
+def test_paths_compact(spark):
+    # b -> c -> d always in a row; a and e also occur elsewhere; f goes on at another place than its first coordinate.
+    rows = [("a", 2, 1, 0, 3, "b"), ("b", 3, 1, 2, 2, "c"), ("c", 1, 1, 5, 2, "d"), ("d", 4, 1, 6, 2, ""), ("e", 1, 1, 10, 3, "f"), ("f", 2, 0, 4, 3, "g"), ("g", 2, 2, 6, 3, "")]
+    code = {x: i + 1 for i, x in enumerate("abcdefg")} | {"": 0}
+    nodes = spark.createDataFrame([(-code[c], code[c], n, doc, at, times, code[nxt]) for c, n, doc, at, times, nxt in rows], "seed bigint, content bigint, n int, doc bigint, at int, times bigint, following bigint")
+    got = sorted((r["content"], r["seed"], r["windows"], r["src_doc"], r["src_at"]) for r in substring_graph.compacted(nodes).collect())
+    assert got == [(1, -1, 2, 1, 0), (2, -2, 8, 1, 2), (5, -5, 1, 1, 10), (6, -6, 2, 0, 4), (7, -7, 2, 2, 6)]
+    chain = spark.createDataFrame([(i, i + 1, 1, 5, i, 2, (i + 2) if i < 36 else 0) for i in range(37)], nodes.schema)
+    assert [(r["content"], r["windows"], r["src_at"]) for r in substring_graph.compacted(chain).collect()] == [(1, 37, 0)]
+
+
+def test_spans_are_proved_at_their_sources(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = table(spark, [passage, f"x {passage}", " ".join(f"q{i}" for i in range(30))])
+    false = spark.createDataFrame([(1, 1, 11, 0, 0), (2, 0, 11, 0, 0)], "doc bigint, at int, n int, src_doc bigint, src_at int")
+    spans, salts = substring_graph.repeated_spans, []
+
+    def wrong_at_first(rows, bits, salt):
+        salts.append(salt)
+        return spans(rows, bits, salt) if salt else false
+
+    monkeypatch.setattr(substring_graph, "repeated_spans", wrong_at_first)
+    got = sorted((r["doc_id"], r["n_removed"]) for r in substring_graph.deduplicated(docs).collect())
+    assert salts == [0, 1] and got == [(0, 0), (1, 30), (2, 0)]
+
+
+def test_long_words_keep_apart():
+    odd = ["ab"[bin(i).count("1") & 1] for i in range(4096)]  # sums of powers modulo 2^64 can't tell this word from its mirror
+    words = "".join(odd).encode(), "".join(odd).translate(str.maketrans("ab", "ba")).encode()
+    assert substring_graph.word_hashes(words[0])[0] != substring_graph.word_hashes(words[1])[0]
+
+
 # -- SimHash --
 
 
