@@ -61,7 +61,7 @@ K = 8
 #: Most bits of a table of seeds; it has 16 for each seed up to this size.
 FILTER_BITS = 1 << 30
 ATTEMPTS = 8
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
