@@ -23,10 +23,11 @@ def component_labels(edges: DataFrame) -> DataFrame:
     before = _signature(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # The joined sides are tables of their own, so that Spark can split a node with very many edges.
+        least = durable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = durable(large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        least = durable(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         following = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         edges = durable(following.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

@@ -8,9 +8,11 @@ bits lie in b blocks, four changed bits leave b - 4 blocks alike, and each
 choice of b - 4 blocks is a key. Among the fingerprints of a key, the table of
 Hamming distances to the references discards pairs by their largest coordinate
 difference (over ``MAX_BITS``: no link), and survivors are verified. In a key
-with many fingerprints, members themselves become references: each pass links
-what is close to one of them, and pairs of such clusters are compared only if
-their references are near enough and nothing links them yet. A key with more
+with many fingerprints, these lie in order of their distance to the first
+reference, a range of it holds the candidates of one, and the other references
+discard among them; members that are compared so become references themselves,
+and pairs of their clusters are compared only if these are near enough and
+nothing links them yet. A key with more
 than ``CROWD`` fingerprints is cut into chunks by hash, and each two chunks of
 it are a group of their own, so no task holds such a key and no pair is lost.
 
@@ -20,7 +22,8 @@ rows: results are a class per document.
 Defined results: a null or wordless text has fingerprint zero, linked like any
 other; repeated rows share their class; a null doc_id is never a component's
 id unless all ids of the component are null; an empty table gives an empty
-result.
+result; columns other than the id and the text are ignored by ``marked`` and
+kept by ``first_rows``, whatever their names.
 """
 
 from __future__ import annotations
@@ -130,11 +133,19 @@ def _close(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, max
 def _large_group(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links that join what is linked in a group, at most one per fingerprint and pass."""
     n = len(fps)
+    table = _distances(fps)
+    order = np.argsort(table[:, 0], kind="stable")
+    ranked = table[order, 0].astype(np.int64)
     hub_of = np.full(n, -1, np.int64)
     hubs, out = [], []
-    while (free := np.flatnonzero(hub_of < 0)).size:
-        hub = free[0]
-        near = free[np.bitwise_count(fps[free] ^ fps[hub]) <= max_bits]
+    for hub in range(n):
+        if hub_of[hub] >= 0:
+            continue
+        # Candidates are a range of the first reference's distances; the other references discard among them.
+        first, last = np.searchsorted(ranked, [table[hub, 0] - max_bits, table[hub, 0] + max_bits + 1])
+        free = order[first:last]
+        free = free[hub_of[free] < 0]
+        near = free[_close(fps, table, np.full(len(free), hub), free, max_bits)]
         hub_of[near] = len(hubs)
         out += [(hub, x) for x in near.tolist() if x != hub]
         hubs.append(hub)
@@ -260,7 +271,8 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", max_
     firsts = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = component_labels(links(firsts.select("fp"), max_bits, n_blocks)).withColumnRenamed("node", "fp")
     named = firsts.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    # A table of its own, so that Spark can split a component that holds very many fingerprints.
+    named, least = durable(named), durable(named.groupBy("label").agg(F.min("first").alias("component_id")))
     return rows.join(named.join(least, "label").select("fp", "label", "component_id"), "fp").select("doc_id", "fp", "component_id", "label")
 
 
