@@ -1,21 +1,30 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-Terms are pairs of neighbouring bytes, folded to classes, and a few counts of
-repetition. A bounded sample of labelled documents (``MAX_LABELLED`` rows, by
-hash of doc_id) gives term weights, latent axes (truncated SVD) and labelled
-vectors; these are broadcast, at most MAX_LABELLED * RANK numbers whatever the
+Terms are words (A-Z lower-cased, by one of ``WORDS`` hash buckets), pairs of
+neighbouring bytes, folded to classes, and a few counts of repetition. A
+bounded sample of labelled documents (``MAX_LABELLED`` rows, by hash of doc_id)
+gives term weights, latent axes (truncated SVD) and labelled vectors; these are
+broadcast, at most MAX_LABELLED * RANK + TERMS * RANK numbers whatever the
 corpus. Every document is projected, its cosines with all labelled vectors are
 computed exactly in blocks, and the NEIGHBOURS largest vote with their
 similarity as weight.
 
 Defined results: labels come only from rows whose crc32(doc_id as text) mod 4
-isn't 2; several labels of a doc_id are averaged; a null or empty text, or one
-without neighbours, scores the sample's mean label; without any labelled row
-every score is 0.5; repeated rows score alike.
+isn't 2; several labels of a doc_id are averaged; all labelled vectors vote
+that are as similar (to 9 decimals) as the last of the neighbours, so ties
+need no order; a null or empty text, or one without neighbours, scores the
+sample's mean label; without any labelled row every score is 0.5; repeated
+rows score alike; a row without doc_id isn't held out and gives no label; an
+empty table gives an empty result; columns other than the id and the text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +38,9 @@ NEIGHBOURS = 25
 POWER = 4
 THRESHOLD = 0.7
 BLOCK = 512
+WORDS = 2048
+#: Bytes that belong to a word.
+WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
 def _classes() -> np.ndarray:
@@ -61,16 +73,20 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 WIDTH = int(CLASS.max()) + 1
 SHAPES = 4
-TERMS = WIDTH * WIDTH + SHAPES
+TERMS = WORDS + WIDTH * WIDTH + SHAPES
 
 
 def terms(data: bytes) -> np.ndarray:
-    """Weights of the terms of a UTF-8 text: damped counts of pairs, and damped shares of repetition."""
+    """Weights of the terms of a UTF-8 text: damped shares of words and pairs, and of repetition."""
     out = np.zeros(TERMS, np.float32)
+    found = Counter(WORD.findall(data.lower()))
+    if found:
+        buckets = np.fromiter(map(zlib.crc32, found), np.int64, len(found)) % WORDS
+        out[:WORDS] = np.sqrt(np.bincount(buckets, np.fromiter(found.values(), np.float64, len(found)), WORDS) / found.total())
     if len(data) > 1:
         c = CLASS[np.frombuffer(data, np.uint8)]
         counts = np.bincount(c[:-1] * WIDTH + c[1:], minlength=WIDTH * WIDTH)
-        out[:-SHAPES] = np.sqrt(counts / len(data))
+        out[WORDS:-SHAPES] = np.sqrt(counts / len(data))
     words = data.split()
     if words:
         n = len(words)
@@ -103,21 +119,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def vote(model: dict[str, np.ndarray], rows: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
     """Scores of documents given by their terms."""
-    near = _unit(rows @ model["axes"]) @ model["vectors"].T
+    near = (_unit(rows @ model["axes"]).astype(np.float64) @ model["vectors"].T.astype(np.float64)).round(9)
     k = min(neighbours, near.shape[1])
-    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(np.float64) ** POWER
+    last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+    weight = np.where(near >= last[:, None], np.maximum(near, 0), 0) ** POWER
     total = weight.sum(axis=1)
-    votes = (weight * model["labels"][top]).sum(axis=1)
+    votes = weight @ model["labels"].astype(np.float64)
     return np.clip(np.where(total > 0, votes / np.where(total > 0, total, 1), model["mean"]), 0, 1).round(9)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Terms and labels of the sample; the bound is the limit."""
-    marks = labels.select(F.col(doc_id).alias("l_id"), F.col(label).cast("double").alias("label")).filter("l_id IS NOT NULL AND label IS NOT NULL")
+    marks = labels.select(F.col(f"`{doc_id}`").alias("l_id"), F.col(label).cast("double").alias("label")).filter("l_id IS NOT NULL AND label IS NOT NULL")
     marks = marks.filter(F.crc32(F.col("l_id").cast("string")) % 4 != 2).groupBy("l_id").agg(F.avg("label").alias("label"))
     marks = marks.orderBy(F.xxhash64("l_id"), "l_id").limit(limit)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(marks), F.col("doc_id") == F.col("l_id"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(marks), F.col("doc_id") == F.col("l_id"))
     rows = rows.groupBy("l_id", "label").agg(F.min("text").alias("text"))
 
     def run(batches):
@@ -161,4 +177,4 @@ def scored(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: st
     rows, marks = labelled_sample(docs, labels, text, doc_id, label, limit)
     score = score_column(F.col(text), spark.sparkContext.broadcast(fit(rows, marks))) if len(rows) else F.lit(0.5)
     held_out = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
-    return docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), held_out.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
