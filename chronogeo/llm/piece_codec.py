@@ -15,7 +15,9 @@ score, as the library does it.
 
 Defined results: a null text counts as empty and has no pieces; U+2581 in a
 text is encoded as the blank it stands for, as in the library, so decoding
-gives a blank for it; all else comes back exactly.
+gives a blank for it and ``exact`` is false; all else comes back exactly;
+repeated rows are each encoded; an empty table gives an empty result; of other
+columns those named in ``keep`` are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -300,7 +302,7 @@ def _coded_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
             if part and (t is None or size + len(t) > BATCH_BYTES):
                 ids, counts = encode_batch(v, part)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
-                exact = [decode(v, ids[a:b].tolist()) == t.replace(BLANK.encode(), b" ") for t, a, b in zip(part, offsets[:-1], offsets[1:])]
+                exact = [decode(v, ids[a:b].tolist()) == t for t, a, b in zip(part, offsets[:-1], offsets[1:])]
                 own = batch.slice(at, len(part))
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(counts), lists, pa.array(exact)], names=[*own.schema.names[:-1], "n_pieces", "pieces", "exact"])

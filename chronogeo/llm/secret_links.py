@@ -13,7 +13,9 @@ add up to positions.
 
 Defined results: a null text counts as empty and has no spans; repeated rows
 each get their spans; parts are keyed by (doc_id, hash of the text), so rows
-that repeat a doc_id with another text are told apart.
+that repeat a doc_id with another text are told apart; an empty table gives an
+empty result; columns other than the id and the text are ignored by
+``reported`` and kept by ``redact_rows``, whatever their names.
 """
 
 from __future__ import annotations

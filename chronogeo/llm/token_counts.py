@@ -9,11 +9,13 @@ space, so none crosses it either. If an overlap has no such place, it is made
 wider and encoded again, at last reaching the end of the text.
 
 Texts of less than a chunk are cut at all such places, and each distinct unit
-between two of them is encoded once and remembered (``REMEMBERED`` at most).
+between two of them is encoded once and remembered (``REMEMBERED`` at most, of
+``UNIT_CHARS`` characters or fewer each).
 
 Defined results: a null text counts as empty; nothing is truncated; special
 strings in texts count as the library counts them by default; repeated rows
-are each counted.
+are each counted; an empty table gives an empty result; columns other than the
+id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ VOCABULARY = "byte_bpe_50k.json"
 CHUNK = 32_768
 OVERLAP = 512
 REMEMBERED = 500_000
+UNIT_CHARS = 64
 #: White space of the pre-tokeniser's pattern.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -102,7 +105,11 @@ def count_short(tk, texts: list[str]) -> list[int]:
     for at in range(0, len(new), 4096):
         part = new[at : at + 4096]
         known.update(zip(part, map(len, tk.encode_batch(part, add_special_tokens=False))))
-    return [sum(map(known.__getitem__, u)) for u in units]
+    out = [sum(map(known.__getitem__, u)) for u in units]
+    for u in new:
+        if len(u) > UNIT_CHARS:
+            del known[u]
+    return out
 
 
 def count_tokens(tk, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:

@@ -22,6 +22,28 @@ def test_against_sql(spark, name):
     assert plain(got.select(*want.columns).collect()) == plain(want.fetchall())
 
 
+def test_verdicts_and_links_against_sql(spark, tmp_path):
+    """A table in which hosts are rejected and weak secrets are linked."""
+    key, token = "AKIA" + "Q2" * 8, "Ab1/" * 10
+    good = [" ".join(f"{w}{i}" for w in WORDS) for i in range(40)]
+    parts = [f"id {key} then {token}", f"{token} alone", "user=bobby password=hunter22", "see https://db.example.net/x", f"login: bob at postgres://db/x token: abcdefgh {key}", "user=eve " + "z" * 300 + " secret=abcdefgh"]
+    rows = [("bad", "b " * 30)] * 30 + [("bad", g) for g in good[:8]] + [("good", f"{g} {parts[i % 6]}") for i, g in enumerate(good)] + [(None, "x")] * 9 + [(None, good[0]), ("good", None), ("good", "c " * 30), ("small", good[1])]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    plain = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
+    for name in ("op1_quality_rules", "op6_mixing", "op7_secret_scans", "op8_substring_dedup"):
+        want = con.sql(queries.ORACLE[name])
+        got = queries.QUERIES[name](spark, str(tmp_path)).select(*want.columns).collect()
+        assert plain(got) == plain(want.fetchall()), name
+        if name == "op1_quality_rules":
+            assert sum(not r["base_failed"] and not r["kept"] for r in got) == 9
+        if name == "op7_secret_scans":
+            kinds = {x.split(":")[0] for r in got for x in r["spans"].split(",")}
+            assert {"weak", "login", "endpoint"} <= kinds
+
+
 def test_pipeline_stage_by_stage(spark):
     import public_tokenizers
 
@@ -101,7 +123,10 @@ def test_stages_on_odd_rows_and_clashing_names(spark):
             texts = [r["text"] for r in rows]
             assert len(rows) == 7 and sum(x is None for x in texts) == 1 and not any("hunter22" in x or "AKIA" in x for x in texts if x)
         if name == "mixing":
-            assert all(r["text"] for r in rows) or {r["doc_id"] for r in rows} <= {1, 2, 3, 4, 5, None}
+            # Only the null source's long document and, near the other targets, rows of the sources a and b.
+            plan = mixing.copies(docs).collect()
+            taken = lambda found, n: sorted((str(r["source"]), str(r["doc_id"])) for r in found for _ in range(n(r)))
+            assert taken(rows, lambda r: 1) == taken(plan, lambda r: r["copies"])
 
 
 def test_stages_one_after_another_on_odd_rows(spark):
@@ -111,14 +136,17 @@ def test_stages_one_after_another_on_odd_rows(spark):
     assert {r["doc_id"] for r in docs.collect()} <= {1, 4, 5}
 
 
-@pytest.mark.parametrize("name", ["quality_rules", "url_rules", "token_counts", "piece_codec", "mixing", "secret_links", "substring_graph", "simhash_pivots"])
+@pytest.mark.parametrize("name", ["quality_rules", "url_rules", "token_counts", "piece_codec", "mixing", "secret_links", "substring_graph", "simhash_pivots", "quality_knn", "adaptive_ann"])
 def test_operators_on_odd_rows(spark, name):
-    from chronogeo.llm import substring_graph, token_counts, url_rules
+    from chronogeo.llm import adaptive_ann, quality_knn, substring_graph, token_counts, url_rules
 
     run = {
         "quality_rules": quality_rules.judge, "token_counts": token_counts.counted, "piece_codec": piece_codec.coded, "mixing": mixing.mixed, "secret_links": secret_links.reported,
         "substring_graph": substring_graph.deduplicated, "simhash_pivots": simhash_pivots.marked, "url_rules": lambda d: url_rules.judged(d, url="text", page_id="doc_id"),
+        "quality_knn": lambda d: quality_knn.scored(d, docs.withColumn("quality", F.lit(1))),
+        "adaptive_ann": lambda d: adaptive_ann.nearest(d.withColumn("embedding", F.array(F.lit(1.0), F.col("doc_id").cast("double"), F.lit(2.0))), vec_id="doc_id", query_step=1),
     }[name]
     docs = odd_documents(spark)
-    assert run(docs).count() == 7
+    # Neighbours: of five ids one comes twice, so four queries have five candidates and one has four.
+    assert run(docs).count() == (24 if name == "adaptive_ann" else 7)
     assert run(docs.limit(0)).count() == 0

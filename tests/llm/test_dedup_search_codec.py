@@ -261,6 +261,15 @@ def test_mix_hot_equal_rows(spark):
     docs = spark.createDataFrame([(1, "a b c", "s")] * 50 + [(2, "a b", "t")] * 5, "doc_id bigint, text string, source string")
     rows = mixing.copies(docs).collect()
     assert mixing.emit_rows(docs).count() == sum(r["copies"] for r in rows)
+    texts = [f"a b {i}" for i in range(900)]
+    docs = spark.createDataFrame([(None, t, "s") for t in texts] + [(1, t, "t") for t in texts[:90]] + [(i, "w w", None) for i in range(300)], "doc_id bigint, text string, source string").repartition(7)
+    rows = mixing.copies(docs).collect()
+    assert len(rows) == 1290
+    taken = {}
+    for r in mixing.emit_rows(docs).collect():
+        taken[r["source"], r["text"]] = taken.get((r["source"], r["text"]), 0) + 1
+    assert sum(taken.values()) == sum(r["copies"] for r in rows) and max(n for (s, _), n in taken.items() if s) <= 3
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.copies(docs).collect()))
 
 
 # -- secrets --
@@ -430,8 +439,8 @@ def test_edge_order_beyond_8_mib():
 
 
 def test_codec_table(spark):
-    docs = table(spark, [None, "", "Hello  world\n", "x" * 5000, "same", "same"])
+    docs = table(spark, [None, "", "Hello  world\n", "x" * 5000, "same", "same", "a▁b"])
     rows = piece_codec.coded(docs).withColumn("back", piece_codec.decoded(F.col("pieces"))).orderBy("doc_id").collect()
-    assert [r["back"] for r in rows] == ["", "", "Hello  world\n", "x" * 5000, "same", "same"]
-    assert all(r["exact"] and r["n_pieces"] == len(r["pieces"]) for r in rows)
+    assert [r["back"] for r in rows] == ["", "", "Hello  world\n", "x" * 5000, "same", "same", "a b"]
+    assert all(r["exact"] == (r["doc_id"] != 6) and r["n_pieces"] == len(r["pieces"]) for r in rows)
     assert piece_codec.coded(docs.limit(0)).count() == 0

@@ -1,6 +1,9 @@
 import random
+import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronogeo.llm import quality_knn, quality_rules, token_counts, url_rules
 
@@ -92,8 +95,50 @@ def test_url_rules(spark):
     assert rows[11] == ("casino.net", "/a", None, "block") and rows[12][3] == "block" and rows[13][:2] == ("z.net", "/a://b") and rows[14][:2] == ("", "/p")
     assert [rows[i][3] for i in (16, 17, 18, 19)] == ["block", "block", "allow", "allow"]
     assert url_rules.judged(pages.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        url_rules.judged(pages, url_rules.SITE_RULES * 30_000)
+    assert {r["verdict"] for r in url_rules.judged(pages, ()).collect()} == {"allow"}
+
+
+def test_tokens_are_derived_from_patterns():
+    want = {
+        r"(?:^|[.-])bets\.": ("bets",), r"/wp-login\.php\Z": ("wp", "login", "php"), r"/wp-login\.php": ("wp", "login"), r"^(?:[^/]*\.)?a1\.org/x/y": ("a1", "org", "x"),
+        r"bets\.": (), r"(?i)/bets/": (), r"/(?:a|b)-c/": ("c",), r"/a?b/": (), r"/(?:ab-)+cd/": ("cd",), r"/(?:ab)*cd/": (), r"\bfoo\b": ("foo",), r"[^a-zA-Z0-9]foo[/?]x": ("foo",),
+        r"[^a-z]foo/": (), r"/x(?=y)/": (), r"/é-b/": ("b",), r".": (), r"/(?:ab/)?cd/": ("cd",), r"(?:.*/)?cd/": (), r"^(?:.*/)?cd/": ("cd",), r"/A-b/": ("a", "b"),
+    }
+    assert {p: url_rules.required_tokens(p) for p in want} == want
+
+
+def test_derived_tokens_are_in_every_match():
+    rng = random.Random(12)
+    atoms = ["a", "b1", "-", r"\.", "/", "[.-]", "[a-z]", "(?:^|[.-])", "(?:ab-)?", "(?:a|b/)", "^", r"\Z", ".*", "(?:/x)+", r"\b", "(?:a-|b-)", "[^/]*"]
+    subjects = ["".join(rng.choice(["a", "b1", "-", ".", "/", "ab", "x", "B", "é"]) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    hits = 0
+    for _ in range(6000):
+        pattern = "".join(rng.choice(atoms) for _ in range(rng.randint(1, 6)))
+        needed, compiled = set(url_rules.required_tokens(pattern)), re.compile(pattern)
+        for s in subjects:
+            if needed and compiled.search(s):
+                hits += 1
+                assert needed <= set(url_rules.tokens(s)), (pattern, s)
+    assert hits > 100
+
+
+def test_a_table_of_rules_of_any_size(spark, monkeypatch):
+    rng = random.Random(5)
+    rules = [url_rules.site_rule("block" if i % 3 else "allow", f"h{i}.net/") for i in range(100_001)]
+    rules += [url_rules.site_rule("allow", "h7.net/x/"), url_rules.site_rule("block", "net/"), *url_rules.PATTERN_RULES, url_rules.pattern_rule("block", "any x", "x+y"), url_rules.pattern_rule("allow", "any z", "zz")]
+    urls = [None, "nothing", "http://h7.net/x/1", "http://h7.net/y", "http://a.h100000.net/", "http://other.net/xy", "http://b.org/xxy", "http://b.org/xyzz", "http://b.org/zz", "http://bet.org/", "http://b.org/wp-login.php"]
+    urls += [f"http://{rng.choice(['', 'm.'])}h{rng.randrange(200_000)}.{rng.choice(['net', 'org'])}/{rng.choice(['x/', 'wp-login.php', 'xy'])}" for _ in range(150)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").withColumn("token", F.lit("clash")).withColumn("place", F.lit(1))
+    index = url_rules.RuleIndex(tuple(rules), {})
+    want = {r["page_id"]: index.judge(r["host"], r["path"]) for r in pages.select("page_id", *[c.alias(n) for c, n in zip(url_rules.url_parts(F.col("url")), ("host", "path"))]).collect()}
+    got = {r["page_id"]: (r["rule"], r["pattern"], r["verdict"]) for r in url_rules.judged(pages, tuple(rules)).collect()}
+    assert got == want
+    monkeypatch.setattr(url_rules, "MAX_RULES", 1)  # the rules without a token in several blocks
+    few = (*rules[-4:], *url_rules.SITE_RULES, url_rules.site_rule("allow", "net/"))
+    index = url_rules.RuleIndex(few, {})
+    want = {r["page_id"]: index.judge(r["host"], r["path"]) for r in pages.select("page_id", *[c.alias(n) for c, n in zip(url_rules.url_parts(F.col("url")), ("host", "path"))]).collect()}
+    assert {r["page_id"]: (r["rule"], r["pattern"], r["verdict"]) for r in url_rules.judged(pages, few).collect()} == want
+    assert url_rules.judged(pages.limit(0), few).count() == 0
 
 
 def test_index_loses_no_rule():
@@ -117,6 +162,25 @@ def test_classifier_held_out(spark):
     assert sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.97
 
 
+def test_votes_match_brute_force():
+    rng = random.Random(9)
+    words = [f"{rng.choice('abcdefgh')}{rng.choice('xyz')}{i}" for i in range(50)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    texts += texts[:20]  # ties
+    labels = np.array([float(rng.random() < 0.5) for _ in texts])
+    model = quality_knn.fit(np.stack([quality_knn.terms(t.encode()) for t in texts]), labels, rank=8)
+    asked = ["", *texts[5:40:7], *(" ".join(rng.choice(words) for _ in range(12)) for _ in range(30))]
+    got = quality_knn.vote(model, np.stack([quality_knn.terms(t.encode()) for t in asked]), 7)
+    for t, score in zip(asked, got):
+        place = quality_knn.terms(t.encode()).astype(float) @ model["axes"].astype(float)
+        size = sum(x * x for x in place) ** 0.5
+        near = [sum(a * float(b) for a, b in zip(place, v)) / size if size else 0.0 for v in model["vectors"]]
+        last = sorted(near)[-7]
+        votes = [(max(n, 0) ** 4, label) for n, label in zip(near, labels) if n >= last - 1e-6]
+        want = sum(w * label for w, label in votes) / sum(w for w, _ in votes) if any(w for w, _ in votes) else labels.mean()
+        assert abs(score - want) < 1e-4, t
+
+
 def test_classifier_edges(spark):
     docs = documents(spark, ["null", "", GOOD, "noid"] + [GOOD + f" x{i}" for i in range(9)] + ["*** " * 20] * 9)
     labels = spark.createDataFrame([(i, 1) for i in range(4, 13)] + [(i, 0) for i in range(13, 22)] + [(None, 1), (2, None), (4, 1)], "doc_id bigint, quality int")
