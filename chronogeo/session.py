@@ -36,9 +36,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -51,9 +53,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def durable_table(df: DataFrame) -> DataFrame:
-    """As durable(), but columnar and compressed, for wide or large tables."""
+def written_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as Parquet into the shared folder and read again, and its path."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def durable_table(df: DataFrame) -> DataFrame:
+    """As durable(), but columnar and compressed, for wide or large tables."""
+    return written_table(df)[0]
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of written_table() that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
