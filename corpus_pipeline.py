@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. run() writes each stage's rows as
-Parquet into the shared checkpoint folder and reads them again for the next.
+Parquet into the shared checkpoint folder and reads them again for the next;
+a stage's rows are deleted when those of the next are written.
 
 Defined results, in every stage: an empty table gives an empty one; columns
 beyond those of documents are kept as they are, whatever their names (the last
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronogeo.llm import mixing, piece_codec, quality_rules, secret_links, simhash_pivots
-from chronogeo.session import durable_table
+from chronogeo.session import remove_table, written_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = durable_table(stage(spark, docs, sf_dir))
+        docs, path = written_table(stage(spark, docs, sf_dir))
+        if before:
+            remove_table(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
