@@ -72,10 +72,43 @@ def cosine_ease(x: Column, stops: list[tuple[float, float]]) -> Column:
 
 def continuous_lng(lngs: Column) -> Column:
     """Array of longitudes shifted by whole turns so that no step is over 180 degrees."""
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(x - 360 * F.floor((x - F.element_at(acc, -1) + 180) / 360))))
+    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(copy_near(x, F.element_at(acc, -1)))))
     return F.aggregate(lngs, F.array().cast("array<double>"), step)
 
 
+def copy_near(x: Column, to: Column) -> Column:
+    """A longitude moved by whole turns to at most half a turn from another."""
+    d = x - to
+    return F.when(d > 180, x - 360 * F.ceil((d - 180) / 360)).when(d < -180, x + 360 * F.ceil((-d - 180) / 360)).otherwise(x)
+
+
+def midpoint(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column]:
+    return (x1 + x2) / 2, (y1 + y2) / 2
+
+
+def great_circle_midpoint(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> tuple[Column, Column]:
+    turn, a, b = F.radians(lng2 - lng1), F.radians(lat1), F.radians(lat2)
+    x, y = F.cos(b) * F.cos(turn), F.cos(b) * F.sin(turn)
+    return lng1 + F.degrees(F.atan2(y, F.cos(a) + x)), F.degrees(F.atan2(F.sin(a) + F.sin(b), F.sqrt(F.pow(F.cos(a) + x, 2) + F.pow(y, 2))))
+
+
+def rotated(x: Column, y: Column, degrees: Column) -> tuple[Column, Column]:
+    t = F.radians(degrees)
+    return x * F.cos(t) - y * F.sin(t), x * F.sin(t) + y * F.cos(t)
+
+
+def unit_vector(x: Column, y: Column) -> tuple[Column, Column]:
+    """Null for the zero vector."""
+    size = F.nullif(F.sqrt(x * x + y * y), F.lit(0.0))
+    return x / size, y / size
+
+
+def box_centre(bbox: Column) -> tuple[Column, Column]:
+    """Centre of a box of four numbers; two numbers are a point; null else."""
+    at = lambda i, j: F.when(F.size(bbox) == 2, F.get(bbox, i)).when(F.size(bbox) == 4, (F.get(bbox, i) + F.get(bbox, j)) / 2)
+    return at(0, 2), at(1, 3)
+
+
 def distance_label(metres: Column, imperial: bool = False) -> Column:
     """Distance text: no decimals from 100 km, one from 10, two from 1, metres (or feet) below."""
     big = metres / 1000 * (0.621371 if imperial else 1.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -133,6 +133,40 @@ class Style:
         return F.when(x <= pairs[0][0], self.compile(pairs[0][1]).cast("double")).otherwise(out)
 
 
+# Border types in the order in which their layers are drawn.
+BORDER_ORDER = (3, 2, 1, 4, 5)
+
+
+def border_layer(border_type: Column) -> Column:
+    """Place of a border's layer, from 0; null for other types."""
+    return F.nullif(F.array_position(F.array(*[F.lit(t) for t in BORDER_ORDER]), border_type), F.lit(0)) - 1
+
+
+def nation_label_shows(in_subregion: Column, zoom: Column) -> Column:
+    """Labels of nations in a subregion show above zoom 4."""
+    return ~F.coalesce(in_subregion, F.lit(False)) | (zoom > 4)
+
+
+def location_label_shows(label: Column, pregroup_minzoom: Column, zoom: Column) -> Column:
+    """Labels of locations show from five zooms after their own least zoom."""
+    return label.isNotNull() & (zoom >= F.coalesce(pregroup_minzoom, F.lit(0)) + 5)
+
+
+def clickable(fid: Column) -> Column:
+    return fid.isNotNull()
+
+
+def layer_zooms(profile: DataFrame, max_zoom: int) -> DataFrame:
+    """layer, minzoom, maxzoom of style layers, from a property profile: only where no feature is without, and the bound cuts something."""
+    bound = lambda key, value, none: F.max(F.when((F.col("key") == key) & (F.col("nulls") == 0) & (F.col(value) != none), F.col(value))).cast("int")
+    return profile.groupBy("layer").agg(bound("tile_minzoom", "min_number", 0).alias("minzoom"), bound("tile_maxzoom", "max_number", max_zoom).alias("maxzoom"))
+
+
+def listed(layer: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:
+    """Rows whose label is in a list (column label)."""
+    return layer.join(labels.select(F.col(label)).distinct(), label, "left_semi")
+
+
 def zoom_window(zoom: Column | float, minzoom: Column, maxzoom: Column) -> Column:
     """Whether a feature shows at a zoom: minzoom inclusive, maxzoom inclusive, either may be absent."""
     z = zoom if isinstance(zoom, Column) else F.lit(zoom)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chronogeo.functions import colors, geo, text
 from chronogeo.operators import temporal
+from chronogeo.session import durable, durable_table
 
 # Cities that show from zoom 11 only.
 LATE_CITIES = ("Absalom", "Shoreline", "Westerhold", "Copperwood", "Dawnfoot", "Magnimar")
@@ -151,35 +152,53 @@ def prepare_export(layer: DataFrame, meta: DataFrame, key: str, max_zoom: int) -
     return out.drop("time_start", "time_end", "extra")
 
 
-def fill_fids(layer: DataFrame) -> DataFrame:
-    """Missing fids numbered above the greatest one, by content order in hash ranges."""
+LABEL_POINT = ("label", "color", "angle", "minzoom", "maxzoom", "time_start", "time_end", "type", "in_subregion", "coords")
+
+
+def clean_label_points(layer: DataFrame) -> DataFrame:
+    """Only what a label needs, as far as the layer has it."""
+    return layer.select(*[c for c in LABEL_POINT if c in layer.columns])
+
+
+def numbered(layer: DataFrame, order: list[Column], name: str, above: int = 0) -> DataFrame:
+    """Rows numbered from above + 1 in an order, by ranges: no task holds all rows. Rows equal in the order have some order."""
+    parts = max(1, int(layer.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = durable_table(layer.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = ranges.groupBy("_range").count().withColumn("_before", before).drop("count")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranges.withColumn("_place", place).join(F.broadcast(sizes), "_range").withColumn(name, F.col("_before") + F.col("_place") + above).drop("_range", "_place", "_before")  # one row for each range
+
+
+def fill_fids(layer: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Missing fids numbered above the greatest one, in the order of some columns (of all others, if none are given)."""
     top = layer.agg(F.coalesce(F.max("fid"), F.lit(0)).alias("top")).first()["top"]
-    missing = layer.filter("fid IS NULL").withColumn("fid", F.monotonically_increasing_id() + (top + 1))
-    return layer.filter("fid IS NOT NULL").unionByName(missing)
+    missing = layer.filter("fid IS NULL").drop("fid")
+    rows = numbered(missing, [F.col(c).asc_nulls_first() for c in order or missing.columns], "fid", top)
+    return layer.filter("fid IS NOT NULL").unionByName(rows.select(*layer.columns))
+
+
+def area_order(layer: DataFrame, area: str = "area_km2", then: str = "fid") -> DataFrame:
+    """ord: 1 for the largest; equal areas by another column."""
+    return numbered(layer, [F.col(area).desc(), F.col(then).asc()], "ord")
 
 
 def location_texts(layer: DataFrame, buckets: int = 10) -> DataFrame:
     """id, bucket and html of each distinct popup text; texts whose hash collides are moved to free ids.
 
-    Texts of one hash are ranked in order; only the ranks above 0 (rare) are probed on the driver.
+    The first text of a hash keeps it. All others try the next id in rounds, each one join: where it is free, the
+    first text that tries it has it.
     """
     html = layer.select(text.popup_text(F.col("label"), F.col("link"), F.col("text")).alias("html")).distinct()
-    hashed = html.withColumn("h", F.abs(text.string_hash(F.col("html"))))
-    ranked = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("html")) - 1)
-    clashes = ranked.filter("rank > 0").orderBy("html").collect()
-    if not clashes:
-        return ranked.select(F.col("h").alias("id"), F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"), "html")
-    spark = layer.sparkSession
-    moved, used = [], set()
-    for r in clashes:
-        at = r["h"] + 1
-        while at in used or not ranked.filter((F.col("rank") == 0) & (F.col("h") == at)).isEmpty():
-            at += 1
-        used.add(at)
-        moved.append((r["html"], at))
-    fixes = spark.createDataFrame(moved, "_html string, _id bigint")
-    joined = ranked.join(F.broadcast(fixes), F.col("html") == F.col("_html"), "left").withColumn("id", F.coalesce("_id", "h"))
-    return joined.select("id", F.pmod("id", F.lit(buckets)).cast("int").alias("bucket"), "html")
+    hashed = durable_table(html.withColumn("id", F.abs(text.string_hash(F.col("html")))))
+    first = hashed.groupBy("id").agg(F.min("html").alias("html"))
+    placed, left = first, durable(hashed.join(first.select("html"), "html", "left_anti"))
+    while not left.isEmpty():
+        left = left.withColumn("id", F.col("id") + 1)
+        moved = durable(left.join(placed.select("id"), "id", "left_anti").groupBy("id").agg(F.min("html").alias("html")))
+        placed = durable_table(placed.select("id", "html").unionByName(moved.select("id", "html")))
+        left = durable(left.join(moved.select("html"), "html", "left_anti"))
+    return placed.select("id", F.pmod("id", F.lit(buckets)).cast("int").alias("bucket"), "html")
 
 
 def reuse_excerpts(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:

@@ -86,6 +86,18 @@ def nodes(segs: DataFrame, width: str = "width", smooth: str = "smooth") -> Data
     return ends.groupBy(F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.max(width).alias("width"), F.bool_and(smooth).alias("smooth"), F.count(F.lit(1)).alias("degree"))
 
 
+def neighbours(segs: DataFrame) -> DataFrame:
+    """x, y, to_x, to_y: each node with each node that a segment joins it to, once."""
+    there = segs.select(F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("x2").alias("to_x"), F.col("y2").alias("to_y"))
+    back = segs.select(F.col("x2").alias("x"), F.col("y2").alias("y"), F.col("x1").alias("to_x"), F.col("y1").alias("to_y"))
+    return there.unionByName(back).distinct()
+
+
+def node_order(lng: Column, lat: Column) -> Column:
+    """Number by which nodes are sorted: south to north, west to east."""
+    return lat * 400 + lng
+
+
 def springs(node_rows: DataFrame, on_land: DataFrame) -> DataFrame:
     """Nodes of degree 1 that are points on land (x, y)."""
     return node_rows.filter("degree = 1").join(on_land.select("x", "y"), ["x", "y"], "left_semi")
@@ -124,6 +136,25 @@ def inverted(coords: Column, west: float = -138.0, east: float = 222.0) -> Colum
     return F.array(F.concat(F.array(world), F.transform(F.flatten(coords), lambda r: F.reverse(r))))
 
 
+def geometry_type(coords: Column) -> Column:
+    """Type of a geometry by its shape: single points, closed rings, and all else lines."""
+    rings = F.flatten(coords)
+    points = F.forall(rings, lambda r: F.size(r) == 1)
+    closed = F.forall(rings, lambda r: (F.size(r) >= 4) & (F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1)))
+    several = lambda n, name: F.when(n > 1, F.lit("Multi" + name)).otherwise(F.lit(name))
+    return F.when(F.size(rings) > 0, F.when(points, several(F.size(rings), "Point")).when(closed, several(F.size(coords), "Polygon")).otherwise(several(F.size(rings), "LineString")))
+
+
+def map_points(coords: Column, f) -> Column:
+    """Every point of a geometry through a function of its x and y."""
+    return F.transform(coords, lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: F.array(*f(p[0], p[1])))))
+
+
+def insert_point(line: Column, at: Column | int, point: Column) -> Column:
+    """An array of points with one more at a place, counted from 1."""
+    return F.array_insert(line, at if isinstance(at, Column) else F.lit(at), point)
+
+
 def drop_holes(coords: Column) -> Column:
     return F.transform(coords, lambda p: F.slice(p, 1, 1))
 
@@ -132,4 +163,4 @@ def unshifted(coords: Column) -> Column:
     """Geometries wholly beyond the antimeridian moved back by one turn."""
     points = F.flatten(F.flatten(coords))
     by = F.when(F.forall(points, lambda p: p[0] > 180), -360.0).when(F.forall(points, lambda p: p[0] < -180), 360.0).otherwise(0.0)
-    return F.transform(coords, lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: F.array(p[0] + by, p[1]))))
+    return map_points(coords, lambda x, y: (x + by, y))

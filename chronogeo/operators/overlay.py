@@ -41,8 +41,8 @@ def _segments(polygons: list[list[Polygon]]) -> tuple[np.ndarray, np.ndarray]:
     return (np.vstack(rows) if rows else np.zeros((0, 4))), np.array(owner, int)
 
 
-def _noded(seg: np.ndarray) -> np.ndarray:
-    """Distinct pieces of all segments, split at their crossings and touchings, smaller end first."""
+def _noded(seg: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pieces of all segments, split at their crossings and touchings, smaller end first; and which piece every split part is, with its owner."""
     cuts: list[list[float]] = [[0.0, 1.0] for _ in seg]
     lo, hi = np.minimum(seg[:, :2], seg[:, 2:]), np.maximum(seg[:, :2], seg[:, 2:])
     order = np.argsort(lo[:, 0], kind="stable")
@@ -72,17 +72,41 @@ def _noded(seg: np.ndarray) -> np.ndarray:
             rr, ss = float(r @ r), float(s[k] @ s[k])
             cuts[i] += [x for x in (float(gap[k] @ r) / rr, float((gap[k] + s[k]) @ r) / rr) if 0 < x < 1]
             cuts[j[k]] += [x for x in (float(-gap[k] @ s[k]) / ss, float((r - gap[k]) @ s[k]) / ss) if 0 < x < 1]
-    out = []
-    for row, c in zip(seg, cuts):
+    out, owners = [], []
+    for row, c, k in zip(seg, cuts, owner.tolist()):
         t = np.unique(np.clip(c, 0, 1))
         pts = np.round(row[:2] + t[:, None] * (row[2:] - row[:2]), PRECISION)
         pts[0], pts[-1] = row[:2], row[2:]
         out.append(np.column_stack([pts[:-1], pts[1:]]))
+        owners += [k] * (len(pts) - 1)
     pieces = np.vstack(out)
-    pieces = pieces[(pieces[:, :2] != pieces[:, 2:]).any(axis=1)] + 0.0
+    real = (pieces[:, :2] != pieces[:, 2:]).any(axis=1)
+    pieces, owners = pieces[real] + 0.0, np.array(owners, int)[real]
     swap = (pieces[:, 0] > pieces[:, 2]) | ((pieces[:, 0] == pieces[:, 2]) & (pieces[:, 1] > pieces[:, 3]))
     pieces[swap] = pieces[swap][:, [2, 3, 0, 1]]
-    return np.unique(pieces, axis=0)
+    distinct, which = np.unique(pieces, axis=0, return_inverse=True)
+    return distinct, which.ravel(), owners
+
+
+def _beyond(pieces: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Whether a polygon covers the upper side of each piece (of flat ones) or its right side (of steep ones).
+
+    Told by the polygon's own pieces, those with odd, that a ray from the middle of a piece crosses; the piece
+    itself isn't one of them, so that no rounding can put it on either side of itself.
+    """
+    out = np.zeros(len(pieces), bool)
+    own = np.flatnonzero(odd)
+    flat = np.abs(pieces[:, 2] - pieces[:, 0]) >= np.abs(pieces[:, 3] - pieces[:, 1])
+    for of, x1, y1, x2, y2 in ((np.flatnonzero(~flat), 0, 1, 2, 3), (np.flatnonzero(flat), 1, 0, 3, 2)):
+        a1, b1, a2, b2 = (pieces[own, c][None, :] for c in (x1, y1, x2, y2))
+        for at in range(0, len(of), 1024):
+            some = of[at : at + 1024]
+            a, b = ((pieces[some, c] + pieces[some, d])[:, None] / 2 for c, d in ((x1, x2), (y1, y2)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                where = a1 + (b - b1) / (b2 - b1) * (a2 - a1)
+            hit = ((b1 > b) != (b2 > b)) & (where > a) & (own[None, :] != some[:, None])
+            out[some] = hit.sum(axis=1) % 2 == 1
+    return out
 
 
 def inside(points: np.ndarray, seg: np.ndarray) -> np.ndarray:
@@ -104,18 +128,18 @@ class Arrangement:
     def __init__(self, polygons: list[list[Polygon]]):
         seg, owner = _segments(polygons)
         self.n = len(polygons)
-        self.pieces = _noded(seg) if len(seg) else np.zeros((0, 4))
+        self.pieces, which, owners = _noded(seg, owner) if len(seg) else (np.zeros((0, 4)), np.zeros(0, int), np.zeros(0, int))
         d = self.pieces[:, 2:] - self.pieces[:, :2]
-        size = np.hypot(d[:, 0], d[:, 1])[:, None]
-        normal = np.column_stack([-d[:, 1], d[:, 0]]) / np.where(size > 0, size, 1)
-        middle, off = (self.pieces[:, :2] + self.pieces[:, 2:]) / 2, np.minimum(size * 1e-4, 10.0**-PRECISION)
+        # The side of _beyond(): above a flat piece, which leads east, is its left; east of a steep one is its right, if it leads north.
+        beyond_left = np.where(np.abs(d[:, 0]) >= np.abs(d[:, 1]), True, d[:, 1] < 0)
         self.left = np.zeros((len(self.pieces), self.n), bool)
         self.right = np.zeros((len(self.pieces), self.n), bool)
         for k in range(self.n):
-            own = seg[owner == k]
-            if len(own) and len(self.pieces):
-                self.left[:, k] = inside(middle + normal * off, own)
-                self.right[:, k] = inside(middle - normal * off, own)
+            odd = np.bincount(which[owners == k], minlength=len(self.pieces)) % 2 == 1
+            if odd.any():
+                beyond = _beyond(self.pieces, odd)
+                before = beyond ^ odd
+                self.left[:, k], self.right[:, k] = np.where(beyond_left, beyond, before), np.where(beyond_left, before, beyond)
 
     def region(self, wanted: Callable[[np.ndarray], np.ndarray]) -> list[Polygon]:
         """Polygons of the area whose covering rows satisfy wanted (rows of booleans -> booleans)."""
@@ -158,6 +182,8 @@ def _rings(edges: np.ndarray) -> list[Ring]:
             ring.append(at)
             if at == start or at not in after:
                 break
+        if ring[-1] != start:  # pieces that round to one another may leave a gap
+            ring.append(start)
         if len(ring) > 3:
             out.append(ring)
     return out
@@ -238,6 +264,29 @@ def dissolve(layer: DataFrame, keys: list[str]) -> DataFrame:
     return layer.select(*keys, "coords").groupBy(*keys).applyInPandas(_dissolve_pdf(keys), f"{head}, coords {GEOM}")
 
 
+def dissolve_fields(layer: DataFrame, keys: list[str], copy: tuple[str, ...] = (), total: tuple[str, ...] = (), order: str = "fid") -> DataFrame:
+    """dissolve() with fields of the first row of each key (by order) and sums of others; keys may be null."""
+    one = [F.min_by(c, order).alias(c) for c in copy] + [F.sum(c).alias(c) for c in total]
+    fields = layer.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"), *one)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return dissolve(layer, keys).join(fields, same).select(*keys, *copy, *total, "coords")
+
+
+def cleaned(coords, least: float):
+    """Geometries without overlaps of their own parts, parts smaller than an area, and holes smaller than it."""
+    from chronogeo.operators.shapes import per_geometry
+
+    def clean(g: list) -> list:
+        from chronogeo.operators.overlay import ring_area, union
+
+        whole = union([[[[tuple(p) for p in r] for r in part]] for part in g])
+        return [[[list(p) for p in r] for i, r in enumerate(part) if i == 0 or abs(ring_area(r)) >= least] for part in whole if abs(ring_area(part[0])) >= least]
+
+    return per_geometry(coords, clean)
+
+
 def dissolve_tiled(layer: DataFrame, keys: list[str], size: float | None) -> DataFrame:
     """dissolve(), within tiles of a size first: then only outlines of tiles meet in one task."""
     if size is not None:

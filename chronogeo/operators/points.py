@@ -103,7 +103,7 @@ def group_texts(members: DataFrame, group: list[str], label: str = "label", weig
 
 
 def search_index(features: DataFrame) -> DataFrame:
-    """category, entries (label, timed: start, end, bbox, area), sorted by name, label and start.
+    """category, label, timed (start, end, bbox, area of each time, sorted by index start): a row for each label, in ranges by category and label.
 
     features: category, label, time_start, time_end, time_index_start, time_index_end, lng, lat, area_m2, one row per vertex.
     """
@@ -113,13 +113,12 @@ def search_index(features: DataFrame) -> DataFrame:
     timed = timed.withColumn("bbox", F.when(one, F.array("w", "s")).otherwise(F.array("w", "s", "e", "n")))
     entry = F.struct("time_index_start", "time_start", "time_end", "time_index_end", "bbox", "area_m2")
     labels = timed.groupBy("category", "label").agg(F.array_sort(F.collect_list(entry)).alias("timed"))
-    return labels.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("label", "timed"))).alias("entries")).orderBy("category")
+    return labels.orderBy("category", "label")
 
 
 def search_rows(index: DataFrame) -> DataFrame:
     """One row per category, label and time of an index."""
-    entries = index.select("category", F.inline("entries"))
-    return entries.select("category", "label", F.inline("timed"))
+    return index.select("category", "label", F.inline("timed"))
 
 
 def fuzzy_score(query: str, label: Column, category: Column) -> Column:
@@ -161,6 +160,36 @@ def tiles(boxes: DataFrame) -> DataFrame:
     return at.withColumn("x", F.explode(F.sequence(x0, x1))).withColumn("y", F.explode(F.sequence(y0, y1)))
 
 
+def tile_box(z: Column, x: Column, y: Column, margin: float = 0.0) -> tuple[Column, Column, Column, Column]:
+    """West, south, east and north of a tile, wider by a share of it; tiles at the edge of the world have no end there."""
+    n = F.pow(F.lit(2.0), z)
+    edge = lambda beyond, v: F.when(beyond, F.lit(None).cast("double")).otherwise(v)
+    lng = lambda v: v / n * 360 - 180
+    lat = lambda v: F.degrees(F.atan(F.sinh(F.lit(3.141592653589793) * (1 - 2 * v / n))))
+    far = F.lit(float("inf"))
+    return (
+        F.coalesce(edge(x == 0, lng(x - margin)), -far), F.coalesce(edge(y == n - 1, lat(y + 1 + margin)), -far),
+        F.coalesce(edge(x == n - 1, lng(x + 1 + margin)), far), F.coalesce(edge(y == 0, lat(y - margin)), far),
+    )
+
+
+def greedy_chunks(rows: DataFrame, key: list[str], fid: str, size: str, limit: int) -> DataFrame:
+    """key, fid, chunk: rows in order of fid, a new chunk of each key begins when the one before holds limit or more. Only sizes are moved."""
+    head = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*key, fid])
+
+    def run(pdf):
+        chunk, total, out = 0, 0, []
+        pdf = pdf.sort_values(fid)
+        for n in pdf[size]:
+            if total >= limit:
+                chunk, total = chunk + 1, 0
+            out.append(chunk)
+            total += n
+        return pdf[[*key, fid]].assign(chunk=out)
+
+    return rows.select(*key, fid, size).groupBy(*key).applyInPandas(run, f"{head}, chunk int")
+
+
 def property_profile(layer: DataFrame, name: str) -> DataFrame:
     """layer, key, min_number, max_number, non_null, nulls of each property; keys sorted."""
     columns = [c for c, t in layer.dtypes if not t.startswith(("struct", "array", "map"))]

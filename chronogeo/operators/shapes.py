@@ -300,6 +300,135 @@ def dots(parts: list, n: int, key: str) -> list[list[float]]:
     return out[:n]
 
 
+def _cut_ring(ring: list, axis: int, bound: float, below: bool) -> list:
+    """The part of a closed ring on one side of a line along an axis."""
+    out = []
+    keep = lambda p: p[axis] <= bound if below else p[axis] >= bound
+    for a, b in zip(ring, ring[1:]):
+        if keep(a) != keep(b):
+            t = (bound - a[axis]) / (b[axis] - a[axis])
+            p = [a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])]
+            p[axis] = bound
+            out.append(p)
+        if keep(b):
+            out.append(list(b))
+    return [out[-1], *out] if len(out) > 2 else []
+
+
+def _cut_stretch(line: list, w: float, s: float, e: float, n: float) -> list[list]:
+    """Stretches of a line within a box."""
+    out, current = [], []
+    for a, b in zip(line, line[1:]):
+        low, high = 0.0, 1.0
+        for axis, least, most in ((0, w, e), (1, s, n)):
+            d = b[axis] - a[axis]
+            if d == 0:
+                if not least <= a[axis] <= most:
+                    low, high = 1.0, 0.0
+                continue
+            t = sorted(((least - a[axis]) / d, (most - a[axis]) / d))
+            low, high = max(low, t[0]), min(high, t[1])
+        if low >= high:
+            if len(current) > 1:
+                out.append(current)
+            current = []
+            continue
+        p, q = ([a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])] for t in (low, high))
+        if low > 0 or not current:
+            if len(current) > 1:
+                out.append(current)
+            current = [list(a) if low == 0 else p]
+        current.append(list(b) if high == 1 else q)
+    return [*out, current] if len(current) > 1 else out
+
+
+def box_part(g: list, kind: str, w: float, s: float, e: float, n: float) -> list:
+    """What of a geometry lies in a box."""
+    if kind.endswith("Point"):
+        return [[kept] for part in g for ring in part if (kept := [p for p in ring if w <= p[0] <= e and s <= p[1] <= n])]
+    if kind.endswith("LineString"):
+        return [[x] for part in g for ring in part for x in _cut_stretch(ring, w, s, e, n)]
+    out = []
+    for part in g:
+        rings = []
+        for ring in part:
+            for axis, bound, below in ((0, w, False), (0, e, True), (1, s, False), (1, n, True)):
+                ring = _cut_ring(ring, axis, bound, below) if ring else ring
+            rings.append(ring)
+        if rings and rings[0]:
+            out.append([r for r in rings if r])
+    return out
+
+
+def clipped_to_box(coords: Column, kind: Column, w: Column, s: Column, e: Column, n: Column) -> Column:
+    """Geometries cut by a box of their own row; empty where nothing lies in it."""
+
+    def udf(*columns: pa.Array) -> pa.Array:
+        from chronogeo.operators.shapes import box_part
+
+        rows = zip(*(c.to_pylist() for c in columns))
+        return pa.array([None if g is None else box_part(g, k or "", *b) for g, k, *b in rows], columns[0].type)
+
+    return F.arrow_udf(udf, GEOM)(coords, kind, w, s, e, n)
+
+
+def _crosses(ring: list) -> bool:
+    """Whether two sides of a closed ring that are no neighbours meet."""
+    p = np.asarray(ring, float)
+    a, b, n = p[:-1], p[1:], len(p) - 1
+    side = lambda o, d, q: np.sign((d[..., 0] - o[..., 0]) * (q[..., 1] - o[..., 1]) - (d[..., 1] - o[..., 1]) * (q[..., 0] - o[..., 0]))
+    for i in range(n - 2):
+        js = np.arange(i + 2, n - (i == 0))
+        o, d, u, v = a[i], b[i], a[js], b[js]
+        meet = (side(o, d, u) * side(o, d, v) < 0) & (side(u, v, o) * side(u, v, d) < 0)
+        if meet.any():
+            return True
+    return False
+
+
+def crosses_itself(coords: Column) -> Column:
+    """Whether a ring of a geometry crosses itself."""
+
+    def udf(rows: pa.Array) -> pa.Array:
+        from chronogeo.operators.shapes import _crosses
+
+        return pa.array([g is not None and any(_crosses(r) for part in g for r in part if len(r) > 4) for g in rows.to_pylist()], pa.bool_())
+
+    return F.arrow_udf(udf, "boolean")(coords)
+
+
+def _midpoint(a: tuple, b: tuple) -> tuple[float, float]:
+    turn, p, q = math.radians(b[0] - a[0]), math.radians(a[1]), math.radians(b[1])
+    x, y = math.cos(q) * math.cos(turn), math.cos(q) * math.sin(turn)
+    return a[0] + math.degrees(math.atan2(y, math.cos(p) + x)), math.degrees(math.atan2(math.sin(p) + math.sin(q), math.hypot(math.cos(p) + x, y)))
+
+
+def great_circle(a: tuple, b: tuple, depth: int = 16) -> list[tuple]:
+    """Points between two places, halved until each half turns by less than two degrees on the map."""
+    m = _midpoint(a, b)
+    at = lambda p: (p[0], math.degrees(math.asinh(math.tan(math.radians(max(-89.9, min(89.9, p[1])))))))
+    (ax, ay), (mx, my), (bx, by) = at(a), at(m), at(b)
+    angle = abs(math.degrees(math.atan2(by - my, bx - mx) - math.atan2(ay - my, ax - mx))) % 360
+    if depth == 0 or 178 <= angle <= 182:
+        return []
+    return [*great_circle(a, m, depth - 1), m, *great_circle(m, b, depth - 1)]
+
+
+def measured_lines(line: Column) -> Column:
+    """A line (array of points) with great circle points between its own."""
+
+    def udf(rows: pa.Array) -> pa.Array:
+        from chronogeo.operators.shapes import great_circle
+
+        out = []
+        for r in rows.to_pylist():
+            points = [tuple(p) for p in r or []]
+            out.append(None if r is None else [list(p) for a, b in zip(points, points[1:]) for p in (a, *great_circle(a, b))] + [list(p) for p in points[-1:]])
+        return pa.array(out, pa.list_(pa.list_(pa.float64())))
+
+    return F.arrow_udf(udf, "array<array<double>>")(line)
+
+
 def dot_points(coords: Column, n: Column, key: Column) -> Column:
     def udf(gs: pa.Array, ns: pa.Array, keys: pa.Array) -> pa.Array:
         return pa.array([dots(g, m, k) if g and m else [] for g, m, k in zip(gs.to_pylist(), ns.to_pylist(), keys.to_pylist())], pa.list_(pa.list_(pa.float64())))

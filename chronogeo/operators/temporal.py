@@ -165,14 +165,16 @@ def align(layers: dict[str, DataFrame], start: str = "time_start", end: str = "t
 def pad(sliced: DataFrame, axis: DataFrame, key: str) -> DataFrame:
     """Every slice of the axis, with the layer's rows or one row without a feature."""
     a = axis.select(F.col("slice_start").alias("_s"), F.col("slice_end").alias("_e"))
-    met = F.broadcast(a).join(sliced, F.col("_s").eqNullSafe(F.col("slice_start")) & F.col("_e").eqNullSafe(F.col("slice_end")), "left")
+    met = a.join(sliced, F.col("_s").eqNullSafe(F.col("slice_start")) & F.col("_e").eqNullSafe(F.col("slice_end")), "left")
     return met.withColumn("slice_start", F.col("_s")).withColumn("slice_end", F.col("_e")).drop("_s", "_e")
 
 
 def time_index(layer: DataFrame, meta: DataFrame, key: list[str], start: str = "time_start", end: str = "time_end") -> DataFrame:
     """key, time_index_start (first slice that the feature lives in), time_index_end (last one plus 1)."""
-    hit = intersects(F.col(start), F.col(end), F.col("slice_start"), F.col("slice_end"))
-    met = layer.join(F.broadcast(meta), hit, "left").groupBy(*key).agg(F.min("id").alias("_first"), F.max("id").alias("_last"))
+    found = slice_layer(layer.select(*key, start, end), meta, start, end).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "id")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)])
+    found = found.groupBy(*[f"_k{i}" for i in range(len(key))]).agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    met = layer.select(*key).join(found, same, "left").groupBy(*key).agg(F.min("_low").alias("_first"), F.max("_high").alias("_last"))
     first = F.when(F.col("_first").isNull(), F.raise_error(F.lit("no slice for a range"))).otherwise(F.col("_first"))
     return met.select(*key, first.cast("int").alias("time_index_start"), (F.col("_last") + 1).cast("int").alias("time_index_end"))
 
@@ -182,7 +184,7 @@ def index_years(ids: DataFrame, meta: DataFrame, column: str = "id") -> DataFram
     low = meta.agg(F.min("id")).first()[0]
     asked = F.when(F.col(column).between(low, 0), F.col(column)).when(F.col(column).isNotNull(), 0)
     m = meta.select(F.col("id").alias("_id"), "slice_start", "slice_end")
-    return ids.join(F.broadcast(m), asked == F.col("_id"), "left").drop("_id")
+    return ids.join(m, asked == F.col("_id"), "left").drop("_id")
 
 
 def limit_time(layer: DataFrame, low: int | None, high: int | None, start: str = "time_start", end: str = "time_end") -> DataFrame:
@@ -210,7 +212,9 @@ def representative_year(s: Column, e: Column) -> Column:
 
 def year_to_slice(years: DataFrame, meta: DataFrame, year: str = "year") -> DataFrame:
     """years with the id of the slice that holds each."""
-    return years.join(F.broadcast(meta), contains(F.col("slice_start"), F.col("slice_end"), F.col(year)), "left")
+    distinct = years.select(F.col(year).alias("_year"), (F.col(year) + 1).alias("_after")).filter("_year IS NOT NULL").distinct()
+    found = slice_layer(distinct, meta, "_year", "_after")
+    return years.join(found.drop("_after"), F.col(year) == F.col("_year"), "left").drop("_year")
 
 
 def has_time(layer: DataFrame, start: str = "time_start", end: str = "time_end") -> bool:

@@ -48,10 +48,14 @@ def _borders_layer(get) -> DataFrame:
     return _cells(get).select(F.col("key").alias("nation"), F.lit("").alias("subregion"), F.col("key").alias("region"), F.col("fid").cast("string").alias("province"), "coords", "time_start", "time_end")
 
 
+#: Where the land of the grid ends, to the east, in the middle of cells.
+LAND_EAST = 9.5
+
+
 def _land(get) -> DataFrame:
-    """All that the grid covers, and more."""
+    """The west of the grid: all cells up to the middle of one column."""
     size = float(1 << 24)
-    return get("region").limit(1).select(square(F.lit(-1.0), F.lit(-1.0), size).alias("coords"))
+    return get("region").filter("r_regionkey = 0").select(square(F.lit(LAND_EAST - size), F.lit(-1.0), size).alias("coords"))
 
 
 def _step(layer: DataFrame, name: str, **parameters) -> DataFrame:
@@ -144,12 +148,16 @@ _areal("BORDER_VARIANTS__SUBREGIONS", "SELECT key AS label, time_start, CAST(cou
 _SHARED = "SELECT time_start, x1, y1, x2, y2, count(*) AS n, count(DISTINCT key) AS k FROM f_sides GROUP BY time_start, x1, y1, x2, y2"
 
 
-@query("nation_borders", f"SELECT time_start, CAST(count(*) AS DOUBLE) AS length FROM ({_SHARED}) s WHERE n = 1 OR k = 2 GROUP BY time_start")
+#: Length of an edge on land: west-east ones are cut, others lie on one side.
+_ON_LAND = f"CASE WHEN x1 < x2 THEN greatest(least(x2, {LAND_EAST}e0) - x1, 0) WHEN x1 < {LAND_EAST} THEN 1e0 ELSE 0e0 END"
+
+
+@query("nation_borders", f"SELECT time_start, sum(CASE WHEN n = 1 THEN {_ON_LAND} ELSE 1 END) AS length FROM ({_SHARED}) s WHERE n = 1 OR k = 2 GROUP BY time_start HAVING sum(CASE WHEN n = 1 THEN {_ON_LAND} ELSE 1 END) > 0")
 def _(get):
     return _lengths(_step(_borders_layer(get), "BORDER_VARIANTS__NATION_BORDERS", land_without_water=_land(get)), "time_start")
 
 
-@query("subregion_borders", f"SELECT time_start, CAST(count(*) AS DOUBLE) AS length FROM ({_SHARED}) s WHERE n = 1 OR k = 2 GROUP BY time_start")
+@query("subregion_borders", f"SELECT time_start, sum(CASE WHEN n = 1 THEN {_ON_LAND} ELSE 1 END) AS length FROM ({_SHARED}) s WHERE n = 1 OR k = 2 GROUP BY time_start HAVING sum(CASE WHEN n = 1 THEN {_ON_LAND} ELSE 1 END) > 0")
 def _(get):
     return _lengths(_step(_borders_layer(get), "BORDER_VARIANTS__SUBREGION_BORDERS", land_without_water=_land(get)), "time_start")
 
@@ -159,7 +167,7 @@ def _(get):
     return _lengths(_step(_borders_layer(get), "BORDER_VARIANTS__REGION_BORDERS"), "time_start")
 
 
-@query("province_borders", f"SELECT time_start, CAST(count(*) AS DOUBLE) AS length FROM ({_SHARED}) s WHERE n = 2 AND k = 1 GROUP BY time_start")
+@query("province_borders", f"SELECT time_start, sum({_ON_LAND}) AS length FROM ({_SHARED}) s WHERE n = 2 AND k = 1 GROUP BY time_start HAVING sum({_ON_LAND}) > 0")
 def _(get):
     return _lengths(_step(_borders_layer(get), "BORDER_VARIANTS__PROVINCE_BORDERS", land_without_water=_land(get)), "time_start")
 
@@ -211,14 +219,14 @@ def _(get):
 @query("layer_colors", "SELECT * FROM (VALUES ('land', 248, 241, 225), ('districts', 212, 204, 185), ('deserts', 255, 247, 190), ('swamps', 183, 197, 188), ('mountains', 222, 212, 184), ('hills', 235, 227, 205), ('forests', 187, 226, 198), ('waters', 138, 180, 248), ('buildings', 119, 136, 153), ('roads', 185, 157, 92)) AS t(layer, r, g, b)")
 def _(get):
     names = F.array(*[F.lit(x) for x in ("land", "districts", "deserts", "swamps", "mountains", "hills", "forests", "waters", "buildings", "roads")])
-    rows = get("region").limit(1).select(F.explode(names).alias("layer"))
+    rows = get("region").filter("r_regionkey = 0").select(F.explode(names).alias("layer"))
     return rows.withColumn("c", colors.layer_color(F.col("layer"))).select("layer", "c.r", "c.g", "c.b")
 
 
 @query("prepare_export", "SELECT fid, CAST(least(size, 5) AS INT) AS tile_minzoom, 5 AS tile_maxzoom FROM f_locations")
 def _(get):
     rows = get("f_locations").withColumn("minzoom", F.col("size")).withColumn("maxzoom", F.lit(None).cast("int"))
-    meta = get("region").limit(1).select(F.lit(0).alias("id"), F.lit(None).cast("int").alias("slice_start"), F.lit(None).cast("int").alias("slice_end"))
+    meta = get("region").filter("r_regionkey = 0").select(F.lit(0).alias("id"), F.lit(None).cast("int").alias("slice_start"), F.lit(None).cast("int").alias("slice_end"))
     none = F.lit(None).cast("int")
     return derive.prepare_export(rows.withColumn("time_start", none).withColumn("time_end", none), meta, "fid", 5).select("fid", "export.*")
 
@@ -234,7 +242,7 @@ def _(get):
     return _lengths(_step(_lines(get), "SMOOTH_LINES"), "line_id")
 
 
-@query("river_labels")
+@query("river_labels", "SELECT 'r' || (line_id % 1000) AS label, round(sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))), 6) AS length FROM (SELECT line_id, lng AS x1, lat AS y1, lead(lng) OVER w AS x2, lead(lat) OVER w AS y2 FROM f_vertices WINDOW w AS (PARTITION BY line_id ORDER BY seq)) WHERE x2 IS NOT NULL GROUP BY ALL")
 def _(get):
     return _lengths(_step(_lines(get).withColumn("label", F.concat(F.lit("r"), F.col("line_id") % 1000)), "RIVER_LABELS"), "label")
 
@@ -245,9 +253,12 @@ def _shrunk(get, size: float = 0.01) -> DataFrame:
     return rows.withColumn("coords", square(F.col("x") * size, F.pmod(F.col("y"), F.lit(8000)) * size, size)).select("fid", "key", "coords", "time_start", "time_end")
 
 
-@query("label_centers")
+@query("label_centers", """WITH c AS (SELECT fid, CAST(floor(log2(10000 / sqrt(6371e0 * 6371 * radians(1) * (sin(radians(y % 80 + 1)) - sin(radians(y % 80))) / cos(radians(y % 80 + 0.5e0))))) AS INT) AS z FROM f_bands)
+SELECT CAST(fid AS VARCHAR(20)) AS label, z AS minzoom, z + 3 AS maxzoom, 0e0 AS angle, 1 AS n FROM c UNION ALL SELECT CAST(fid AS VARCHAR(20)), z + 4, z + 7, 0e0, 4 FROM c WHERE floor((10 + 3 - z) / 4) >= 1 UNION ALL SELECT CAST(fid AS VARCHAR(20)), z + 8, z + 11, 0e0, 16 FROM c WHERE floor((10 + 3 - z) / 4) >= 2""")
 def _(get):
-    return _step(_shrunk(get).withColumnRenamed("key", "label"), "GENERATE_LABEL_CENTERS", generateSubLabels=False).select("label", "time_start", "minzoom", "maxzoom", "angle")
+    rows = get("f_bands").select(F.col("fid").cast("string").alias("label"), square(F.col("x"), F.pmod(F.col("y"), F.lit(80))).alias("coords"), "time_start", "time_end")
+    found = run_step(Context(rows.sparkSession, max_zoom=10), "GENERATE_LABEL_CENTERS", {"in": rows})
+    return found.groupBy("label", "minzoom", "maxzoom", "angle").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 @query("highlights")
@@ -260,24 +271,43 @@ def _(get):
     return _areas(_step(_shrunk(get), "BUFFER_POLYGONS"), "time_start")
 
 
-def _road_lines(get) -> DataFrame:
-    """One short line along the foot of each cell."""
-    rows = _shrunk(get)
-    foot = F.slice(F.col("coords")[0][0], 1, 2)
-    return rows.withColumn("coords", F.array(F.array(foot))).withColumn("width", F.lit(200)).drop("key")
+_SIZE = 0.1
+_RIVERS = f"""r AS (SELECT fid, x * {_SIZE} AS x, (y % 300) * {_SIZE} AS y, time_start, time_start + 1 + CAST(fid % 2 AS INT) AS time_end, CASE WHEN x < {LAND_EAST} AND fid % 3 > 0 THEN 0.1e0 ELSE 1e0 END AS u, CASE WHEN x < {LAND_EAST} AND fid % 3 = 1 THEN 0.1e0 ELSE 1e0 END AS v FROM f_bands),
+m AS (SELECT *, 2000 * ((1 + 0.00001120378 * (cos(2 * radians(y + 0.5 * {_SIZE})) - 1)) / cos(radians(y + 0.5 * {_SIZE})) / 111319.491 / 2) AS half FROM r)"""
+#: Area of a stretch with half widths at both ends, each with half a polygon of 20 corners as its cap.
+_RIBBON = f"0.4e0 * {_SIZE} * (u + v) * half + 5 * sin(pi() / 10) * (u * u + v * v) * half * half"
 
 
-@query("shape_roads")
+def _short_lines(get) -> DataFrame:
+    """One short line in the middle of each cell; every second one lives for two slices."""
+    rows = get("f_bands").withColumn("time_end", F.col("time_end") + (F.col("fid") % 2).cast("int"))
+    x, y = F.col("x") * _SIZE, F.pmod(F.col("y"), F.lit(300)) * _SIZE
+    point = lambda dx: F.array(x + dx * _SIZE, y + 0.5 * _SIZE)
+    return rows.select("fid", F.col("x").alias("column"), F.array(F.array(F.array(point(0.3), point(0.7)))).alias("coords"), F.lit(2000).alias("width"), "time_start", "time_end")
+
+
+@query("shape_roads", f"WITH {_RIVERS} SELECT time_start, time_end, round(sum({_RIBBON.replace('u', '1').replace('v', '1')}), 6) AS area FROM m GROUP BY time_start, time_end")
 def _(get):
-    return _areas(_step(_road_lines(get), "SHAPE_ROADS"), "time_start")
+    return _ribbon_areas(_step(_short_lines(get).drop("fid", "column"), "SHAPE_ROADS"))
+
+
+def _ribbon_areas(layer: DataFrame) -> DataFrame:
+    return layer.groupBy("time_start", "time_end").agg(F.round(F.sum(planar_area(F.col("coords"))), 6).alias("area"))
 
 
-@query("shape_rivers")
+@query("shape_rivers", f"WITH {_RIVERS} SELECT time_start, time_end, round(sum({_RIBBON}), 6) AS area FROM m GROUP BY time_start, time_end")
 def _(get):
-    return _areas(_step(_road_lines(get), "SHAPE_RIVERS", land_without_water=_land(get)), "time_start")
+    # On land, west of a line: all of a river (both ends are springs), or its beginning only, or nothing.
+    rivers = _short_lines(get)
+    span = F.when(F.col("fid") % 3 == 1, 1.0).when(F.col("fid") % 3 == 2, 0.5)
+    x, y = F.col("coords")[0][0][0][0] - 0.3 * _SIZE, F.col("coords")[0][0][0][1] - 0.5 * _SIZE
+    corner = lambda dx, dy: F.array(x + dx * _SIZE, y + dy * _SIZE)
+    ring = F.array(corner(F.lit(0.0), 0), corner(span, 0), corner(span, 1), corner(F.lit(0.0), 1), corner(F.lit(0.0), 0))
+    land = rivers.filter((F.col("column") < LAND_EAST) & span.isNotNull()).select(F.array(F.array(ring)).alias("coords"), "time_start", "time_end")
+    return _ribbon_areas(_step(rivers.drop("fid", "column"), "SHAPE_RIVERS", land_without_water=land))
 
 
-@query("fractal_detail")
+@query("fractal_detail", "SELECT fid, 33 AS vertices FROM f_cells")
 def _(get):
     return _step(_cells(get).withColumn("coords", square(F.col("x"), F.pmod(F.col("y"), F.lit(80)))).select("fid", "coords", "time_start", "time_end"), "ADD_FRACTAL_DETAIL").select("fid", F.size(F.flatten(F.flatten("coords"))).alias("vertices"))
 
@@ -287,7 +317,7 @@ def _(get):
     return _areas(_step(_shrunk(get, 0.001).withColumn("pattern", F.when(F.col("fid") % 10 == 0, "pebbles")).drop("key"), "RESOLVE_PATTERNS"), "fid")
 
 
-@query("simplify_rings")
+@query("simplify_rings", "SELECT fid, 0.5e0 AS area FROM f_cells")
 def _(get):
     return _cells(get).select("fid", F.round(planar_area(shapes.simplified(F.col("coords"), 0.5)), 6).alias("area"))
 

@@ -8,11 +8,13 @@ one before it. Other entries of a step are its parameters.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from typing import Any
 
 import yaml
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chronogeo.plans.steps import SLICED, STEPS, Context, run_step
 from chronogeo.session import durable_table
@@ -79,6 +81,12 @@ def ordered(nodes: dict[str, Node]) -> list[str]:
     return out
 
 
+def runtimes(ctx: Context, text: str) -> DataFrame:
+    """step, id, seconds of the steps that have run, most first; a step that isn't written took only its planning."""
+    nodes = parse(text)
+    return ctx.spark.createDataFrame([(nodes[k].step, k, s) for k, s in ctx.seconds.items()], "step string, id string, seconds double").orderBy(F.desc("seconds"))
+
+
 def run(ctx: Context, text: str, only: list[str] | None = None) -> dict[str, DataFrame]:
     """Results of all steps (or of those needed for some) by id.
 
@@ -105,8 +113,9 @@ def run(ctx: Context, text: str, only: list[str] | None = None) -> dict[str, Dat
             readers[source] = readers.get(source, 0) + 1
     out: dict[str, DataFrame] = {}
     for key in order:
-        node = nodes[key]
+        node, began = nodes[key], time.perf_counter()
         result = run_step(ctx, node.step, {k: out[s] for k, s in node.inputs.items()}, **node.parameters)
         keep = result is not None and (STEPS[node.step].needs == SLICED or readers.get(key, 0) > 1)
         out[key] = durable_table(result) if keep else result
+        ctx.seconds[key] = time.perf_counter() - began
     return out

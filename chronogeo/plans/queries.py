@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from chronogeo.sources import writers
 VIEWS = {
     "f_locations": "SELECT c_custkey AS fid, c_name AS label, 'https://example.org/wiki/' || replace(c_name, ' ', '_') AS link, lower(c_mktsegment) AS type, CAST(c_custkey % 4 AS INT) AS size, (c_custkey % 7 = 0) AS capital, CAST(ceil(abs(c_acctbal) / 1e2) * 100 AS INT) AS article_length, CAST((c_custkey * 7919) % 36000 AS DOUBLE) / 1e2 - 180e0 AS lng, CAST((c_custkey * 104729) % 16000 AS DOUBLE) / 1e2 - 80e0 AS lat FROM customer",
     "f_intervals": "SELECT o_orderkey AS fid, o_custkey AS key, CAST(o_orderkey % 4 + 2 AS INT) AS value, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INT) END AS time_start, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(year(o_orderdate) * 12 + month(o_orderdate) + 1 + o_orderkey % 24 AS INT) END AS time_end FROM orders",
+    "f_bounded": "SELECT fid, coalesce(time_start, 23900) AS time_start, coalesce(time_end, 24100) AS time_end FROM f_intervals",
     "f_vertices": "SELECT l_orderkey AS line_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS seq, CAST((l_partkey * 37) % 3600 AS DOUBLE) / 1e1 - 180e0 AS lng, CAST((l_partkey * 53 + l_linenumber * 97) % 1600 AS DOUBLE) / 1e1 - 80e0 AS lat FROM lineitem",
     "f_cells": "SELECT p_partkey AS fid, p_brand AS key, CAST(p_partkey % 20 AS INT) AS x, CAST(floor(p_partkey / 20e0) AS INT) AS y FROM part",
     "f_edges": "SELECT c.fid, c.key, c.x + e.dx1 AS x1, c.y + e.dy1 AS y1, c.x + e.dx2 AS x2, c.y + e.dy2 AS y2 FROM f_cells c CROSS JOIN (VALUES (0,0,1,0),(1,0,1,1),(0,1,1,1),(0,0,0,1)) AS e(dx1, dy1, dx2, dy2)",
@@ -63,7 +65,8 @@ def query(name: str, sql: str | None = None):
             names = _views_in(sql)
             inner = ", ".join(f"{v} AS ({VIEWS[v]})" for v in names)
             body = sql.strip()
-            ORACLE[name] = f"WITH {inner}, {body[5:]}" if inner and body.upper().startswith("WITH ") else (f"WITH {inner} {body}" if inner else body)
+            head = next((h for h in ("WITH RECURSIVE ", "WITH ") if body.startswith(h)), "")
+            ORACLE[name] = f"{head or 'WITH '}{inner}{', ' if head else ' '}{body[len(head):]}" if inner else body
         return f
 
     return add
@@ -181,20 +184,25 @@ def _(get):
     return temporal.index_years(ids, temporal.time_meta(_axis(get)), "asked").select("event_id", "slice_start", "slice_end")
 
 
-@query("time_align", f"WITH {_SLICES} SELECT slice_start, slice_end, CAST(value AS INT) AS layer, count(*) AS n FROM f_intervals JOIN s ON {_MEET} WHERE value <= 4 GROUP BY ALL")
+@query("time_align", f"WITH {_SLICES} SELECT slice_start, slice_end, CAST(value AS INT) AS layer, count(*) AS n FROM f_intervals JOIN s ON {_MEET} GROUP BY ALL")
 def _(get):
     rows = _months(get)
-    layers = {str(v): rows.filter(F.col("value") == v) for v in (2, 3, 4)}
+    layers = {str(v): rows.filter(F.col("value") == v) for v in (2, 3, 4, 5)}
     axis = _axis(get)
     cut = [temporal.slice_layer(x, axis).groupBy("slice_start", "slice_end").agg(F.count(F.lit(1)).alias("n")).withColumn("layer", F.lit(int(v))) for v, x in layers.items()]
-    return cut[0].unionByName(cut[1]).unionByName(cut[2])
+    return reduce(DataFrame.unionByName, cut)
 
 
-@query("time_pad", f"WITH {_SLICES}, r AS (SELECT slice_start, slice_end, fid FROM f_intervals JOIN s ON {_MEET} WHERE fid % 97 = 0) SELECT s.slice_start, s.slice_end, count(fid) AS n FROM s LEFT JOIN r ON r.slice_start IS NOT DISTINCT FROM s.slice_start AND r.slice_end IS NOT DISTINCT FROM s.slice_end GROUP BY ALL")
+_PADDED = """b AS (SELECT time_start AS b FROM f_bounded UNION SELECT time_end FROM f_bounded UNION SELECT CAST(n_nationkey + 40000 AS INT) FROM nation),
+s AS (SELECT CAST(NULL AS INT) AS slice_start, min(b) AS slice_end FROM b UNION ALL SELECT b, lead(b) OVER (ORDER BY b) FROM b)"""
+
+
+@query("time_pad", f"WITH {_PADDED}, r AS (SELECT slice_start, slice_end, fid FROM f_bounded JOIN s ON {_MEET}) SELECT s.slice_start, s.slice_end, count(fid) AS n FROM s LEFT JOIN r ON r.slice_start IS NOT DISTINCT FROM s.slice_start AND r.slice_end IS NOT DISTINCT FROM s.slice_end GROUP BY s.slice_start, s.slice_end")
 def _(get):
-    axis = _axis(get)
-    cut = temporal.slice_layer(_months(get).filter("fid % 97 = 0"), axis)
-    return temporal.pad(cut, axis, "fid").groupBy("slice_start", "slice_end").agg(F.count("fid").alias("n"))
+    rows = get("f_bounded")
+    late = get("nation").select((F.col("n_nationkey") + 40000).cast("int").alias("time_start"), F.lit(None).cast("int").alias("time_end"))
+    axis = temporal.slices(temporal.barriers(rows, late))
+    return temporal.pad(temporal.slice_layer(rows, axis), axis, "fid").groupBy("slice_start", "slice_end").agg(F.count("fid").alias("n"))
 
 
 @query("city_zoom", "SELECT fid, CASE size WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 4 END AS minzoom FROM f_locations")
@@ -320,7 +328,10 @@ def _(get):
     return get("nation").select(F.col("n_name").alias("name"), text.string_hash(F.col("n_name")).alias("hash"), text.hash_bucket(F.col("n_name")).alias("bucket"))
 
 
-@query("location_texts")
+@query("location_texts", """WITH RECURSIVE t AS (SELECT DISTINCT '<h3><a href="' || link || '">' || label || '</a></h3>' || type AS html FROM f_locations),
+h AS (SELECT html, 0 AS i, CAST(0 AS BIGINT) AS v FROM t UNION ALL SELECT html, i + 1, (v * 31 + unicode(substr(html, i + 1, 1))) % 4294967296 FROM h WHERE i < length(html)),
+k AS (SELECT html, abs(CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END) AS id FROM h WHERE i = length(html))
+SELECT id, CAST(id % 10 AS INT) AS bucket, html FROM k""")
 def _(get):
     rows = get("f_locations").withColumn("text", F.col("type"))
     return derive.location_texts(rows)
@@ -510,7 +521,7 @@ def _(get):
 
 @query("search_category_counts", "SELECT type AS category, count(*) AS entries FROM f_locations GROUP BY type")
 def _(get):
-    return _index(get).select("category", F.size("entries").cast("bigint").alias("entries"))
+    return _index(get).groupBy("category").agg(F.count("label").alias("entries"))
 
 
 @query("search_topk", "SELECT category, label FROM (SELECT type AS category, label FROM f_locations WHERE lower(label) LIKE '%customer#00000001%' ORDER BY label, category LIMIT 10)")

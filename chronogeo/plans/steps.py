@@ -12,12 +12,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronogeo.functions import colors, geo
 from chronogeo.operators import derive, edges, lines, overlay, points, shapes, temporal
-from chronogeo.session import durable_table
+from chronogeo.session import durable_table, ship_package
 from chronogeo.sources import writers
 
 ANY, MERGED, SLICED = "ANY", "MERGED", "SLICED"
@@ -25,6 +25,8 @@ SLICE = ["slice_start", "slice_end"]
 TIME = ["time_start", "time_end"]
 HIGHLIGHT_VERTICES = 10_000
 RIVER_WIDTH_M = 2000.0
+#: Tiles hold what lies in them and so much, as a share of a tile, beyond.
+TILE_MARGIN = 1 / 64
 
 
 @dataclass
@@ -40,6 +42,8 @@ class Context:
     #: Groups of a geometric step with more vertices are cut into tiles.
     group_vertices: int = 20_000
     results: dict[str, DataFrame] = field(default_factory=dict)
+    #: Seconds of the steps of a pipeline, by id.
+    seconds: dict[str, float] = field(default_factory=dict)
 
 
 @dataclass
@@ -71,6 +75,7 @@ def timed(layer: DataFrame) -> DataFrame:
 def run_step(ctx: Context, name: str, inputs: dict[str, DataFrame], **parameters) -> DataFrame | None:
     """Runs a step; slices its inputs on a common axis and merges its output where it asks for that."""
     s = STEPS[name]
+    ship_package(ctx.spark)
     inputs = {k: timed(x) if k not in ("time-meta", "meta") else x for k, x in inputs.items()}
     if s.needs != SLICED:
         return s.run(ctx, inputs, **parameters)
@@ -83,6 +88,11 @@ def run_step(ctx: Context, name: str, inputs: dict[str, DataFrame], **parameters
     return temporal.merge_layer(out)
 
 
+def _key(*columns: str) -> Column:
+    """One text for some columns; unlike Spark's hashes it tells where a null stands."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def _truthy(name: str) -> Column:
     return F.col(name).isNotNull() & (F.col(name).cast("string") != "")
 
@@ -322,40 +332,51 @@ def add_fractal_detail(ctx, inputs):
     return shapes.add_fractal_detail(inputs["in"], ctx.longest_edge)
 
 
+def _line_points(layer: DataFrame, width: Column) -> DataFrame:
+    """Vertices of the distinct lines of a layer: slice, line (a hash of it), seq, last (the greatest seq), lng, lat, w (metres)."""
+    rows = layer.select(*SLICE, width.alias("w"), F.explode(F.flatten("coords")).alias("_r")).filter(F.size("_r") > 1).distinct()
+    rows = rows.select(*SLICE, "w", F.md5(F.to_json(F.struct("_r", "w"))).alias("line"), (F.size("_r") - 1).alias("last"), F.posexplode("_r").alias("seq", "_p"))
+    return rows.select(*SLICE, "w", "line", "last", "seq", F.col("_p")[0].alias("lng"), F.col("_p")[1].alias("lat"))
+
+
+def _width(layer: DataFrame) -> Column:
+    return F.coalesce(F.col("width").cast("double"), F.lit(RIVER_WIDTH_M)) if "width" in layer.columns else F.lit(RIVER_WIDTH_M)
+
+
 @step("SHAPE_ROADS", SLICED)
 def shape_roads(ctx, inputs):
-    rows = inputs["in"].withColumn("_id", F.to_json("coords"))
-    pts = _line_points(rows, ["_id", *SLICE, "width"])
-    wide = pts.withColumn("half_width", geo.metres_to_degrees(F.coalesce(F.col("width").cast("double"), F.lit(RIVER_WIDTH_M)), F.col("lat")))
-    return overlay.exploded(_dissolve(ctx, shapes.ribbons(wide, ["_id", "line", *SLICE]), SLICE))
+    pts = _line_points(inputs["in"], _width(inputs["in"]))
+    wide = pts.withColumn("half_width", geo.metres_to_degrees(F.col("w"), F.col("lat")))
+    return overlay.exploded(_dissolve(ctx, shapes.ribbons(wide, ["line", *SLICE]), SLICE))
 
 
-def _line_points(rows: DataFrame, keep: list[str]) -> DataFrame:
-    parts = rows.select(*keep, F.posexplode(F.flatten("coords")).alias("line", "_r"))
-    return parts.select(*keep, "line", F.posexplode("_r").alias("seq", "_p")).select(*keep, "line", "seq", F.col("_p")[0].alias("lng"), F.col("_p")[1].alias("lat"))
+def _land_points(layer: DataFrame, land: DataFrame) -> DataFrame:
+    """Slice, x, y of the vertices of lines clipped to land."""
+    inside = lines.clip_lines(layer.select(*SLICE, "coords"), land, SLICE)
+    points = inside.select(*SLICE, F.explode(F.flatten(F.flatten("coords"))).alias("p"))
+    return points.select(*[F.col(c).alias(f"l_{c}") for c in SLICE], F.col("p")[0].alias("l_lng"), F.col("p")[1].alias("l_lat")).distinct()
 
 
 @step("SHAPE_RIVERS", SLICED)
 def shape_rivers(ctx, inputs):
-    """River outlines: widths are the greatest at joins, springs on land taper to a tenth, and widths ease along a line."""
+    """River outlines: widths are the greatest at joins, springs (ends of one line, on land) have a tenth, and widths ease over three quarters of a line."""
     layer = inputs["in"]
-    width = F.coalesce(F.col("width").cast("double"), F.lit(RIVER_WIDTH_M)) if "width" in layer.columns else F.lit(RIVER_WIDTH_M)
-    rows = layer.withColumn("w", width).withColumn("_id", F.to_json("coords"))  # the same in every branch of the plan
-    pts = _line_points(rows, ["_id", *SLICE, "w"])
-    ends = pts.groupBy("_id", "line", *SLICE).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    same = [F.col("_id") == F.col("e_id"), F.col("line") == F.col("e_line")]
-    ends = ends.select(F.col("_id").alias("e_id"), F.col("line").alias("e_line"), "lo", "hi")
-    with_ends = pts.join(ends, same).drop("e_id", "e_line")
-    count = F.when(F.col("seq").isin(0) | (F.col("seq") == F.col("hi")), 1).otherwise(2)
-    node = with_ends.groupBy(*SLICE, F.col("lng").alias("n_lng"), F.col("lat").alias("n_lat")).agg(F.max("w").alias("n_w"), F.sum(count).alias("degree"))
-    node = node.withColumnsRenamed({"slice_start": "n_s", "slice_end": "n_e"})
-    met = with_ends.join(node, (F.col("lng") == F.col("n_lng")) & (F.col("lat") == F.col("n_lat")) & F.col("slice_start").eqNullSafe(F.col("n_s")) & F.col("slice_end").eqNullSafe(F.col("n_e")))
-    share = F.when(F.col("hi") > 0, F.col("seq") / F.col("hi")).otherwise(1.0)
-    first = met.filter("seq = 0").select(F.col("_id").alias("f_id"), F.col("line").alias("f_line"), F.when(F.col("degree") == 1, 0.1).otherwise(1.0).alias("from"))
-    eased = met.join(first, (F.col("_id") == F.col("f_id")) & (F.col("line") == F.col("f_line")))
-    grow = F.when(share < 0.75, F.col("from") + (1 - F.col("from")) * (1 - F.cos(share / 0.75 * 3.141592653589793)) / 2).otherwise(1.0)
-    shaped = eased.withColumn("half_width", geo.metres_to_degrees(F.col("n_w") * grow, F.col("lat")))
-    return overlay.exploded(_dissolve(ctx, shapes.ribbons(shaped, ["_id", "line", *SLICE]), SLICE))
+    pts = _line_points(layer, _width(layer))
+    here = lambda of: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{of}_{c}")) for c in SLICE])
+    count = F.when((F.col("seq") == 0) | (F.col("seq") == F.col("last")), 1).otherwise(2)
+    node = pts.groupBy(*[F.col(c).alias(f"n_{c}") for c in (*SLICE, "lng", "lat")]).agg(F.max("w").alias("n_w"), F.sum(count).alias("degree"))
+    met = pts.join(node, here("n") & (F.col("lng") == F.col("n_lng")) & (F.col("lat") == F.col("n_lat")))
+    spring = F.col("degree") == 1
+    if "land_without_water" in inputs:
+        met = met.join(_land_points(layer, inputs["land_without_water"]), here("l") & (F.col("lng") == F.col("l_lng")) & (F.col("lat") == F.col("l_lat")), "left")
+        spring = spring & F.col("l_lng").isNotNull()
+    line = Window.partitionBy("line", *SLICE)
+    least = lambda at: F.max(F.when((F.col("seq") == at) & spring, 0.1)).over(line)
+    eased = lambda least, share: F.when(share < 0.75, least + (1 - least) * (1 - F.cos(share / 0.75 * 3.141592653589793)) / 2).otherwise(1.0)
+    share = F.col("seq") / F.col("last")
+    grow = F.least(eased(F.coalesce("first_share", F.lit(1.0)), share), eased(F.coalesce("last_share", F.lit(1.0)), 1 - share))
+    shaped = met.withColumn("first_share", least(0)).withColumn("last_share", least(F.col("last"))).withColumn("half_width", geo.metres_to_degrees(F.col("n_w") * grow, F.col("lat")))
+    return overlay.exploded(_dissolve(ctx, shapes.ribbons(shaped, ["line", *SLICE]), SLICE))
 
 
 @step("RIVER_LABELS", SLICED)
@@ -430,7 +451,7 @@ def location_group(ctx, inputs):
             rows = rows.withColumn(c, F.lit(None).cast("int"))
     weighted = points.weighted(rows)
     groups = points.location_groups(weighted.select(*SLICE, "fid", "lng", "lat", "weight", "minzoom", "maxzoom"), ctx.max_zoom, tuple(SLICE))
-    groups = groups.withColumn("_g", F.xxhash64(*SLICE, "best", "members", "first_zoom"))
+    groups = groups.withColumn("_g", _key(*SLICE, "best", "members", "first_zoom"))
     feature = rows.withColumnsRenamed({"slice_start": "r_s", "slice_end": "r_e", "minzoom": "pregroup_minzoom"}).drop("maxzoom", *TIME, "article_length")
     best = groups.join(feature, (F.col("best") == F.col("fid")) & F.col("slice_start").eqNullSafe(F.col("r_s")) & F.col("slice_end").eqNullSafe(F.col("r_e")))
     names = weighted.select(F.col("fid").alias("m_fid"), F.col("label").alias("m_label"), F.col("weight").alias("m_weight")).distinct()
@@ -463,8 +484,6 @@ def prepare_export(ctx, inputs):
     for c in ("minzoom", "maxzoom"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("int"))
-    from chronogeo.session import durable_table
-
     return derive.prepare_export(durable_table(rows), inputs["time-meta"], "_key", ctx.max_zoom).drop("_key")
 
 
@@ -492,12 +511,15 @@ def _boxes(rows: DataFrame) -> DataFrame:
 
 @step("COMPILE_TILES", MERGED)
 def compile_tiles(ctx, inputs, filename="map", extension="pmtiles"):
-    """Features by tile; labels of locations show from five zooms after their own least zoom."""
+    """Features by tile, cut to it; labels of locations show from five zooms after their own least zoom."""
     rows = _union({k: x for k, x in inputs.items() if k != "time-meta"})
     every = F.struct(F.lit(0).alias("tile_minzoom"), F.lit(ctx.max_zoom).alias("tile_maxzoom"))
     rows = rows.withColumn("export", F.coalesce(F.col("export"), every) if "export" in rows.columns else every)
     boxes = _boxes(rows.filter(F.size("coords") > 0)).select("*", "export.tile_minzoom", "export.tile_maxzoom").drop("export")
     tiles = points.tiles(boxes)
+    kind = edges.geometry_type(F.col("coords"))
+    kind = F.when(F.col("geom_type").isNotNull(), F.col("geom_type")).otherwise(kind) if "geom_type" in tiles.columns else kind
+    tiles = tiles.withColumn("coords", shapes.clipped_to_box(edges.unshifted(F.col("coords")), kind, *points.tile_box(F.col("z"), F.col("x"), F.col("y"), TILE_MARGIN))).filter(F.size("coords") > 0)
     if "label" in tiles.columns:
         late = (F.col("layer") == "locations") & (F.col("z") < F.least(F.lit(ctx.max_zoom), F.coalesce(F.col("pregroup_minzoom") if "pregroup_minzoom" in tiles.columns else F.lit(0), F.lit(0)) + 5))
         tiles = tiles.withColumn("label", F.when(~late, F.col("label")))
@@ -521,7 +543,13 @@ def create_search_index(ctx, inputs):
     area = F.col("area_m2") if "area_m2" in rows.columns else F.lit(None).cast("double")
     pts = rows.select(F.col("layer").alias("category"), "label", *TIME, area.alias("area_m2"), F.explode(F.flatten(F.flatten("coords"))).alias("p"))
     none = F.lit(None).cast("int")
-    index = points.search_index(pts.select("*", F.col("p")[0].alias("lng"), F.col("p")[1].alias("lat"), none.alias("time_index_start"), none.alias("time_index_end")))
+    indices = [none.alias("time_index_start"), none.alias("time_index_end")]
+    if "time-meta" in inputs and temporal.has_time(rows):
+        ranges = rows.select(*TIME).distinct().withColumn("_range", _key(*TIME))
+        found = temporal.time_index(ranges, inputs["time-meta"], ["_range"]).withColumnRenamed("_range", "_r")
+        pts = pts.withColumn("_range", _key(*TIME)).join(found, F.col("_range") == F.col("_r")).drop("_range", "_r")
+        indices = []
+    index = points.search_index(pts.select("*", F.col("p")[0].alias("lng"), F.col("p")[1].alias("lat"), *indices))
     ctx.results["search-index"] = index
     if ctx.out:
         writers.write_search_index(index, f"{ctx.out}/search")
@@ -530,7 +558,7 @@ def create_search_index(ctx, inputs):
 
 @step("GEOJSON_OUT", MERGED)
 def geojson_out(ctx, inputs, filename="out"):
-    rows = inputs["in"].withColumn("geom", F.struct(F.lit("MultiPolygon").alias("type"), F.col("coords"))).drop("coords")
+    rows = writers.with_geometry(inputs["in"])
     if ctx.out:
         writers.write_geojson(rows, f"{ctx.out}/{filename}")
     return writers.geojson_features(rows)
@@ -538,7 +566,7 @@ def geojson_out(ctx, inputs, filename="out"):
 
 @step("GEOJSON_OUT_PER_LABEL", MERGED)
 def geojson_out_per_label(ctx, inputs, dirname="labels"):
-    rows = inputs["in"].withColumn("geom", F.struct(F.lit("MultiPolygon").alias("type"), F.col("coords"))).drop("coords")
+    rows = writers.with_geometry(inputs["in"])
     if ctx.out:
         return writers.write_per_label(rows, f"{ctx.out}/{dirname}")
     return rows.select("label").distinct().orderBy("label")
@@ -546,11 +574,26 @@ def geojson_out_per_label(ctx, inputs, dirname="labels"):
 
 @step("CHECK_GEOMETRY")
 def check_geometry(ctx, inputs, layer=None):
-    """A report of null geometries, rings with too few points or not closed, and duplicates; the layer itself isn't changed."""
+    """A report of null geometries, rings with too few points or not closed, rings that touch or cross themselves, duplicates, and features that overlap.
+
+    The layer itself isn't changed. Overlaps are told by time and, but for labels, as polygons; features are cut into tiles first.
+    """
     rows = inputs["in"]
     ring = F.flatten("coords")
     few = F.exists(ring, lambda r: F.size(r) < 4)
     open_ring = F.exists(ring, lambda r: F.element_at(r, 1) != F.element_at(r, -1))
-    faults = rows.select(F.to_json("coords").alias("shape"), F.when(F.col("coords").isNull(), "null geometry").when(few, "degenerate ring").when(open_ring, "open ring").alias("fault"))
+    again = F.exists(ring, lambda r: F.size(F.array_distinct(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))))) < F.size(r) - 1)
+    fault = F.when(F.col("coords").isNull(), "null geometry").when(few, "degenerate ring").when(open_ring, "open ring").when(again, "self contact").when(shapes.crosses_itself(F.col("coords")), "self intersection")
+    faults = rows.select(F.to_json("coords").alias("shape"), fault.alias("fault"))
     twice = rows.groupBy(F.to_json("coords").alias("shape")).count().filter("count > 1").select("shape", F.lit("duplicate").alias("fault"))
-    return faults.filter("fault IS NOT NULL").unionByName(twice)
+    faults = faults.filter("fault IS NOT NULL").unionByName(twice)
+    if layer == "labels":
+        return faults
+    whole = rows.filter("coords IS NOT NULL").select("coords", *TIME).join(faults.select(F.col("shape").alias("_s")).distinct(), F.to_json("coords") == F.col("_s"), "left_anti")
+    numbered = durable_table(whole.withColumn("ord", F.monotonically_increasing_id()))
+    cut = temporal.align({"a": numbered})["a"]
+    size = overlay.tile_size([cut], SLICE, ctx.group_vertices)
+    by = SLICE if size is None else [*SLICE, *overlay.TILE]
+    cells = overlay.mosaic((cut if size is None else overlay.tiled(cut, size)).select(*by, "ord", "coords"), by)
+    above = cells.filter(F.size("covers") > 1).select(F.explode("covers").alias("c_ord")).distinct()
+    return faults.unionByName(numbered.join(above, F.col("ord") == F.col("c_ord")).select(F.to_json("coords").alias("shape"), F.lit("overlap").alias("fault")))

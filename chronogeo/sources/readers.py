@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import os
 import sqlite3
+import struct
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -32,12 +34,78 @@ def normalised_coords(kind: Column, raw: Column) -> Column:
 def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """Features of a GeoJSON file: typed properties (DDL), geom, and the raw properties text in extra."""
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "features array<string>").alias("c")).select(F.explode("c.features").alias("f"))
+    return feature_rows(rows, properties)
+
+
+def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """As read_geojson(), of files with one feature a line: these are read in parts."""
+    return feature_rows(spark.read.text(path).select(F.col("value").alias("f")), properties)
+
+
+def feature_rows(rows: DataFrame, properties: str) -> DataFrame:
+    """Features of a column f of texts."""
     kind, raw = F.get_json_object("f", "$.geometry.type"), F.get_json_object("f", "$.geometry.coordinates")
     props = F.get_json_object("f", "$.properties")
     geom = F.when(kind.isNotNull(), F.struct(kind.alias("type"), normalised_coords(kind, raw).alias("coords")))
     return rows.select(F.get_json_object("f", "$.id").cast("bigint").alias("fid"), F.from_json(props, properties).alias("p"), geom.alias("geom"), props.alias("extra")).select("fid", "p.*", "geom", "extra")
 
 
+def _wkb(data: bytes, at: int) -> tuple[int, list, int]:
+    """Kind, parts ([part][ring][point]) and end of a well-known binary geometry; heights and measures are left out."""
+    order = "<" if data[at] else ">"
+    code = struct.unpack_from(order + "I", data, at + 1)[0]
+    kind, extra = code & 0xFFFF, bin(code >> 30).count("1")  # two high bits, or thousands, tell heights and measures
+    extra += {0: 0, 1: 1, 2: 1, 3: 2}[kind // 1000]
+    kind, at = kind % 1000, at + 5 + (4 if code & 0x20000000 else 0)
+
+    def number() -> int:
+        nonlocal at
+        at += 4
+        return struct.unpack_from(order + "I", data, at - 4)[0]
+
+    def point() -> list[float]:
+        nonlocal at
+        x, y = struct.unpack_from(order + "2d", data, at)
+        at += 8 * (2 + extra)
+        return [x, y]
+
+    if kind == 1:
+        p = point()
+        return kind, [] if p[0] != p[0] else [[[p]]], at
+    if kind == 2:
+        return kind, [[[point() for _ in range(number())]]], at
+    if kind == 3:
+        return kind, [[[point() for _ in range(number())] for _ in range(number())]], at
+    parts: list = []
+    for _ in range(number()):
+        _, inner, at = _wkb(data, at)
+        parts += inner
+    return kind, parts, at
+
+
+WKB_TYPES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon", 7: "GeometryCollection"}
+
+
+def decode_geometry(blob: bytes | None) -> dict | None:
+    """Type and coords of a geometry column's value: a header, an envelope of 0 to 8 numbers, well-known binary."""
+    if blob is None or blob[:2] != b"GP" or blob[3] >> 4 & 1:
+        return None
+    kind, parts, _ = _wkb(blob, 8 + 8 * {0: 0, 1: 4, 2: 6, 3: 6, 4: 8}[blob[3] >> 1 & 7])
+    return {"type": WKB_TYPES[kind], "coords": parts}
+
+
+def geometry_column(blob: Column) -> Column:
+    """geom (type and coords) of a binary geometry column."""
+
+    def udf(rows: pa.Array) -> pa.Array:
+        from chronogeo.sources.readers import decode_geometry
+
+        shape = pa.struct([("type", pa.string()), ("coords", pa.list_(pa.list_(pa.list_(pa.list_(pa.float64())))))])
+        return pa.array([decode_geometry(x) for x in rows.to_pylist()], shape)
+
+    return F.arrow_udf(udf, "struct<type:string,coords:array<array<array<array<double>>>>>")(blob)
+
+
 def stage_layer(database: str, layer: str, folder: str, spark: SparkSession) -> DataFrame:
     """One layer of a GeoPackage (an SQLite file on the driver) staged as Parquet without its fid column."""
     with sqlite3.connect(f"file:{database}?mode=ro", uri=True) as con:
@@ -140,6 +208,24 @@ def query_rows(pages: DataFrame) -> DataFrame:
     ).filter(~F.col("infobox_type").eqNullSafe("City district")).orderBy("name")
 
 
+def read_search_index(spark: SparkSession, path: str) -> DataFrame:
+    """A search index as write_search_index() leaves it, plain or compressed."""
+    timed = "array<struct<time_index_start:int,time_start:int,time_end:int,time_index_end:int,bbox:array<double>,area_m2:double>>"
+    return spark.read.schema(f"category string, label string, timed {timed}").json(path)
+
+
+def read_tile(spark: SparkSession, path: str, z: int, x: int, y: int) -> DataFrame:
+    """Features of one tile: only the folder of its zoom is read, and of that only row groups that may hold it."""
+    return spark.read.parquet(path).filter((F.col("z") == z) & (F.col("x") == x) & (F.col("y") == y))
+
+
+def texts_of(ids: DataFrame, path: str, buckets: int = 10) -> DataFrame:
+    """ids (column id) with their html, from texts in one folder per bucket."""
+    texts = ids.sparkSession.read.schema("id bigint, html string, bucket int").json(path)
+    asked = ids.withColumn("bucket", F.pmod("id", F.lit(buckets)).cast("int"))
+    return asked.join(texts, ["bucket", "id"], "left").drop("bucket")
+
+
 def query_url(base: Column, parameters: list[tuple[str, Column]]) -> Column:
     return F.concat(base, F.lit("?"), F.concat_ws("&", *[F.concat(F.lit(k), F.lit("="), F.url_encode(v)) for k, v in parameters]))
 

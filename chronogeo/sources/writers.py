@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronogeo.operators import points, temporal
+from chronogeo.operators import edges, points, temporal
 
 
 def geojson_coords(geom: Column) -> Column:
@@ -13,8 +13,9 @@ def geojson_coords(geom: Column) -> Column:
     kind, c = geom["type"], geom["coords"]
     return (
         F.when(kind == "Point", F.to_json(c[0][0][0]))
-        .when(kind.isin("MultiPoint", "LineString"), F.to_json(c[0][0]))
-        .when(kind == "MultiLineString", F.to_json(F.transform(c, lambda p: p[0])))
+        .when(kind == "MultiPoint", F.to_json(F.flatten(F.flatten(c))))
+        .when(kind == "LineString", F.to_json(c[0][0]))
+        .when(kind == "MultiLineString", F.to_json(F.flatten(c)))
         .when(kind == "Polygon", F.to_json(c[0]))
         .otherwise(F.to_json(c))
     )
@@ -49,6 +50,22 @@ def write_search_index(index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").option("compression", "gzip").json(f"{path}/gzip")
 
 
+def with_geometry(layer: DataFrame) -> DataFrame:
+    """The layer with geom (type and coords) in place of coords; the type is that of geom_type, if it has one, or told by the shape."""
+    told = F.col("geom_type") if "geom_type" in layer.columns else F.lit(None).cast("string")
+    lines = F.when(F.size(F.flatten("coords")) > 1, "MultiLineString").otherwise("LineString")
+    kind = F.when(told.isin("LineString", "MultiLineString"), lines).otherwise(edges.geometry_type(F.col("coords")))
+    geom = F.when(kind.isNotNull(), F.struct(kind.alias("type"), F.col("coords")))
+    return layer.withColumn("geom", geom).drop("coords", "geom_type")
+
+
+def time_by_id(ids: DataFrame, meta: DataFrame, column: str) -> DataFrame:
+    """ids with the row of the time table of each; an id that it doesn't hold is an error."""
+    table = time_table(meta).withColumnRenamed("id", "_id")
+    met = ids.join(table, F.col(column) == F.col("_id"), "left")
+    return met.withColumn("label", F.when(F.col("_id").isNull(), F.raise_error(F.lit("no slice of this id")).cast("string")).otherwise(F.col("label"))).drop("_id")
+
+
 def time_table(meta: DataFrame) -> DataFrame:
     """id, label, representative_year, start, end of the slices."""
     s, e = F.col("slice_start"), F.col("slice_end")

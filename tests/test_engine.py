@@ -229,3 +229,48 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert engine.QUERIES["location_groups"](spark, SF).count() > 0
     assert engine.QUERIES["location_texts"](spark, SF).filter("bucket <> id % 10").count() == 0
+
+
+def test_geometry_column_is_decoded(spark):
+    import struct
+
+    head = lambda flags=1: b"GP\x00" + bytes([flags]) + struct.pack("<i", 4326)
+    point = b"\x01" + struct.pack("<I2d", 1, 3.0, 4.0)
+    line = b"\x00" + struct.pack(">II6d", 1002, 2, 0.0, 0.0, 9.0, 1.0, 2.0, 9.0)
+    ring = struct.pack("<I8d", 4, 0, 0, 1, 0, 1, 1, 0, 0)
+    multi = b"\x01" + struct.pack("<II", 6, 1) + b"\x01" + struct.pack("<II", 3, 1) + ring
+    blobs = [None, head(0x11), head() + point, head(0x03) + struct.pack("<4d", 0, 1, 0, 2) + line, head() + multi]
+    rows = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(blobs)], "i int, geom binary")
+    got = [r["g"] and (r["g"]["type"], r["g"]["coords"]) for r in rows.select("i", readers.geometry_column(F.col("geom")).alias("g")).orderBy("i").collect()]
+    assert got == [None, None, ("Point", [[[[3.0, 4.0]]]]), ("LineString", [[[[0.0, 0.0], [1.0, 2.0]]]]), ("MultiPolygon", [[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]])]
+
+
+def test_clashing_texts_move_to_free_ids(spark):
+    # "Aa" and "BB" hash alike, and so do texts that hold them.
+    rows = [(x, None, None) for x in ("Aa", "BB", "AaAa", "BBBB", "AaBB", "BBAa", "plain")]
+    layer = spark.createDataFrame(rows, "label string, link string, text string")
+    got = {r["html"]: r["id"] for r in derive.location_texts(layer).collect()}
+    own = {r["html"]: r["h"] for r in spark.createDataFrame([(k,) for k in got], "html string").withColumn("h", F.abs(text.string_hash(F.col("html")))).collect()}
+    assert len(got) == 7 == len(set(got.values()))
+    for alike in (("Aa", "BB"), ("AaAa", "AaBB", "BBAa", "BBBB")):
+        assert [got[f"<h3>{x}</h3>"] - own[f"<h3>{x}</h3>"] for x in alike] == list(range(len(alike)))
+
+
+def test_options_are_whole(spark):
+    from chronogeo.functions import options
+
+    one = lambda t: value(spark, options.parse_options(F.lit(t), {"a": "x", "ab": "y"})["a"])
+    assert [one(t) for t in (None, "", "#", "#a=1", "#ab=2", "a=%C3%A9+b", "#a", "#a=1&a=2&b=3", "#a=b=c")] == ["x", "x", "x", "1", "x", "é b", "", "2", "b=c"]
+    assert value(spark, options.fly_to(F.lit("1/2/x"))) is None and value(spark, options.bbox_numbers(F.lit("1,2,3"))) is None
+
+
+def test_measured_lines_follow_great_circles():
+    points = [(0.0, 50.0), *shapes.great_circle((0.0, 50.0), (90.0, 50.0)), (90.0, 50.0)]
+    assert len(points) > 10 and max(y for _, y in points) > 58
+    for x, y in points:
+        v = (math.cos(math.radians(y)) * math.cos(math.radians(x)), math.cos(math.radians(y)) * math.sin(math.radians(x)), math.sin(math.radians(y)))
+        u = (math.cos(math.radians(50)), 0.0, math.sin(math.radians(50)))
+        w = (0.0, math.cos(math.radians(50)), math.sin(math.radians(50)))
+        n = (u[1] * w[2] - u[2] * w[1], u[2] * w[0] - u[0] * w[2], u[0] * w[1] - u[1] * w[0])
+        assert abs(sum(a * b for a, b in zip(v, n))) < 1e-9
+    assert shapes.great_circle((0.0, 0.0), (10.0, 0.0)) == []

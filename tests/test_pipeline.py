@@ -1,4 +1,8 @@
+import json
 import math
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,7 +169,78 @@ def test_locations_and_search(done, ctx):
     first = [r for r in rows if r["label"] == "C1" and r["group_text"]]
     assert first and "C2" in first[0]["group_text"]
     index = done["search-index.CREATE_SEARCH_INDEX"].collect()
-    assert [e["label"] for e in index[0]["entries"]] == ["C1", "C2", "C3"]
+    assert [r["label"] for r in index] == ["C1", "C2", "C3"]
+
+
+def test_search_index_has_time(ctx, spark):
+    rows = spark.createDataFrame([("A", [[[[1.0, 1.0]]]], None, 100), ("A", [[[[1.0, 2.0]]]], 100, None), ("B", [[[[3.0, 1.0]]]], None, None)], f"label string, coords {GEOM}, time_start int, time_end int")
+    meta = run_step(ctx, "TIME_META_COLLECT", {"places": rows})
+    index = run_step(ctx, "CREATE_SEARCH_INDEX", {"time-meta": meta, "places": rows}).collect()
+    got = [(r["label"], t["time_index_start"], t["time_index_end"], t["time_end"]) for r in index for t in r["timed"]]
+    assert got == [("A", -1, 0, 100), ("A", 0, 1, None), ("B", -1, 1, None)]
+
+
+def test_rivers_are_alone_in_their_time(spark):
+    ctx = Context(spark)
+    river = [[[[0.5, 0.5], [2.0, 2.0], [3.0, 2.0], [4.5, 4.5]]]]
+    later = [[[[20.0, 1.0], [21.0, 1.0]]]]
+    one = spark.createDataFrame([(river, 2000, None, None)], f"coords {GEOM}, width int, time_start int, time_end int")
+    two = one.unionByName(spark.createDataFrame([(later, 2000, 100, None), (river, 2000, None, None)], one.schema))
+    alone = area(run_step(ctx, "SHAPE_RIVERS", {"in": one}))
+    rows = run_step(ctx, "SHAPE_RIVERS", {"in": two})
+    assert area(rows.filter("time_start IS NULL")) == pytest.approx(alone, rel=1e-6) and rows.filter("time_start = 100").count() == 1
+    # An end at sea keeps its width; a smoothed river has an outline too.
+    sea = run_step(ctx, "SHAPE_RIVERS", {"in": one, "land_without_water": spark.createDataFrame([(box(0, 0, 3.5, 9),)], f"coords {GEOM}")})
+    assert area(sea) > alone > 0
+    smooth = run_step(ctx, "SHAPE_RIVERS", {"in": run_step(ctx, "SMOOTH_LINES", {"in": one})})
+    assert smooth.count() == 1 and area(smooth) > 0.5 * alone
+
+
+def test_tiles_are_cut(ctx, spark):
+    ctx = Context(spark, max_zoom=3)
+    shapes_ = [("a", box(1, 1, 60, 40)), ("b", [[[[-100.0, 10.0], [100.0, 20.0]]]]), ("c", [[[[12.0, 13.0]]]])]
+    rows = spark.createDataFrame(shapes_, f"label string, coords {GEOM}").withColumn("minzoom", F.lit(3))
+    tiles = run_step(ctx, "COMPILE_TILES", {"places": rows}).filter("z = 3")
+    assert tiles.filter("label = 'a'").count() > 1 and tiles.filter("label = 'c'").count() == 1
+    assert 2400 < area(tiles.filter("label = 'a'")) < 2600  # with the margins
+    widest = max(abs(p[0] - q[0]) for r in tiles.collect() for part in r["coords"] for ring in part for p in ring for q in ring)
+    assert widest <= 45 * (1 + 2 / 64) + 1e-6
+
+
+def test_geojson_names_the_type(ctx, spark):
+    rows = spark.createDataFrame([("p", [[[[1.0, 1.0]]]]), ("l", [[[[0.0, 0.0], [1.0, 2.0]]]]), ("s", box(0, 0, 1, 1)), ("n", None)], f"label string, coords {GEOM}")
+    found = [json.loads(r["value"]) for r in run_step(ctx, "GEOJSON_OUT", {"in": rows}).collect()]
+    assert {f["properties"]["label"]: f["geometry"] and (f["geometry"]["type"], f["geometry"]["coordinates"]) for f in found} == {"p": ("Point", [1.0, 1.0]), "l": ("LineString", [[0.0, 0.0], [1.0, 2.0]]), "s": ("Polygon", box(0, 0, 1, 1)[0]), "n": None}
+
+
+def test_faults_are_found(ctx, spark):
+    bow = [[[[0.0, 0.0], [2.0, 2.0], [2.0, 0.0], [0.0, 2.0], [0.0, 0.0]]]]
+    touch = [[[[10.0, 0.0], [12.0, 0.0], [11.0, 1.0], [12.0, 2.0], [10.0, 2.0], [11.0, 1.0], [10.0, 0.0]]]]
+    rows = spark.createDataFrame([(g,) for g in (bow, touch, box(20, 0, 2, 2), box(21, 1, 2, 2), box(30, 0, 1, 1), box(40, 0, 1, 1), box(40, 0, 1, 1), None)], f"coords {GEOM}")
+    faults = run_step(ctx, "CHECK_GEOMETRY", {"in": rows}).groupBy("fault").count().collect()
+    assert {r["fault"]: r["count"] for r in faults} == {"self intersection": 1, "self contact": 1, "overlap": 2, "duplicate": 1, "null geometry": 1}
+
+
+def test_steps_run_from_another_folder(tmp_path):
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+from chronogeo.operators.overlay import GEOM
+from chronogeo.plans.steps import Context, run_step
+ring = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]]
+rows = spark.createDataFrame([("a", [[ring]])], f"city string, coords {GEOM}")
+print(run_step(Context(spark), "CITY_POLYGONS", {"in": rows}).count())
+"""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code, repo], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=240)
+    assert done.stdout.strip().endswith("1"), done.stderr[-2000:]
+
+
+def test_runtimes(done, ctx):
+    rows = pipeline.runtimes(ctx, TEXT).collect()
+    assert {"READ_FILE", "SHAPE_RIVERS"} <= {r["step"] for r in rows} and all(r["seconds"] >= 0 for r in rows)
 
 
 def test_highlights_are_inverted(done):
