@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronogeo.functions import geo
+from chronogeo.session import durable_table
 
 # Weights of icons in rankings.
 ICON_WEIGHTS = {
     "city-major-capital": 9, "city-large-capital": 8, "city-medium-capital": 7, "city-small-capital": 6,
     "city-major": 5, "city-large": 4, "city-medium": 3, "city-small": 2, "location-other": -1,
 }
-GROUP_DDL = "best bigint, zoom int, members array<bigint>"
+#: Points of a zoom that one task groups.
+ZOOM_POINTS = 200_000
 LISTED = 10
 
 
@@ -54,16 +56,15 @@ def group_at_zoom(ids: list[int], xs: list[float], ys: list[float], low: list, h
     return out
 
 
-def location_groups(layer: DataFrame, max_zoom: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, best, members, first_zoom, last_zoom (null beyond max_zoom) of groups of points.
+def _same(keys: list[str], prefix: str) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return out
 
-    layer: keys, fid, lng, lat, weight, minzoom, maxzoom. One task per slice and zoom: the grouping depends on
-    rank order. Groups with the same best and members at neighbouring zooms are one row.
-    """
-    x, y = geo.grouping_xy(F.col("lng"), F.col("lat"))
-    points = layer.select(*keys, "fid", x.alias("x"), y.alias("y"), "weight", "minzoom", "maxzoom")
-    dealt = points.withColumn("zoom", F.explode(F.sequence(F.lit(0), F.lit(max_zoom + 1))))
-    names = list(keys)
+
+def _members_by_task(points: DataFrame, by: list[str]) -> DataFrame:
+    """by, best, fid: groups of each zoom in a task of its own."""
 
     def run(pdf):
         import pandas as pd
@@ -72,30 +73,82 @@ def location_groups(layer: DataFrame, max_zoom: int, keys: tuple[str, ...] = ())
 
         pdf = pdf.sort_values(["weight", "fid"], ascending=[False, True])
         zoom = int(pdf["zoom"].iloc[0])
-        none = lambda c: [None if v != v else int(v) for v in c.astype("float")]
-        groups = group_at_zoom(pdf["fid"].tolist(), pdf["x"].tolist(), pdf["y"].tolist(), none(pdf["minzoom"]), none(pdf["maxzoom"]), 2 / 2**zoom, zoom)
-        out = pd.DataFrame({"best": [g[0] for g in groups], "zoom": zoom, "members": [g[1] for g in groups]})
-        for k in reversed(names):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out[[*names, "best", "zoom", "members"]]
-
-    head = ", ".join(f"{k} {layer.schema[k].dataType.simpleString()}" for k in keys)
-    groups = dealt.groupBy(*keys, "zoom").applyInPandas(run, f"{head}{', ' if head else ''}{GROUP_DDL}")
-    w = Window.partitionBy(*keys, "best", "members").orderBy("zoom")
-    island = F.col("zoom") - F.row_number().over(w)
-    spans = groups.withColumn("_i", island).groupBy(*keys, "best", "members", "_i").agg(F.min("zoom").alias("first_zoom"), F.max("zoom").alias("last_zoom")).drop("_i")
-    least = layer.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("fid").alias("_fid"), F.col("minzoom").alias("_minzoom"))
-    met = spans.withColumn("_member", F.explode("members")).join(least, [F.col("_member") == F.col("_fid"), *[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]])
-    cut = met.groupBy(*keys, "best", "members", "first_zoom", "last_zoom").agg(F.min(F.coalesce("_minzoom", F.lit(0))).alias("_least"))
-    cut = cut.filter((F.col("first_zoom") <= max_zoom) & (F.col("_least") <= F.col("last_zoom")))
-    return cut.withColumn("first_zoom", F.greatest("first_zoom", "_least")).withColumn("last_zoom", F.when(F.col("last_zoom") <= max_zoom, F.col("last_zoom"))).drop("_least")
+        groups = group_at_zoom(pdf["fid"].tolist(), pdf["x"].tolist(), pdf["y"].tolist(), [None] * len(pdf), [None] * len(pdf), 2 / 2**zoom, zoom)
+        rows = pd.DataFrame([(g, m) for g, members in groups for m in members], columns=["best", "fid"])
+        for k in reversed(by):
+            rows.insert(0, k, pdf[k].iloc[0])
+        return rows
+
+    head = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in by)
+    return points.groupBy(*by).applyInPandas(run, f"{head}, best bigint, fid bigint")
+
+
+def _around(rows: DataFrame, own: bool) -> DataFrame:
+    """Rows once for each cell within two of theirs."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if own or i or j])
+    return rows.withColumn("_s", F.explode(steps)).withColumn("cx", F.col("cx") + F.col("_s.i")).withColumn("cy", F.col("cy") + F.col("_s.j")).drop("_s")
+
+
+def _members_by_rounds(points: DataFrame, by: list[str]) -> DataFrame:
+    """by, best, fid: the same groups without a task that holds a zoom.
+
+    Cells are half a distance wide: the points of one are near each other, so it has one head at most, and what is
+    near lies within two cells. In a round, the first point by rank of a cell becomes a head if the cells around hold
+    none before it that is left; all that is near the new heads is done. Each point then joins its closest head before it.
+    """
+    rank = F.struct((-F.col("weight")).alias("w"), F.col("fid").alias("f"))
+    side = 1 / F.pow(F.lit(2.0), F.col("zoom"))
+    cell = [*by, "cx", "cy"]
+    every = durable_table(points.select(*by, "fid", "x", "y", rank.alias("rank"), F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")))
+    distance = F.sqrt(F.pow(F.col("x") - F.col("h_x"), 2) + F.pow(F.col("y") - F.col("h_y"), 2))
+    named = lambda rows: rows.withColumnsRenamed({c: f"h_{c}" for c in rows.columns})
+    left, heads = every, None
+    while not left.isEmpty():
+        tops = durable_table(left.groupBy(*cell).agg(F.min("rank").alias("rank"), F.min_by(F.struct("x", "y"), "rank").alias("p")))
+        before = named(_around(tops.select(*cell, "rank"), False).groupBy(*cell).agg(F.min("rank").alias("rank")))
+        new = tops.join(before, _same(cell, "h_"), "left").filter("h_rank IS NULL OR rank < h_rank").select(*cell, "rank", "p.x", "p.y")
+        new = durable_table(new)
+        near = named(durable_table(_around(new, True)))
+        left = durable_table(left.join(near, _same(cell, "h_") & (distance <= 2 * side), "left_anti"))
+        heads = new if heads is None else heads.unionByName(new)
+    if heads is None:
+        return points.select(*by, F.col("fid").alias("best"), "fid")
+    near = named(durable_table(_around(heads, True)))
+    met = every.join(near, _same(cell, "h_") & (distance <= 2 * side) & (F.col("h_rank") <= F.col("rank")))
+    best = F.min_by("h_rank", F.struct(distance.alias("d"), F.col("h_rank").alias("r")))
+    return met.groupBy(*by, "fid").agg(best.alias("b")).select(*by, F.col("b.f").alias("best"), "fid")
+
+
+def location_groups(layer: DataFrame, max_zoom: int, keys: tuple[str, ...] = (), crowd: int = ZOOM_POINTS) -> tuple[DataFrame, DataFrame]:
+    """Groups of points: (keys, best, n_members, first_zoom, last_zoom (null beyond max_zoom), at_zoom) and the members of each zoom (keys, zoom, best, fid).
+
+    layer: keys, fid, lng, lat, weight, minzoom, maxzoom; rows that repeat a fid count once. Points join in the order
+    of weight, then fid. Groups with the same best and members at neighbouring zooms are one row, whose members are
+    those of at_zoom. A zoom with up to ``crowd`` points is one task, and larger ones are grouped by rounds of joins.
+    """
+    by = [*keys, "zoom"]
+    x, y = geo.grouping_xy(F.col("lng"), F.col("lat"))
+    points = layer.dropDuplicates([*keys, "fid"]).select(*keys, "fid", x.alias("x"), y.alias("y"), F.col("weight").cast("double").alias("weight"), F.coalesce("minzoom", F.lit(0)).alias("least"), "maxzoom")
+    dealt = durable_table(points.withColumn("zoom", F.explode(F.sequence(F.lit(0), F.lit(max_zoom + 1)))).filter("maxzoom IS NULL OR maxzoom >= zoom").drop("maxzoom"))
+    most = dealt.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    members = durable_table((_members_by_task if most <= crowd else _members_by_rounds)(dealt.drop("least"), by))
+    own = dealt.select(*[F.col(c).alias(f"_{c}") for c in (*by, "fid")], "least")
+    sets = members.join(own, _same([*by, "fid"], "_")).groupBy(*by, "best").agg(F.count(F.lit(1)).alias("n_members"), F.sum(F.xxhash64("fid").cast("decimal(38,0)")).alias("_set"), F.min("least").alias("least"))
+    same = [*keys, "best", "n_members", "_set"]
+    island = F.col("zoom") - F.row_number().over(Window.partitionBy(*same).orderBy("zoom"))
+    spans = sets.withColumn("_i", island).groupBy(*same, "_i").agg(F.min("zoom").alias("at_zoom"), F.max("zoom").alias("last_zoom"), F.min("least").alias("least"))
+    cut = spans.filter((F.col("at_zoom") <= max_zoom) & (F.col("least") <= F.col("last_zoom")))
+    groups = cut.select(*keys, "best", "n_members", F.greatest("at_zoom", "least").alias("first_zoom"), F.when(F.col("last_zoom") <= max_zoom, F.col("last_zoom")).alias("last_zoom"), "at_zoom")
+    return groups, members
 
 
 def group_texts(members: DataFrame, group: list[str], label: str = "label", weight: str = "weight") -> DataFrame:
     """HTML list of each group's others: up to ten by label, else the nine heaviest and how many more."""
+    # Ten rows of a group at most are ranked and collected, whatever its size.
     w = Window.partitionBy(*group).orderBy(F.desc(weight), label)
-    ranked = members.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
-    kept = ranked.filter((F.col("_n") <= LISTED) | (F.col("_r") < LISTED))
+    top = members.select(*group, label, weight).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= LISTED)
+    sizes = members.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.count(F.lit(1)).alias("_n"))
+    kept = top.join(sizes, _same(group, "_")).filter((F.col("_n") <= LISTED) | (F.col("_r") < LISTED))
     named = F.struct(F.when(F.col("_n") <= LISTED, 0).otherwise(F.col("_r")).alias("r"), F.col(label).alias("label"))
     lists = kept.groupBy(*group).agg(F.max("_n").alias("n"), F.transform(F.array_sort(F.collect_list(named)), lambda s: F.concat(F.lit("<li>"), s["label"], F.lit("</li>"))).alias("items"))
     more = F.when(F.col("n") > LISTED, F.concat(F.lit("<li>and "), (F.col("n") - (LISTED - 1)).cast("string"), F.lit(" others</li>"))).otherwise("")

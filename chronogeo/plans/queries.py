@@ -555,7 +555,7 @@ def _(get):
 @query("location_groups")
 def _(get):
     rows = points.weighted(derive.city_type_to_icon(get("f_locations"))).withColumn("minzoom", F.lit(2)).withColumn("maxzoom", F.lit(None).cast("int"))
-    return points.location_groups(rows, 5)
+    return points.location_groups(rows, 5)[0]
 
 
 _STYLE = ["all", ["has", "capital"], [">=", ["zoom"], ["number", ["get", "size"], 0]], ["any", ["==", ["get", "type"], "building"], ["!", ["get", "capital"]]]]

@@ -450,15 +450,17 @@ def location_group(ctx, inputs):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("int"))
     weighted = points.weighted(rows)
-    groups = points.location_groups(weighted.select(*SLICE, "fid", "lng", "lat", "weight", "minzoom", "maxzoom"), ctx.max_zoom, tuple(SLICE))
-    groups = groups.withColumn("_g", _key(*SLICE, "best", "members", "first_zoom"))
+    groups, members = points.location_groups(weighted.select(*SLICE, "fid", "lng", "lat", "weight", "minzoom", "maxzoom"), ctx.max_zoom, tuple(SLICE))
+    groups = groups.withColumn("_g", _key(*SLICE, "best", "at_zoom"))
     feature = rows.withColumnsRenamed({"slice_start": "r_s", "slice_end": "r_e", "minzoom": "pregroup_minzoom"}).drop("maxzoom", *TIME, "article_length")
     best = groups.join(feature, (F.col("best") == F.col("fid")) & F.col("slice_start").eqNullSafe(F.col("r_s")) & F.col("slice_end").eqNullSafe(F.col("r_e")))
     names = weighted.select(F.col("fid").alias("m_fid"), F.col("label").alias("m_label"), F.col("weight").alias("m_weight")).distinct()
-    others = groups.select("_g", "best", F.explode("members").alias("member")).filter("member <> best").join(names, F.col("member") == F.col("m_fid"))
+    of = members.filter("fid <> best").select(*[F.col(c).alias(f"m_{c}") for c in SLICE], F.col("zoom").alias("m_zoom"), F.col("best").alias("m_best"), F.col("fid").alias("member"))
+    same = F.col("slice_start").eqNullSafe(F.col("m_slice_start")) & F.col("slice_end").eqNullSafe(F.col("m_slice_end")) & (F.col("best") == F.col("m_best")) & (F.col("at_zoom") == F.col("m_zoom"))
+    others = groups.select("_g", *SLICE, "best", "at_zoom").join(of, same).join(names, F.col("member") == F.col("m_fid"))
     texts = points.group_texts(others, ["_g"], "m_label", "m_weight").select(F.col("_g").alias("t_g"), F.col("text").alias("group_text"))
     out = best.join(texts, F.col("_g") == F.col("t_g"), "left")
-    return out.withColumnsRenamed({"first_zoom": "minzoom", "last_zoom": "maxzoom"}).drop("_g", "t_g", "r_s", "r_e", "best", "members", "fid", "lng", "lat")
+    return out.withColumnsRenamed({"first_zoom": "minzoom", "last_zoom": "maxzoom"}).drop("_g", "t_g", "r_s", "r_e", "best", "n_members", "at_zoom", "fid", "lng", "lat")
 
 
 @step("LOCATION_SCALE")

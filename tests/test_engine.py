@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from chronogeo.functions import colors, geo, style, text
-from chronogeo.operators import derive, overlay, shapes, temporal
+from chronogeo.operators import derive, overlay, points, shapes, temporal
 from chronogeo.plans import queries as engine
 from chronogeo.sources import readers, writers
 
@@ -274,3 +274,16 @@ def test_measured_lines_follow_great_circles():
         n = (u[1] * w[2] - u[2] * w[1], u[2] * w[0] - u[0] * w[2], u[0] * w[1] - u[1] * w[0])
         assert abs(sum(a * b for a, b in zip(v, n))) < 1e-9
     assert shapes.great_circle((0.0, 0.0), (10.0, 0.0)) == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_by_rounds_equal_those_of_one_task(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.uniform(-170, 170) if i % 3 else 5 + rng.random(), rng.uniform(-60, 60) if i % 3 else 8 + rng.random(), float(rng.randint(0, 5)), rng.choice([None, 0, 2]), rng.choice([None, 3])) for i in range(150)]
+    layer = spark.createDataFrame(rows + rows[:3], "fid bigint, lng double, lat double, weight double, minzoom int, maxzoom int").withColumn("slice_start", (F.col("fid") % 2).cast("int"))
+    layer = layer.withColumn("slice_start", F.when(F.col("slice_start") == 1, 7))
+    one, many = (points.location_groups(layer, 3, ("slice_start",), crowd=c) for c in (10**6, 0))
+    for a, b in zip(one, many):
+        assert sorted(map(str, a.select(sorted(a.columns)).collect())) == sorted(map(str, b.select(sorted(a.columns)).collect()))
+    assert one[1].filter("zoom = 0").count() == sum(1 for r in rows)
+    assert points.location_groups(layer.limit(0), 3, ("slice_start",), crowd=-1)[0].count() == 0
