@@ -168,18 +168,19 @@ def _stable(v: Pieces, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _edges(v: Pieces, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, piece) of every occurrence of a usable piece, and of bytes of characters without a piece."""
     padded = np.concatenate([data, np.zeros(KEY, np.uint8)])
-    starts = np.flatnonzero((data != 0xFF) & ((data & 0xC0) != 0x80))
+    starts = np.flatnonzero((data != 0xFF) & ((data & 0xC0) != 0x80)).astype(np.int32)  # a text has fewer bytes than 2^31
     keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, KEY)[starts])
     words = keys.view(">u8").astype(np.uint64)
     order = np.lexsort((words[:, 1], words[:, 0]))
     suffixes, at = keys[order].view(f"S{KEY}").ravel(), starts[order]
-    pieces = np.flatnonzero(v.usable)
+    del keys, words, order
+    pieces = np.flatnonzero(v.usable).astype(np.int32)
     heads = [v.text[i][:KEY] for i in pieces.tolist()]
     low = np.searchsorted(suffixes, np.array(heads, f"S{KEY}"), "left")
     high = np.searchsorted(suffixes, np.array([h + b"\xff" * (KEY - len(h)) for h in heads], f"S{KEY}"), "right")
     counts = np.maximum(high - low, 0)
     of = np.repeat(pieces, counts)
-    where = at[np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+    where = at[np.repeat((low - np.cumsum(counts) + counts).astype(np.int32), counts) + np.arange(counts.sum(), dtype=np.int32)]
     long = np.flatnonzero(v.sizes[of] > KEY)
     if len(long):
         fits = np.array([padded[p + KEY : p + v.sizes[i]].tobytes() == v.text[i][KEY:] for p, i in zip(where[long].tolist(), of[long].tolist())], bool)
@@ -192,14 +193,17 @@ def _edges(v: Pieces, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         b = data[bare]
         sizes = 1 + (b >= 0xC0).astype(np.int64) + (b >= 0xE0) + (b >= 0xF0)
         extra = np.repeat(bare - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        where, of = np.concatenate([where, extra]), np.concatenate([of, v.byte_ids[data[extra]]])
+        where, of = np.concatenate([where, extra.astype(np.int32)]), np.concatenate([of, v.byte_ids[data[extra]]])
     return where, of
 
 
 def _edge_order(depth: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Edges by depth, then end, then longest first; one packed key where it fits 63 bits."""
     if not len(depth) or (int(depth.max()) < 1 << 23 and int(end.max()) < 1 << 35 and int(size.max()) < 32):
-        return np.argsort((depth << 40) | (end << 5) | (31 - size))
+        key = depth.astype(np.int64) << 40
+        key |= end.astype(np.int64) << 5
+        key |= 31 - size
+        return np.argsort(key)
     return np.lexsort((-size, end, depth))
 
 
@@ -209,11 +213,12 @@ def _encode_units(v: Pieces, units: list[bytes]) -> tuple[np.ndarray, np.ndarray
     sizes = np.array([len(u) for u in units], np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
     where, of = _edges(v, data)
-    unit = np.searchsorted(begin, where, "right") - 1
+    first = begin[np.searchsorted(begin, where, "right") - 1].astype(np.int32)
     end = where + v.sizes[of]
-    depth = end - begin[unit]
-    order = _edge_order(depth, end, v.sizes[of].astype(np.int64))
-    where, of, end, depth, first = where[order], of[order], end[order], depth[order], (begin[unit])[order]
+    depth = end - first
+    order = _edge_order(depth, end, v.sizes[of])
+    where, of, end, depth, first = where[order], of[order], end[order], depth[order], first[order]
+    del order
     groups = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
     group_sizes = np.diff(np.concatenate([groups, [len(end)]]))
     levels = np.searchsorted(depth[groups], np.arange(1, int(sizes.max()) + 2))
