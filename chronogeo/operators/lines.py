@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronogeo.operators.overlay import GEOM
+from chronogeo.operators.overlay import GEOM, TILE, tiled
+from chronogeo.session import durable_table
+
+#: Shares of a segment that differ by less are the same place.
+SAME = 1e-12
 
 
 def polygon_edges(layer: DataFrame, keep: list[str]) -> DataFrame:
@@ -22,17 +28,17 @@ def as_lines(edges: DataFrame) -> DataFrame:
     return edges.withColumn("coords", F.array(F.array(F.array(p("x1", "y1"), p("x2", "y2"))))).drop("x1", "y1", "x2", "y2")
 
 
-def chains(lines: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Lines joined where exactly two of them end; rings come back to their start."""
+def chains(lines: list[list[tuple[float, float]]], joints: set[tuple[float, float]] | None = None) -> list[list[tuple[float, float]]]:
+    """Lines joined where exactly two of them end (and, if joints are given, only there); rings are not joined."""
     ends: dict[tuple, list[int]] = {}
     for k, line in enumerate(lines):
         for p in {line[0], line[-1]}:
             ends.setdefault(p, []).append(k)
-    used = [False] * len(lines)
-    out = []
+    used = [line[0] == line[-1] for line in lines]
+    out = [line for line, ring in zip(lines, used) if ring]
 
     def follow(line: list) -> list:
-        while line[0] != line[-1]:
+        while line[0] != line[-1] and (joints is None or line[-1] in joints):
             near = ends[line[-1]]
             if len(near) != 2:
                 break
@@ -67,6 +73,57 @@ def merge_lines(layer: DataFrame, keys: list[str]) -> DataFrame:
     return layer.select(*keys, "coords").groupBy(*keys).applyInPandas(run, f"{head}, coords {GEOM}")
 
 
+def merge_lines_tiled(layer: DataFrame, keys: list[str], size: float, most: int) -> DataFrame:
+    """keys, coords: the lines of each key, joined end to end, one row for each.
+
+    Where exactly two lines of a key end is counted first. Lines are joined there within tiles; those without a further
+    joint are done, and the others go on to greater tiles, until a key has no more than so many vertices left.
+    """
+    point = lambda p: F.struct((p[0] + F.lit(0.0)).alias("x"), (p[1] + F.lit(0.0)).alias("y"))
+    rows = layer.select(*keys, F.explode(F.flatten("coords")).alias("line")).filter(F.size("line") > 1)
+    rows = durable_table(rows.withColumn("a", point(F.element_at("line", 1))).withColumn("b", point(F.element_at("line", -1))))
+    ends = rows.select(*keys, F.explode(F.array_distinct(F.array("a", "b"))).alias("p"))
+    joints = durable_table(ends.groupBy(*keys, "p").count().filter("count = 2").select(*[F.col(k).alias(f"j_{k}") for k in keys], F.col("p").alias("j_p")))
+
+    def marked(lines: DataFrame, end: str) -> DataFrame:
+        same = F.col(end) == F.col("j_p")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"j_{k}"))
+        found = lines.join(joints, same, "left").withColumn(f"{end}_open", F.col("j_p").isNotNull() & (F.col("a") != F.col("b")))
+        return found.drop("j_p", *[f"j_{k}" for k in keys])
+
+    state = marked(marked(rows, "a"), "b").select(*keys, F.array(F.array("line")).alias("coords"), "a_open", "b_open")
+    ddl = ", ".join(f"`{k}` {layer.schema[k].dataType.simpleString()}" for k in keys) + f", coords {GEOM}, a_open boolean, b_open boolean"
+
+    def run(pdf):
+        import pandas as pd
+
+        from chronogeo.operators.lines import chains
+
+        lines = [[tuple(p) for p in g[0][0]] for g in pdf["coords"]]
+        joints = {p for line, a, b in zip(lines, pdf["a_open"], pdf["b_open"]) for p, is_open in ((line[0], a), (line[-1], b)) if is_open}
+        found = chains(lines, joints)
+        out = {k: [pdf[k].iloc[0]] * len(found) for k in keys}
+        is_open = [[c[0] != c[-1] and c[i] in joints for c in found] for i in (0, -1)]
+        return pd.DataFrame(out | {"coords": [[[[list(p) for p in c]]] for c in found], "a_open": is_open[0], "b_open": is_open[1]})
+
+    left, done, first = durable_table(state), [], F.col("coords")[0][0][0]
+    while True:
+        done.append(left.filter("NOT (a_open OR b_open)"))
+        left = left.filter("a_open OR b_open")
+        rest = left.groupBy(*keys).agg(F.sum(F.size(F.col("coords")[0][0])).alias("n")).agg(F.max("n")).first()[0] or 0
+        if not rest:
+            break
+        whole = rest <= most or size > 360
+        tile = [] if whole else [F.floor(first[i] / size).alias(name) for i, name in enumerate(TILE)]
+        left = durable_table(left.groupBy(*keys, *tile).applyInPandas(run, ddl))
+        size *= 4
+        if whole:
+            done.append(left)
+            break
+    return reduce(DataFrame.unionByName, done).select(*keys, "coords")
+
+
 def _covered(point: np.ndarray, seg: np.ndarray, owner: np.ndarray) -> bool:
     """Whether a point is inside of any of the polygons, which may overlap."""
     near = (seg[:, 1] > point[1]) != (seg[:, 3] > point[1])
@@ -75,28 +132,56 @@ def _covered(point: np.ndarray, seg: np.ndarray, owner: np.ndarray) -> bool:
     return bool((np.bincount(owner[near][point[0] < x]) % 2 == 1).any())
 
 
-def cut_line(line: list, seg: np.ndarray, owner: np.ndarray, erase: bool = False) -> list[list[list[float]]]:
-    """The stretches of a line inside (or outside) polygons given by their sides and their numbers."""
+def stretches(a: list, b: list, seg: np.ndarray, owner: np.ndarray, erase: bool = False, begin: float = 0.0, end: float = 1.0) -> list[tuple[float, float]]:
+    """Shares of the way from a to b (between begin and end) that lie inside (or outside) polygons given by their sides and their numbers."""
+    p, r = np.array(a[:2], float), np.array(b[:2], float) - np.array(a[:2], float)
+    s = seg[:, 2:] - seg[:, :2]
+    det = r[0] * s[:, 1] - r[1] * s[:, 0]
+    gap = seg[:, :2] - p
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (gap[:, 0] * s[:, 1] - gap[:, 1] * s[:, 0]) / det
+        u = (gap[:, 0] * r[1] - gap[:, 1] * r[0]) / det
+    cuts = np.unique(np.concatenate([[begin, end], t[(np.abs(det) > 1e-15) & (t > begin + SAME) & (t < end - SAME) & (u >= 0) & (u <= 1)]]))
+    return [(lo, hi) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if _covered(p + r * (lo + hi) / 2, seg, owner) != erase]
+
+
+def in_tile(a: list, b: list, x: float, y: float, size: float) -> tuple[float, float] | None:
+    """The share of the way from a to b in a tile, which holds its left and lower sides."""
+    lo, hi = 0.0, 1.0
+    for p, q, low in ((a[0], b[0], x), (a[1], b[1], y)):
+        if p == q:
+            if not low <= p < low + size:
+                return None
+        else:
+            near, far = sorted(((low - p) / (q - p), (low + size - p) / (q - p)))
+            lo, hi = max(lo, near), min(hi, far)
+    return (lo, hi) if hi - lo > SAME else None
+
+
+def pieces_of(line: list, shares: dict[int, list[tuple[float, float]]]) -> list[list[list[float]]]:
+    """The pieces of a line that are given as shares of its segments."""
     out: list[list[list[float]]] = []
-    for a, b in zip(line, line[1:]):
-        p, r = np.array(a[:2], float), np.array(b[:2], float) - np.array(a[:2], float)
-        s = seg[:, 2:] - seg[:, :2]
-        det = r[0] * s[:, 1] - r[1] * s[:, 0]
-        gap = seg[:, :2] - p
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (gap[:, 0] * s[:, 1] - gap[:, 1] * s[:, 0]) / det
-            u = (gap[:, 0] * r[1] - gap[:, 1] * r[0]) / det
-        cuts = np.unique(np.concatenate([[0, 1], t[(np.abs(det) > 1e-15) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)]]))
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if _covered(p + r * (lo + hi) / 2, seg, owner) != erase:
-                x, y = (p + r * lo).tolist(), (p + r * hi).tolist()
-                if out and out[-1][-1] == x:
-                    out[-1].append(y)
-                else:
-                    out.append([x, y])
+    for k, (a, b) in enumerate(zip(line, line[1:])):
+        whole: list[list[float]] = []
+        for lo, hi in sorted(shares.get(k, ())):
+            if whole and lo <= whole[-1][1] + SAME:
+                whole[-1][1] = max(whole[-1][1], hi)
+            else:
+                whole.append([lo, hi])
+        for lo, hi in whole:
+            x, y = ([float(a[i]) if t == 0 else float(b[i]) if t == 1 else a[i] + (b[i] - a[i]) * t for i in (0, 1)] for t in (lo, hi))
+            if out and out[-1][-1] == x:
+                out[-1].append(y)
+            else:
+                out.append([x, y])
     return out
 
 
+def cut_line(line: list, seg: np.ndarray, owner: np.ndarray, erase: bool = False) -> list[list[list[float]]]:
+    """The stretches of a line inside (or outside) polygons given by their sides and their numbers."""
+    return pieces_of(line, {k: stretches(a, b, seg, owner, erase) for k, (a, b) in enumerate(zip(line, line[1:]))})
+
+
 def clip_lines(layer: DataFrame, mask: DataFrame, by: list[str], erase: bool = False) -> DataFrame:
     """Lines' stretches inside (or outside) the mask polygons of the same group; properties stay."""
     names, types = layer.columns, dict(layer.dtypes)
@@ -115,3 +200,47 @@ def clip_lines(layer: DataFrame, mask: DataFrame, by: list[str], erase: bool = F
 
     ddl = ", ".join(f"`{c}` {types[c]}" for c in names)
     return layer.groupBy(*by).cogroup(mask.select(*[F.col(c).alias(f"m_{c}") for c in by], "coords").groupBy(*[f"m_{c}" for c in by])).applyInPandas(run, ddl)
+
+
+def clip_lines_tiled(layer: DataFrame, mask: DataFrame, by: list[str], size: float, erase: bool = False) -> DataFrame:
+    """clip_lines(), segment by segment within tiles; a feature's stretches are put together again by its number."""
+    rows = durable_table(layer.withColumn("_uid", F.monotonically_increasing_id()))
+    rings = rows.select(*by, "_uid", F.posexplode(F.flatten("coords")).alias("ring", "r")).filter(F.size("r") > 1)
+    side = lambda i: F.struct(*[F.element_at("r", i + k)[c].alias(f"{n}{k + 1}") for k in (0, 1) for c, n in enumerate("xy")])
+    sides = rings.select(*by, "_uid", "ring", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("r") - 1), side)).alias("seq", "s")).select(*by, "_uid", "ring", "seq", "s.*")
+    cells = lambda c: F.explode(F.sequence(*[F.floor(f(f"{c}1", f"{c}2") / size).cast("int") for f in (F.least, F.greatest)]))
+    sides = sides.withColumn(TILE[0], cells("x")).withColumn(TILE[1], cells("y"))
+    masks = tiled(mask.select(*by, "coords"), size).select(*[F.col(c).alias(f"m_{c}") for c in (*by, *TILE)], "coords")
+
+    def run(left, right):
+        import pandas as pd
+
+        from chronogeo.operators.lines import in_tile, stretches
+        from chronogeo.operators.overlay import _segments
+
+        seg, owner = _segments([[[[tuple(p) for p in ring] for ring in part] for part in g] for g in right["coords"]])
+        out = []
+        for uid, ring, seq, x1, y1, x2, y2, i, j in left[["_uid", "ring", "seq", "x1", "y1", "x2", "y2", *TILE]].itertuples(index=False) if erase or len(seg) else ():
+            share = in_tile((x1, y1), (x2, y2), i * size, j * size, size)
+            if share:
+                out += [(uid, ring, seq, lo, hi) for lo, hi in stretches((x1, y1), (x2, y2), seg, owner, erase, *share)]
+        return pd.DataFrame(out, columns=["_uid", "ring", "seq", "lo", "hi"])
+
+    shares = sides.groupBy(*by, *TILE).cogroup(masks.groupBy(*[f"m_{c}" for c in (*by, *TILE)])).applyInPandas(run, "_uid bigint, ring int, seq int, lo double, hi double")
+    shares = shares.groupBy("_uid").agg(F.collect_list(F.struct("ring", "seq", "lo", "hi")).alias("_shares"))  # of one feature
+
+    def together(shapes, kept):
+        import pyarrow as pa
+
+        from chronogeo.operators.lines import pieces_of
+
+        out = []
+        for g, own in zip(shapes.to_pylist(), kept.to_pylist()):
+            rings = [ring for part in g for ring in part]
+            of: list[dict] = [{} for _ in rings]
+            for s in own:
+                of[s["ring"]].setdefault(s["seq"], []).append((s["lo"], s["hi"]))
+            out.append([[piece] for ring, shares in zip(rings, of) for piece in pieces_of(ring, shares)])
+        return pa.array(out, shapes.type)
+
+    return rows.join(shares, "_uid").withColumn("coords", F.arrow_udf(together, GEOM)("coords", "_shares")).select(*layer.columns)

@@ -171,6 +171,20 @@ def _cut(ctx: Context, layer: DataFrame, mask: DataFrame, cut: Callable[..., Dat
     return rows.drop("coords").join(whole, "_uid").select(*layer.columns)
 
 
+def _clip_lines(ctx: Context, layer: DataFrame, mask: DataFrame, erase: bool = False) -> DataFrame:
+    """lines.clip_lines() by slice, and by tile where a slice has too many vertices."""
+    layer = durable_table(layer)
+    size = overlay.tile_size([layer, mask], SLICE, ctx.group_vertices)
+    return lines.clip_lines(layer, mask, SLICE, erase) if size is None else lines.clip_lines_tiled(layer, mask, SLICE, size, erase)
+
+
+def _merge_lines(ctx: Context, layer: DataFrame, keys: list[str]) -> DataFrame:
+    """lines.merge_lines(), by tiles where a key has too many vertices: its lines are rows of their own then."""
+    layer = durable_table(layer)
+    size = overlay.tile_size([layer], keys, ctx.group_vertices)
+    return lines.merge_lines(layer, keys) if size is None else lines.merge_lines_tiled(layer, keys, size, ctx.group_vertices)
+
+
 @step("ADD_POLYGONS", SLICED)
 def add_polygons(ctx, inputs):
     both = inputs["in"].select(*SLICE, "coords").unionByName(inputs["summand"].select(*SLICE, "coords"))
@@ -197,7 +211,7 @@ def _by_kind(layer: DataFrame, on_lines: Callable[[DataFrame], DataFrame], on_po
 @step("CLIP", SLICED)
 def clip(ctx, inputs):
     mask = inputs["mask"]
-    return _by_kind(inputs["in"], lambda x: lines.clip_lines(x, mask, SLICE), lambda x: _cut(ctx, x, mask, overlay.clip))
+    return _by_kind(inputs["in"], lambda x: _clip_lines(ctx, x, mask), lambda x: _cut(ctx, x, mask, overlay.clip))
 
 
 @step("SUBTRACT", SLICED)
@@ -207,8 +221,8 @@ def subtract(ctx, inputs, keepField=None):
 
     def on_lines(layer: DataFrame) -> DataFrame:
         sides = edges.edge_kinds(edges.normalised(lines.polygon_edges(layer, keys)), keys).drop("kind")
-        merged = overlay.exploded(lines.merge_lines(lines.as_lines(sides), keys))
-        return _as_line_layer(lines.clip_lines(merged, mask, SLICE, erase=True))
+        merged = overlay.exploded(_merge_lines(ctx, lines.as_lines(sides), keys))
+        return _as_line_layer(_clip_lines(ctx, merged, mask, erase=True))
 
     return _by_kind(inputs["in"], on_lines, lambda x: _cut(ctx, overlay.exploded(_dissolve(ctx, x, keys)), mask, overlay.erase))
 
@@ -253,14 +267,14 @@ def _side_lines(layer: DataFrame, keys: list[str]) -> DataFrame:
 @step("BORDER_VARIANTS__PROVINCE_BORDERS", SLICED)
 def province_borders(ctx, inputs):
     sides = _side_lines(inputs["in"], [*SLICE, "nation"])
-    inner = lines.merge_lines(lines.as_lines(edges.inner_lines(sides, [*SLICE, "nation"])), [*SLICE, "nation"]).drop("nation")
-    return _as_line_layer(lines.clip_lines(inner, inputs["land_without_water"], SLICE))
+    inner = _merge_lines(ctx, lines.as_lines(edges.inner_lines(sides, [*SLICE, "nation"])), [*SLICE, "nation"]).drop("nation")
+    return _as_line_layer(_clip_lines(ctx, inner, inputs["land_without_water"]))
 
 
 @step("BORDER_VARIANTS__DISTRICT_BORDERS", SLICED)
 def district_borders(ctx, inputs):
     sides = edges.edge_kinds(_side_lines(inputs["in"], SLICE), SLICE).drop("kind")
-    return _as_line_layer(lines.merge_lines(lines.as_lines(sides), SLICE))
+    return _as_line_layer(_merge_lines(ctx, lines.as_lines(sides), SLICE))
 
 
 def _keyed_borders(ctx: Context, inputs: dict[str, DataFrame], primary: str, other: str) -> DataFrame:
@@ -268,8 +282,8 @@ def _keyed_borders(ctx: Context, inputs: dict[str, DataFrame], primary: str, oth
     whole = _dissolve(ctx, rows, [*SLICE, "key"])
     kinds = edges.edge_kinds(_side_lines(whole, SLICE), SLICE)
     inner = lines.as_lines(kinds.filter("kind = 'inner'").drop("kind"))
-    outer = lines.clip_lines(lines.as_lines(kinds.filter("kind = 'outer'").drop("kind")), inputs["land_without_water"], SLICE)
-    return _as_line_layer(lines.merge_lines(inner.unionByName(outer), SLICE))
+    outer = _clip_lines(ctx, lines.as_lines(kinds.filter("kind = 'outer'").drop("kind")), inputs["land_without_water"])
+    return _as_line_layer(_merge_lines(ctx, inner.unionByName(outer), SLICE))
 
 
 @step("BORDER_VARIANTS__NATION_BORDERS", SLICED)
@@ -285,7 +299,7 @@ def subregion_borders(ctx, inputs):
 @step("BORDER_VARIANTS__REGION_BORDERS", SLICED)
 def region_borders(ctx, inputs):
     whole = _variant(ctx, inputs["in"], "region")
-    return _as_line_layer(lines.merge_lines(lines.as_lines(edges.inner_lines(_side_lines(whole, SLICE), SLICE)), SLICE))
+    return _as_line_layer(_merge_lines(ctx, lines.as_lines(edges.inner_lines(_side_lines(whole, SLICE), SLICE)), SLICE))
 
 
 @step("MERGE_BORDERS", MERGED)
@@ -293,7 +307,7 @@ def merge_borders(ctx, inputs):
     sides = {k: lines.polygon_edges(x, TIME) for k, x in inputs.items() if k in edges.BORDER_TYPES}
     merged = lines.as_lines(edges.merge_borders(sides))
     keys = ["border_type", "maxzoom", *TIME]
-    return _as_line_layer(overlay.exploded(lines.merge_lines(merged, keys)))
+    return _as_line_layer(overlay.exploded(_merge_lines(ctx, merged, keys)))
 
 
 @step("BUFFER_POLYGONS", SLICED)
@@ -381,7 +395,7 @@ def shape_rivers(ctx, inputs):
 
 @step("RIVER_LABELS", SLICED)
 def river_labels(ctx, inputs):
-    return _as_line_layer(lines.merge_lines(inputs["in"].filter(_truthy("label")), [*SLICE, "label"])).withColumn("minzoom", F.lit(5))
+    return _as_line_layer(_merge_lines(ctx, inputs["in"].filter(_truthy("label")), [*SLICE, "label"])).withColumn("minzoom", F.lit(5))
 
 
 @step("GENERATE_LABEL_CENTERS", MERGED)

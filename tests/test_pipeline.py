@@ -354,3 +354,22 @@ def test_lines_are_clipped_and_subtracted_as_lines(spark):
     mixed = make(box(0, 0, 2, 2), [[[[0.0, 1.0], [1.0, 1.0], [2.0, 1.0], [3.0, 1.0], [4.0, 1.0]]]])
     rows = run_step(ctx, "CLIP", {"in": mixed, "mask": make(box(1, 0, 9, 9))})
     assert sorted(round(x, 6) for x in (length(rows.filter(F.size(F.col("coords")[0][0]) < 5)), area(rows.filter(F.size(F.col("coords")[0][0]) > 4)))) == [2, 3]
+
+
+def test_crowded_lines_are_tiled_and_joined_again(spark):
+    grid = [(f"n{x // 2}", box(x * 20.5, y * 20.25, 20.5, 20.25)) for x in range(4) for y in range(4)]
+    layer = spark.createDataFrame(grid, f"nation string, coords {GEOM}")
+    mask = spark.createDataFrame([(box(10, 10, 50, 40),), (box(40, -5, 24, 69),)], f"coords {GEOM}")  # sides at 64 lie on tile borders
+    plain, tiled = Context(spark), Context(spark, group_vertices=10)
+    chained = lambda rows: sorted((sorted((round(x, 9), round(y, 9)) for x, y in (c[0], c[-1])), len(c), round(sum(map(math.dist, c, c[1:])), 6)) for r in rows.collect() for part in r["coords"] for c in part)
+    for name, inputs in (
+        ("BORDER_VARIANTS__DISTRICT_BORDERS", {"in": layer}),
+        ("BORDER_VARIANTS__PROVINCE_BORDERS", {"in": layer, "land_without_water": mask}),
+    ):
+        a, b = (chained(run_step(c, name, inputs)) for c in (plain, tiled))
+        assert a == b != [], name
+    slanted = [[[float(x), 0.3 + x * 0.7] for x in range(0, 90, 3)]]
+    borders = spark.createDataFrame([("a", [slanted]), ("b", [[[[64.0, -9.0], [64.0, 90.0]]]]), ("c", [[[[0.0, 0.0], [80.0, 0.0]], [[5.0, 5.0], [5.0, 70.0]]]]), ("d", None)], f"name string, coords {GEOM}").withColumn("geom_type", F.lit("LineString"))
+    for name, other in (("CLIP", "mask"), ("SUBTRACT", "subtrahend")):
+        a, b = (run_step(c, name, {"in": borders, other: mask}) for c in (plain, tiled))
+        assert chained(a) == chained(b) != [] and length(a) == pytest.approx(length(b)), name
