@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronogeo.operators import edges
 from chronogeo.operators.overlay import GEOM, buffer, inside, ring_area, union
+from chronogeo.session import durable_table
 
 CUTOFF = 85.0
 _SCALE = 180 / (math.degrees(math.asinh(math.tan(math.radians(CUTOFF)))) + 90 - CUTOFF)
@@ -156,18 +158,21 @@ def _hash_noise(x: float, y: float, seed: int) -> float:
 
 
 def detailed_edge(a, b, longest: float, strength: float = 0.2, seed: int = 7, frequency: float = 10.0) -> list:
-    """Points after a up to b: midpoints moved sideways by noise, halving until no part is over the longest.
+    """Points after a up to b: midpoints moved sideways by noise, in so many rounds of halving as bring the edge's length to the longest.
 
     The noise depends on both ends alike, so an edge and its reverse get the same points.
     """
+
+    def halved(a, b, rounds: int) -> list:
+        if not rounds:
+            return [list(b)]
+        p, q = (b, a) if tuple(b) < tuple(a) else (a, b)
+        shift = _hash_noise((p[0] + q[0]) * frequency, (p[1] + q[1]) * frequency, seed) * strength
+        mid = [(p[0] + q[0]) / 2 - (q[1] - p[1]) * shift, (p[1] + q[1]) / 2 + (q[0] - p[0]) * shift]
+        return halved(a, mid, rounds - 1) + halved(mid, b, rounds - 1)
+
     length = math.dist(a, b)
-    if length <= longest:
-        return [list(b)]
-    flip = tuple(b) < tuple(a)
-    p, q = (b, a) if flip else (a, b)
-    shift = _hash_noise((p[0] + q[0]) * frequency, (p[1] + q[1]) * frequency, seed) * strength
-    mid = [(p[0] + q[0]) / 2 - (q[1] - p[1]) * shift, (p[1] + q[1]) / 2 + (q[0] - p[0]) * shift]
-    return detailed_edge(a, mid, longest, strength, seed, frequency) + detailed_edge(mid, b, longest, strength, seed, frequency)
+    return halved(a, b, math.ceil(math.log2(length / longest)) if length > longest else 0)
 
 
 def _plain_edge(a, b) -> bool:
@@ -175,28 +180,38 @@ def _plain_edge(a, b) -> bool:
 
 
 def add_fractal_detail(layer: DataFrame, longest: float = 0.2) -> DataFrame:
-    """Edges longer than the limit get fractal detail, but for edges near the poles, along 180 degrees, or shared in a feature."""
-
-    def detail(g: list) -> list:
-        seen: dict[tuple, int] = {}
-        for part in g:
-            for ring in part:
-                for a, b in zip(ring, ring[1:]):
-                    k = tuple(sorted((tuple(a), tuple(b))))
-                    seen[k] = seen.get(k, 0) + 1
+    """Edges longer than the limit on the map get fractal detail, but for edges near the poles, along 180 degrees, or found twice in the layer."""
+    rows = durable_table(layer.withColumn("_uid", F.monotonically_increasing_id()))
+    rings = rows.select("_uid", F.posexplode(F.flatten("coords")).alias("ring", "r")).filter(F.size("r") > 1)
+    side = lambda i: F.struct(*[F.element_at("r", i + k)[c].alias(f"{n}{k + 1}") for k in (0, 1) for c, n in enumerate("xy")])
+    sides = rings.select("_uid", "ring", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("r") - 1), side)).alias("seq", "s"))
+    sides = edges.normalised(sides.select("_uid", "ring", "seq", "s.*"), 7, wrap=True)
+    twice = sides.groupBy(*edges.EDGE).count().filter("count > 1").drop("count")
+    shared = sides.join(twice, list(edges.EDGE)).groupBy("_uid").agg(F.collect_list(F.struct("ring", "seq")).alias("_shared"))  # of one feature
+
+    def udf(shapes: pa.Array, known: pa.Array) -> pa.Array:
         out = []
-        for part in g:
-            rings = []
-            for ring in part:
-                line = [list(ring[0])]
-                for a, b in zip(ring, ring[1:]):
-                    plain = _plain_edge(a, b) or seen[tuple(sorted((tuple(a), tuple(b))))] > 1
-                    line += [list(b)] if plain else detailed_edge(a, b, longest)
-                rings.append(line)
-            out.append(rings)
-        return out
-
-    return layer.withColumn("coords", per_geometry(F.col("coords"), detail))
+        for g, found in zip(shapes.to_pylist(), known.to_pylist()):
+            if g is None:
+                out.append(None)
+                continue
+            plain, ring, parts = {(s["ring"], s["seq"]) for s in found or ()}, -1, []
+            for part in g:
+                parts.append([])
+                for r in part:
+                    ring += 1
+                    line = [list(p) for p in r[:1]]
+                    for seq, (a, b) in enumerate(zip(r, r[1:])):
+                        if (ring, seq) not in plain and not _plain_edge(a, b):
+                            more = detailed_edge((a[0], _map_y(a[1])), (b[0], _map_y(b[1])), longest)
+                            line += [[x, _map_lat(y)] for x, y in more[:-1]]
+                        line.append(list(b))
+                    parts[-1].append(line)
+            out.append(parts)
+        return pa.array(out, shapes.type)
+
+    detailed = rows.join(shared, "_uid", "left").withColumn("coords", F.arrow_udf(udf, GEOM)("coords", "_shared"))
+    return detailed.select(*layer.columns)
 
 
 def spherical_area_km2(parts: list, radius: float = 6371.0) -> float:

@@ -209,11 +209,14 @@ def _(get):
     return _step(get("f_locations"), "ADD_POINTS", summand=more).select("fid", "label")
 
 
-@query("merge_geometry", "SELECT layer_ord, time_start, CAST(count(*) AS DOUBLE) AS area FROM (SELECT CASE WHEN fid % 2 = 0 THEN 1 ELSE 0 END AS layer_ord, time_start FROM f_bands) GROUP BY layer_ord, time_start")
+_ICE = "CASE WHEN fid % 2 = 0 THEN '#e1ecfd' WHEN fid % 3 <> 0 THEN '#fdfbf7' ELSE '#dae7fc' END"
+
+
+@query("merge_geometry", f"SELECT layer_ord, color, time_start, CAST(count(*) AS DOUBLE) AS area FROM (SELECT 0 AS layer_ord, '#f8f1e1' AS color, time_start FROM f_bands WHERE fid % 3 <> 0 UNION ALL SELECT 1, '#8ab4f8', time_start FROM f_bands WHERE fid % 2 = 0 UNION ALL SELECT 2, {_ICE}, time_start FROM f_bands WHERE fid % 5 = 0) GROUP BY layer_ord, color, time_start")
 def _(get):
-    land = _cells(get).select("coords", "time_start", "time_end")
-    waters = _some(get, 0).drop("key")
-    return _areas(run_step(Context(land.sparkSession), "MERGE_GEOMETRY", {"land": land, "waters": waters}), "layer_ord", "time_start").withColumn("layer_ord", F.col("layer_ord").cast("int"))
+    cells = _cells(get)
+    layers = {name: cells.filter(where).select("coords", "time_start", "time_end") for name, where in (("land", "fid % 3 <> 0"), ("waters", "fid % 2 = 0"), ("ice", "fid % 5 = 0"))}
+    return _areas(run_step(Context(cells.sparkSession), "MERGE_GEOMETRY", layers), "layer_ord", "color", "time_start")
 
 
 @query("layer_colors", "SELECT * FROM (VALUES ('land', 248, 241, 225), ('districts', 212, 204, 185), ('deserts', 255, 247, 190), ('swamps', 183, 197, 188), ('mountains', 222, 212, 184), ('hills', 235, 227, 205), ('forests', 187, 226, 198), ('waters', 138, 180, 248), ('buildings', 119, 136, 153), ('roads', 185, 157, 92)) AS t(layer, r, g, b)")
@@ -307,9 +310,11 @@ def _(get):
     return _ribbon_areas(_step(rivers.drop("fid", "column"), "SHAPE_RIVERS", land_without_water=land))
 
 
-@query("fractal_detail", "SELECT fid, 33 AS vertices FROM f_cells")
+@query("fractal_detail", "WITH c AS (SELECT fid, x, y, floor(y / 40e0) AS b FROM f_cells) SELECT c.fid, CAST(33 - 7 * count(d.fid) AS INT) AS vertices FROM c LEFT JOIN c d ON d.b = c.b AND abs(d.x - c.x) + abs(d.y - c.y) = 1 GROUP BY c.fid")
 def _(get):
-    return _step(_cells(get).withColumn("coords", square(F.col("x"), F.pmod(F.col("y"), F.lit(80)))).select("fid", "coords", "time_start", "time_end"), "ADD_FRACTAL_DETAIL").select("fid", F.size(F.flatten(F.flatten("coords"))).alias("vertices"))
+    west = F.col("x") + 0.5 + 21 * F.floor(F.col("y") / 40)
+    cells = get("f_bands").withColumn("coords", square(west, F.pmod(F.col("y"), F.lit(40))))
+    return _step(cells.select("fid", "coords", "time_start", "time_end"), "ADD_FRACTAL_DETAIL").select("fid", F.size(F.flatten(F.flatten("coords"))).alias("vertices"))
 
 
 @query("pattern_pebbles")

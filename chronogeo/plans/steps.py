@@ -364,9 +364,9 @@ def shape_roads(ctx, inputs):
     return overlay.exploded(_dissolve(ctx, shapes.ribbons(wide, ["line", *SLICE]), SLICE))
 
 
-def _land_points(layer: DataFrame, land: DataFrame) -> DataFrame:
+def _land_points(ctx: Context, layer: DataFrame, land: DataFrame) -> DataFrame:
     """Slice, x, y of the vertices of lines clipped to land."""
-    inside = lines.clip_lines(layer.select(*SLICE, "coords"), land, SLICE)
+    inside = _clip_lines(ctx, layer.select(*SLICE, "coords"), land)
     points = inside.select(*SLICE, F.explode(F.flatten(F.flatten("coords"))).alias("p"))
     return points.select(*[F.col(c).alias(f"l_{c}") for c in SLICE], F.col("p")[0].alias("l_lng"), F.col("p")[1].alias("l_lat")).distinct()
 
@@ -382,7 +382,7 @@ def shape_rivers(ctx, inputs):
     met = pts.join(node, here("n") & (F.col("lng") == F.col("n_lng")) & (F.col("lat") == F.col("n_lat")))
     spring = F.col("degree") == 1
     if "land_without_water" in inputs:
-        met = met.join(_land_points(layer, inputs["land_without_water"]), here("l") & (F.col("lng") == F.col("l_lng")) & (F.col("lat") == F.col("l_lat")), "left")
+        met = met.join(_land_points(ctx, layer, inputs["land_without_water"]), here("l") & (F.col("lng") == F.col("l_lng")) & (F.col("lat") == F.col("l_lat")), "left")
         spring = spring & F.col("l_lng").isNotNull()
     line = Window.partitionBy("line", *SLICE)
     least = lambda at: F.max(F.when((F.col("seq") == at) & spring, 0.1)).over(line)
@@ -435,26 +435,32 @@ def resolve_patterns(ctx, inputs):
 
 @step("MERGE_GEOMETRY", SLICED)
 def merge_geometry(ctx, inputs):
-    """One polygon layer: cells of the mosaic of all layers, coloured by their stack, dissolved by top layer and colour."""
+    """One polygon layer, a feature for each layer and colour, in the order of the layers.
+
+    Where a feature with a transparent colour is on top, the cells of the mosaic of all layers stand for it, coloured by
+    their stacks; a feature that is on top nowhere, or opaque, stays whole.
+    """
     rows = _union(inputs).filter("coords IS NOT NULL")
     own = colors.parse_hex(F.col("color")) if "color" in rows.columns else F.lit(None).cast(colors.RGBA)
     rows = rows.withColumn("c", F.coalesce(own, colors.layer_color(F.col("layer"))))
     rows = rows.withColumn("c", F.when(F.col("c").isNull(), F.raise_error(F.lit("a feature has no colour")).cast(colors.RGBA)).otherwise(F.col("c")))
-    rows = rows.withColumn("hex", colors.hex_text(F.col("c"))).select(*SLICE, "layer_ord", "hex", "coords")
+    # Layer and colour in one number: what covers a cell tells its colours.
+    places = {"r": 24, "g": 16, "b": 8, "a": 0}
+    packed = reduce(lambda x, k: x + F.shiftleft(F.col("c")[k].cast("long"), places[k]), places, F.shiftleft(F.col("layer_ord").cast("long"), 32))
+    unpacked = lambda o: colors.rgba(*[F.shiftright(o, n).bitwiseAND(F.lit(255)) for n in places.values()])
+    rows = rows.withColumn("ord", packed).select(*SLICE, "ord", "coords")
     size = overlay.tile_size([rows], SLICE, ctx.group_vertices)
     by = SLICE if size is None else [*SLICE, *overlay.TILE]
-    flat = overlay.dissolve(rows if size is None else overlay.tiled(rows, size), [*by, "layer_ord", "hex"])
-    flat = flat.withColumn("ord", F.col("layer_ord").cast("long") * 2**33 + F.crc32("hex"))
-    cells = overlay.mosaic(flat, by).withColumn("cell", F.to_json(F.struct(*by, "covers")))
-    cover = cells.select("cell", *[F.col(c).alias(f"c_{c}") for c in by], F.explode("covers").alias("c_ord"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in by])
-    stack = cover.join(flat.select(*by, "ord", "layer_ord", "hex"), (F.col("ord") == F.col("c_ord")) & same)
-    item = F.struct("ord", colors.parse_hex(F.col("hex")).alias("c"))
-    stack = stack.groupBy("cell").agg(F.max("layer_ord").alias("top"), F.array_sort(F.collect_list(item)).alias("stack"))
-    blended = colors.hex_text(colors.composite(F.col("stack.c")))
-    done = cells.join(stack.select(F.col("cell").alias("s_cell"), "top", blended.alias("color")), F.col("cell") == F.col("s_cell"))
-    done = done if size is None else overlay.dissolve(done, [*by, "top", "color"])
-    return overlay.dissolve(done, [*SLICE, "top", "color"]).withColumnRenamed("top", "layer_ord")
+    flat = durable_table(overlay.dissolve(rows if size is None else overlay.tiled(rows, size), [*by, "ord"]))
+    whole = flat if size is None else overlay.dissolve(flat, [*SLICE, "ord"])
+    top = F.element_at("covers", -1)
+    seen = overlay.mosaic(flat, by).filter(top % 256 < 255)
+    pieces = seen.select(*SLICE, top.alias("ord"), colors.hex_text(colors.composite(F.transform("covers", unpacked))).alias("color"), "coords")
+    pieces = durable_table(overlay.dissolve(pieces, [*SLICE, "ord", "color"]))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in (*SLICE, "ord")])
+    kept = whole.join(pieces.select(*[F.col(c).alias(f"p_{c}") for c in (*SLICE, "ord")]), same, "left_anti")
+    out = kept.withColumn("color", colors.hex_text(unpacked(F.col("ord")))).unionByName(pieces)
+    return out.withColumn("layer_ord", F.shiftright("ord", 32).cast("int")).drop("ord")
 
 
 @step("LOCATION_GROUP", SLICED)

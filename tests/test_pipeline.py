@@ -7,7 +7,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from chronogeo.operators import lines, overlay
+from chronogeo.operators import lines, overlay, shapes
 from chronogeo.plans import pipeline
 from chronogeo.plans.steps import STEPS, Context, run_step
 
@@ -154,15 +154,26 @@ def test_label_centers_lie_inside(done, ctx):
     assert {r["time_index_start"] for r in exported if r["label"] == "Land B"} == {0}
 
 
-def test_geometry_covers_the_union_once(done):
-    rows = done["geometry.MERGE_GEOMETRY"]
-    river = area(done["rivers.SHAPE_RIVERS"])
+def test_geometry_keeps_opaque_layers_whole(done):
+    rows = done["geometry.MERGE_GEOMETRY"].filter("time_end IS NULL")
+    river = area(done["rivers.SHAPE_RIVERS"].filter("time_end IS NULL"))
     assert river > 0
-    late = area(rows.filter("time_end IS NULL"))
-    assert late == pytest.approx(136, abs=1e-3)
+    assert area(rows.filter("layer_ord = 2")) == pytest.approx(river, abs=1e-6)
+    assert overlay.area(overlay.union([[[[tuple(p) for p in ring] for ring in part] for part in r["coords"]] for r in rows.collect()])) == pytest.approx(136, abs=1e-3)
     assert rows.filter("color = '#8ab4f8'").count() > 0
 
 
+def test_detail_leaves_edges_that_features_share(spark):
+    rows = [(1, box(0, 0, 1, 1)), (2, box(1, 0, 1, 1)), (3, None), (4, [])]
+    layer = spark.createDataFrame(rows, f"fid int, coords {GEOM}")
+    got = {r["fid"]: r["coords"] for r in shapes.add_fractal_detail(layer, 0.2).collect()}
+    assert got[3] is None and got[4] == []
+    for fid in (1, 2):
+        ring = got[fid][0][0]
+        assert len(ring) == 1 + 3 * 8 + 1 and ring[0] == ring[-1]
+        assert all(x == 1 and y in (0, 1) for x, y in ring if abs(x - 1) < 1e-12)
+
+
 def test_locations_and_search(done, ctx):
     rows = done["locations.LOCATION_SCALE"].collect()
     assert {r["label"] for r in rows} >= {"C1", "C3"}
@@ -316,6 +327,7 @@ def test_crowded_groups_are_tiled_and_joined_again(spark):
         ("SUBTRACT", {"in": layer, "subtrahend": mask}, "key", {"keepField": "key"}),
         ("CITY_POLYGONS", {"in": layer.withColumnRenamed("key", "city")}, "city", {}),
         ("MERGE_GEOMETRY", {"land": layer, "waters": mask}, "layer_ord", {}),
+        ("MERGE_GEOMETRY", {"land": layer, "ice": mask}, "color", {}),
     ):
         a, b = (run_step(c, name, inputs, **parameters) for c in (plain, tiled))
         assert areas(a, key) == areas(b, key) != {}, name
