@@ -14,10 +14,14 @@ empty table gives an empty result; other columns of the input are ignored by
 
 from __future__ import annotations
 
+from itertools import count
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronogeo.llm.words import word_parts
 from chronogeo.session import durable, ship_package
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -30,30 +34,50 @@ MAX_REPEAT_PERCENT = 20
 MAX_BROADCAST_HOSTS = 100_000
 
 
+def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
+    """Words in windows that are found twice or more, of a text given as word numbers.
+
+    Windows get numbers of their own, of ever more words: one number for each two that stand side by side. That is
+    needed only where hashes of windows meet: equal windows have equal hashes.
+    """
+
+    def paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.unique(left * (int(right.max()) + 1) + right, return_inverse=True)[1]
+
+    n = len(ids)
+    if n <= window:
+        return 0
+    hashes = np.zeros(n - window + 1, np.uint64)
+    for i in range(window):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + ids[i : n - window + 1 + i].astype(np.uint64)
+    hashes.sort()
+    if (hashes[1:] != hashes[:-1]).all():
+        return 0
+    named, width = ids.astype(np.int64), 1
+    while width < window:
+        step = min(width, window - width)
+        named, width = paired(named[:-step], named[step:]), width + step
+    starts = np.flatnonzero(np.bincount(named)[named] > 1)
+    if not len(starts):
+        return 0
+    change = np.zeros(n + 1, np.int32)
+    change[starts] += 1
+    change[starts + window] -= 1
+    return int(np.count_nonzero(np.cumsum(change)))
+
+
 def measure(data: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a UTF-8 text."""
-    words = data.split()  # bytes.split() cuts at exactly the blanks 09-0D and 20
-    n = len(words)
+    seen: dict[bytes, int] = {}
+    ids = np.zeros(0, np.int32)
+    for words in word_parts(data):
+        seen.update(zip(set(words).difference(seen), count(len(seen))))
+        ids = np.append(ids, np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
     chars = len(data.translate(None, _NOT_STARTS))
     symbols = len(data) - len(data.translate(None, SYMBOLS))
     lines = [x for x in data.split(b"\n") if x and not x.isspace()]
     dup_lines = len(lines) - len(set(lines))
-    repeated = 0
-    if n > WINDOW:
-        windows = list(zip(*(words[i:] for i in range(WINDOW))))
-        if len(set(windows)) < len(windows):
-            first: dict[tuple, int] = {}
-            starts = set()
-            for i, w in enumerate(windows):
-                j = first.setdefault(w, i)
-                if j != i:
-                    starts.add(i)
-                    starts.add(j)
-            end = 0
-            for i in sorted(starts):
-                repeated += i + WINDOW - max(i, end)
-                end = i + WINDOW
-    return n, chars, symbols, dup_lines, repeated
+    return len(ids), chars, symbols, dup_lines, repeated_words(ids) if len(seen) < len(ids) else 0
 
 
 _MEASURES = pa.struct([(x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])

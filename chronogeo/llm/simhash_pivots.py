@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronogeo.llm.components import component_labels
+from chronogeo.llm.words import word_parts
 from chronogeo.session import durable, durable_table, ship_package
 
 MAX_BITS = 4
@@ -65,24 +66,26 @@ def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Unsigned fingerprint of a UTF-8 text."""
     import xxhash
 
-    words = data.lower().split()  # both touch ASCII only
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    n = len(words)
-    if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    starts = np.cumsum(lengths + 1) - lengths - 1
-    first, last = starts[: n - shingle + 1].tolist(), (starts + lengths)[shingle - 1 :].tolist()
-    counts = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    total = len(first)
-    for at in range(0, total, 65536):
-        part = [digest(joined[a:b], seed) for a, b in zip(first[at : at + 65536], last[at : at + 65536])]
-        bits = np.unpackbits(np.array(part, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        for lo in range(0, len(part), 255):  # sums of bytes that can't overflow
-            counts += np.add.reduce(bits[lo : lo + 255], axis=0, dtype=np.uint8)
+    counts, total, words = np.zeros(64, np.int64), 0, []
+    for part in word_parts(data.lower()):  # bytes.lower() touches ASCII only
+        words += part
+        n = len(words)
+        if n < shingle:
+            continue
+        joined = b" ".join(words)
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        first, last = starts[: n - shingle + 1].tolist(), (starts + lengths)[shingle - 1 :].tolist()
+        total += len(first)
+        for at in range(0, len(first), 65536):
+            hashes = [digest(joined[a:b], seed) for a, b in zip(first[at : at + 65536], last[at : at + 65536])]
+            bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            for lo in range(0, len(hashes), 255):  # sums of bytes that can't overflow
+                counts += np.add.reduce(bits[lo : lo + 255], axis=0, dtype=np.uint8)
+        words = words[n - shingle + 1 :]  # they begin shingles that go on in the next part
+    if not total:
+        return digest(b" ".join(words), seed) if words else 0
     return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
 
 

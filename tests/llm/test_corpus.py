@@ -1,8 +1,11 @@
 """The pipeline against brute force, and the queries against their SQL."""
 
+import random
+
 import duckdb
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -150,3 +153,26 @@ def test_operators_on_odd_rows(spark, name):
     # Neighbours: of five ids one comes twice, so four queries have five candidates and one has four.
     assert run(docs).count() == (24 if name == "adaptive_ann" else 7)
     assert run(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 5, 64, 1 << 20])
+def test_words_come_part_by_part(monkeypatch, size):
+    from functools import partial
+
+    from chronogeo.llm import quality_rules, simhash_pivots, words
+
+    rng = random.Random(size)
+    texts = [bytes(rng.choice(b"ab \n\t\x0b\x0c\rA") for _ in range(rng.randrange(120))) for _ in range(300)] + [b"", b" ", b"a", b"x" * 300]
+    for module in (quality_rules, simhash_pivots):
+        monkeypatch.setattr(module, "word_parts", partial(words.word_parts, size=size))
+    for text in texts:
+        whole = text.split()
+        assert [w for part in words.word_parts(text, size) for w in part] == whole
+        windows = [tuple(whole[i : i + 5]) for i in range(len(whole) - 4)]
+        covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)}
+        assert quality_rules.measure(text)[::4] == (len(whole), len(covered))
+        low = text.lower().split()
+        shingles = [b" ".join(low[i : i + 4]) for i in range(max(1, len(low) - 3))] if low else []
+        hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash_pivots.fingerprint(text) == want
