@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronogeo.llm import adaptive_ann, mixing, piece_codec, quality_knn, quality_rules, secret_links, simhash_pivots, substring_graph, token_counts, url_rules
+from chronogeo.llm import adaptive_ann, mixing, piece_codec, quality_knn, quality_rules, secret_links, simhash_pivots, substring_graph, token_alignment, token_counts, url_rules
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,6 +56,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.marked(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.linked(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_counts, op3_quality_classifier, op4_url_filters, op5_sentencepiece, op6_mixing, op7_secret_scans, op8_substring_dedup, op9_nearest_neighbours, op10_simhash, pipeline)
+    for f in (op1_quality_rules, op2_token_counts, op3_quality_classifier, op4_url_filters, op5_sentencepiece, op6_mixing, op7_secret_scans, op8_substring_dedup, op9_nearest_neighbours, op10_simhash, op11_token_alignment, pipeline)
 }
 
 SQL_OP1 = rf"""
