@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronogeo.llm import adaptive_ann, mixing, piece_codec, quality_knn, quality_rules, secret_links, simhash_pivots, substring_graph, token_alignment, token_counts, url_rules
+from chronogeo.llm import adaptive_ann, collocations, mixing, piece_codec, quality_knn, quality_rules, secret_links, signature_trees, simhash_pivots, substring_graph, token_alignment, token_counts, url_rules
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,6 +60,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.linked(_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(_table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_trees.joined(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_counts, op3_quality_classifier, op4_url_filters, op5_sentencepiece, op6_mixing, op7_secret_scans, op8_substring_dedup, op9_nearest_neighbours, op10_simhash, op11_token_alignment, pipeline)
+    for f in (op1_quality_rules, op2_token_counts, op3_quality_classifier, op4_url_filters, op5_sentencepiece, op6_mixing, op7_secret_scans, op8_substring_dedup, op9_nearest_neighbours, op10_simhash, op11_token_alignment, op12_collocations, op13_ngram_jaccard, pipeline)
 }
 
 SQL_OP1 = rf"""
@@ -157,10 +165,40 @@ kept AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS t, count(*) AS
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL_OP12 = rf"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, ws[i:i+k-1] AS ph FROM p, unnest(range(1, 5)) AS a(k), unnest(range(1, len(ws) - k + 2)) AS u(i)),
+f AS (SELECT lang, ph, len(ph) AS k, count(*) AS f FROM g GROUP BY lang, ph HAVING count(*) >= {collocations.MIN_COUNT}),
+c AS (SELECT * FROM f WHERE k > 1),
+cut AS (SELECT c.lang, c.ph, c.f AS a, i, l.f AS l, r.f AS r, (CAST({collocations.SCALE} AS HUGEINT) * c.f) // (l.f + r.f) AS score
+  FROM c, unnest(range(1, c.k)) AS u(i) JOIN f l ON l.lang = c.lang AND l.ph = c.ph[1:i] JOIN f r ON r.lang = c.lang AND r.ph = c.ph[i+1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, i) = 1),
+sub AS (SELECT lang, ph[i:i+m-1] AS ph, max(f) AS most FROM c, unnest(range(2, c.k)) AS v(m), unnest(range(1, c.k - m + 2)) AS u(i) GROUP BY ALL),
+kept AS (SELECT best.lang, array_to_string(best.ph, ' ') AS phrase, a, l, r, score FROM best LEFT JOIN sub ON sub.lang = best.lang AND sub.ph = best.ph WHERE most IS NULL OR 100 * most < {collocations.COVERED_PERCENT} * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM kept JOIN t ON t.lang = kept.lang
+QUALIFY rank <= {collocations.TOP}
+"""
+
+SQL_OP13 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+2], ' ') AS k FROM w, unnest(range(1, greatest(len(ws) - 1, 2))) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {signature_trees.PERCENT} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS to_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.to_id)
+SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(to_id) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": SQL_OP1,
     "op4_url_filters": SQL_OP4,
     "op6_mixing": SQL_OP6,
     "op7_secret_scans": _sql_op7(),
     "op8_substring_dedup": SQL_OP8,
+    "op12_collocations": SQL_OP12,
+    "op13_ngram_jaccard": SQL_OP13,
 }
