@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -148,3 +149,30 @@ def ring_area(xs: Column, ys: Column) -> Column:
     n = F.size(xs)
     terms = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(xs, i) * F.element_at(ys, (i % n) + 1) - F.element_at(xs, (i % n) + 1) * F.element_at(ys, i))
     return F.aggregate(terms, F.lit(0.0), lambda a, t: a + t) / 2
+
+
+def planar_area(coords: Column) -> Column:
+    """Area of rings with the inside on their left: holes count negative."""
+    cross = lambda r: F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), F.lit(0.0), lambda a, i: a + r[i - 1][0] * r[i][1] - r[i][0] * r[i - 1][1]) / 2
+    return F.aggregate(F.transform(F.flatten(coords), cross), F.lit(0.0), lambda a, x: a + x)
+
+
+#: The ellipsoid of WGS 84: half of its greater axis in km, and its eccentricity.
+AXIS_KM, ECCENTRICITY = 6378.137, 0.00669437999014**0.5
+#: Places and weights of Gauss's rule on an edge from 0 to 1.
+GAUSS = tuple(((x + 1) / 2, w / 2) for x, w in zip(*(v.tolist() for v in np.polynomial.legendre.leggauss(4))))
+
+
+def zone(lat: Column) -> Column:
+    """Twice the area between the equator and a latitude, for a radian of longitude and an axis of one: the authalic function of the ellipsoid."""
+    e, s = ECCENTRICITY, F.sin(F.radians(lat))
+    return (1 - e * e) * (s / (1 - (e * s) * (e * s)) + F.log((1 + e * s) / (1 - e * s)) / (2 * e))
+
+
+def area_km2(coords: Column) -> Column:
+    """Area on the ellipsoid of polygons whose edges are straight in longitude and latitude; null for null."""
+    edge = lambda a, b: (b[0] - a[0]) * sum((w * zone(a[1] + t * (b[1] - a[1])) for t, w in GAUSS), F.lit(0.0))
+    ring = lambda r: F.abs(F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), F.lit(0.0), lambda total, i: total + edge(F.get(r, i - 1), F.get(r, i))))
+    part = lambda rings: F.aggregate(F.transform(rings, lambda r, k: F.when(k == 0, ring(r)).otherwise(-ring(r))), F.lit(0.0), lambda total, x: total + x)
+    whole = F.aggregate(F.transform(coords, part), F.lit(0.0), lambda total, x: total + x)
+    return F.when(coords.isNotNull(), F.greatest(whole, F.lit(0.0)) * (AXIS_KM * AXIS_KM / 2 * 3.141592653589793 / 180))

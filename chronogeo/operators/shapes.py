@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronogeo.functions.noise import simplex
 from chronogeo.operators import edges
 from chronogeo.operators.overlay import GEOM, buffer, inside, ring_area, union
 from chronogeo.session import durable_table
@@ -103,76 +103,43 @@ def cut_corners(ring: list, rounds: int, offset: float = 0.3, max_angle: float =
     return ring
 
 
-def simplify_ring(ring: list, share: float) -> list:
-    """Visvalingam's algorithm: the share of vertices with the largest triangles stays, at least a triangle."""
-    pts = ring[:-1]
-    keep = max(3, math.ceil(len(pts) * share))
-    n = len(pts)
-    before, after, alive = [i - 1 for i in range(n)], [(i + 1) % n for i in range(n)], [True] * n
-    before[0] = n - 1
-    size = lambda i: abs((pts[before[i]][0] - pts[i][0]) * (pts[after[i]][1] - pts[i][1]) - (pts[after[i]][0] - pts[i][0]) * (pts[before[i]][1] - pts[i][1]))
-    heap = [(size(i), i) for i in range(n)]
-    heapq.heapify(heap)
-    now, left = {i: s for s, i in heap}, n
-    while left > keep and heap:
-        s, i = heapq.heappop(heap)
-        if not alive[i] or now[i] != s:
-            continue
-        alive[i], left = False, left - 1
-        a, b = before[i], after[i]
-        after[a], before[b] = b, a
-        for j in (a, b):
-            now[j] = max(s, size(j))
-            heapq.heappush(heap, (now[j], j))
-    out = [p for p, ok in zip(pts, alive) if ok]
-    return [*out, out[0]]
-
+def buffered(coords: Column, distance: Column | float, steps: int = 5, lines: bool = False) -> Column:
+    """Geometries grown by a distance, or shrunk by a negative one."""
 
-def simplified(coords: Column, share: float) -> Column:
-    return per_geometry(coords, lambda g: [[simplify_ring(r, share) for r in part] for part in g])
+    def udf(rows: pa.Array, by: pa.Array) -> pa.Array:
+        grown = ([] if g is None else buffer(g, d, steps, lines) for g, d in zip(rows.to_pylist(), by.to_pylist()))
+        return pa.array([[[[list(p) for p in r] for r in part] for part in g] for g in grown], rows.type)
 
-
-def buffered(coords: Column, distance: float, steps: int = 5, lines: bool = False) -> Column:
-    return per_geometry(coords, lambda g: [[[list(p) for p in r] for r in part] for part in buffer(g, distance, steps, lines)])
+    return F.when(coords.isNotNull(), F.arrow_udf(udf, GEOM)(coords, distance if isinstance(distance, Column) else F.lit(float(distance))))
 
 
 def rounded(coords: Column, rounds: int, max_angle: float) -> Column:
     return per_geometry(coords, lambda g: [[cut_corners(r, rounds, 0.3, max_angle) for r in part] for part in g])
 
 
-def _hash_noise(x: float, y: float, seed: int) -> float:
-    """Smooth value noise in -1..1 on a lattice, from a mixing function of the lattice points."""
-
-    def corner(i: int, j: int) -> float:
-        h = (i * 0x9E3779B1 ^ j * 0x85EBCA77 ^ seed * 0xC2B2AE3D) & 0xFFFFFFFF
-        h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
-        h = (h ^ h >> 12) * 0x297A2D39 & 0xFFFFFFFF
-        return (h ^ h >> 15) / 0x7FFFFFFF - 1
-
-    i, j = math.floor(x), math.floor(y)
-    u, v = x - i, y - j
-    u, v = u * u * (3 - 2 * u), v * v * (3 - 2 * v)
-    a = corner(i, j) * (1 - u) + corner(i + 1, j) * u
-    b = corner(i, j + 1) * (1 - u) + corner(i + 1, j + 1) * u
-    return a * (1 - v) + b * v
-
-
-def detailed_edge(a, b, longest: float, strength: float = 0.2, seed: int = 7, frequency: float = 10.0) -> list:
-    """Points after a up to b: midpoints moved sideways by noise, in so many rounds of halving as bring the edge's length to the longest.
+def detailed_edges(a: np.ndarray, b: np.ndarray, longest: float, strength: float = 0.2) -> list[np.ndarray]:
+    """Points of edges from a to b, both included: midpoints moved sideways by noise, in so many rounds of halving as bring an edge's length to the longest.
 
     The noise depends on both ends alike, so an edge and its reverse get the same points.
     """
-
-    def halved(a, b, rounds: int) -> list:
-        if not rounds:
-            return [list(b)]
-        p, q = (b, a) if tuple(b) < tuple(a) else (a, b)
-        shift = _hash_noise((p[0] + q[0]) * frequency, (p[1] + q[1]) * frequency, seed) * strength
-        mid = [(p[0] + q[0]) / 2 - (q[1] - p[1]) * shift, (p[1] + q[1]) / 2 + (q[0] - p[0]) * shift]
-        return halved(a, mid, rounds - 1) + halved(mid, b, rounds - 1)
-
-    length = math.dist(a, b)
-    return halved(a, b, math.ceil(math.log2(length / longest)) if length > longest else 0)
+    length = np.hypot(*(b - a).T)
+    rounds = np.where(length > longest, np.ceil(np.log2(np.maximum(length, longest) / longest)), 0).astype(int)
+    out: list[np.ndarray] = [np.zeros((0, 2))] * len(a)
+    for n in np.unique(rounds).tolist():
+        own = np.flatnonzero(rounds == n)
+        pts = np.stack([a[own], b[own]], axis=1)
+        for _ in range(n):
+            p, q = pts[:, :-1], pts[:, 1:]
+            back = ((q[..., 0] < p[..., 0]) | ((q[..., 0] == p[..., 0]) & (q[..., 1] < p[..., 1])))[..., None]
+            way = np.where(back, p - q, q - p)
+            shift = simplex(p[..., 0] + q[..., 0], p[..., 1] + q[..., 1])[..., None].astype(float) * strength
+            mid = (p + q) / 2 + np.stack([-way[..., 1], way[..., 0]], axis=-1) * shift
+            more = np.empty((len(own), 2 * pts.shape[1] - 1, 2))
+            more[:, ::2], more[:, 1::2] = pts, mid
+            pts = more
+        for k, line in zip(own.tolist(), pts):
+            out[k] = line
+    return out
 
 
 def _plain_edge(a, b) -> bool:
@@ -200,11 +167,12 @@ def add_fractal_detail(layer: DataFrame, longest: float = 0.2) -> DataFrame:
                 parts.append([])
                 for r in part:
                     ring += 1
+                    own = [seq for seq, (a, b) in enumerate(zip(r, r[1:])) if (ring, seq) not in plain and not _plain_edge(a, b)]
+                    flat = np.array([[p[0], _map_y(p[1])] for p in r])
+                    more = dict(zip(own, detailed_edges(flat[own], flat[[seq + 1 for seq in own]], longest))) if own else {}
                     line = [list(p) for p in r[:1]]
-                    for seq, (a, b) in enumerate(zip(r, r[1:])):
-                        if (ring, seq) not in plain and not _plain_edge(a, b):
-                            more = detailed_edge((a[0], _map_y(a[1])), (b[0], _map_y(b[1])), longest)
-                            line += [[x, _map_lat(y)] for x, y in more[:-1]]
+                    for seq, b in enumerate(r[1:]):
+                        line += [[x, _map_lat(y)] for x, y in more[seq][1:-1].tolist()] if seq in more else []
                         line.append(list(b))
                     parts[-1].append(line)
             out.append(parts)
@@ -214,25 +182,6 @@ def add_fractal_detail(layer: DataFrame, longest: float = 0.2) -> DataFrame:
     return detailed.select(*layer.columns)
 
 
-def spherical_area_km2(parts: list, radius: float = 6371.0) -> float:
-    """Area on a sphere; the ellipsoid's differs by under one percent."""
-    total = 0.0
-    for rings in parts:
-        for k, ring in enumerate(rings):
-            s = 0.0
-            for a, b in zip(ring, ring[1:]):
-                s += math.radians(b[0] - a[0]) * (2 + math.sin(math.radians(a[1])) + math.sin(math.radians(b[1])))
-            total += abs(s * radius * radius / 2) * (1 if k == 0 else -1)
-    return max(total, 0.0)
-
-
-def area_km2(coords: Column) -> Column:
-    def udf(rows: pa.Array) -> pa.Array:
-        return pa.array([None if g is None else spherical_area_km2(g) for g in rows.to_pylist()], pa.float64())
-
-    return F.arrow_udf(udf, "double")(coords)
-
-
 def inner_point(parts: list, rounds: int = 6) -> tuple[float, float] | None:
     """A point far from the outline of the largest part: grid search around the best of each round."""
     if not parts:

@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronogeo.functions import colors
-from chronogeo.operators import derive, edges, lines, overlay, shapes
+from chronogeo.functions import colors, geo
+from chronogeo.functions.geo import planar_area
+from chronogeo.operators import derive, edges, lines, overlay, shapes, topology
 from chronogeo.plans.queries import VIEWS, query
 from chronogeo.plans.steps import Context, run_step
 
@@ -28,12 +29,6 @@ def square(x, y, size: float = 1.0) -> Column:
     return F.array(F.array(F.array(*ring)))
 
 
-def planar_area(coords: Column) -> Column:
-    """Area of rings with the inside on their left: holes count negative."""
-    cross = lambda r: F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), F.lit(0.0), lambda a, i: a + r[i - 1][0] * r[i][1] - r[i][0] * r[i - 1][1]) / 2
-    return F.aggregate(F.transform(F.flatten(coords), cross), F.lit(0.0), lambda a, x: a + x)
-
-
 def planar_length(coords: Column) -> Column:
     step = lambda r, i: F.sqrt(F.pow(r[i][0] - r[i - 1][0], 2) + F.pow(r[i][1] - r[i - 1][1], 2))
     length = lambda r: F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), F.lit(0.0), lambda a, i: a + step(r, i))
@@ -256,7 +251,24 @@ def _shrunk(get, size: float = 0.01) -> DataFrame:
     return rows.withColumn("coords", square(F.col("x") * size, F.pmod(F.col("y"), F.lit(8000)) * size, size)).select("fid", "key", "coords", "time_start", "time_end")
 
 
-@query("label_centers", """WITH c AS (SELECT fid, CAST(floor(log2(10000 / sqrt(6371e0 * 6371 * radians(1) * (sin(radians(y % 80 + 1)) - sin(radians(y % 80))) / cos(radians(y % 80 + 0.5e0))))) AS INT) AS z FROM f_bands)
+def _zone(lat: str) -> str:
+    """Twice the area from the equator to a latitude, for a radian of longitude, in km2."""
+    e, s = geo.ECCENTRICITY, f"sin(radians({lat}))"
+    return f"({geo.AXIS_KM ** 2 * (1 - e * e)}e0 * ({s} / (1 - {e * e}e0 * {s} * {s}) + ln((1 + {e}e0 * {s}) / (1 - {e}e0 * {s})) / {2 * e}e0))"
+
+
+_CELL_KM2 = f"(radians(1) / 2 * ({_zone('y % 80 + 1')} - {_zone('y % 80')}))"
+
+
+@query("ellipsoid_area", f"SELECT fid, round({_CELL_KM2} * 0.75e0, 6) AS km2 FROM f_bands")
+def _(get):
+    """Cells with a hole of a quarter of their width, from their lower to their upper side."""
+    x, y = F.col("x").cast("double"), F.pmod(F.col("y"), F.lit(80)).cast("double")
+    box = lambda a, b: F.array(*[F.array(p, q) for p, q in ((x + a, y), (x + b, y), (x + b, y + 1), (x + a, y + 1), (x + a, y))])
+    return get("f_bands").select("fid", F.round(geo.area_km2(F.array(F.array(box(0.0, 1.0), box(0.25, 0.5)))), 6).alias("km2"))
+
+
+@query("label_centers", f"""WITH c AS (SELECT fid, CAST(floor(log2(10000 / sqrt({_CELL_KM2} / cos(radians(y % 80 + 0.5e0))))) AS INT) AS z FROM f_bands)
 SELECT CAST(fid AS VARCHAR(20)) AS label, z AS minzoom, z + 3 AS maxzoom, 0e0 AS angle, 1 AS n FROM c UNION ALL SELECT CAST(fid AS VARCHAR(20)), z + 4, z + 7, 0e0, 4 FROM c WHERE floor((10 + 3 - z) / 4) >= 1 UNION ALL SELECT CAST(fid AS VARCHAR(20)), z + 8, z + 11, 0e0, 16 FROM c WHERE floor((10 + 3 - z) / 4) >= 2""")
 def _(get):
     rows = get("f_bands").select(F.col("fid").cast("string").alias("label"), square(F.col("x"), F.pmod(F.col("y"), F.lit(80))).alias("coords"), "time_start", "time_end")
@@ -324,7 +336,50 @@ def _(get):
 
 @query("simplify_rings", "SELECT fid, 0.5e0 AS area FROM f_cells")
 def _(get):
-    return _cells(get).select("fid", F.round(planar_area(shapes.simplified(F.col("coords"), 0.5)), 6).alias("area"))
+    """Each cell by itself (its number is a group), with a corner drawn in, so that of three removable points the two greatest stay."""
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    ring = [F.array(x + a, y + b) for a, b in ((0, 0), (1, 0), (0.75, 0.75), (0, 1), (0, 0))]
+    cells = get("f_bands").select("fid", F.array(F.array(F.array(*ring))).alias("coords"))
+    return topology.simplified(cells, 0.5, ["fid"]).select("fid", F.round(planar_area(F.col("coords")), 6).alias("area"))
+
+
+#: Cells whose sides bulge by a number of the side, in 1024ths: sides of neighbours are the same arc.
+_BULGES = {"v": "(1 + (7 * x + 13 * y) % 97) / 1024e0", "h": "(1 + (11 * x + 5 * y) % 89) / 1024e0"}
+
+
+def _bulging(get) -> DataFrame:
+    cells = get("f_bands").select("fid", "time_start", "x", "y")
+    bulge = {k: lambda x, y, v=v: F.expr(v.replace("x", f"(x + {x})").replace("y", f"(y + {y})")).cast("double") for k, v in _BULGES.items()}
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    ring = [(x, y), (x + 0.5, y + bulge["h"](0, 0)), (x + 1, y), (x + 1 + bulge["v"](1, 0), y + 0.5), (x + 1, y + 1), (x + 0.5, y + 1 + bulge["h"](0, 1)), (x, y + 1), (x + bulge["v"](0, 0), y + 0.5), (x, y)]
+    return cells.withColumn("coords", F.array(F.array(F.array(*[F.array(a, b) for a, b in ring]))))
+
+
+_SIDES_OF = " UNION ".join(f"SELECT time_start, '{k}' AS k, x{dx} AS x, y{dy} AS y FROM f_bands" for k, dx, dy in (("v", "", ""), ("v", " + 1", ""), ("h", "", ""), ("h", "", " + 1")))
+_KEPT_SIDES = f"""s AS (SELECT *, CASE WHEN k = 'v' THEN {_BULGES["v"]} ELSE {_BULGES["h"]} END AS w FROM ({_SIDES_OF}) u),
+d AS (SELECT time_start, x, y, count(*) AS n FROM (SELECT time_start, x, y FROM s UNION ALL SELECT time_start, CASE WHEN k = 'v' THEN x ELSE x + 1 END, CASE WHEN k = 'v' THEN y + 1 ELSE y END FROM s) e GROUP BY ALL),
+lone AS (SELECT c.time_start, c.x, c.y FROM f_bands c JOIN d ON d.time_start = c.time_start AND d.x BETWEEN c.x AND c.x + 1 AND d.y BETWEEN c.y AND c.y + 1 GROUP BY ALL HAVING max(n) = 2),
+t AS (SELECT time_start, quantile_disc(w, 0.5) AS t FROM (SELECT time_start, w FROM s UNION ALL SELECT d.time_start, 9e0 FROM d LEFT JOIN lone USING (time_start, x, y) WHERE n = 2 AND lone.x IS NULL) w GROUP BY time_start),
+kept AS (SELECT s.time_start, k, x, y, CASE WHEN w >= t THEN 1 ELSE 0 END AS kept, CASE WHEN w >= t THEN w / 2 ELSE 0e0 END AS part FROM s JOIN t ON s.time_start = t.time_start)"""
+
+
+@query("simplify_shared", f"""WITH {_KEPT_SIDES}
+SELECT c.fid, CAST(4 + l.kept + r.kept + b.kept + a.kept AS INT) AS vertices, round(1 - l.part + r.part - b.part + a.part, 6) AS area FROM f_bands c
+JOIN kept l ON l.time_start = c.time_start AND l.k = 'v' AND l.x = c.x AND l.y = c.y JOIN kept r ON r.time_start = c.time_start AND r.k = 'v' AND r.x = c.x + 1 AND r.y = c.y
+JOIN kept b ON b.time_start = c.time_start AND b.k = 'h' AND b.x = c.x AND b.y = c.y JOIN kept a ON a.time_start = c.time_start AND a.k = 'h' AND a.x = c.x AND a.y = c.y + 1""")
+def _(get):
+    thin = topology.simplified(_bulging(get), 0.5, ["time_start"])
+    return thin.select("fid", edges.ring_vertex_count(F.col("coords")).cast("int").alias("vertices"), F.round(planar_area(F.col("coords")), 6).alias("area"))
+
+
+@query("simplify_shared_edges", f"""WITH {_KEPT_SIDES},
+u AS (SELECT time_start, k, x, y, count(*) AS cells FROM (SELECT time_start, 'v' AS k, x, y FROM f_bands UNION ALL SELECT time_start, 'v', x + 1, y FROM f_bands UNION ALL SELECT time_start, 'h', x, y FROM f_bands UNION ALL SELECT time_start, 'h', x, y + 1 FROM f_bands) c GROUP BY ALL)
+SELECT u.time_start, CAST(u.cells AS BIGINT) AS cells, CAST(sum(1 + kept) AS BIGINT) AS edges FROM u JOIN kept k ON u.time_start = k.time_start AND u.k = k.k AND u.x = k.x AND u.y = k.y GROUP BY ALL""")
+def _(get):
+    """How many edges one cell has, and how many two cells share, when all is simplified."""
+    thin = topology.simplified(_bulging(get), 0.5, ["time_start"])
+    sides = edges.normalised(lines.polygon_edges(thin, ["time_start"])).groupBy("time_start", *edges.EDGE).agg(F.count(F.lit(1)).alias("cells"))
+    return sides.groupBy("time_start", "cells").agg(F.count(F.lit(1)).alias("edges"))
 
 
 @query("line_parts", "SELECT line_id, count(*) - 1 AS segments FROM f_vertices GROUP BY line_id HAVING count(*) > 1")

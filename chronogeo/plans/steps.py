@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronogeo.functions import colors, geo
-from chronogeo.operators import derive, edges, lines, overlay, points, shapes, temporal
+from chronogeo.operators import derive, edges, lines, overlay, points, shapes, temporal, topology
 from chronogeo.session import durable_table, ship_package
 from chronogeo.sources import writers
 
@@ -179,10 +179,10 @@ def _clip_lines(ctx: Context, layer: DataFrame, mask: DataFrame, erase: bool = F
 
 
 def _merge_lines(ctx: Context, layer: DataFrame, keys: list[str]) -> DataFrame:
-    """lines.merge_lines(), by tiles where a key has too many vertices: its lines are rows of their own then."""
+    """The lines of each key joined end to end, a row for each, by tiles where a key has too many vertices."""
     layer = durable_table(layer)
     size = overlay.tile_size([layer], keys, ctx.group_vertices)
-    return lines.merge_lines(layer, keys) if size is None else lines.merge_lines_tiled(layer, keys, size, ctx.group_vertices)
+    return overlay.exploded(lines.merge_lines(layer, keys)) if size is None else lines.merge_lines_tiled(layer, keys, size, ctx.group_vertices)
 
 
 @step("ADD_POLYGONS", SLICED)
@@ -201,6 +201,7 @@ def _by_kind(layer: DataFrame, on_lines: Callable[[DataFrame], DataFrame], on_po
     is_open = F.exists(F.flatten("coords"), lambda r: (F.size(r) < 4) | ~F.get(r, F.lit(0)).eqNullSafe(F.get(r, F.size(r) - 1)))
     told = F.col("geom_type").isin("LineString", "MultiLineString") if "geom_type" in layer.columns else F.lit(None).cast("boolean")
     is_line = F.coalesce(told, is_open, F.lit(False))
+    layer = durable_table(layer)
     kinds = {r[0] for r in layer.select(is_line).distinct().collect()}
     if True not in kinds:
         return on_polygons(layer)
@@ -221,7 +222,7 @@ def subtract(ctx, inputs, keepField=None):
 
     def on_lines(layer: DataFrame) -> DataFrame:
         sides = edges.edge_kinds(edges.normalised(lines.polygon_edges(layer, keys)), keys).drop("kind")
-        merged = overlay.exploded(_merge_lines(ctx, lines.as_lines(sides), keys))
+        merged = _merge_lines(ctx, lines.as_lines(sides), keys)
         return _as_line_layer(_clip_lines(ctx, merged, mask, erase=True))
 
     return _by_kind(inputs["in"], on_lines, lambda x: _cut(ctx, overlay.exploded(_dissolve(ctx, x, keys)), mask, overlay.erase))
@@ -261,7 +262,7 @@ def regions(ctx, inputs):
 
 def _side_lines(layer: DataFrame, keys: list[str]) -> DataFrame:
     """Outlines in pieces that neighbours share, normalised."""
-    return edges.normalised(overlay.boundaries(layer, SLICE, [k for k in keys if k not in SLICE]), 7)
+    return topology.boundaries(layer, SLICE, [k for k in keys if k not in SLICE])
 
 
 @step("BORDER_VARIANTS__PROVINCE_BORDERS", SLICED)
@@ -307,31 +308,26 @@ def merge_borders(ctx, inputs):
     sides = {k: lines.polygon_edges(x, TIME) for k, x in inputs.items() if k in edges.BORDER_TYPES}
     merged = lines.as_lines(edges.merge_borders(sides))
     keys = ["border_type", "maxzoom", *TIME]
-    return _as_line_layer(overlay.exploded(_merge_lines(ctx, merged, keys)))
+    return _as_line_layer(_merge_lines(ctx, merged, keys))
 
 
 @step("BUFFER_POLYGONS", SLICED)
 def buffer_polygons(ctx, inputs):
     whole = _dissolve(ctx, inputs["in"], SLICE)
     grown = overlay.exploded(whole.withColumn("coords", shapes.buffered(F.col("coords"), 0.5, 20)))
-    return grown.withColumn("coords", shapes.rounded(shapes.simplified(F.col("coords"), 0.3), 3, 180.0))
+    thin = topology.simplified(grown, 0.3, SLICE)
+    return thin.withColumn("coords", shapes.rounded(F.col("coords"), 3, 180.0))
 
 
 @step("HIGHLIGHTS")
 def highlights(ctx, inputs):
     rows = _union(inputs).filter(_truthy("label"))
     whole = _dissolve(ctx, rows, ["label", *TIME]).filter(F.size("coords") > 0)
-
-    def shape(g: list) -> list:
-        b = min(overlay.area(g) ** 0.5 / 40, 0.5)
-        n = sum(len(r) - 1 for part in g for r in part)
-        share = min(1.0, HIGHLIGHT_VERTICES / n)
-        g = [[shapes.simplify_ring(r, share) for r in part] for part in g]
-        g = [part[:1] for part in overlay.buffer(g, 5 * b)]
-        g = overlay.buffer(g, -4 * b)
-        return [[shapes.cut_corners([list(p) for p in shapes.simplify_ring(r, 0.4)], 2, 0.3, 170.0) for r in part] for part in g]
-
-    shaped = whole.withColumn("coords", shapes.per_geometry(F.col("coords"), shape))
+    whole = whole.withColumn("_b", F.least(F.sqrt(F.abs(geo.planar_area(F.col("coords")))) / 40, F.lit(0.5)))
+    thin = topology.simplified(whole, F.least(F.lit(1.0), F.lit(HIGHLIGHT_VERTICES) / edges.ring_vertex_count(F.col("coords"))))
+    wide = thin.withColumn("coords", edges.drop_holes(shapes.buffered(F.col("coords"), 5 * F.col("_b"))))
+    wide = wide.withColumn("coords", shapes.buffered(F.col("coords"), -4 * F.col("_b"))).filter(F.size("coords") > 0)
+    shaped = topology.simplified(wide.drop("_b"), 0.4).withColumn("coords", shapes.rounded(F.col("coords"), 2, 170.0))
     return shaped.withColumn("coords", edges.inverted(F.col("coords")))
 
 
@@ -395,7 +391,10 @@ def shape_rivers(ctx, inputs):
 
 @step("RIVER_LABELS", SLICED)
 def river_labels(ctx, inputs):
-    return _as_line_layer(_merge_lines(ctx, inputs["in"].filter(_truthy("label")), [*SLICE, "label"])).withColumn("minzoom", F.lit(5))
+    """The lines of a label joined end to end, those of one label and slice in one feature."""
+    keys = [*SLICE, "label"]
+    merged = _merge_lines(ctx, inputs["in"].filter(_truthy("label")), keys)
+    return _as_line_layer(merged.groupBy(*keys).agg(F.flatten(F.collect_list("coords")).alias("coords"))).withColumn("minzoom", F.lit(5))
 
 
 @step("GENERATE_LABEL_CENTERS", MERGED)
@@ -410,7 +409,7 @@ def generate_label_centers(ctx, inputs, labelRange=3, dissolve=True, generateSub
             shape = shape.join(extra, on).drop("_label", "_time_start", "_time_end")
     else:
         shape = rows.select("label", *TIME, "coords", *keep)
-    shape = shape.withColumn("area_km2", shapes.area_km2(F.col("coords"))).withColumn("p", shapes.label_point(F.col("coords"))).withColumn("lat", F.col("p.lat"))
+    shape = shape.withColumn("area_km2", geo.area_km2(F.col("coords"))).withColumn("p", shapes.label_point(F.col("coords"))).withColumn("lat", F.col("p.lat"))
     zoomed = derive.label_zoom(shape, labelRange, forceMinzoom)
     zoomed = zoomed.withColumn("angle", geo.label_angle(F.col("p.width"), F.col("p.height"), F.col("p.box_angle")))
     point = lambda x, y: F.array(F.array(F.array(F.array(x, y))))
@@ -428,7 +427,7 @@ def generate_label_centers(ctx, inputs, labelRange=3, dissolve=True, generateSub
 def resolve_patterns(ctx, inputs):
     rows = inputs["in"]
     plain = rows.filter("pattern IS NULL OR lower(pattern) <> 'pebbles'").drop("pattern")
-    some = rows.filter("lower(pattern) = 'pebbles'").drop("pattern").withColumn("_m2", shapes.area_km2(F.col("coords")) * 1e6)
+    some = rows.filter("lower(pattern) = 'pebbles'").drop("pattern").withColumn("_m2", geo.area_km2(F.col("coords")) * 1e6)
     some = some.withColumn("coords", shapes.pebbles(F.col("coords"), F.col("_m2"), F.to_json("coords"))).drop("_m2")
     return plain.unionByName(some)
 
