@@ -9,7 +9,8 @@ needs a secret (assign, hex or weak token); an endpoint needs both.
 
 Positions are code points, end exclusive. Spark gives no match positions, so a
 text is split by the pattern: pieces and matches alternate, and their lengths
-add up to positions.
+add up to positions. The sums are made by doubling, in n log n steps for n
+matches of one text.
 
 Defined results: a null text counts as empty and has no spans; repeated rows
 each get their spans; parts are keyed by (doc_id, hash of the text), so rows
@@ -20,6 +21,7 @@ empty result; columns other than the id and the text are ignored by
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from chronogeo.session import durable
 
 SCOPE = 200
+#: Texts are rebuilt from blocks of so many code points.
+BLOCK = 512
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind -> pattern, group whose length counts, least length, greatest length; in the order of reports.
 KINDS = {
@@ -45,27 +49,31 @@ ORDER = {k: i for i, k in enumerate(KINDS)}
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, maxima and the like of an array, by doubling: no array grows element by element."""
+    reach = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    add = lambda acc, step: F.transform(acc, lambda x, i: F.when(i >= step, join(x, F.get(acc, i - step))).otherwise(x))
+    return F.aggregate(reach, values, add)
+
+
+def _placed(pieces: Column, sizes: Column) -> Column:
+    """Array of (start, end) of matches, of the pieces of text before them and their own sizes."""
+    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(sizes)), sizes, lambda p, n: F.length(p) + n)
+    return F.zip_with(running(steps, lambda x, y: x + y), sizes, lambda end, n: F.struct((end - n).alias("start"), end.alias("end")))
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """Array of (start, kind, end, value) of a kind's matches in a text."""
     pattern, group, least, most = KINDS[kind]
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = [F.split(text, pattern, -1).alias("piece"), whole.alias("whole")]
+    parts = [_placed(F.split(text, pattern, -1), F.transform(whole, F.length)).alias("at"), whole.alias("whole")]
     if group:
         parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
-    rows = F.arrays_zip(*parts)
-    none = F.array().cast(f"array<{SPAN}>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.coalesce(F.length(x["whole"]), F.lit(0))
-        size = F.length(x["part" if group else "whole"])
-        keep = size >= least if most is None else (size >= least) & (size <= most)
-        value = x["whole"] if kind in WEAK else F.lit(None).cast("string")
-        span = F.struct(start.alias("start"), F.lit(ORDER[kind]).alias("kind"), end.alias("end"), value.alias("value")).cast(SPAN)
-        return F.struct(end.alias("at"), F.when(F.coalesce(keep, F.lit(False)), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), found).otherwise(none)
+    size = lambda x: F.length(x["part" if group else "whole"])
+    rows = F.filter(F.arrays_zip(*parts), lambda x: size(x) >= least if most is None else (size(x) >= least) & (size(x) <= most))
+    value = lambda x: x["whole"] if kind in WEAK else F.lit(None).cast("string")
+    found = F.transform(rows, lambda x: F.struct(x["at"]["start"].alias("start"), F.lit(ORDER[kind]).alias("kind"), x["at"]["end"].alias("end"), value(x).alias("value")).cast(SPAN))
+    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scanned(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -126,38 +134,49 @@ def reported(docs: DataFrame, **options) -> DataFrame:
 def _copies(text: Column, value: Column) -> Column:
     """Spans of all places where a linked value stands in a text."""
     pieces = F.split(text, F.concat(F.lit("\\Q"), value, F.lit("\\E")), -1)
+    # No value follows the last piece.
+    sizes = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda x: F.length(value))
+    return F.transform(_placed(pieces, sizes), lambda x: F.struct(x["start"].alias("start"), F.lit(ORDER["weak"]).alias("kind"), x["end"].alias("end"), F.lit(None).cast("string").alias("value")).cast(SPAN))
 
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["at"] + F.length(piece)
-        end = start + F.length(value)
-        span = F.struct(start.alias("start"), F.lit(ORDER["weak"]).alias("kind"), end.alias("end"), F.lit(None).cast("string").alias("value")).cast(SPAN)
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    # No value follows the last piece.
-    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda acc: acc["spans"])
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, of blocks of ``BLOCK`` code points: no cut counts from the text's beginning."""
+    first = (start / BLOCK).cast("int")
+    own = F.slice(blocks, first + 1, ((end - 1) / BLOCK).cast("int") - first + 1)
+    return F.when(end > start, F.substring(F.array_join(own, ""), start - first * BLOCK + 1, end - start)).otherwise(F.lit(""))
 
 
 def _rebuilt(text: Column, spans: Column) -> Column:
-    """The text with its spans replaced, those that overlap by one mark (a strong kind's, if one is among them)."""
-    region = "struct<before:int,start:int,end:int,kind:int>"
-    make = lambda before, start, end, kind: F.struct(before.alias("before"), start.alias("start"), end.alias("end"), kind.alias("kind")).cast(region)
-    nought, none = F.lit(0), F.lit(-1)
-    # An empty span at the end of the text, so that the text's rest is a gap too.
-    last = F.struct(F.length(text).alias("start"), none.alias("kind"), F.length(text).alias("end"), F.lit(None).cast("string").alias("value")).cast(SPAN)
-
-    def step(acc: Column, s: Column) -> Column:
-        now = acc["now"]
-        joined = F.struct(make(now["before"], now["start"], F.greatest(now["end"], s["end"]), F.least(now["kind"], s["kind"])).alias("now"), acc["done"].alias("done"))
-        opened = F.struct(make(now["end"], s["start"], s["end"], s["kind"]).alias("now"), F.array_append(acc["done"], now).alias("done"))
-        return F.when(s["start"] < now["end"], joined).otherwise(opened)
-
-    start = F.struct(make(nought, nought, nought, none).alias("now"), F.array().cast(f"array<{region}>").alias("done"))
-    regions = F.aggregate(F.array_sort(F.array_append(spans, last)), start, step, lambda acc: F.array_append(acc["done"], acc["now"]))
+    """The text with its spans replaced, those that overlap by one mark (a strong kind's, if one is among them).
+
+    Sorted spans open a region where none before reaches; regions are numbered,
+    and the greatest end and the least kind of each are running maxima.
+    """
+    last = len(KINDS)
+    ranked = F.array_sort(spans)
+    reach = F.zip_with(ranked, running(F.transform(ranked, lambda s: s["end"]), F.greatest), lambda s, e: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), e.alias("end")))
+
+    def regions(spans: Column) -> Column:
+        opens = F.transform(spans, lambda s, i: F.when(s["start"] < F.get(spans, i - 1)["end"], 0).otherwise(1))
+        number = running(opens, lambda x, y: x + y)
+        least = running(F.zip_with(number, spans, lambda n, s: n * (last + 1) + last - s["kind"]), F.greatest)
+        closes = F.transform(spans, lambda s, i: F.when(F.get(spans, i + 1)["start"] < s["end"], 0).otherwise(1))
+        every = F.arrays_zip(spans.alias("span"), opens.alias("opens"), closes.alias("closes"), least.alias("least"))
+        heads = F.transform(F.filter(every, lambda x: x["opens"] == 1), lambda x: x["span"]["start"])
+        tails = F.transform(F.filter(every, lambda x: x["closes"] == 1), lambda x: F.struct(x["span"]["end"].alias("end"), (last - F.pmod(x["least"], F.lit(last + 1))).alias("kind")))
+        return F.zip_with(heads, tails, lambda start, tail: F.struct(start.alias("start"), tail["end"].alias("end"), tail["kind"].alias("kind")))
+
     marks = F.array(*[F.lit(f"[{k}]" if k in STRONG else "[linked]") for k in KINDS])
-    mark = lambda x: F.when(x["kind"] >= 0, F.get(marks, x["kind"])).otherwise(F.lit(""))
-    pieces = F.transform(regions, lambda x: F.concat(F.substring(text, x["before"] + 1, x["start"] - x["before"]), mark(x)))
-    return F.when(text.isNotNull(), F.array_join(pieces, ""))
+
+    def pieces(found: Column, blocks: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(found, i - 1)["end"], F.lit(0))
+        cut = F.transform(found, lambda x, i: F.concat(_cut(blocks, before(i), x["start"]), F.get(marks, x["kind"])))
+        return F.concat(F.array_join(cut, ""), _cut(blocks, before(F.size(found)), F.length(text)))
+
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  a value that is computed once
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    whole = let(reach, lambda r: let(regions(r), lambda found: let(blocks, lambda b: pieces(found, b))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def redact_rows(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", scope: int = SCOPE) -> DataFrame:
