@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronogeo.functions import colors, geo, style, text
-from chronogeo.operators import derive, edges, points, temporal
+from chronogeo.operators import derive, edges, fuzzy, points, temporal
 from chronogeo.session import ship_package
 from chronogeo.sources import writers
 
@@ -552,6 +552,19 @@ def _(get):
     return points.group_texts(get("f_locations"), ["type"], weight="article_length")
 
 
+_ASKED = "SELECT n_nationkey AS qid, CASE WHEN n_nationkey % 5 = 4 THEN 'buildng' WHEN n_nationkey % 5 = 3 THEN 'x' || n_nationkey ELSE 'Custmer#' || lpad(CAST(n_nationkey * 37 + 1 AS VARCHAR(9)), 9, '0') END AS query FROM nation"
+_PART = lambda name: f"CASE WHEN contains({name}, query) THEN 0e0 ELSE CAST(list_min(list_transform(range(1, greatest(length({name}) - length(query) + 1, 1) + 1), lambda i: levenshtein(substring({name}, i, length(query)), query))) AS DOUBLE) / length(query) END"
+VIEWS["f_queries"] = _ASKED
+
+
+@query("fuzzy_search", f"""WITH q AS (SELECT qid, lower(query) AS query FROM f_queries), p AS (SELECT DISTINCT type AS category, label FROM f_locations),
+s AS (SELECT qid, category, label, least({_PART("lower(label)")}, 0.2e0 + 0.8e0 * ({_PART("lower(category)")})) AS score FROM q CROSS JOIN p)
+SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score, label, category) AS INT) AS rank, category, label, round(score, 9) AS score FROM s WHERE score <= 0.4) WHERE rank <= 10""")
+def _(get):
+    found = fuzzy.search_all(get("f_locations").select(F.col("type").alias("category"), "label"), get("f_queries"))
+    return found.withColumn("score", F.round("score", 9))
+
+
 @query("location_groups")
 def _(get):
     rows = points.weighted(derive.city_type_to_icon(get("f_locations"))).withColumn("minzoom", F.lit(2)).withColumn("maxzoom", F.lit(None).cast("int"))

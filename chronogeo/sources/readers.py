@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import sqlite3
 import struct
 
 import pyarrow as pa
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from chronogeo.functions import geo, text
+from chronogeo.session import ship_package
+from chronogeo.sources import layer_file
 
 PAGE_ROWS = 50
 DEPTH = {"Point": 0, "MultiPoint": 1, "LineString": 1, "MultiLineString": 2, "Polygon": 2, "MultiPolygon": 3}
@@ -106,15 +107,18 @@ def geometry_column(blob: Column) -> Column:
     return F.arrow_udf(udf, "struct<type:string,coords:array<array<array<array<double>>>>>")(blob)
 
 
+def scan_layer(spark: SparkSession, database: str, layer: str, partitions: int = layer_file.PARTITIONS, columns: list[str] | None = None) -> DataFrame:
+    """One layer of a GeoPackage without its fid column, read in ranges of its row ids."""
+    ship_package(spark)
+    spark.dataSource.register(layer_file.LayerFile)
+    scan = spark.read.format("layer_file").option("path", database).option("layer", layer).option("partitions", str(partitions)).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    return (scan.option("columns", ",".join(columns)) if columns else scan).load().drop("fid")
+
+
 def stage_layer(database: str, layer: str, folder: str, spark: SparkSession) -> DataFrame:
-    """One layer of a GeoPackage (an SQLite file on the driver) staged as Parquet without its fid column."""
-    with sqlite3.connect(f"file:{database}?mode=ro", uri=True) as con:
-        quoted = '"' + layer.replace('"', '""') + '"'
-        cursor = con.execute(f"SELECT * FROM {quoted}")
-        names = [c[0] for c in cursor.description]
-        rows = [tuple(r) for r in cursor]
+    """One layer of a GeoPackage staged as Parquet without its fid column."""
     path = os.path.join(folder, layer)
-    spark.createDataFrame(rows, names).drop("fid").write.mode("overwrite").parquet(path)
+    scan_layer(spark, database, layer).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
