@@ -13,8 +13,8 @@ ICON_WEIGHTS = {
     "city-major-capital": 9, "city-large-capital": 8, "city-medium-capital": 7, "city-small-capital": 6,
     "city-major": 5, "city-large": 4, "city-medium": 3, "city-small": 2, "location-other": -1,
 }
-#: Points of a zoom that one task groups.
-ZOOM_POINTS = 200_000
+#: Points are grouped in tiles of so many cells a side, at first.
+TILE_CELLS = 64
 LISTED = 10
 
 
@@ -63,75 +63,100 @@ def _same(keys: list[str], prefix: str) -> Column:
     return out
 
 
-def _members_by_task(points: DataFrame, by: list[str]) -> DataFrame:
-    """by, best, fid: groups of each zoom in a task of its own."""
+def heads_of_tile(x: list[float], y: list[float], known: list[bool], own: list[bool], distance: float) -> list[bool | None]:
+    """For each of ranked points whether it founds a group; None where that hangs on a point of another tile.
 
-    def run(pdf):
-        import pandas as pd
-
-        from chronogeo.operators.points import group_at_zoom
-
-        pdf = pdf.sort_values(["weight", "fid"], ascending=[False, True])
-        zoom = int(pdf["zoom"].iloc[0])
-        groups = group_at_zoom(pdf["fid"].tolist(), pdf["x"].tolist(), pdf["y"].tolist(), [None] * len(pdf), [None] * len(pdf), 2 / 2**zoom, zoom)
-        rows = pd.DataFrame([(g, m) for g, members in groups for m in members], columns=["best", "fid"])
-        for k in reversed(by):
-            rows.insert(0, k, pdf[k].iloc[0])
-        return rows
-
-    head = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in by)
-    return points.groupBy(*by).applyInPandas(run, f"{head}, best bigint, fid bigint")
+    known heads found one; others that aren't the tile's own are in doubt. A point near an earlier head founds none; one
+    near an earlier point in doubt is in doubt itself.
+    """
+    cells: dict[tuple[int, int], list[tuple[float, float, bool]]] = {}
+    out: list[bool | None] = []
+    for px, py, head, mine in zip(x, y, known, own):
+        cx, cy = int(px // distance), int(py // distance)
+        found: bool | None = True if head else None
+        if not head and mine:
+            near = [sure for i in (cx - 1, cx, cx + 1) for j in (cy - 1, cy, cy + 1) for qx, qy, sure in cells.get((i, j), ()) if ((px - qx) ** 2 + (py - qy) ** 2) ** 0.5 <= distance]
+            found = False if any(near) else None if near else True
+        if found is not False:
+            cells.setdefault((cx, cy), []).append((px, py, bool(found)))
+        out.append(found)
+    return out
 
 
-def _around(rows: DataFrame, own: bool) -> DataFrame:
+def _around(rows: DataFrame) -> DataFrame:
     """Rows once for each cell within two of theirs."""
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if own or i or j])
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
     return rows.withColumn("_s", F.explode(steps)).withColumn("cx", F.col("cx") + F.col("_s.i")).withColumn("cy", F.col("cy") + F.col("_s.j")).drop("_s")
 
 
-def _members_by_rounds(points: DataFrame, by: list[str]) -> DataFrame:
-    """by, best, fid: the same groups without a task that holds a zoom.
+def _heads(points: DataFrame, by: list[str], cells: int) -> DataFrame:
+    """by, x, y, rank: the points that found a group, told tile by tile.
 
-    Cells are half a distance wide: the points of one are near each other, so it has one head at most, and what is
-    near lies within two cells. In a round, the first point by rank of a cell becomes a head if the cells around hold
-    none before it that is left; all that is near the new heads is done. Each point then joins its closest head before it.
+    A tile, with the points around it that are near enough, settles what hangs on none of its neighbours. What is left
+    goes on to tiles four times as wide, so that the number of rounds is the logarithm of the map's width.
+    Of points at one place only the first is asked: the others are near its head.
+    """
+    side = 1 / F.pow(F.lit(2.0), F.col("zoom"))
+    left = durable_table(points.groupBy(*by, "x", "y").agg(F.min("rank").alias("rank")).withColumn("head", F.lit(False)))
+    kinds = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in by)
+    ddl = f"{kinds}, x double, y double, rank struct<w:double,f:bigint>, head boolean"
+
+    def run(pdf):
+        from chronogeo.operators.points import heads_of_tile
+
+        order = sorted(range(len(pdf)), key=lambda i: (pdf["rank"].iloc[i]["w"], pdf["rank"].iloc[i]["f"]))
+        pdf = pdf.iloc[order]
+        found = heads_of_tile(pdf["x"].tolist(), pdf["y"].tolist(), pdf["head"].tolist(), pdf["own"].tolist(), 2 / 2 ** int(pdf["zoom"].iloc[0]))
+        keep = [own and not head and state is not False for own, head, state in zip(pdf["own"], pdf["head"], found)]
+        return pdf.assign(head=[state is True for state in found])[keep][[*by, "x", "y", "rank", "head"]]
+
+    done: DataFrame | None = None
+    while True:
+        width = side * cells
+        tile = lambda v: F.floor(v / width)
+        every = left if done is None else left.unionByName(done)
+        # An inch of rounding: a tile takes a little more around it than the distance.
+        reach = lambda c: F.explode(F.sequence(tile(F.col(c) - 2.001 * side), tile(F.col(c) + 2.001 * side)))
+        dealt = every.withColumn("tx", reach("x")).withColumn("ty", reach("y")).withColumn("own", (F.col("tx") == tile(F.col("x"))) & (F.col("ty") == tile(F.col("y"))))
+        dealt = dealt.join(left.select(*[F.col(k).alias(f"o_{k}") for k in by], tile(F.col("x")).alias("o_tx"), tile(F.col("y")).alias("o_ty")).distinct(), _same([*by, "tx", "ty"], "o_"), "left_semi")
+        told = durable_table(dealt.groupBy(*by, "tx", "ty").applyInPandas(run, ddl))
+        new = told.filter("head")
+        done = new if done is None else done.unionByName(new)
+        left = told.filter("NOT head")
+        if left.isEmpty():
+            return done
+        cells *= 4
+
+
+def _members(points: DataFrame, by: list[str], cells: int) -> DataFrame:
+    """by, best, fid: each point with the closest head before it; of equally close ones the first.
+
+    Cells are half a distance wide, so that what is near lies within two cells, and a cell has one head at most.
     """
     rank = F.struct((-F.col("weight")).alias("w"), F.col("fid").alias("f"))
     side = 1 / F.pow(F.lit(2.0), F.col("zoom"))
-    cell = [*by, "cx", "cy"]
     every = durable_table(points.select(*by, "fid", "x", "y", rank.alias("rank"), F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")))
+    heads = _heads(every, by, cells).withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side)).drop("head")
+    near = durable_table(_around(heads))
+    near = near.withColumnsRenamed({c: f"h_{c}" for c in near.columns})
     distance = F.sqrt(F.pow(F.col("x") - F.col("h_x"), 2) + F.pow(F.col("y") - F.col("h_y"), 2))
-    named = lambda rows: rows.withColumnsRenamed({c: f"h_{c}" for c in rows.columns})
-    left, heads = every, None
-    while not left.isEmpty():
-        tops = durable_table(left.groupBy(*cell).agg(F.min("rank").alias("rank"), F.min_by(F.struct("x", "y"), "rank").alias("p")))
-        before = named(_around(tops.select(*cell, "rank"), False).groupBy(*cell).agg(F.min("rank").alias("rank")))
-        new = tops.join(before, _same(cell, "h_"), "left").filter("h_rank IS NULL OR rank < h_rank").select(*cell, "rank", "p.x", "p.y")
-        new = durable_table(new)
-        near = named(durable_table(_around(new, True)))
-        left = durable_table(left.join(near, _same(cell, "h_") & (distance <= 2 * side), "left_anti"))
-        heads = new if heads is None else heads.unionByName(new)
-    if heads is None:
-        return points.select(*by, F.col("fid").alias("best"), "fid")
-    near = named(durable_table(_around(heads, True)))
-    met = every.join(near, _same(cell, "h_") & (distance <= 2 * side) & (F.col("h_rank") <= F.col("rank")))
+    met = every.join(near, _same([*by, "cx", "cy"], "h_") & (distance <= 2 * side) & (F.col("h_rank") <= F.col("rank")))
     best = F.min_by("h_rank", F.struct(distance.alias("d"), F.col("h_rank").alias("r")))
     return met.groupBy(*by, "fid").agg(best.alias("b")).select(*by, F.col("b.f").alias("best"), "fid")
 
 
-def location_groups(layer: DataFrame, max_zoom: int, keys: tuple[str, ...] = (), crowd: int = ZOOM_POINTS) -> tuple[DataFrame, DataFrame]:
+def location_groups(layer: DataFrame, max_zoom: int, keys: tuple[str, ...] = (), cells: int = TILE_CELLS) -> tuple[DataFrame, DataFrame]:
     """Groups of points: (keys, best, n_members, first_zoom, last_zoom (null beyond max_zoom), at_zoom) and the members of each zoom (keys, zoom, best, fid).
 
     layer: keys, fid, lng, lat, weight, minzoom, maxzoom; rows that repeat a fid count once. Points join in the order
     of weight, then fid. Groups with the same best and members at neighbouring zooms are one row, whose members are
-    those of at_zoom. A zoom with up to ``crowd`` points is one task, and larger ones are grouped by rounds of joins.
+    those of at_zoom. Points are grouped in tiles of so many cells, half a zoom's distance each, and in wider ones what is left.
     """
     by = [*keys, "zoom"]
     x, y = geo.grouping_xy(F.col("lng"), F.col("lat"))
     points = layer.dropDuplicates([*keys, "fid"]).select(*keys, "fid", x.alias("x"), y.alias("y"), F.col("weight").cast("double").alias("weight"), F.coalesce("minzoom", F.lit(0)).alias("least"), "maxzoom")
     dealt = durable_table(points.withColumn("zoom", F.explode(F.sequence(F.lit(0), F.lit(max_zoom + 1)))).filter("maxzoom IS NULL OR maxzoom >= zoom").drop("maxzoom"))
-    most = dealt.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    members = durable_table((_members_by_task if most <= crowd else _members_by_rounds)(dealt.drop("least"), by))
+    members = durable_table(_members(dealt.drop("least"), by, cells))
     own = dealt.select(*[F.col(c).alias(f"_{c}") for c in (*by, "fid")], "least")
     sets = members.join(own, _same([*by, "fid"], "_")).groupBy(*by, "best").agg(F.count(F.lit(1)).alias("n_members"), F.sum(F.xxhash64("fid").cast("decimal(38,0)")).alias("_set"), F.min("least").alias("least"))
     same = [*keys, "best", "n_members", "_set"]

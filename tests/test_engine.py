@@ -273,14 +273,30 @@ def test_measured_lines_follow_great_circles():
     assert shapes.great_circle((0.0, 0.0), (10.0, 0.0)) == []
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_groups_by_rounds_equal_those_of_one_task(spark, seed):
+@pytest.mark.parametrize("seed,cells", [(0, 1), (1, 4), (2, 64)])
+def test_groups_by_tiles_equal_the_greedy_kernel(spark, seed, cells):
     rng = random.Random(seed)
     rows = [(i, rng.uniform(-170, 170) if i % 3 else 5 + rng.random(), rng.uniform(-60, 60) if i % 3 else 8 + rng.random(), float(rng.randint(0, 5)), rng.choice([None, 0, 2]), rng.choice([None, 3])) for i in range(150)]
-    layer = spark.createDataFrame(rows + rows[:3], "fid bigint, lng double, lat double, weight double, minzoom int, maxzoom int").withColumn("slice_start", (F.col("fid") % 2).cast("int"))
-    layer = layer.withColumn("slice_start", F.when(F.col("slice_start") == 1, 7))
-    one, many = (points.location_groups(layer, 3, ("slice_start",), crowd=c) for c in (10**6, 0))
-    for a, b in zip(one, many):
-        assert sorted(map(str, a.select(sorted(a.columns)).collect())) == sorted(map(str, b.select(sorted(a.columns)).collect()))
-    assert one[1].filter("zoom = 0").count() == sum(1 for r in rows)
-    assert points.location_groups(layer.limit(0), 3, ("slice_start",), crowd=-1)[0].count() == 0
+    rows += [(1000 + i, rows[i % 9][1], rows[i % 9][2], float(i % 4), None, None) for i in range(40)]  # many at one place
+    layer = spark.createDataFrame(rows + rows[:3], "fid bigint, lng double, lat double, weight double, minzoom int, maxzoom int").withColumn("slice_start", F.when(F.col("fid") % 2 == 1, 7))
+    groups, members = points.location_groups(layer, 3, ("slice_start",), cells)
+    got = {(r.slice_start, r.zoom, r.best, r.fid) for r in members.collect()}
+    half = 50 / math.pi
+    want = set()
+    for slice_start in (None, 7):
+        own = sorted((r for r in rows if (r[0] % 2 == 1) == (slice_start == 7)), key=lambda r: (-r[3], r[0]))
+        xs, ys = [half * (math.radians(r[1]) + math.pi) for r in own], [half * (math.pi - math.log(math.tan(math.radians(r[2]) / 2 + math.pi / 4))) for r in own]
+        for zoom in range(5):
+            found = points.group_at_zoom([r[0] for r in own], xs, ys, [None] * len(own), [r[5] for r in own], 2 / 2**zoom, zoom)
+            want |= {(slice_start, zoom, g, m) for g, members in found for m in members}
+    assert got == want and groups.count() > 0
+    assert points.location_groups(layer.limit(0), 3, ("slice_start",), cells)[0].count() == 0
+
+
+def test_falling_ranks_take_few_rounds(spark, monkeypatch):
+    rows = [(i, -170 + i * 0.5, 0.0, float(-i), None, None) for i in range(680)]
+    layer = spark.createDataFrame(rows, "fid bigint, lng double, lat double, weight double, minzoom int, maxzoom int")
+    rounds = []
+    monkeypatch.setattr(points, "durable_table", lambda df, f=points.durable_table: rounds.append(1) or f(df))
+    members = points.location_groups(layer, 3, (), 2)[1]
+    assert members.filter("zoom = 4").count() == 680 and len(rounds) - 5 <= 6  # the greatest tiles hold the whole map
