@@ -125,7 +125,7 @@ def feature_name(label: Column, fid: Column) -> Column:
 
 
 def label_zoom(layer: DataFrame, label_range: int = 3, force_minzoom: int | None = None) -> DataFrame:
-    """minzoom by area_km2 and lat (or forced), maxzoom = minzoom + label_range, largest first in ord."""
+    """minzoom by area_km2 and lat (or forced), maxzoom = minzoom + label_range."""
     low = F.lit(force_minzoom) if force_minzoom is not None else geo.zoom_of_area(F.col("area_km2"), F.col("lat"))
     return layer.withColumn("minzoom", low.cast("int")).withColumn("maxzoom", F.col("minzoom") + label_range)
 

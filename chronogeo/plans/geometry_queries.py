@@ -138,7 +138,14 @@ def _areal(step: str, sql: str):
 _BY_KEY = "SELECT key AS label, time_start, CAST(count(*) AS DOUBLE) AS area FROM f_bands GROUP BY key, time_start"
 _areal("BORDER_VARIANTS__NATIONS", _BY_KEY)
 _areal("BORDER_VARIANTS__REGIONS", _BY_KEY)
-_areal("BORDER_VARIANTS__SUBREGIONS", "SELECT key AS label, time_start, CAST(count(*) AS DOUBLE) AS area FROM f_bands WHERE key = '' GROUP BY key, time_start")
+
+
+@query("subregions", "SELECT 's' || (fid % 3) AS label, time_start, CAST(count(*) AS DOUBLE) AS area FROM f_bands WHERE fid % 3 > 0 GROUP BY 's' || (fid % 3), time_start")
+def _(get):
+    part = F.when(F.col("fid") % 3 > 0, F.concat(F.lit("s"), (F.col("fid") % 3).cast("string"))).otherwise("")
+    layer = _cells(get).select(F.col("key").alias("nation"), part.alias("subregion"), F.col("key").alias("region"), "coords", "time_start", "time_end")
+    return _areas(_step(layer, "BORDER_VARIANTS__SUBREGIONS"), "label", "time_start")
+
 
 _SHARED = "SELECT time_start, x1, y1, x2, y2, count(*) AS n, count(DISTINCT key) AS k FROM f_sides GROUP BY time_start, x1, y1, x2, y2"
 
@@ -276,6 +283,16 @@ def _(get):
     return found.groupBy("label", "minzoom", "maxzoom", "angle").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
+@query("label_order", f"WITH a AS (SELECT CAST(fid AS VARCHAR(20)) AS label, round({_CELL_KM2}, 6) AS km2 FROM f_bands) SELECT label, CAST(rank() OVER (ORDER BY km2 DESC) AS BIGINT) AS place FROM a")
+def _(get):
+    """The least number of all labels of the same area: the order of equal areas is that of their labels."""
+    rows = get("f_bands").select(F.col("fid").cast("string").alias("label"), square(F.col("x"), F.pmod(F.col("y"), F.lit(80))).alias("coords"), "time_start", "time_end", "y")
+    found = run_step(Context(rows.sparkSession, max_zoom=10), "GENERATE_LABEL_CENTERS", {"in": rows.drop("y")}, generateSubLabels=False)
+    places = found.join(rows.select("label", F.pmod("y", F.lit(80)).alias("row")), "label")
+    least = places.groupBy("row").agg(F.min("ord").alias("place"))
+    return places.join(least, "row").select("label", "place")
+
+
 @query("highlights")
 def _(get):
     return _areas(_step(_shrunk(get).drop("key").withColumn("label", F.concat(F.lit("b"), "time_start")), "HIGHLIGHTS"), "label", "time_start")

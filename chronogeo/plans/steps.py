@@ -410,10 +410,12 @@ def generate_label_centers(ctx, inputs, labelRange=3, dissolve=True, generateSub
     else:
         shape = rows.select("label", *TIME, "coords", *keep)
     shape = shape.withColumn("area_km2", geo.area_km2(F.col("coords"))).withColumn("p", shapes.label_point(F.col("coords"))).withColumn("lat", F.col("p.lat"))
-    zoomed = derive.label_zoom(shape, labelRange, forceMinzoom)
+    missing = F.raise_error(F.concat(F.lit("no label point in "), F.col("label"))).cast(shapes.LABEL_POINT)
+    shape = shape.withColumn("p", F.when(F.col("p").isNull(), missing).otherwise(F.col("p")))
+    zoomed = derive.area_order(derive.label_zoom(shape, labelRange, forceMinzoom), "area_km2", "label")
     zoomed = zoomed.withColumn("angle", geo.label_angle(F.col("p.width"), F.col("p.height"), F.col("p.box_angle")))
     point = lambda x, y: F.array(F.array(F.array(F.array(x, y))))
-    names = ["label", *TIME, *keep, "minzoom", "maxzoom", "angle"]
+    names = ["label", *TIME, *keep, "minzoom", "maxzoom", "angle", "ord"]
     out = zoomed.select(*names, point(F.col("p.lng"), F.col("p.lat")).alias("coords"))
     if generateSubLabels:
         more = derive.sub_label_steps(zoomed, ctx.max_zoom, labelRange)
@@ -605,12 +607,14 @@ def check_geometry(ctx, inputs, layer=None):
     open_ring = F.exists(ring, lambda r: F.element_at(r, 1) != F.element_at(r, -1))
     again = F.exists(ring, lambda r: F.size(F.array_distinct(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))))) < F.size(r) - 1)
     fault = F.when(F.col("coords").isNull(), "null geometry").when(few, "degenerate ring").when(open_ring, "open ring").when(again, "self contact").when(shapes.crosses_itself(F.col("coords")), "self intersection")
-    faults = rows.select(F.to_json("coords").alias("shape"), fault.alias("fault"))
-    twice = rows.groupBy(F.to_json("coords").alias("shape")).count().filter("count > 1").select("shape", F.lit("duplicate").alias("fault"))
+    # Geometries are compared by 128 bits of a hash; the report names them in full.
+    shape, digest = F.to_json("coords"), F.md5(F.to_json("coords"))
+    faults = rows.select(shape.alias("shape"), fault.alias("fault"))
+    twice = rows.groupBy(digest.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.first(shape, ignorenulls=True).alias("shape")).filter("n > 1").select("shape", F.lit("duplicate").alias("fault"))
     faults = faults.filter("fault IS NOT NULL").unionByName(twice)
     if layer == "labels":
         return faults
-    whole = rows.filter("coords IS NOT NULL").select("coords", *TIME).join(faults.select(F.col("shape").alias("_s")).distinct(), F.to_json("coords") == F.col("_s"), "left_anti")
+    whole = rows.filter("coords IS NOT NULL").select("coords", *TIME).join(faults.select(F.md5("shape").alias("_s")).distinct(), digest == F.col("_s"), "left_anti")
     numbered = durable_table(whole.withColumn("ord", F.monotonically_increasing_id()))
     cut = temporal.align({"a": numbered})["a"]
     size = overlay.tile_size([cut], SLICE, ctx.group_vertices)

@@ -268,7 +268,7 @@ def test_tiles(done, ctx):
 @pytest.mark.parametrize("name", ["BORDER_VARIANTS__NATIONS", "BORDER_VARIANTS__SUBREGIONS", "BORDER_VARIANTS__REGIONS", "BORDER_VARIANTS__DISTRICT_BORDERS", "BORDER_VARIANTS__REGION_BORDERS", "BORDER_VARIANTS__PROVINCES"])
 def test_border_variants(ctx, name):
     out = run_step(ctx, name, {"in": ctx.layers["borders"]})
-    assert out.count() == {"BORDER_VARIANTS__NATIONS": 3, "BORDER_VARIANTS__SUBREGIONS": 1, "BORDER_VARIANTS__REGIONS": 2, "BORDER_VARIANTS__DISTRICT_BORDERS": 1, "BORDER_VARIANTS__REGION_BORDERS": 1, "BORDER_VARIANTS__PROVINCES": 3}[name]
+    assert out.count() == {"BORDER_VARIANTS__NATIONS": 3, "BORDER_VARIANTS__SUBREGIONS": 1, "BORDER_VARIANTS__REGIONS": 2, "BORDER_VARIANTS__DISTRICT_BORDERS": 6, "BORDER_VARIANTS__REGION_BORDERS": 1, "BORDER_VARIANTS__PROVINCES": 3}[name]
 
 
 def test_other_steps(ctx, spark):
