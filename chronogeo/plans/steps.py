@@ -178,11 +178,15 @@ def _clip_lines(ctx: Context, layer: DataFrame, mask: DataFrame, erase: bool = F
     return lines.clip_lines(layer, mask, SLICE, erase) if size is None else lines.clip_lines_tiled(layer, mask, SLICE, size, erase)
 
 
-def _merge_lines(ctx: Context, layer: DataFrame, keys: list[str]) -> DataFrame:
-    """The lines of each key joined end to end, a row for each, by tiles where a key has too many vertices."""
+def _merge_lines(ctx: Context, layer: DataFrame, keys: list[str], apart: bool = False) -> DataFrame:
+    """The lines of each key joined end to end, by tiles where a key has too many vertices; a feature for each key or, apart, for each line."""
     layer = durable_table(layer)
     size = overlay.tile_size([layer], keys, ctx.group_vertices)
-    return overlay.exploded(lines.merge_lines(layer, keys)) if size is None else lines.merge_lines_tiled(layer, keys, size, ctx.group_vertices)
+    if size is None:
+        whole = lines.merge_lines(layer, keys)
+        return overlay.exploded(whole) if apart else whole
+    merged = lines.merge_lines_tiled(layer, keys, size, ctx.group_vertices)
+    return merged if apart else merged.groupBy(*keys).agg(F.flatten(F.collect_list("coords")).alias("coords"))  # of one feature
 
 
 @step("ADD_POLYGONS", SLICED)
@@ -222,7 +226,7 @@ def subtract(ctx, inputs, keepField=None):
 
     def on_lines(layer: DataFrame) -> DataFrame:
         sides = edges.edge_kinds(edges.normalised(lines.polygon_edges(layer, keys)), keys).drop("kind")
-        merged = _merge_lines(ctx, lines.as_lines(sides), keys)
+        merged = _merge_lines(ctx, lines.as_lines(sides), keys, apart=True)
         return _as_line_layer(_clip_lines(ctx, merged, mask, erase=True))
 
     return _by_kind(inputs["in"], on_lines, lambda x: _cut(ctx, overlay.exploded(_dissolve(ctx, x, keys)), mask, overlay.erase))
@@ -308,7 +312,7 @@ def merge_borders(ctx, inputs):
     sides = {k: lines.polygon_edges(x, TIME) for k, x in inputs.items() if k in edges.BORDER_TYPES}
     merged = lines.as_lines(edges.merge_borders(sides))
     keys = ["border_type", "maxzoom", *TIME]
-    return _as_line_layer(_merge_lines(ctx, merged, keys))
+    return _as_line_layer(_merge_lines(ctx, merged, keys, apart=True))
 
 
 @step("BUFFER_POLYGONS", SLICED)
@@ -391,10 +395,7 @@ def shape_rivers(ctx, inputs):
 
 @step("RIVER_LABELS", SLICED)
 def river_labels(ctx, inputs):
-    """The lines of a label joined end to end, those of one label and slice in one feature."""
-    keys = [*SLICE, "label"]
-    merged = _merge_lines(ctx, inputs["in"].filter(_truthy("label")), keys)
-    return _as_line_layer(merged.groupBy(*keys).agg(F.flatten(F.collect_list("coords")).alias("coords"))).withColumn("minzoom", F.lit(5))
+    return _as_line_layer(_merge_lines(ctx, inputs["in"].filter(_truthy("label")), [*SLICE, "label"])).withColumn("minzoom", F.lit(5))
 
 
 @step("GENERATE_LABEL_CENTERS", MERGED)
