@@ -13,8 +13,8 @@ ICON_WEIGHTS = {
     "city-major-capital": 9, "city-large-capital": 8, "city-medium-capital": 7, "city-small-capital": 6,
     "city-major": 5, "city-large": 4, "city-medium": 3, "city-small": 2, "location-other": -1,
 }
-#: Points are grouped in tiles of so many cells a side, at first.
-TILE_CELLS = 64
+#: Points that a tile of a map of evenly spread points holds, at first.
+TILE_POINTS = 5_000
 LISTED = 10
 
 
@@ -89,7 +89,7 @@ def _around(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_s", F.explode(steps)).withColumn("cx", F.col("cx") + F.col("_s.i")).withColumn("cy", F.col("cy") + F.col("_s.j")).drop("_s")
 
 
-def _heads(points: DataFrame, by: list[str], cells: int) -> DataFrame:
+def _heads(points: DataFrame, by: list[str], cells: int | None) -> DataFrame:
     """by, x, y, rank: the points that found a group, told tile by tile.
 
     A tile, with the points around it that are near enough, settles what hangs on none of its neighbours. What is left
@@ -110,9 +110,15 @@ def _heads(points: DataFrame, by: list[str], cells: int) -> DataFrame:
         keep = [own and not head and state is not False for own, head, state in zip(pdf["own"], pdf["head"], found)]
         return pdf.assign(head=[state is True for state in found])[keep][[*by, "x", "y", "rank", "head"]]
 
+    if cells is None:
+        most = left.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        first = F.greatest(F.lit(100.0 / max(1, round((most / TILE_POINTS) ** 0.5))), 8 * side)
+    else:
+        first = side * cells
     done: DataFrame | None = None
+    wider = 1
     while True:
-        width = side * cells
+        width = first * wider
         tile = lambda v: F.floor(v / width)
         every = left if done is None else left.unionByName(done)
         # An inch of rounding: a tile takes a little more around it than the distance.
@@ -125,10 +131,10 @@ def _heads(points: DataFrame, by: list[str], cells: int) -> DataFrame:
         left = told.filter("NOT head")
         if left.isEmpty():
             return done
-        cells *= 4
+        wider *= 4
 
 
-def _members(points: DataFrame, by: list[str], cells: int) -> DataFrame:
+def _members(points: DataFrame, by: list[str], cells: int | None) -> DataFrame:
     """by, best, fid: each point with the closest head before it; of equally close ones the first.
 
     Cells are half a distance wide, so that what is near lies within two cells, and a cell has one head at most.
@@ -145,12 +151,13 @@ def _members(points: DataFrame, by: list[str], cells: int) -> DataFrame:
     return met.groupBy(*by, "fid").agg(best.alias("b")).select(*by, F.col("b.f").alias("best"), "fid")
 
 
-def location_groups(layer: DataFrame, max_zoom: int, keys: tuple[str, ...] = (), cells: int = TILE_CELLS) -> tuple[DataFrame, DataFrame]:
+def location_groups(layer: DataFrame, max_zoom: int, keys: tuple[str, ...] = (), cells: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Groups of points: (keys, best, n_members, first_zoom, last_zoom (null beyond max_zoom), at_zoom) and the members of each zoom (keys, zoom, best, fid).
 
     layer: keys, fid, lng, lat, weight, minzoom, maxzoom; rows that repeat a fid count once. Points join in the order
     of weight, then fid. Groups with the same best and members at neighbouring zooms are one row, whose members are
-    those of at_zoom. Points are grouped in tiles of so many cells, half a zoom's distance each, and in wider ones what is left.
+    those of at_zoom. Points are grouped in tiles of so many cells (half a zoom's distance each), or by default
+    of about ``TILE_POINTS`` points if these are spread evenly, and in wider ones what is left.
     """
     by = [*keys, "zoom"]
     x, y = geo.grouping_xy(F.col("lng"), F.col("lat"))

@@ -571,16 +571,17 @@ def _(get):
     return points.location_groups(rows, 5)[0]
 
 
-@query("location_groups_pairs", """WITH p AS (SELECT fid, CAST(greatest(least(floor(log2(2 / ((1 + fid % 50) * 0.037e0))) + 1, 7), 0) AS INT) AS k FROM f_locations)
-SELECT fid AS pair, 2 * fid AS best, CAST(2 AS BIGINT) AS n_members, 0 AS first_zoom, CASE WHEN k <= 6 THEN k - 1 END AS last_zoom FROM p WHERE k > 0
-UNION ALL SELECT fid, 2 * fid + i, CAST(1 AS BIGINT), k, CAST(NULL AS INT) FROM p, (SELECT 0 AS i UNION ALL SELECT 1) AS t WHERE k <= 5""")
+@query("location_groups_pairs", """WITH p AS (SELECT fid, CAST(floor(fid / 225) AS BIGINT) AS page, CAST(greatest(least(floor(log2(2 / ((1 + fid % 50) * 0.037e0))) + 1, 7), 0) AS INT) AS k FROM f_locations)
+SELECT page, 2 * fid AS best, CAST(2 AS BIGINT) AS n_members, 0 AS first_zoom, CASE WHEN k <= 6 THEN k - 1 END AS last_zoom FROM p WHERE k > 0
+UNION ALL SELECT page, 2 * fid + i, CAST(1 AS BIGINT), k, CAST(NULL AS INT) FROM p, (SELECT 0 AS i UNION ALL SELECT 1) AS t WHERE k <= 5""")
 def _(get):
-    """Two points each, at a distance of their own on a map of their own: they are one group up to the zoom at which that is too far."""
+    """Pairs of points, 15 by 15 on a map, far from one another: a pair is one group up to the zoom at which its own distance is too far."""
     rows = get("f_locations").select("fid", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
     far = F.col("i") * (1 + F.col("fid") % 50) * 0.037
     none = F.lit(None).cast("int")
-    layer = rows.select(F.col("fid").alias("pair"), (2 * F.col("fid") + F.col("i")).alias("fid"), (far * 3.6).alias("lng"), F.lit(0.0).alias("lat"), (1.0 - F.col("i")).alias("weight"), none.alias("minzoom"), none.alias("maxzoom"))
-    return points.location_groups(layer, 5, ("pair",))[0].drop("at_zoom")
+    lng, lat = (F.col("fid") % 15 * 6 + 3 + far) * 3.6 - 180, F.floor(F.col("fid") / 15) % 15 * 10.0 - 70
+    layer = rows.select(F.floor(F.col("fid") / 225).alias("page"), (2 * F.col("fid") + F.col("i")).alias("fid"), lng.alias("lng"), lat.alias("lat"), (1.0 - F.col("i")).alias("weight"), none.alias("minzoom"), none.alias("maxzoom"))
+    return points.location_groups(layer, 5, ("page",))[0].drop("at_zoom")
 
 
 _STYLE = ["all", ["has", "capital"], [">=", ["zoom"], ["number", ["get", "size"], 0]], ["any", ["==", ["get", "type"], "building"], ["!", ["get", "capital"]]]]
