@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronogeo.operators.overlay import GEOM, TILE, tiled
+from chronogeo.operators.overlay import GEOM, TILE, met, tiled, with_shapes
 from chronogeo.session import durable_table
 
 #: Shares of a segment that differ by less are the same place.
@@ -59,18 +60,15 @@ def chains(lines: list[list[tuple[float, float]]], joints: set[tuple[float, floa
 
 def merge_lines(layer: DataFrame, keys: list[str]) -> DataFrame:
     """keys, coords: the lines of each key, joined end to end."""
-    head = ", ".join(f"`{k}` {layer.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(pdf):
-        import pandas as pd
 
+    def udf(groups: pa.Array) -> pa.Array:
         from chronogeo.operators.lines import chains
+        from chronogeo.operators.overlay import some_rows
 
-        lines = [[tuple(p) for p in ring] for g in pdf["coords"] if g is not None for part in g for ring in part if len(ring) > 1]
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame(out | {"coords": [[[[list(p) for p in c]] for c in chains(lines)]]})
+        every = ([[tuple(p) for p in ring] for g in shapes for part in g for ring in part if len(ring) > 1] for (rows,) in some_rows(groups) for shapes in rows)
+        return pa.array([[[c] for c in chains(lines)] for lines in every], groups.type.value_type)
 
-    return layer.select(*keys, "coords").groupBy(*keys).applyInPandas(run, f"{head}, coords {GEOM}")
+    return layer.select(*keys, "coords").groupBy(*keys).agg(F.collect_list("coords").alias("coords")).withColumn("coords", F.arrow_udf(udf, GEOM)("coords"))
 
 
 def merge_lines_tiled(layer: DataFrame, keys: list[str], size: float, most: int) -> DataFrame:
@@ -93,19 +91,19 @@ def merge_lines_tiled(layer: DataFrame, keys: list[str], size: float, most: int)
         return found.drop("j_p", *[f"j_{k}" for k in keys])
 
     state = marked(marked(rows, "a"), "b").select(*keys, F.array(F.array("line")).alias("coords"), "a_open", "b_open")
-    ddl = ", ".join(f"`{k}` {layer.schema[k].dataType.simpleString()}" for k in keys) + f", coords {GEOM}, a_open boolean, b_open boolean"
-
-    def run(pdf):
-        import pandas as pd
+    chain = pa.list_(pa.struct([("coords", pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))), ("a_open", pa.bool_()), ("b_open", pa.bool_())]))
 
+    def udf(groups: pa.Array) -> pa.Array:
         from chronogeo.operators.lines import chains
+        from chronogeo.operators.overlay import some_rows
 
-        lines = [[tuple(p) for p in g[0][0]] for g in pdf["coords"]]
-        joints = {p for line, a, b in zip(lines, pdf["a_open"], pdf["b_open"]) for p, is_open in ((line[0], a), (line[-1], b)) if is_open}
-        found = chains(lines, joints)
-        out = {k: [pdf[k].iloc[0]] * len(found) for k in keys}
-        is_open = [[c[0] != c[-1] and c[i] in joints for c in found] for i in (0, -1)]
-        return pd.DataFrame(out | {"coords": [[[[list(p) for p in c]]] for c in found], "a_open": is_open[0], "b_open": is_open[1]})
+        out = []
+        for (rows,) in some_rows(groups):
+            for own in rows:
+                lines = [[tuple(p) for p in s["coords"][0][0]] for s in own]
+                joints = {p for line, s in zip(lines, own) for p, is_open in ((line[0], s["a_open"]), (line[-1], s["b_open"])) if is_open}
+                out.append([{"coords": [[c]], "a_open": c[0] != c[-1] and c[0] in joints, "b_open": c[0] != c[-1] and c[-1] in joints} for c in chains(lines, joints)])
+        return pa.array(out, chain)
 
     left, done, first = durable_table(state), [], F.col("coords")[0][0][0]
     while True:
@@ -116,7 +114,8 @@ def merge_lines_tiled(layer: DataFrame, keys: list[str], size: float, most: int)
             break
         whole = rest <= most or size > 360
         tile = [] if whole else [F.floor(first[i] / size).alias(name) for i, name in enumerate(TILE)]
-        left = durable_table(left.groupBy(*keys, *tile).applyInPandas(run, ddl))
+        near = left.groupBy(*keys, *tile).agg(F.collect_list(F.struct("coords", "a_open", "b_open")).alias("_s"))
+        left = durable_table(near.select(*keys, F.inline(F.arrow_udf(udf, f"array<struct<coords:{GEOM},a_open:boolean,b_open:boolean>>")("_s"))))
         size *= 4
         if whole:
             done.append(left)
@@ -184,22 +183,19 @@ def cut_line(line: list, seg: np.ndarray, owner: np.ndarray, erase: bool = False
 
 def clip_lines(layer: DataFrame, mask: DataFrame, by: list[str], erase: bool = False) -> DataFrame:
     """Lines' stretches inside (or outside) the mask polygons of the same group; properties stay."""
-    names, types = layer.columns, dict(layer.dtypes)
-
-    def run(left, right):
-        import numpy as np
-        import pandas as pd
 
+    def udf(shapes: pa.Array, masks: pa.Array) -> pa.Array:
         from chronogeo.operators.lines import cut_line
-        from chronogeo.operators.overlay import _segments
+        from chronogeo.operators.overlay import _segments, some_rows
 
-        seg, owner = _segments([[[[tuple(p) for p in ring] for ring in part] for part in g] for g in right["coords"] if g is not None])
-        done = [[[piece] for part in g for ring in part for piece in cut_line(ring, seg, owner, erase)] if (erase or len(seg)) and g is not None else [] for g in left["coords"]]
-        left = left.assign(coords=pd.Series(done, left.index, object))
-        return left.loc[np.array([bool(g) for g in done], bool), names]
+        out = []
+        for own, others in some_rows(shapes, masks):
+            for lines, mask in zip(own, others):
+                seg, owner = _segments(mask or [])
+                out.append([[[piece] for part in g for ring in part for piece in cut_line(ring, seg, owner, erase)] if (erase or len(seg)) and g is not None else [] for g in lines])
+        return pa.array(out, shapes.type)
 
-    ddl = ", ".join(f"`{c}` {types[c]}" for c in names)
-    return layer.groupBy(*by).cogroup(mask.select(*[F.col(c).alias(f"m_{c}") for c in by], "coords").groupBy(*[f"m_{c}" for c in by])).applyInPandas(run, ddl)
+    return with_shapes(layer, met(layer, mask, by), F.arrow_udf(udf, f"array<{GEOM}>")(F.col("_rows.coords"), F.col("_mask")))
 
 
 def clip_lines_tiled(layer: DataFrame, mask: DataFrame, by: list[str], size: float, erase: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chronogeo.functions.noise import simplex
 from chronogeo.operators import edges
-from chronogeo.operators.overlay import GEOM, buffer, inside, ring_area, union
+from chronogeo.operators.overlay import GEOM, inside, ring_area, union
 from chronogeo.session import durable_table
 
 CUTOFF = 85.0
@@ -107,8 +107,9 @@ def buffered(coords: Column, distance: Column | float, steps: int = 5, lines: bo
     """Geometries grown by a distance, or shrunk by a negative one."""
 
     def udf(rows: pa.Array, by: pa.Array) -> pa.Array:
-        grown = ([] if g is None else buffer(g, d, steps, lines) for g, d in zip(rows.to_pylist(), by.to_pylist()))
-        return pa.array([[[[list(p) for p in r] for r in part] for part in g] for g in grown], rows.type)
+        from chronogeo.operators.overlay import buffers, some_rows
+
+        return pa.array([g for shapes, distances in some_rows(rows, by) for g in buffers([g or [] for g in shapes], distances, steps, lines)], rows.type)
 
     return F.when(coords.isNotNull(), F.arrow_udf(udf, GEOM)(coords, distance if isinstance(distance, Column) else F.lit(float(distance))))
 
@@ -425,8 +426,8 @@ def pebbles(coords: Column, area: Column, key: Column) -> Column:
     return F.arrow_udf(udf, GEOM)(coords, area, key)
 
 
-def ribbon(line: list, widths: list[float], steps: int = 5) -> list:
-    """Outline of a line with a width at each vertex (in degrees): the union of tapered pieces with round ends."""
+def tapered(line: list, widths: list[float], steps: int = 5) -> list:
+    """Pieces with round ends for each segment of a line with a width at each vertex (in degrees)."""
     parts = []
     for (a, b), (u, v) in zip(zip(line, line[1:]), zip(widths, widths[1:])):
         d = math.dist(a[:2], b[:2])
@@ -436,7 +437,12 @@ def ribbon(line: list, widths: list[float], steps: int = 5) -> list:
         arc = [math.pi / 2 + math.pi * i / (2 * steps) for i in range(2 * steps + 1)]
         ring = [(a[0] + u * math.cos(t + s), a[1] + u * math.sin(t + s)) for s in arc] + [(b[0] + v * math.cos(t + math.pi + s), b[1] + v * math.sin(t + math.pi + s)) for s in arc]
         parts.append([[[*ring, ring[0]]]])
-    return union(parts)
+    return parts
+
+
+def ribbon(line: list, widths: list[float], steps: int = 5) -> list:
+    """Outline of a line with a width at each vertex (in degrees): the union of tapered pieces with round ends."""
+    return union(tapered(line, widths, steps))
 
 
 def ribbons(points: DataFrame, key: list[str]) -> DataFrame:
@@ -444,10 +450,10 @@ def ribbons(points: DataFrame, key: list[str]) -> DataFrame:
     chains = points.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "lng", "lat", "half_width"))).alias("chain"))
 
     def udf(rows: pa.Array) -> pa.Array:
-        out = []
-        for c in rows.to_pylist():
-            g = ribbon([(p["lng"], p["lat"]) for p in c], [p["half_width"] for p in c])
-            out.append([[[list(p) for p in r] for r in part] for part in g])
-        return pa.array(out, pa.list_(pa.list_(pa.list_(pa.list_(pa.float64())))))
+        from chronogeo.operators.overlay import some_rows, unions
+        from chronogeo.operators.shapes import tapered
+
+        found = [g for (some,) in some_rows(rows) for g in unions([tapered([(p["lng"], p["lat"]) for p in c], [p["half_width"] for p in c]) for c in some])]
+        return pa.array(found, pa.list_(pa.list_(pa.list_(pa.list_(pa.float64())))))
 
     return chains.select(*key, F.arrow_udf(udf, GEOM)("chain").alias("coords"))

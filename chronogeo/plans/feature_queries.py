@@ -14,7 +14,7 @@ from chronogeo.functions import geo, options, style
 from chronogeo.operators import derive, edges, overlay, points, shapes, temporal
 from chronogeo.plans.geometry_queries import planar_area, square
 from chronogeo.plans.queries import _HAVERSINE, _META, _SEGMENTS, _axis, _index, query
-from chronogeo.session import checkpoint_root
+from chronogeo.session import checkpoint_root, spread
 from chronogeo.sources import readers, writers
 
 
@@ -209,7 +209,7 @@ def _(get):
     at = rows.withColumn("tile_minzoom", F.explode(F.array(F.lit(3), F.lit(6), F.lit(8)))).withColumn("tile_maxzoom", F.col("tile_minzoom"))
     cut = points.tiles(at.withColumns({"w": F.col("x0").cast("double"), "e": F.col("x0") + 1.0, "s": F.col("y0").cast("double"), "n": F.col("y0") + 1.0}))
     part = shapes.clipped_to_box(F.col("coords"), edges.geometry_type(F.col("coords")), *points.tile_box(F.col("z"), F.col("x"), F.col("y")))
-    return cut.withColumn("coords", part).groupBy("fid", "z").agg(F.round(F.sum(planar_area(F.col("coords"))), 6).alias("area"))
+    return spread(cut).withColumn("coords", part).groupBy("fid", "z").agg(F.round(F.sum(planar_area(F.col("coords"))), 6).alias("area"))
 
 
 @query("unshifted", "SELECT fid, CASE WHEN fid % 3 = 0 THEN x + 360 - 360 WHEN fid % 3 = 1 THEN x WHEN x > 10 THEN x - 190 ELSE x + 170 END AS x FROM f_cells")
@@ -240,7 +240,7 @@ def _(get):
 @query("clean_polygons", "SELECT fid, 1.5e0 AS area, 1 AS parts FROM f_cells")
 def _(get):
     two = F.concat("coords", square(F.col("x") + 0.5, F.pmod(F.col("y"), F.lit(80))), square(F.col("x") + 3.0, F.pmod(F.col("y"), F.lit(80)), 0.01))
-    rows = _cell(get).withColumn("coords", overlay.cleaned(two, 0.001))
+    rows = spread(_cell(get)).withColumn("coords", overlay.cleaned(two, 0.001))
     return rows.select("fid", F.round(planar_area(F.col("coords")), 6).alias("area"), F.size("coords").alias("parts"))
 
 
