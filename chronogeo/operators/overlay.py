@@ -391,12 +391,26 @@ def capsule(p: tuple[float, float], q: tuple[float, float], r: float, steps: int
     return [[*ring, ring[0]]]
 
 
+def _straight(ring: Ring) -> Ring:
+    """A ring or line without the points on which it goes straight on: what is near a segment doesn't depend on its division."""
+    out = [tuple(p[:2]) for p in ring[:1]]
+    for p in ring[1:]:
+        q = tuple(p[:2])
+        if len(out) > 1:
+            (ax, ay), (bx, by) = out[-2], out[-1]
+            if (bx - ax) * (q[1] - by) == (by - ay) * (q[0] - bx) and (bx - ax) * (q[0] - bx) + (by - ay) * (q[1] - by) > 0:
+                out.pop()
+        out.append(q)
+    return out
+
+
 def buffers(shapes: list[list[Polygon]], distances: list[float], steps: int = 5, lines: bool = False) -> list[list[Polygon]]:
     """Polygons (or lines) grown by distances of their own, or shrunk by negative ones; round joins."""
     out: list[list[Polygon]] = list(shapes)
     grown, shrunk = {}, {}
     for k, (parts, distance) in enumerate(zip(shapes, distances)):
-        edges = [[capsule(tuple(p[:2]), tuple(q[:2]), abs(distance), steps)] for rings in parts for ring in rings for p, q in zip(ring, ring[1:]) if tuple(p[:2]) != tuple(q[:2])]
+        turns = [_straight(ring) for rings in parts for ring in rings]
+        edges = [[capsule(p, q, abs(distance), steps)] for ring in turns for p, q in zip(ring, ring[1:]) if p != q]
         if not edges or not distance:
             out[k] = [] if lines else parts
         elif distance > 0:

@@ -2,6 +2,7 @@ import math
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronogeo.operators import lines, overlay
@@ -40,3 +41,12 @@ def test_groups_with_and_without_a_mask(spark):
     line = layer.withColumn("coords", F.transform("coords", lambda part: F.array(F.slice(part[0], 1, 2))))
     assert [(r["n"], r["coords"]) for r in lines.clip_lines(line, mask, ["k"]).collect()] == [(1, [[[[0.5, 0.0], [1.0, 0.0]]]])]
     assert sorted(r["n"] for r in lines.clip_lines(line, mask, ["k"], erase=True).collect()) == [1, 2, 3]
+
+
+def test_buffer_of_a_divided_side():
+    """Points on a straight side add no arcs of their own."""
+    few = [[[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]]]
+    many = [[[*[(i / 8, 0.0) for i in range(32)], *few[0][0][1:]]]]
+    for distance in (1.0, -1.0):
+        a, b = overlay.buffer(few, distance, 20), overlay.buffer(many, distance, 20)
+        assert overlay.area(a) == pytest.approx(overlay.area(b)) and len(a[0][0]) == len(b[0][0])
