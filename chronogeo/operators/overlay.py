@@ -96,10 +96,10 @@ def _noded(seg: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     eps = 10.0**-PRECISION
     until = _rank(group[order], begin[order], group[order], end[order] + eps, True)
     at, share = [np.arange(len(seg)), np.arange(len(seg))], [np.zeros(len(seg)), np.ones(len(seg))]
+    across_low, across_high = (np.where(high, v[:, 0], v[:, 1])[order] for v in (lo, hi))
     for a, b in _spans(np.arange(1, len(seg) + 1), until):
-        i, j = order[a], order[b]
-        near = (lo[j] <= hi[i] + eps).all(axis=1) & (hi[j] >= lo[i] - eps).all(axis=1)
-        i, j = i[near], j[near]
+        near = (across_low[b] <= across_high[a] + eps) & (across_high[b] >= across_low[a] - eps)
+        i, j = order[a[near]], order[b[near]]
         r, s, gap = seg[i, 2:] - seg[i, :2], seg[j, 2:] - seg[j, :2], seg[j, :2] - seg[i, :2]
         det = r[:, 0] * s[:, 1] - r[:, 1] * s[:, 0]
         long = np.hypot(r[:, 0], r[:, 1])
@@ -165,11 +165,13 @@ def _covers(polygons: list[list[Polygon]], group: np.ndarray) -> tuple[np.ndarra
     sorted_group, sorted_begin = group[real][order], begin[order]
     found = [_rank(sorted_group, sorted_begin, at, place - reach[at] - 1e-7, False), _rank(sorted_group, sorted_begin, at, place + 1e-7, True)]
     p, k = [], []
+    across = middle[np.arange(len(pieces)), 1 - upright[at].astype(int)]
+    across_low, across_high = (v[real, 1 - axis][order] for v in (low, high))
+    end = high[real, axis][order]
     for i, j in _spans(*found):
-        j = real[order[j]]
-        near = ((low[j] <= middle[i] + 1e-7) & (high[j] >= middle[i] - 1e-7)).all(axis=1)
+        near = (across_low[j] <= across[i] + 1e-7) & (across_high[j] >= across[i] - 1e-7) & (end[j] >= place[i] - 1e-7)
         p.append(i[near])
-        k.append(j[near])
+        k.append(real[order[j[near]]])
     p, k = np.concatenate(p), np.concatenate(k)
     d = pieces[:, 2:] - pieces[:, :2]
     flat = np.abs(d[:, 0]) >= np.abs(d[:, 1])
