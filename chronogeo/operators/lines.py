@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronogeo.operators.overlay import GEOM, TILE, met, tiled, with_shapes
-from chronogeo.session import durable_table
+from chronogeo.session import by_keys, durable_table
 
 #: Shares of a segment that differ by less are the same place.
 SAME = 1e-12
@@ -68,7 +68,7 @@ def merge_lines(layer: DataFrame, keys: list[str]) -> DataFrame:
         every = ([[tuple(p) for p in ring] for g in shapes for part in g for ring in part if len(ring) > 1] for (rows,) in some_rows(groups) for shapes in rows)
         return pa.array([[[c] for c in chains(lines)] for lines in every], groups.type.value_type)
 
-    return layer.select(*keys, "coords").groupBy(*keys).agg(F.collect_list("coords").alias("coords")).withColumn("coords", F.arrow_udf(udf, GEOM)("coords"))
+    return by_keys(layer.select(*keys, "coords"), keys).groupBy(*keys).agg(F.collect_list("coords").alias("coords")).withColumn("coords", F.arrow_udf(udf, GEOM)("coords"))
 
 
 def merge_lines_tiled(layer: DataFrame, keys: list[str], size: float, most: int) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronogeo.session import spread
+from chronogeo.session import by_keys, durable_table, spread
 
 PRECISION = 8
 #: Groups of so many points together are noded in one call.
@@ -445,17 +445,18 @@ def dissolve(layer: DataFrame, keys: list[str]) -> DataFrame:
 
         return pa.array([g for (rows,) in some_rows(groups) for g in unions(rows)], groups.type.value_type)
 
-    return layer.select(*keys, "coords").groupBy(*keys).agg(F.collect_list("coords").alias("coords")).withColumn("coords", F.arrow_udf(udf, GEOM)("coords"))
+    return by_keys(layer.select(*keys, "coords"), keys).groupBy(*keys).agg(F.collect_list("coords").alias("coords")).withColumn("coords", F.arrow_udf(udf, GEOM)("coords"))
 
 
-def dissolve_fields(layer: DataFrame, keys: list[str], copy: tuple[str, ...] = (), total: tuple[str, ...] = (), order: str = "fid") -> DataFrame:
-    """dissolve() with fields of the first row of each key (by order) and sums of others; keys may be null."""
+def dissolve_fields(layer: DataFrame, keys: list[str], copy: tuple[str, ...] = (), total: tuple[str, ...] = (), order: str = "fid", most: int = 20_000) -> DataFrame:
+    """dissolve() with fields of the first row of each key (by order) and sums of others; keys may be null. Keys with more than so many vertices are cut into tiles."""
     one = [F.min_by(c, order).alias(c) for c in copy] + [F.sum(c).alias(c) for c in total]
     fields = layer.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"), *one)
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return dissolve(layer, keys).join(fields, same).select(*keys, *copy, *total, "coords")
+    whole = dissolve_tiled(layer, keys, tile_size([layer], keys, most))
+    return whole.join(fields, same).select(*keys, *copy, *total, "coords")
 
 
 def cleaned(coords, least: float):
@@ -475,15 +476,22 @@ def cleaned(coords, least: float):
 
 
 def dissolve_tiled(layer: DataFrame, keys: list[str], size: float | None) -> DataFrame:
-    """dissolve(), within tiles of a size first: then only outlines of tiles meet in one task."""
-    if size is not None:
-        layer = dissolve(tiled(layer.select(*keys, "coords"), size), [*keys, *TILE])
-    return dissolve(layer, keys)
+    """dissolve(), within tiles of a size first: then only parts that reach the border of a tile meet in one task."""
+    if size is None:
+        return dissolve(layer, keys)
+    at = lambda k: F.transform(F.col("_part")[0], lambda p: p[k])
+    within = [(F.array_min(at(k)) > F.col(tile) * size + 1e-7) & (F.array_max(at(k)) < (F.col(tile) + 1) * size - 1e-7) for k, tile in enumerate(TILE)]
+    inner = within[0] & within[1]
+    pieces = dissolve(tiled(layer.select(*keys, "coords"), size), [*keys, *TILE]).select(*keys, *TILE, F.explode("coords").alias("_part"))
+    pieces = durable_table(pieces.select(*keys, F.array("_part").alias("coords"), inner.alias("_inner")))
+    met = dissolve(pieces.filter("NOT _inner"), keys)
+    every = pieces.filter("_inner").drop("_inner").unionByName(met)
+    return every.groupBy(*keys).agg(F.flatten(F.collect_list("coords")).alias("coords"))  # of one feature
 
 
 def met(layer: DataFrame, mask: DataFrame, by: list[str]) -> DataFrame:
     """_rows (the layer's rows of a group, as structs) and _mask (the geometries of the mask's rows of that group; null without any)."""
-    rows = layer.groupBy(*[F.col(c).alias(f"l_{c}") for c in by]).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in layer.columns])).alias("_rows"))
+    rows = by_keys(layer, by).groupBy(*[F.col(c).alias(f"l_{c}") for c in by]).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in layer.columns])).alias("_rows"))
     masks = mask.groupBy(*[F.col(c).alias(f"m_{c}") for c in by]).agg(F.collect_list("coords").alias("_mask"))
     same = reduce(lambda a, b: a & b, [F.col(f"l_{c}").eqNullSafe(F.col(f"m_{c}")) for c in by])
     return rows.join(masks, same, "left").select("_rows", "_mask")
@@ -547,7 +555,8 @@ def mosaic(layer: DataFrame, by: list[str], order: str = "ord") -> DataFrame:
         out = [[{"covers": [n[k] for k in cover], "coords": region} for cover, region in Arrangement(g).cells()] for numbers, own in some_rows(orders, shapes) for n, g in zip(numbers, own)]
         return pa.array(out, kind)
 
-    rows = layer.select(*by, F.struct(F.col(order).cast("bigint").alias("ord"), "coords").alias("_f")).groupBy(*by).agg(F.array_sort(F.collect_list("_f")).alias("_f"))
+    rows = layer.select(*by, F.struct(F.col(order).cast("bigint").alias("ord"), "coords").alias("_f"))
+    rows = by_keys(rows, by).groupBy(*by).agg(F.array_sort(F.collect_list("_f")).alias("_f"))
     return rows.select(*by, F.arrow_udf(udf, cell)(F.col("_f.ord"), F.col("_f.coords")).alias("_c")).select(*by, F.inline("_c"))
 
 
@@ -591,7 +600,9 @@ def tiled(layer: DataFrame, size: float) -> DataFrame:
             out += [whole.get(k, g) for k, g in enumerate(regions(groups, _both))]
         return pa.array(out, shapes.type)
 
-    return spread(dealt).withColumn("coords", F.arrow_udf(udf, GEOM)("coords", "tile_x", "tile_y")).filter(F.size("coords") > 0)
+    # Not to be repeated: else Spark would test what is left of a feature before rows are spread, and cut it again after.
+    cut = F.arrow_udf(udf, GEOM).asNondeterministic()("coords", "tile_x", "tile_y")
+    return spread(dealt).withColumn("coords", cut).filter(F.size("coords") > 0)
 
 
 def exploded(layer: DataFrame) -> DataFrame:
