@@ -169,7 +169,10 @@ def dealt(sides: DataFrame, by: list[str], crowd: int = CROWD) -> DataFrame:
 
 def meetings(sides: DataFrame, by: list[str], crowd: int = CROWD) -> DataFrame:
     """m_sid, p: the points, besides its ends, in which a side (sid, x1, y1, x2, y2) meets others of its group."""
-    cells = dealt(sides.select(*by, "sid", "x1", "y1", "x2", "y2"), by, crowd)
+    # Sides that neighbours share are compared with others once, by the least number of them.
+    turned = edges.normalised(sides.select(*by, "sid", *edges.EDGE))
+    once = durable_table(turned.groupBy(*by, *edges.EDGE).agg(F.min("sid").alias("sid"), F.collect_list("sid").alias("sids")))  # of one side
+    cells = dealt(once.select(*by, "sid", "x1", "y1", "x2", "y2"), by, crowd)
     own = ["level", "cx", "cy"]
     a = cells.select(*_named([*by, *own], "a"), *[F.col(c).alias(f"a_{c}") for c in ("sid", "x1", "y1", "x2", "y2")])
     on = _same([*by, *own], "a") & (F.col("a_sid") < F.col("sid"))
@@ -200,7 +203,8 @@ def meetings(sides: DataFrame, by: list[str], crowd: int = CROWD) -> DataFrame:
     share = p / (p - q)
     x, y = F.round(F.col("a_x1") + share * ax, PRECISION), F.round(F.col("a_y1") + share * ay, PRECISION)
     found += [F.when(cross, spot("sid", x, y)), F.when(cross, spot("a_sid", x, y))]
-    return pairs.select(F.explode(F.filter(F.array(*found), lambda v: v.isNotNull())).alias("m")).select("m.*").distinct()
+    places = pairs.select(F.explode(F.filter(F.array(*found), lambda v: v.isNotNull())).alias("m")).select("m.*").distinct()
+    return places.join(once.select("sid", "sids"), F.col("m_sid") == F.col("sid")).select(F.explode("sids").alias("m_sid"), "p")
 
 
 def noded(sides: DataFrame, by: list[str], crowd: int = CROWD) -> DataFrame:
