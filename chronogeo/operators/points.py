@@ -83,10 +83,10 @@ def heads_of_tile(x: list[float], y: list[float], known: list[bool], own: list[b
     return out
 
 
-def _around(rows: DataFrame) -> DataFrame:
-    """Rows once for each cell within two of theirs."""
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
-    return rows.withColumn("_s", F.explode(steps)).withColumn("cx", F.col("cx") + F.col("_s.i")).withColumn("cy", F.col("cy") + F.col("_s.j")).drop("_s")
+def _around(rows: DataFrame, cell: Column, reach: Column) -> DataFrame:
+    """Rows once for each cell, cx and cy, that lies within reach of them."""
+    near = lambda v: F.explode(F.sequence(F.floor((F.col(v) - reach) / cell), F.floor((F.col(v) + reach) / cell)))
+    return rows.withColumn("cx", near("x")).withColumn("cy", near("y"))
 
 
 def _heads(points: DataFrame, by: list[str], cells: int | None) -> DataFrame:
@@ -137,13 +137,14 @@ def _heads(points: DataFrame, by: list[str], cells: int | None) -> DataFrame:
 def _members(points: DataFrame, by: list[str], cells: int | None) -> DataFrame:
     """by, best, fid: each point with the closest head before it; of equally close ones the first.
 
-    Cells are half a distance wide, so that what is near lies within two cells, and a cell has one head at most.
+    Cells are four distances wide: most heads are near to one cell only, and a cell has few heads, as these are a distance apart.
     """
     rank = F.struct((-F.col("weight")).alias("w"), F.col("fid").alias("f"))
     side = 1 / F.pow(F.lit(2.0), F.col("zoom"))
-    every = durable_table(points.select(*by, "fid", "x", "y", rank.alias("rank"), F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")))
-    heads = _heads(every, by, cells).withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side)).drop("head")
-    near = durable_table(_around(heads))
+    cell = 8 * side
+    every = durable_table(points.select(*by, "fid", "x", "y", rank.alias("rank"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy")))
+    heads = _heads(every.drop("cx", "cy"), by, cells).drop("head")
+    near = durable_table(_around(heads, cell, 2.001 * side))
     near = near.withColumnsRenamed({c: f"h_{c}" for c in near.columns})
     distance = F.sqrt(F.pow(F.col("x") - F.col("h_x"), 2) + F.pow(F.col("y") - F.col("h_y"), 2))
     met = every.join(near, _same([*by, "cx", "cy"], "h_") & (distance <= 2 * side) & (F.col("h_rank") <= F.col("rank")))
