@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -133,6 +134,8 @@ def _covered(point: np.ndarray, seg: np.ndarray, owner: np.ndarray) -> bool:
 
 def stretches(a: list, b: list, seg: np.ndarray, owner: np.ndarray, erase: bool = False, begin: float = 0.0, end: float = 1.0) -> list[tuple[float, float]]:
     """Shares of the way from a to b (between begin and end) that lie inside (or outside) polygons given by their sides and their numbers."""
+    if not len(seg):
+        return [(begin, end)] if erase and begin < end else []
     p, r = np.array(a[:2], float), np.array(b[:2], float) - np.array(a[:2], float)
     s = seg[:, 2:] - seg[:, :2]
     det = r[0] * s[:, 1] - r[1] * s[:, 0]
@@ -181,18 +184,35 @@ def cut_line(line: list, seg: np.ndarray, owner: np.ndarray, erase: bool = False
     return pieces_of(line, {k: stretches(a, b, seg, owner, erase) for k, (a, b) in enumerate(zip(line, line[1:]))})
 
 
+def near_lines(seg: np.ndarray, owner: np.ndarray) -> Callable[[list], tuple[np.ndarray, np.ndarray]]:
+    """Gives for a line the sides, and their numbers, of the polygons whose boxes meet its own: no other covers any of it."""
+    count = int(owner.max(initial=-1)) + 1
+    low, high = np.full((count, 2), np.inf), np.full((count, 2), -np.inf)
+    np.minimum.at(low, owner, np.minimum(seg[:, :2], seg[:, 2:]))
+    np.maximum.at(high, owner, np.maximum(seg[:, :2], seg[:, 2:]))
+
+    def near(line: list) -> tuple[np.ndarray, np.ndarray]:
+        xs, ys = [p[0] for p in line], [p[1] for p in line]
+        met = (low[:, 0] <= max(xs)) & (high[:, 0] >= min(xs)) & (low[:, 1] <= max(ys)) & (high[:, 1] >= min(ys)) if line else np.zeros(count, bool)
+        some = np.flatnonzero(met[owner])
+        return seg[some], owner[some]
+
+    return near
+
+
 def clip_lines(layer: DataFrame, mask: DataFrame, by: list[str], erase: bool = False) -> DataFrame:
     """Lines' stretches inside (or outside) the mask polygons of the same group; properties stay."""
 
     def udf(shapes: pa.Array, masks: pa.Array) -> pa.Array:
-        from chronogeo.operators.lines import cut_line
+        from chronogeo.operators.lines import cut_line, near_lines
         from chronogeo.operators.overlay import _segments, some_rows
 
         out = []
         for own, others in some_rows(shapes, masks):
             for lines, mask in zip(own, others):
                 seg, owner = _segments(mask or [])
-                out.append([[[piece] for part in g for ring in part for piece in cut_line(ring, seg, owner, erase)] if (erase or len(seg)) and g is not None else [] for g in lines])
+                near = near_lines(seg, owner)
+                out.append([[[piece] for part in g for ring in part for piece in cut_line(ring, *near(ring), erase)] if (erase or len(seg)) and g is not None else [] for g in lines])
         return pa.array(out, shapes.type)
 
     return with_shapes(layer, met(layer, mask, by), F.arrow_udf(udf, f"array<{GEOM}>")(F.col("_rows.coords"), F.col("_mask")))

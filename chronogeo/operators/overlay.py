@@ -490,11 +490,14 @@ def dissolve_tiled(layer: DataFrame, keys: list[str], size: float | None) -> Dat
 
 
 def met(layer: DataFrame, mask: DataFrame, by: list[str]) -> DataFrame:
-    """_rows (the layer's rows of a group, as structs) and _mask (the geometries of the mask's rows of that group; null without any)."""
-    rows = by_keys(layer, by).groupBy(*[F.col(c).alias(f"l_{c}") for c in by]).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in layer.columns])).alias("_rows"))
-    masks = mask.groupBy(*[F.col(c).alias(f"m_{c}") for c in by]).agg(F.collect_list("coords").alias("_mask"))
-    same = reduce(lambda a, b: a & b, [F.col(f"l_{c}").eqNullSafe(F.col(f"m_{c}")) for c in by])
-    return rows.join(masks, same, "left").select("_rows", "_mask")
+    """_rows (the layer's rows of a group, as structs) and _mask (the geometries of the mask's rows of that group; empty without any).
+
+    Both come in one shuffle: a join of groups would deal them anew, and put small ones, whose kernel costs much, into few tasks.
+    """
+    rows = layer.select(*by, F.struct(*[F.col(f"`{c}`") for c in layer.columns]).alias("_row"), F.lit(None).cast(mask.schema["coords"].dataType).alias("_shape"))
+    shapes = mask.select(*by, F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col("coords").alias("_shape"))
+    groups = by_keys(rows.unionByName(shapes), by).groupBy(*by).agg(F.collect_list("_row").alias("_rows"), F.collect_list("_shape").alias("_mask"))
+    return groups.filter(F.size("_rows") > 0).select("_rows", "_mask")
 
 
 def with_shapes(layer: DataFrame, groups: DataFrame, cut: Column) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chronogeo.functions.noise import simplex
 from chronogeo.operators import edges
 from chronogeo.operators.overlay import GEOM, inside, ring_area, union
-from chronogeo.session import durable_table
+from chronogeo.session import by_keys, durable_table
 
 CUTOFF = 85.0
 _SCALE = 180 / (math.degrees(math.asinh(math.tan(math.radians(CUTOFF)))) + 90 - CUTOFF)
@@ -472,13 +472,18 @@ def ribbon(line: list, widths: list[float], steps: int = 5) -> list:
 
 def ribbons(points: DataFrame, key: list[str]) -> DataFrame:
     """key, coords: outlines of chains; points: key, seq, lng, lat, half_width (degrees)."""
-    chains = points.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "lng", "lat", "half_width"))).alias("chain"))
+    chains = by_keys(points, key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "lng", "lat", "half_width"))).alias("chain"))
 
     def udf(rows: pa.Array) -> pa.Array:
         from chronogeo.operators.overlay import some_rows, unions
         from chronogeo.operators.shapes import tapered
 
-        found = [g for (some,) in some_rows(rows) for g in unions([tapered([(p["lng"], p["lat"]) for p in c], [p["half_width"] for p in c]) for c in some])]
+        found = []
+        for (some,) in some_rows(rows):
+            pieces = [tapered([(p["lng"], p["lat"]) for p in c], [p["half_width"] for p in c]) for c in some]
+            # One piece alone is its own union: two half rounds and what lies between.
+            done = iter(unions([p for p in pieces if len(p) > 1]))
+            found += [next(done) if len(p) > 1 else p[0] if p else [] for p in pieces]
         return pa.array(found, pa.list_(pa.list_(pa.list_(pa.list_(pa.float64())))))
 
     return chains.select(*key, F.arrow_udf(udf, GEOM)("chain").alias("coords"))

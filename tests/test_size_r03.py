@@ -3,7 +3,7 @@ from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
 
-from chronogeo.operators import overlay, points, shapes, temporal, topology
+from chronogeo.operators import lines, overlay, points, shapes, temporal, topology
 
 
 def _plan(df) -> str:
@@ -57,3 +57,22 @@ def test_shared_sides_are_compared_once(spark):
 def test_heads_go_to_few_cells(spark):
     rows = spark.range(900).select((F.col("id") % 30 * 1.0).alias("x"), F.floor(F.col("id") / 30).cast("double").alias("y"))
     assert points._around(rows, F.lit(8.0), F.lit(2.001)).count() < 3 * 900
+
+
+def test_groups_of_a_cut_lie_in_many_tasks(spark):
+    rows = [(k or None, k, [[[[-1.0, 0.5], [3.0, 0.5]]]]) for k in range(40)]
+    layer = spark.createDataFrame(rows, f"g int, fid int, coords {overlay.GEOM}")
+    mask = spark.createDataFrame([(k or None, _square(0, 0)) for k in range(39)] + [(99, _square(0, 0))], f"g int, coords {overlay.GEOM}")
+    cut = lines.clip_lines(layer, mask, ["g"])
+    assert {(r["fid"], str(r["coords"])) for r in cut.collect()} == {(k, "[[[[0.0, 0.5], [1.0, 0.5]]]]") for k in range(39)}
+    assert cut.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_lines_are_cut_by_near_polygons_as_by_all():
+    squares = [_square(3 * k, k % 2) for k in range(9)] + [_square(30, 0, 2.0), _square(31, 0.5, 2.0)]
+    seg, owner = overlay._segments(squares)
+    near = lines.near_lines(seg, owner)
+    for line in ([[-1.0, 0.5], [40.0, 0.5]], [[0.5, 0.5], [3.5, 1.5], [3.5, 9.0]], [[50.0, 0.0], [51.0, 1.0]], [[31.0, 0.7], [31.0, 5.0]]):
+        for erase in (False, True):
+            assert lines.cut_line(line, *near(line), erase) == lines.cut_line(line, seg, owner, erase)
+    assert len(near([[0.5, 0.5], [0.6, 0.6]])[0]) == 4
