@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronogeo.operators import edges
-from chronogeo.session import durable_table, ship_package
+from chronogeo.session import by_size, durable_table, ship_package
 
 PRECISION = 8
 #: A side's end that is so near to another side lies on it.
@@ -72,9 +72,15 @@ def arcs(rows: DataFrame, by: list[str]) -> DataFrame:
     rings = rings.withColumn("_r", F.when(F.element_at("_r", 1) == F.element_at("_r", -1), F.slice("_r", 1, F.size("_r") - 1)).otherwise(F.col("_r"))).filter(F.size("_r") > 2)
     sides = rings.select(*by, *RING, F.size("_r").alias("n"), F.inline(F.transform("_r", lambda p, i: F.struct(i.alias("seq"), p.alias("a"), F.get(F.col("_r"), (i + 1) % F.size("_r")).alias("b")))))
     sides = durable_table(sides)
-    ends = sides.select(*by, F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(*by, "e.*").distinct()
-    nodes = ends.groupBy(*by, "a").count().filter("count <> 2").select(*_named(by, "n"), F.col("a").alias("n_a"))
-    met = sides.join(nodes, _same(by, "n") & (F.col("a") == F.col("n_a")), "left").withColumn("node", F.col("n_a").isNotNull().cast("int")).drop("n_a", *[f"n_{k}" for k in by])
+    n = sides.count()
+    # A point is no node if its sides lead to two points: the least and the greatest of them.
+    own = F.struct("a", "b", F.lit(True).alias("own"))
+    ends = sides.select(*by, *RING, "n", "seq", F.inline(F.array(own, F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(False).alias("own")))))
+    point = Window.partitionBy(*by, "a")
+    met = by_size(ends, [*by, "a"], 2 * n).withColumn("low", F.min("b").over(point)).withColumn("high", F.max("b").over(point))
+    other = F.max((F.col("b") != F.col("low")) & (F.col("b") != F.col("high"))).over(point)
+    met = met.withColumn("node", ((F.col("low") == F.col("high")) | other).cast("int")).filter("own").drop("low", "high", "own")
+    met = by_size(met, RING, n)
     ring = Window.partitionBy(*RING)
     met = met.withColumn("arc", F.sum("node").over(ring.orderBy("seq"))).withColumn("arcs", F.sum("node").over(ring)).withColumn("first", F.min(F.struct("a", "seq")).over(ring)["seq"])
     lone = F.col("arcs") == 0
@@ -96,8 +102,11 @@ def simplified(layer: DataFrame, share: Column | float, by: list[str] | None = N
     by = by or []
     ship_package(layer.sparkSession)
     rows = durable_table(layer.withColumn("_uid", F.monotonically_increasing_id()).withColumn("_share", share if isinstance(share, Column) else F.lit(float(share))))
-    uses = durable_table(arcs(rows, by).withColumn("key", F.md5(F.to_json("line"))))
-    distinct = uses.groupBy(*by, "key").agg(F.first("line").alias("line"))
+    # An arc's key tells its group too: what is joined by it lies together.
+    key = F.md5(F.to_json(F.struct(*by, "line"), {"ignoreNullFields": "false"}))
+    uses = durable_table(arcs(rows, by).withColumn("key", key))
+    n = uses.agg(F.sum(F.size("line"))).first()[0] or 0
+    distinct = by_size(uses.select(*by, "key", "line"), ["key"], n).groupBy(*by, "key").agg(F.first("line").alias("line"))
 
     def udf(lines: pa.Array) -> pa.Array:
         from chronogeo.operators.topology import vertex_weights
@@ -105,32 +114,33 @@ def simplified(layer: DataFrame, share: Column | float, by: list[str] | None = N
         return pa.array([vertex_weights([(p["x"], p["y"]) for p in line]) for line in lines.to_pylist()], pa.list_(pa.float64()))
 
     distinct = durable_table(distinct.withColumn("w", F.arrow_udf(udf, WEIGHTS)("line")))
-    weighed = uses.select(*by, *RING, "arc", "arcs", "turned", "key").join(distinct.select(*_named(by, "w"), F.col("key").alias("w_key"), "line", "w"), _same(by, "w") & (F.col("key") == F.col("w_key")))
-    weighed = durable_table(weighed.drop("w_key", *[f"w_{k}" for k in by]))
+    used = by_size(uses.select(*by, *RING, "arc", "arcs", "turned", "key"), ["key"], n)
+    weighed = durable_table(used.join(by_size(distinct.select("key", "line", "w"), ["key"], n), "key"))
     if isinstance(share, Column):
-        own = weighed.groupBy("_uid").agg(F.sort_array(F.flatten(F.collect_list("w"))).alias("_w")).join(rows.select(F.col("_uid").alias("r_uid"), "_share"), F.col("_uid") == F.col("r_uid"))  # of one feature
+        own = by_size(weighed.select("_uid", "w"), ["_uid"], n).groupBy("_uid").agg(F.sort_array(F.flatten(F.collect_list("w"))).alias("_w")).join(rows.select(F.col("_uid").alias("r_uid"), "_share"), F.col("_uid") == F.col("r_uid"))  # of one feature
         own = own.select(F.col("_uid").alias("o_uid"), F.get("_w", F.greatest(F.ceil((1 - F.col("_share")) * F.size("_w")).cast("int"), F.lit(1)) - 1).alias("t"))
-        least = weighed.join(own, F.col("_uid") == F.col("o_uid")).groupBy(*_named(by, "t"), F.col("key").alias("t_key")).agg(F.min("t").alias("t"))
-        weighed = weighed.join(least, _same(by, "t") & (F.col("key") == F.col("t_key")), "left")
+        least = by_size(weighed.join(own, F.col("_uid") == F.col("o_uid")).select("key", "t"), ["key"], n).groupBy("key").agg(F.min("t").alias("t"))
+        weighed = by_size(weighed, ["key"], n).join(least, "key", "left")
     else:
         least = distinct.select(*by, F.explode("w").alias("v")).groupBy(*_named(by, "t")).agg(F.percentile_approx("v", 1 - share, 100_000).alias("t"))
         weighed = weighed.join(least, _same(by, "t"), "left")
     # A ring of one arc needs two inner points, one of two arcs needs one: that with the greatest weight.
     heaviest = F.row_number().over(Window.partitionBy(*RING).orderBy(F.desc(F.array_max("w")), "key"))
-    needs = weighed.filter("arcs < 3").withColumn("need", F.when(F.col("arcs") == 1, 2).when(heaviest == 1, 1).otherwise(0)).groupBy(*_named(by, "g"), F.col("key").alias("g_key")).agg(F.max("need").alias("need"))
-    kept = weighed.join(needs, _same(by, "g") & (F.col("key") == F.col("g_key")), "left")
+    few = by_size(weighed.filter("arcs < 3"), RING, n).withColumn("need", F.when(F.col("arcs") == 1, 2).when(heaviest == 1, 1).otherwise(0))
+    needs = by_size(few.select("key", "need"), ["key"], n).groupBy("key").agg(F.max("need").alias("need"))
+    kept = by_size(weighed, ["key"], n).join(needs, "key", "left")
     bound = F.least("t", F.get(F.sort_array("w", asc=False), F.coalesce("need", F.lit(0)) - 1))
     kept = kept.withColumn("t", F.when(F.coalesce("need", F.lit(0)) > 0, bound).otherwise(F.col("t")))
     inner = F.filter("line", lambda p, i: (i == 0) | (i == F.size("line") - 1) | (F.get(F.col("w"), i - 1) >= F.col("t")))
     part = F.when(F.col("turned"), F.reverse(inner)).otherwise(inner)
-    kept = kept.select(*RING, "arc", F.slice(part, F.lit(1), F.size(part) - 1).alias("part"))  # its last point begins the next
+    kept = by_size(kept.select(*RING, "arc", F.slice(part, F.lit(1), F.size(part) - 1).alias("part")), ["_uid"], n)  # its last point begins the next
     rings = kept.groupBy(*RING).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("arc", "part"))), lambda x: x["part"])).alias("r"))
     closed = F.transform(F.concat("r", F.slice("r", 1, 1)), lambda p: F.array(p["x"], p["y"]))
     ordered = lambda value, at: F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value])
     parts = rings.withColumn("r", closed).filter(F.size("r") > 3).groupBy("_uid", "_part").agg(ordered("r", "_ring").alias("p"))
     shapes = parts.groupBy(F.col("_uid").alias("s_uid")).agg(ordered("p", "_part").alias("s_coords"))
     names = [F.col("s_coords").alias(c) if c == "coords" else F.col(c) for c in layer.columns]
-    return rows.join(shapes, F.col("_uid") == F.col("s_uid")).select(*names)
+    return by_size(rows, ["_uid"], n).join(shapes, F.col("_uid") == F.col("s_uid")).select(*names)
 
 
 def _in_cells(sides: DataFrame, size: Column) -> DataFrame:
