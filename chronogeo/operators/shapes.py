@@ -53,35 +53,73 @@ def centripetal_midpoint(p0, p1, p2, p3) -> tuple[float, float]:
     return mix(mix(a1, a2, t[0], t[2]), mix(a2, a3, t[1], t[3]), t[1], t[2])
 
 
-def smooth_line(line: list, passes: int = 3, low: float = 0.1, high: float = 175.0) -> list:
-    """Curve points on both sides of each bend between the two angles, up to so many times, in map space."""
-    pts = [(p[0], _map_y(p[1])) for p in line]
+def _between(p0: np.ndarray, p1: np.ndarray, p2: np.ndarray, p3: np.ndarray) -> np.ndarray:
+    """centripetal_midpoint() of many; points are rows."""
+    t0 = np.zeros(len(p0))
+    t1 = t0 + np.sqrt(np.hypot(*(p1 - p0).T))
+    t2 = t1 + np.sqrt(np.hypot(*(p2 - p1).T))
+    t3 = t2 + np.sqrt(np.hypot(*(p3 - p2).T))
+    at = (t1 + t2) / 2
+
+    def mix(a, b, s, e):
+        gap = np.where(e == s, 1.0, e - s)
+        return np.where((e == s)[:, None], a, (a * (e - at)[:, None] + b * (at - s)[:, None]) / gap[:, None])
+
+    a1, a2, a3 = mix(p0, p1, t0, t1), mix(p1, p2, t1, t2), mix(p2, p3, t2, t3)
+    return mix(mix(a1, a2, t0, t2), mix(a2, a3, t1, t3), t1, t2)
+
+
+def smoothed(lines: list[list], passes: int = 3, low: float = 0.1, high: float = 175.0) -> list[list]:
+    """Curve points on both sides of each bend between the two angles, up to so many times, in map space; all lines together."""
+    size = np.array([len(line) for line in lines], int)
+    pts = np.array([p[:2] for line in lines for p in line], float).reshape(-1, 2)
+    of = np.repeat(np.arange(len(lines)), size)
+    pts[:, 1] = np.degrees(np.arcsinh(np.tan(np.radians(np.clip(pts[:, 1], -CUTOFF, CUTOFF))))) * _SCALE
     for _ in range(passes):
-        n, cut = len(pts), set()
-        for i in range(1, n - 1):
-            turn = math.degrees(math.atan2(pts[i + 1][1] - pts[i][1], pts[i + 1][0] - pts[i][0]) - math.atan2(pts[i - 1][1] - pts[i][1], pts[i - 1][0] - pts[i][0])) % 360
-            if low < min(turn, 360 - turn) < high:
-                cut |= {i - 1, i}
-        if not cut:
+        n = len(pts)
+        inner = np.flatnonzero((of[1:-1] == of[:-2]) & (of[1:-1] == of[2:])) + 1 if n > 2 else np.zeros(0, int)
+        on, back = pts[inner + 1] - pts[inner], pts[inner - 1] - pts[inner]
+        turn = np.degrees(np.arctan2(on[:, 1], on[:, 0]) - np.arctan2(back[:, 1], back[:, 0])) % 360
+        turn = np.minimum(turn, 360 - turn)
+        bends = inner[(low < turn) & (turn < high)]
+        cut = np.zeros(n, bool)
+        cut[bends - 1] = cut[bends] = True
+        at = np.flatnonzero(cut)
+        if not len(at):
             break
-        out = []
-        for i, p in enumerate(pts):
-            out.append(p)
-            if i in cut:
-                q = pts[i + 1]
-                before = pts[i - 1] if i else (2 * p[0] - q[0], 2 * p[1] - q[1])
-                after = pts[i + 2] if i + 2 < n else (2 * q[0] - p[0], 2 * q[1] - p[1])
-                m = centripetal_midpoint(before, p, q, after)
-                if m == m and not any(math.isnan(x) for x in m):
-                    out.append(m)
-        pts = out
-    return [[x, _map_lat(y)] for x, y in pts]
+        p, q = pts[at], pts[at + 1]
+        first = (at == 0) | (of[at - 1] != of[at])
+        last = (at + 2 >= n) | (of[np.minimum(at + 2, n - 1)] != of[at])
+        before = np.where(first[:, None], 2 * p - q, pts[at - 1])
+        after = np.where(last[:, None], 2 * q - p, pts[np.minimum(at + 2, n - 1)])
+        mid = _between(before, p, q, after)
+        real = ~np.isnan(mid).any(axis=1)
+        pts, of = np.insert(pts, at[real] + 1, mid[real], axis=0), np.insert(of, at[real] + 1, of[at[real]])
+    pts[:, 1] = np.degrees(np.arctan(np.sinh(np.radians(pts[:, 1] / _SCALE))))
+    ends = np.searchsorted(of, np.arange(len(lines) + 1)).tolist()
+    every = pts.tolist()
+    return [every[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def smooth_line(line: list, passes: int = 3, low: float = 0.1, high: float = 175.0) -> list:
+    return smoothed([line], passes, low, high)[0]
 
 
 def smooth_lines(layer: DataFrame) -> DataFrame:
     """Lines smoothed unless no_smooth is true; one row per line."""
     layer = layer.withColumn("coords", F.explode("coords")).withColumn("coords", F.array("coords"))
-    smooth = per_geometry(F.col("coords"), lambda g: [[smooth_line(r) for r in part] for part in g])
+
+    def udf(rows: pa.Array) -> pa.Array:
+        from chronogeo.operators.overlay import some_rows
+        from chronogeo.operators.shapes import smoothed
+
+        out = []
+        for (shapes,) in some_rows(rows):
+            done = iter(smoothed([r for g in shapes for part in g or () for r in part]))
+            out += [None if g is None else [[next(done) for _ in part] for part in g] for g in shapes]
+        return pa.array(out, rows.type)
+
+    smooth = F.arrow_udf(udf, GEOM)(F.col("coords"))
     return layer.withColumn("coords", F.when(F.coalesce(F.col("no_smooth"), F.lit(False)), F.col("coords")).otherwise(smooth))
 
 
