@@ -388,14 +388,66 @@ def box_part(g: list, kind: str, w: float, s: float, e: float, n: float) -> list
     return out
 
 
+def box_parts(shapes: pa.Array, boxes: np.ndarray) -> pa.Array | None:
+    """box_part() of many polygons (none null), each with its box (west, south, east, north): all rings are cut together. None if points aren't all pairs."""
+    parts = shapes.values
+    rings = parts.values
+    points = rings.values
+    of_shape, of_part, of_ring, of_point = (x.offsets.to_numpy() for x in (shapes, parts, rings, points))
+    if (np.diff(of_point) != 2).any() or points.values.null_count:
+        return None
+    pts = np.asarray(points.values.to_numpy(zero_copy_only=False), float)[of_point[0] : of_point[-1]].reshape(-1, 2)
+    part_ring = np.repeat(np.arange(len(parts)), np.diff(of_part))
+    shape_part = np.repeat(np.arange(len(shapes)), np.diff(of_shape))
+    ring_box, of = boxes[shape_part[part_ring]], np.repeat(np.arange(len(rings)), np.diff(of_ring))
+    size = np.diff(of_ring)
+    for axis, side, below in ((0, 0, False), (0, 2, True), (1, 1, False), (1, 3, True)):
+        bound = ring_box[of, side]
+        keep = pts[:, axis] <= bound if below else pts[:, axis] >= bound
+        a = np.flatnonzero(of[1:] == of[:-1])
+        kept, cross = keep[a + 1], keep[a] != keep[a + 1]
+        start = np.cumsum(cross.astype(int) + kept) - cross - kept
+        out, home = np.empty((int((cross.astype(int) + kept).sum()), 2)), np.repeat(of[a], cross.astype(int) + kept)
+        p, q = pts[a[cross]], pts[a[cross] + 1]
+        met = p + ((bound[a[cross]] - p[:, axis]) / (q[:, axis] - p[:, axis]))[:, None] * (q - p)
+        met[:, axis] = bound[a[cross]]
+        out[start[cross]], out[(start + cross)[kept]] = met, pts[a[kept] + 1]
+        size = np.bincount(home, minlength=len(rings))
+        real = size[home] > 2
+        out, home, size = out[real], home[real], np.where(size > 2, size, 0)
+        ends = np.cumsum(size[size > 0])
+        pts, of = np.insert(out, ends - size[size > 0], out[ends - 1], axis=0), np.insert(home, ends - size[size > 0], home[ends - 1])
+        size = np.where(size > 0, size + 1, 0)
+    first = np.zeros(len(parts), bool)
+    some = np.diff(of_part) > 0
+    first[some] = size[(of_part[:-1] - of_part[0])[some]] > 0
+    stays = (size > 0) & first[part_ring]
+    up = lambda counts: np.append(0, np.cumsum(counts)).astype(np.int32)
+    flat = pts[stays[of]]
+    out = pa.ListArray.from_arrays(up(np.full(len(flat), 2)), pa.array(flat.ravel()))
+    out = pa.ListArray.from_arrays(up(size[stays]), out)
+    out = pa.ListArray.from_arrays(up(np.bincount(part_ring[stays], minlength=len(parts))[first]), out)
+    return pa.ListArray.from_arrays(up(np.bincount(shape_part[first], minlength=len(shapes))), out)
+
+
 def clipped_to_box(coords: Column, kind: Column, w: Column, s: Column, e: Column, n: Column) -> Column:
     """Geometries cut by a box of their own row; empty where nothing lies in it."""
 
     def udf(*columns: pa.Array) -> pa.Array:
-        from chronogeo.operators.shapes import box_part
-
-        rows = zip(*(c.to_pylist() for c in columns))
-        return pa.array([None if g is None else box_part(g, k or "", *b) for g, k, *b in rows], columns[0].type)
+        from chronogeo.operators.shapes import box_part, box_parts
+
+        shapes, kinds, *sides = columns
+        told = [g and not (k or "").endswith(("Point", "LineString")) for g, k in zip(shapes.is_valid().to_pylist(), kinds.to_pylist())]
+        some = np.flatnonzero(told)
+        cut = box_parts(shapes.take(pa.array(some)), np.column_stack([x.to_numpy(zero_copy_only=False) for x in sides])[some]) if len(some) else None
+        if cut is None:
+            rows = zip(*(c.to_pylist() for c in columns))
+            return pa.array([None if g is None else box_part(g, k or "", *b) for g, k, *b in rows], shapes.type)
+        rest = [k for k, polygon in enumerate(told) if not polygon]
+        others = zip(*(c.take(pa.array(rest, pa.int64())).to_pylist() for c in columns))
+        more = pa.array([None if g is None else box_part(g, k or "", *b) for g, k, *b in others], shapes.type)
+        order = np.argsort(np.concatenate([some, np.array(rest, int)]), kind="stable")
+        return pa.concat_arrays([cut.cast(shapes.type), more]).take(pa.array(order))
 
     return F.arrow_udf(udf, GEOM)(coords, kind, w, s, e, n)
 

@@ -14,7 +14,7 @@ from chronogeo.functions import geo, options, style
 from chronogeo.operators import derive, edges, overlay, points, shapes, temporal
 from chronogeo.plans.geometry_queries import planar_area, square
 from chronogeo.plans.queries import _HAVERSINE, _META, _SEGMENTS, _axis, _index, query
-from chronogeo.session import checkpoint_root, spread
+from chronogeo.session import by_keys, checkpoint_root, spread
 from chronogeo.sources import readers, writers
 
 
@@ -205,11 +205,12 @@ def _cell(get, size: float = 1.0) -> DataFrame:
 
 @query("tile_clip", "SELECT fid, z, 1e0 AS area FROM f_cells, (VALUES (3), (6), (8)) AS t(z)")
 def _(get):
-    rows = _cell(get).withColumn("x0", F.col("x")).withColumn("y0", F.pmod(F.col("y"), F.lit(80))).drop("x", "y")
+    # Dealt by feature before tiles are told: what is cut lies where it is put together again.
+    rows = by_keys(_cell(get), ["fid"]).withColumn("x0", F.col("x")).withColumn("y0", F.pmod(F.col("y"), F.lit(80))).drop("x", "y")
     at = rows.withColumn("tile_minzoom", F.explode(F.array(F.lit(3), F.lit(6), F.lit(8)))).withColumn("tile_maxzoom", F.col("tile_minzoom"))
     cut = points.tiles(at.withColumns({"w": F.col("x0").cast("double"), "e": F.col("x0") + 1.0, "s": F.col("y0").cast("double"), "n": F.col("y0") + 1.0}))
     part = shapes.clipped_to_box(F.col("coords"), edges.geometry_type(F.col("coords")), *points.tile_box(F.col("z"), F.col("x"), F.col("y")))
-    return spread(cut).withColumn("coords", part).groupBy("fid", "z").agg(F.round(F.sum(planar_area(F.col("coords"))), 6).alias("area"))
+    return cut.withColumn("coords", part).groupBy("fid", "z").agg(F.round(F.sum(planar_area(F.col("coords"))), 6).alias("area"))
 
 
 @query("unshifted", "SELECT fid, CASE WHEN fid % 3 = 0 THEN x + 360 - 360 WHEN fid % 3 = 1 THEN x WHEN x > 10 THEN x - 190 ELSE x + 170 END AS x FROM f_cells")
