@@ -184,7 +184,7 @@ def area_order(layer: DataFrame, area: str = "area_km2", then: str = "fid") -> D
 
 
 def location_texts(layer: DataFrame, buckets: int = 10) -> DataFrame:
-    """id, bucket and html of each distinct popup text; texts whose hash collides are moved to free ids.
+    """id, bucket, html and hash of each distinct popup text; texts whose hash collides are moved to free ids.
 
     The first text of a hash keeps it. All others try the next id in rounds, each one join: where it is free, the
     first text that tries it has it.
@@ -198,7 +198,7 @@ def location_texts(layer: DataFrame, buckets: int = 10) -> DataFrame:
         moved = durable(left.join(placed.select("id"), "id", "left_anti").groupBy("id").agg(F.min("html").alias("html")))
         placed = durable_table(placed.select("id", "html").unionByName(moved.select("id", "html")))
         left = durable(left.join(moved.select("html"), "html", "left_anti"))
-    return placed.select("id", F.pmod("id", F.lit(buckets)).cast("int").alias("bucket"), "html")
+    return placed.select("id", F.pmod("id", F.lit(buckets)).cast("int").alias("bucket"), "html", F.abs(text.string_hash(F.col("html"))).alias("hash"))
 
 
 def reuse_excerpts(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:

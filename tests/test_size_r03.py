@@ -1,9 +1,14 @@
 import io
+import random
 from contextlib import redirect_stdout
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronogeo.operators import lines, overlay, points, shapes, temporal, topology
+from chronogeo import session
+from chronogeo.operators import derive, fuzzy, lines, overlay, points, shapes, temporal, topology
 
 
 def _plan(df) -> str:
@@ -76,3 +81,53 @@ def test_lines_are_cut_by_near_polygons_as_by_all():
         for erase in (False, True):
             assert lines.cut_line(line, *near(line), erase) == lines.cut_line(line, seg, owner, erase)
     assert len(near([[0.5, 0.5], [0.6, 0.6]])[0]) == 4
+
+
+def test_many_polygons_are_cut_by_boxes_as_each():
+    rng = random.Random(5)
+    turn = lambda n: [[round(rng.uniform(-3, 3)), round(rng.uniform(-3, 3), 1)] for _ in range(n)]
+    some = [[[(r := turn(rng.randint(1, 8))) + r[:1] for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(0, 2))] for _ in range(400)]
+    boxes = np.array([[-1, -1, 1, 1] if k % 2 else [-np.inf, -1, 0.5, np.inf] for k in range(400)], float)
+    got = shapes.box_parts(pa.array(some, pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))), boxes).to_pylist()
+    assert got == [shapes.box_part(g, "Polygon", *b) for g, b in zip(some, boxes.tolist())] and any(got)
+
+
+def test_boxes_cut_layers_of_all_kinds(spark):
+    rows = [(0, None, None), (1, _square(0.5, 0.5), "Polygon"), (2, [[[[0.0, 0.5], [3.0, 0.5]]]], "LineString"), (3, _square(5, 5), None), (4, [[[[0.5, 0.5]]]], "Point")]
+    layer = spark.createDataFrame(rows, f"k int, coords {overlay.GEOM}, kind string").coalesce(1)
+    cut = shapes.clipped_to_box(F.col("coords"), F.col("kind"), *[F.lit(x) for x in (0.0, 0.0, 1.0, 1.0)])
+    got = {r["k"]: r["g"] for r in layer.select("k", cut.alias("g")).collect()}
+    assert got[0] is None and overlay.area(got[1]) == 0.25 and got[2] == [[[[0.0, 0.5], [1.0, 0.5]]]] and got[3] == [] and got[4] == rows[4][1]
+
+
+def test_lines_smoothed_together_are_those_of_each():
+    rng = random.Random(3)
+    some = [[[rng.uniform(-180, 180), rng.uniform(-90, 90)] for _ in range(rng.randint(0, 6))] for _ in range(200)]
+    some += [[[0.0, 0.0], [0.0, 0.0], [1.0, 1.0]], [[0.0, 0.0], [1.0, 0.0], [0.0, 0.0]]]
+    assert shapes.smoothed(some) == [shapes.smooth_line(x) for x in some]
+    assert [len(x) for x in shapes.smoothed([[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]], [[0.0, 0.0], [1.0, 0.0], [2.0, 0.0]]])] == [13, 3]
+
+
+def test_arcs_of_many_sides_lie_in_many_tasks(spark, monkeypatch):
+    rows = [(k, _square(k % 20, k // 20)) for k in range(400)]
+    layer = spark.createDataFrame(rows, f"fid int, coords {overlay.GEOM}")
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    thin = topology.simplified(layer, 0.5)
+    assert thin.count() == 400 and thin.select(F.spark_partition_id()).distinct().count() > 8
+
+
+def test_texts_of_one_hash_keep_it_beside_free_ids(spark):
+    rows = [(x, None, None) for x in ("Aa", "BB")]
+    got = derive.location_texts(spark.createDataFrame(rows, "label string, link string, text string")).collect()
+    assert len({r["id"] for r in got}) == 2 and len({r["hash"] for r in got}) == 1
+
+
+def test_pairs_found_by_few_names_are_all_hits(spark):
+    rows = [(("House", "house", None)[k % 3], f"{'HX'[k % 2]}ous{k % 7} {k % 40}") for k in range(300)] + [("house", None)]
+    names = spark.createDataFrame(rows, "category string, label string")
+    queries = spark.createDataFrame([(1, "hous3"), (2, "House"), (3, "xous1 2"), (4, "h"), (5, "zzzz")], "qid int, query string")
+    full = queries.filter("length(query) > 1").crossJoin(names.distinct()).withColumn("score", fuzzy.score(F.lower("query"), F.col("label"), F.col("category"))).filter("score <= 0.4")
+    order = Window.partitionBy("qid").orderBy("score", "label", "category")
+    want = full.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").select("qid", "rank", "category", "label", "score")
+    got = fuzzy.search_all(names, queries)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 30
