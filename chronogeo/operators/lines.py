@@ -7,11 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronogeo.operators.overlay import GEOM, TILE, met, tiled, with_shapes
-from chronogeo.session import by_keys, durable_table
+from chronogeo.session import by_keys, by_size, durable_table
 
 #: Shares of a segment that differ by less are the same place.
 SAME = 1e-12
@@ -79,19 +79,15 @@ def merge_lines_tiled(layer: DataFrame, keys: list[str], size: float, most: int)
     joint are done, and the others go on to greater tiles, until a key has no more than so many vertices left.
     """
     point = lambda p: F.struct((p[0] + F.lit(0.0)).alias("x"), (p[1] + F.lit(0.0)).alias("y"))
-    rows = layer.select(*keys, F.explode(F.flatten("coords")).alias("line")).filter(F.size("line") > 1)
+    rows = layer.select(*keys, F.explode(F.flatten("coords")).alias("line")).filter(F.size("line") > 1).withColumn("_uid", F.monotonically_increasing_id())
     rows = durable_table(rows.withColumn("a", point(F.element_at("line", 1))).withColumn("b", point(F.element_at("line", -1))))
-    ends = rows.select(*keys, F.explode(F.array_distinct(F.array("a", "b"))).alias("p"))
-    joints = durable_table(ends.groupBy(*keys, "p").count().filter("count = 2").select(*[F.col(k).alias(f"j_{k}") for k in keys], F.col("p").alias("j_p")))
-
-    def marked(lines: DataFrame, end: str) -> DataFrame:
-        same = F.col(end) == F.col("j_p")
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"j_{k}"))
-        found = lines.join(joints, same, "left").withColumn(f"{end}_open", F.col("j_p").isNotNull() & (F.col("a") != F.col("b")))
-        return found.drop("j_p", *[f"j_{k}" for k in keys])
-
-    state = marked(marked(rows, "a"), "b").select(*keys, F.array(F.array("line")).alias("coords"), "a_open", "b_open")
+    n = rows.agg(F.sum(F.size("line"))).first()[0] or 0
+    ends = rows.select("_uid", *keys, F.posexplode(F.array_distinct(F.array("a", "b"))).alias("end", "p"))
+    joint = F.count(F.lit(1)).over(Window.partitionBy(*keys, "p")) == 2
+    ends = by_size(ends, [*keys, "p"], n).withColumn("joint", joint)
+    # A ring has one end, which is no joint.
+    known = by_size(ends.select("_uid", "end", "joint"), ["_uid"], n).groupBy("_uid").agg(*[(F.max((F.col("end") == k) & F.col("joint")) & (F.max("end") > 0)).alias(f"{c}_open") for k, c in enumerate("ab")])
+    state = by_size(rows, ["_uid"], n).join(known, "_uid").select(*keys, F.array(F.array("line")).alias("coords"), "a_open", "b_open")
     chain = pa.list_(pa.struct([("coords", pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))), ("a_open", pa.bool_()), ("b_open", pa.bool_())]))
 
     def udf(groups: pa.Array) -> pa.Array:
@@ -115,7 +111,7 @@ def merge_lines_tiled(layer: DataFrame, keys: list[str], size: float, most: int)
             break
         whole = rest <= most or size > 360
         tile = [] if whole else [F.floor(first[i] / size).alias(name) for i, name in enumerate(TILE)]
-        near = left.groupBy(*keys, *tile).agg(F.collect_list(F.struct("coords", "a_open", "b_open")).alias("_s"))
+        near = by_size(left.select("*", *tile), [*keys, *(TILE if tile else [])], n).groupBy(*keys, *(TILE if tile else [])).agg(F.collect_list(F.struct("coords", "a_open", "b_open")).alias("_s"))
         left = durable_table(near.select(*keys, F.inline(F.arrow_udf(udf, f"array<struct<coords:{GEOM},a_open:boolean,b_open:boolean>>")("_s"))))
         size *= 4
         if whole:
